@@ -1,8 +1,62 @@
-"""Corpus pipeline: language ID, exact dedup, near duplicates, mixing, packing."""
+"""Corpus pipeline over documents: language ID, exact dedup, near duplicates, mixing, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir); docs has the columns doc_id, text, lang, source, n_chars, in any order and with
+others if need be. All stages but the last return the columns of docs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyward.llm.common import small, stored, table
+from tallyward.llm.language_id import of_documents
+from tallyward.llm.mixing import mixed_texts
+from tallyward.llm.ngram_join import jaccard_classes
+from tallyward.llm.packing import pack_documents
+from tallyward.llm.stream_dedup import dedup
+
+
+def without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
+    """docs but for the rows whose doc_id is in dropped."""
+    return docs.join(small(stored(dropped.select("doc_id").distinct(), name), 200_000), "doc_id", "left_anti").select(*docs.columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known; lang becomes the language found."""
+    found = stored(of_documents(docs), "pipeline-languages")
+    changed = found.where("kept and not (lang <=> declared)").groupBy("doc_id").agg(F.max("lang").alias("found"))
+    kept = without(docs, found.where("not kept"), "pipeline-rejected")
+    return kept.join(small(stored(changed, "pipeline-relabelled"), 200_000), "doc_id", "left").withColumn("lang", F.coalesce("found", "lang")).select(*docs.columns)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal normalised texts."""
+    return without(docs, dedup(docs.select("doc_id", "text")).where("not kept"), "pipeline-copies")
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates."""
+    return without(docs, jaccard_classes(docs.select("doc_id", "text")).where("doc_id <> component_id"), "pipeline-near")
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: whole copies of a document for whole passes, and the words that a part pass draws of it."""
+    return mixed_texts(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row's pieces with their bins."""
+    return pack_documents(docs.select("doc_id", "text"))
+
+
+STAGES = [("language_id", language), ("exact_dedup", exact), ("ngram_jaccard", near), ("mixing", mixing), ("packing", packing)]
+#: Language models and prefix joins are beyond SQL; tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

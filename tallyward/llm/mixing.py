@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import WORD, small, stored, table, text_or_empty
+from .common import SPACES, WORD, small, stored, table, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 BLOCK_WORDS = 32
@@ -55,11 +55,15 @@ def quotas(goals: DataFrame, shards: int, block_words: int = BLOCK_WORDS) -> Dat
     return goals.select("source", "target", F.explode(F.sequence(F.lit(1), F.lit(shards))).alias("shard")).select("source", "shard", (seats(F.col("shard")) - seats(F.col("shard") - 1)).alias("n_blocks"))
 
 
-def mix(docs: DataFrame, seed: str = SEED, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs' doc_id and source with size, source_size, target and taken.
+def upto(block: Column) -> Column:
+    """How many of a source's first `block` blocks the systematic draw has."""
+    return F.floor(block * F.col("rest") / F.col("all_blocks") + F.col("start"))
+
+
+def placements(docs: DataFrame, seed: str, block_words: int) -> DataFrame:
+    """docs' doc_id, source and size, its source's figures, the whole passes, and the words `extra` of the part pass.
 
-    Null texts have no words. Documents with equal doc_id and text take the same place in no fixed order; their words
-    are shared between them. A source without words has target 0 and gives none.
+    `from` is the place of the document's first word in its source's stream.
     """
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id")).cast("binary"))
     sized = stored(docs.select("doc_id", "source", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("bigint").alias("size"), key.alias("key")), "mix-sizes")
@@ -91,13 +95,41 @@ def mix(docs: DataFrame, seed: str = SEED, block_words: int = BLOCK_WORDS) -> Da
 
     def drawn(x: Column) -> Column:
         """Words of the systematic draw among the first x of the stream."""
-        upto = lambda b: F.floor(b * F.col("rest") / F.col("all_blocks") + F.col("start"))
         b = F.floor(x / block_words)
         return upto(b) * block_words + (upto(b + 1) - upto(b)) * (x - b * block_words)
 
     extra = F.when(F.col("rest") > 0, drawn(F.col("from") + F.col("size")) - drawn(F.col("from"))).otherwise(0)
-    taken = (F.col("passes") * F.col("size") + F.coalesce(extra, F.lit(0))).cast(T.LongType())
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    return placed.withColumn("extra", F.coalesce(extra, F.lit(0)).cast(T.LongType()))
+
+
+def mix(docs: DataFrame, seed: str = SEED, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """docs' doc_id and source with size, source_size, target and taken.
+
+    Null texts have no words. Documents with equal doc_id and size take neighbouring places in no fixed order. A source
+    without words has target 0 and gives none.
+    """
+    taken = (F.col("passes") * F.col("size") + F.col("extra")).cast(T.LongType())
+    return placements(docs, seed, block_words).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+
+
+def mixed_texts(docs: DataFrame, seed: str = SEED, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The mix itself, with the columns of docs: a row per whole pass, and one with the words of the part pass.
+
+    Part rows keep the white space before each word that they take. n_chars, if there, becomes the new text's length.
+    Documents that the mix takes nothing of are not in it. Rows that repeat a doc_id all take the place of one of them.
+    """
+    place = placements(docs.select("doc_id", "source", "text"), seed, block_words).where("passes > 0 or extra > 0")
+    place = place.groupBy("doc_id").agg(F.min(F.struct("from", "passes", "extra", "rest", "all_blocks", "start")).alias("p")).select("doc_id", "p.*")
+    copies = F.sequence(F.lit(1), (F.col("passes") + F.when(F.col("extra") > 0, 1).otherwise(0)).cast("int"))
+    rows = docs.join(place, "doc_id").withColumn("copy", F.explode(copies))
+    block = lambda i: F.floor((F.col("from") + i) / block_words)
+    words = F.regexp_extract_all("text", F.lit(SPACES.replace("+", "*") + WORD), F.lit(0))
+    part = F.array_join(F.filter(words, lambda w, i: upto(block(i) + 1) > upto(block(i))), "")
+    text = F.when(F.col("copy") <= F.col("passes"), F.col("text")).otherwise(part)
+    out = rows.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("bigint"))
+    return out.select(*docs.columns)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

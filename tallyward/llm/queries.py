@@ -1,10 +1,18 @@
 """Registered queries of the corpus operators, and their SQL where SQL can express them."""
 
+from .block_labeller import op2_html_extraction
 from .gif_media import op7_media_gif
+from .language_id import op8_language_id, pages_language
+from .license_scan import op3_license_scans
 from .mixing import OP4_SQL, op4_mixing
+from .ngram_join import op9_ngram_jaccard
+from .packing import op6_best_fit_packing
 from .secret_ledger import op1_secret_scans
 from .stream_dedup import OP5_SQL, op5_exact_dedup
 from .warc import OP10_SQL, op10_warc
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op4_mixing, op5_exact_dedup, op7_media_gif, op10_warc)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_secret_scans, op2_html_extraction, op3_license_scans, op4_mixing, op5_exact_dedup, op6_best_fit_packing, op7_media_gif, op8_language_id, op9_ngram_jaccard, op10_warc, pages_language)
+}
 ORACLES = {"op4_mixing": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op10_warc": OP10_SQL}
