@@ -16,8 +16,12 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, shared_dir, small, stored, table, text_or_empty
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: The state is kept in RocksDB, whose files take only the space that they fill: with preallocation, each of the many
+#: small partitions would hold 4 MB of disk for its manifest alone.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -28,7 +32,7 @@ def normalised(text: Column) -> Column:
 def digest_state(rows: DataFrame, name: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """(digest, keep_id, locator, group_size) after streaming rows (doc_id, digest, locator) through the keyed state.
 
-    rows must be a stored table. The provider is set only while the query starts.
+    rows must be a stored table. The state store's settings hold only while the query runs.
     """
     spark = rows.sparkSession
     source, out, checkpoint = shared_dir(spark, f"{name}-in"), shared_dir(spark, f"{name}-out"), shared_dir(spark, f"{name}-state")
@@ -41,13 +45,15 @@ def digest_state(rows: DataFrame, name: str, max_files_per_trigger: int | None =
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.select("digest", F.col("first.doc_id").alias("keep_id"), F.col("first.locator").alias("locator"), "group_size").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         query = state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"digest string, keep_id {kind}, locator string, group_size bigint, batch int"
     if not query.lastProgress and not rows.head(1):
