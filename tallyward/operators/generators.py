@@ -1,0 +1,76 @@
+"""Seeded synthetic users, devices and transactions, as DataFrames of any size.
+
+Every value follows from the seed and the row's number by a hash, so that a lost partition comes back the same. These
+make load for trials; registered queries read the given tables.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyward.functions.geo import haversine_km
+from tallyward.sources.tables import CITIES, HOMES, city_part
+
+#: Tiers with their shares and mean spends, the least amount, how far a jump goes, and the fraud share.
+TIERS = (("low", 0.50, 20.0, 80.0), ("medium", 0.35, 80.0, 250.0), ("high", 0.15, 250.0, 900.0))
+LEAST_AMOUNT, FAR_KM, FRAUD_SHARE, HOME_SHARE = 1.50, 5000.0, 0.15, 0.80
+
+
+def unit(seed: int, what: str, *keys: str | Column) -> Column:
+    """A number in [0, 1) that depends on the seed, a purpose and keys."""
+    h = F.xxhash64(F.lit(seed), F.lit(what), *[F.col(k) if isinstance(k, str) else k for k in keys])
+    return F.pmod(h, F.lit(1 << 52)) / float(1 << 52)
+
+
+def normal(seed: int, what: str, *keys: str) -> Column:
+    u, v = F.greatest(unit(seed, what + "/u", *keys), F.lit(1e-12)), unit(seed, what + "/v", *keys)
+    return F.sqrt(-2 * F.ln(u)) * F.cos(2 * F.pi() * v)
+
+
+def users(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
+    df = spark.range(n).withColumnRenamed("id", "user_id")
+    t = unit(seed, "tier", "user_id")
+    tier = F.when(t < TIERS[0][1], TIERS[0][0]).when(t < TIERS[0][1] + TIERS[1][1], TIERS[1][0]).otherwise(TIERS[2][0])
+    spend = lambda k: F.when(tier == TIERS[0][0], TIERS[0][k]).when(tier == TIERS[1][0], TIERS[1][k]).otherwise(TIERS[2][k])
+    home = F.floor(unit(seed, "home", "user_id") * HOMES)
+    mean = spend(2) + unit(seed, "spend", "user_id") * (spend(3) - spend(2))
+    jitter = lambda what: (unit(seed, what, "user_id") - 0.5) * 0.1
+    opened = F.make_dt_interval(days=(365 + unit(seed, "opened", "user_id") * 1460).cast("int"))
+    return df.select("user_id", tier.alias("risk_tier"), F.round(mean, 2).alias("avg_amount"), F.round(mean * (0.2 + 0.3 * unit(seed, "sd", "user_id")), 2).alias("stddev_amount"), home.alias("home"), city_part(home, "city").alias("home_city"), city_part(home, "country").alias("home_country"), (city_part(home, "lat") + jitter("lat")).alias("home_latitude"), (city_part(home, "lon") + jitter("lon")).alias("home_longitude"), (F.lit("2024-01-01").cast("timestamp") - opened).alias("created_at"))
+
+
+def devices(people: DataFrame, seed: int = 42) -> DataFrame:
+    """One to three devices per user: the first is trusted, the others by the toss of a coin."""
+    n = (1 + F.floor(unit(seed, "devices", "user_id") * 3)).cast("int")
+    rows = people.select("user_id", F.explode(F.sequence(F.lit(1), n)).alias("number"))
+    return rows.select("user_id", F.concat_ws("-", "user_id", "number").alias("device_id"), ((F.col("number") == 1) | (unit(seed, "trust", "user_id", "number") < 0.5)).alias("is_trusted"))
+
+
+def far_cities(people: DataFrame) -> DataFrame:
+    """(user_id, city index) of the cities at least 5000 km from home: the fixed list, filtered in each row."""
+    all_cities = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("lat"), F.lit(o).alias("lon")) for i, (_, _, a, o) in enumerate(CITIES)])
+    return people.select("user_id", "home_latitude", "home_longitude", F.explode(all_cities).alias("c")).where(haversine_km(F.col("home_latitude"), F.col("home_longitude"), F.col("c.lat"), F.col("c.lon")) >= FAR_KM).select("user_id", F.col("c.i").alias("city"))
+
+
+def transactions(people: DataFrame, per_user: int, seed: int = 42, fraud: float = FRAUD_SHARE) -> DataFrame:
+    """Transactions of the last 90 days, half of them in the last 7; a share has one of four fraud patterns.
+
+    A velocity spike becomes a burst of 8 to 10 rows, 3 to 12 seconds apart; a jump goes abroad; a new device spends 3
+    to 7.5 times the mean; an odd amount tests a card, stays under a limit, or is 5 to 15 times the mean.
+    """
+    rows = people.withColumn("number", F.explode(F.sequence(F.lit(1), F.lit(per_user))))
+    k = ("user_id", "number")
+    u = lambda what: unit(seed, what, *k)
+    kind = F.when(u("fraud") < fraud, F.element_at(F.array(*map(F.lit, ("VELOCITY_SPIKE", "AMOUNT_ANOMALY", "GEO_JUMP", "NEW_DEVICE"))), (F.floor(u("pattern") * 4) + 1).cast("int")))
+    days = F.when(u("recent") < 0.5, u("age") * 7).otherwise(7 + u("age") * 83)
+    rows = rows.withColumn("fraud_pattern", kind).withColumn("base_ts", F.timestamp_micros((F.unix_micros(F.lit("2024-04-01").cast("timestamp")) - days * 86_400_000_000).cast("bigint")))
+    burst = F.when(F.col("fraud_pattern") == "VELOCITY_SPIKE", 8 + F.floor(u("burst") * 3)).otherwise(1).cast("int")
+    rows = rows.withColumn("step", F.explode(F.sequence(F.lit(0), burst - 1)))
+    usual = F.greatest(F.lit(LEAST_AMOUNT), F.col("avg_amount") + F.col("stddev_amount") * normal(seed, "amount", *k, "step"))
+    odd = F.when(u("odd") < 0.33, 0.5 + u("odd/a")).when(u("odd") < 0.66, F.element_at(F.array(*map(F.lit, (99.99, 199.99, 499.99, 999.99))), (F.floor(u("odd/a") * 4) + 1).cast("int"))).otherwise(F.col("avg_amount") * (5 + 10 * u("odd/a")))
+    amount = F.when(F.col("fraud_pattern") == "AMOUNT_ANOMALY", odd).when(F.col("fraud_pattern") == "NEW_DEVICE", F.col("avg_amount") * (3 + 4.5 * u("new"))).otherwise(usual)
+    city = F.when(F.col("fraud_pattern") == "GEO_JUMP", HOMES + F.floor(u("abroad") * (len(CITIES) - HOMES))).when(u("at home") < HOME_SHARE, F.col("home")).otherwise(F.floor(u("city") * HOMES))
+    device = F.when(F.col("fraud_pattern") == "NEW_DEVICE", F.concat(F.lit("new-"), F.col("user_id").cast("string"), F.lit("-"), F.col("number").cast("string"))).otherwise(F.concat(F.col("user_id").cast("string"), F.lit("-1")))
+    at = F.timestamp_micros(F.unix_micros("base_ts") + (F.col("step") * (3 + 9 * unit(seed, "gap", *k, "step")) * 1_000_000).cast("bigint"))
+    return rows.select(F.concat_ws("-", "user_id", "number", "step").alias("transaction_id"), "user_id", F.round(amount, 2).alias("amount"), at.alias("transaction_ts"), device.alias("device_id"), *[city_part(city, c).alias(n) for c, n in (("city", "city"), ("country", "country"), ("lat", "latitude"), ("lon", "longitude"))], F.col("fraud_pattern").isNotNull().alias("is_synthetic_fraud"), "fraud_pattern")
