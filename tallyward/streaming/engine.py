@@ -12,9 +12,11 @@ from tallyward.operators.velocity import WATERMARK, sliding
 
 #: How long a user's last place is kept.
 STATE_TTL_MS = 86_400_000
+#: Settings of a started query. Without the last, state with a time to live asks for another empty batch for ever.
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
 
