@@ -12,11 +12,9 @@ from tallyward.operators.velocity import WATERMARK, sliding
 
 #: How long a user's last place is kept.
 STATE_TTL_MS = 86_400_000
-#: Settings of a started query. Without the last, state with a time to live asks for another empty batch for ever.
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
-    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
 
@@ -59,14 +57,16 @@ def place_stream(events: DataFrame) -> DataFrame:
     return slim.groupBy("user_id").transformWithStateInPandas(LastPlace(), outputStructType=schema, outputMode="Append", timeMode="ProcessingTime")
 
 
-def to_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", trigger: str | None = None) -> StreamingQuery:
+def to_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", trigger: str | None = None, empty_batches: bool = True) -> StreamingQuery:
     """Write each micro-batch under its number, so that a batch that runs again overwrites what it wrote.
 
-    Without a trigger interval, all there is is read and the query ends. The state store is RocksDB.
+    Without a trigger interval, all there is is read and the query ends. The state store is RocksDB. Empty batches move
+    watermarks on; state with a time to live would ask for another one for ever, and needs empty_batches=False.
     """
     spark = stream.sparkSession
-    before = {k: spark.conf.get(k, None) for k in ROCKSDB}
-    for k, v in ROCKSDB.items():
+    settings = ROCKSDB | {"spark.sql.streaming.noDataMicroBatches.enabled": str(empty_batches).lower()}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
         spark.conf.set(k, v)
     try:
         writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)

@@ -40,7 +40,7 @@ def streamed_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     tx = transactions(spark, sf_dir).select("transaction_id", "user_id", "latitude", "longitude", "city", "transaction_ts")
     tx.write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(tx.schema).parquet(f"{folder}/in")
-    to_batches(place_stream(stream), f"{folder}/out", f"{folder}/check").awaitTermination()
+    to_batches(place_stream(stream), f"{folder}/out", f"{folder}/check", empty_batches=False).awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("transaction_id", "prev_city", F.timestamp_micros("prev_at").cast("timestamp_ntz").alias("prev_ts"))
 
 
