@@ -40,6 +40,10 @@ def trigrams(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     text = FOLD[data]
     accented = np.flatnonzero((text[:-1] == 0xC3) & (text[1:] >= 0x80) & (text[1:] <= 0x9E)) + 1
     text[accented] += 32  # capital letters of Latin-1
+    signs = np.flatnonzero(text == 0xC2)  # signs and marks of Latin-1, and of the blocks from general punctuation on
+    marks = np.flatnonzero((text[:-2] == 0xE2) & (text[1:-1] <= 0xAF))
+    for spot in (signs, signs + 1, marks, marks + 1, marks + 2):
+        text[spot[spot < len(text)]] = 32
     inner = np.ones(len(text), bool)
     inner[1:] = (text[1:] != 32) | (text[:-1] != 32)
     owner_starts = np.append(starts, len(text))
