@@ -7,7 +7,7 @@ from .license_scan import op3_license_scans
 from .mixing import OP4_SQL, op4_mixing
 from .ngram_join import op9_ngram_jaccard
 from .packing import op6_best_fit_packing
-from .secret_ledger import op1_secret_scans
+from .secret_ledger import OP1_SQL, op1_secret_scans
 from .stream_dedup import OP5_SQL, op5_exact_dedup
 from .warc import OP10_SQL, op10_warc
 
@@ -15,4 +15,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_secret_scans, op2_html_extraction, op3_license_scans, op4_mixing, op5_exact_dedup, op6_best_fit_packing, op7_media_gif, op8_language_id, op9_ngram_jaccard, op10_warc, pages_language)
 }
-ORACLES = {"op4_mixing": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op10_warc": OP10_SQL}
+ORACLES = {"op1_secret_scans": OP1_SQL, "op4_mixing": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op10_warc": OP10_SQL}

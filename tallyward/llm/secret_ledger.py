@@ -128,3 +128,23 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     base, every = tuple(r.kind for r in BASE), tuple(r.kind for r in RULES)
     return found.select("doc_id", *map(count, base), F.sha2(listing(F.col("found"), base), 256).alias("base_sha256"), listing(F.col("found"), every).alias("spans"))
+
+
+def _kind_sql(rank: int, rule: Rule) -> str:
+    p = rule.pattern.replace("'", "''")
+    good = f"len(regexp_extract(mt, '{p}', {rule.group})) >= {rule.least}"
+    pairs = f"SELECT doc_id, unnest(ms) AS mt, unnest(ps[:len(ms)]) AS pc, generate_subscripts(ms, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS ms, regexp_split_to_array(text, '{p}') AS ps FROM t) WHERE len(ms) > 0"
+    ends = f"SELECT *, sum(len(pc) + len(mt)) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS fin FROM ({pairs})"
+    return f"SELECT doc_id, {rank} AS k, '{rule.kind}' AS kind, fin - len(mt) AS st, fin FROM ({ends}) WHERE {good}"
+
+
+OP1_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+f AS ({" UNION ALL ".join(_kind_sql(i, r) for i, r in enumerate(RULES))}),
+g AS (SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
+             string_agg(kind || ':' || st || ':' || fin, ',' ORDER BY st, k) FILTER (WHERE k < {len(BASE)}) AS base,
+             string_agg(kind || ':' || st || ':' || fin, ',' ORDER BY st, k) AS spans FROM f GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN g USING (doc_id)
+"""
