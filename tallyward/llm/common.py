@@ -25,11 +25,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and lost executors cost no recomputation."""
+def stored(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends there, and lost executors cost no recomputation.
+
+    `tasks` is for tables whose size is known: they are written by so many tasks at most, however many partitions a
+    shuffle has, so that the many short steps over a small table don't wait for hundreds of empty tasks each.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    (df.coalesce(tasks) if tasks else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

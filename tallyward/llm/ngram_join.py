@@ -7,8 +7,10 @@
    and by two hashes. A pair that links shares a token of both prefixes under every one of them. Partners are looked up
    under the first order; the other orders' prefixes must meet too before a pair is verified on the whole sets.
 4. As only connected components are asked for, a pair inside one component needs no test. Each prefix token's documents
-   are first compared with one pivot of theirs, a few times with other pivots, so a large group of near copies takes
-   linearly many tests; then all pairs across components that still share a prefix token are compared.
+   are first compared with one pivot of theirs, so most of a large group of near copies is connected by linearly many
+   tests. Then documents of different components that share a prefix token are looked up against each other; a bound on
+   their common tokens, from the sets' sizes and from parity bitmaps, stands in the join itself, so that it gives few
+   more pairs than there are links.
 
 No link between different sets is lost: what step 4 leaves untested is connected already.
 """
@@ -28,8 +30,12 @@ from .shingles import digest, token_sets
 
 WORDS, PERCENT = 5, 75
 #: Tokens in one group of the frequency count, and tokens that a task holds before it sends them.
-GROUP_TOKENS, HELD_TOKENS = 1 << 21, 1 << 22
-PIVOT_ROUNDS = 3
+GROUP_TOKENS, HELD_TOKENS = 1 << 21, 1 << 20
+#: Longs of a parity bitmap. Each token flips one bit of its set's bitmap, so two bitmaps differ in no more bits than
+#: the sets differ in tokens.
+BITMAP = 16
+#: Short rows (a few numbers) that one task writes.
+ROWS_A_TASK = 50_000
 
 
 def describe(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -104,10 +110,12 @@ def list_shared(rows: pa.Table) -> pa.Table:
 
 
 def listed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [s.view(np.int64) for s in token_sets(batch.column(1), words)]
+    for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
+        sets = list(token_sets(batch.column(1), words))
         offsets = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
-        yield pa.record_batch({"doc_id": batch.column(0), "tokens": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))})
+        tokens = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)))
+        bits = [np.packbits((np.bincount((x % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) & 1).astype(np.uint8)).view(np.int64) for x in sets]
+        yield pa.record_batch({"doc_id": batch.column(0), "tokens": tokens, "bits": pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64)), BITMAP).cast(pa.list_(pa.int64()))})
 
 
 def needed(n: Column, percent: int) -> Column:
@@ -115,22 +123,28 @@ def needed(n: Column, percent: int) -> Column:
     return F.ceil(n * percent / 100)
 
 
+def tasks_for(rows: int) -> int:
+    """Tasks for a table of so many short rows."""
+    return max(6, -(-rows // ROWS_A_TASK))
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(doc, root): for each document of edges (a, b), the smallest one that it reaches.
 
     Alternating large-star and small-star rounds, each written to the shared folder; a hub's neighbours are reduced to
     their minimum in the tasks, and the join back stands above two plain exchanges, so Spark can split it.
     """
-    current, mark = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"), None
+    tasks = tasks_for(edges.count())
+    current, mark = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", tasks), None
     for _ in range(most_rounds):
         both = current.union(current.select("b", "a"))
-        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least", tasks)
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = stored(large, "large-star")
-        least = stored(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        large = stored(large, "large-star", tasks)
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m")), "least", tasks)
         joined = large.join(least, "a")
         small_star = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        current = stored(small_star.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        current = stored(small_star.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", tasks)
         now = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break
@@ -141,54 +155,67 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return roots.union(current.select("b", "b").distinct())
 
 
+def common_needed(n: Column, m: Column, percent: int) -> Column:
+    """Tokens that two sets of n and m tokens share if they link, at least."""
+    return F.ceil((n + m) * percent / (100 + percent))
+
+
 def link_components(sets: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame | None:
     """(doc, root) of the documents that link with another; None if none does.
 
-    sets: (doc_id, tokens). prefixes: (doc_id, n, p0, p1, ...), one token list for each order.
+    sets: (doc_id, tokens, bits). prefixes: (doc_id, n, shared, p0, p1, ...): the set's size, how many of its tokens
+    others have too, and a token list for each order.
     """
     orders = [c for c in prefixes.columns if c[0] == "p" and c[1:].isdigit()]
     postings = prefixes.select(F.explode("p0").alias("token"), F.col("doc_id").alias("doc"))
-    often = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token")
-    postings = stored(postings.join(stored(often, "prefix-tokens"), "token"), "postings")
-    info = prefixes.select("doc_id", "n", *orders[1:])
-    roots: DataFrame | None = None
-    links: DataFrame | None = None
-    tested: DataFrame | None = None
+    tasks = tasks_for(prefixes.select(F.sum(F.size("p0"))).first()[0] or 0)
+    # tokens with the same documents give the same pairs: one of them will do. Two sums of hashes tell the sets apart
+    total = lambda seed: F.sum(F.xxhash64("doc", F.lit(seed)).cast("decimal(20,0)"))
+    often = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"), total(1).alias("x"), total(2).alias("y"), F.min("doc").alias("first")).where("df > 1")
+    often = often.groupBy("df", "x", "y", "first").agg(F.min("token").alias("token")).select("token")
+    postings = stored(postings.join(stored(often, "prefix-tokens", tasks), "token"), "postings", tasks)
+    info = prefixes.select("doc_id", "n", *orders[1:]).join(sets.select("doc_id", "tokens"), "doc_id")
+    side = lambda df, x: df.select(*[F.col(c).alias(x if c == "doc_id" else f"{x}_{c}") for c in df.columns])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), those that link."""
-        side = lambda df, x: df.select(*[F.col(c).alias(x if c == "doc_id" else f"{x}_{c}") for c in df.columns])
-        near = pairs.join(side(info, "a"), "a").join(side(info, "b"), "b")
-        near = near.where(F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent)
+        """Of pairs (a, b), those that link: the other orders' prefixes meet, and the whole sets are near."""
+        both = pairs.join(side(info, "a"), "a").join(side(info, "b"), "b")
+        both = both.where(F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent)
         for p in orders[1:]:
-            near = near.where(F.arrays_overlap(f"a_{p}", f"b_{p}"))
-        near = stored(near.select("a", "b", "a_n", "b_n"), "candidates")
-        both = near.join(side(sets, "a"), "a").join(side(sets, "b"), "b")
-        both = both.withColumn("common", F.size(F.array_intersect("a_tokens", "b_tokens")))
-        return stored(both.where(F.col("common") * 100 >= (F.col("a_n") + F.col("b_n") - F.col("common")) * percent).select("a", "b"), "links")
-
-    for r in range(PIVOT_ROUNDS + 1):
-        rooted = postings.withColumn("root", F.col("doc")) if roots is None else postings.join(roots.withColumnRenamed("root", "r"), "doc", "left").select("token", "doc", F.coalesce("r", "doc").alias("root"))
-        spans = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64("doc", F.lit(r)), "doc", "root")).alias("x"))
-        spans = stored(spans.where("low < high").select("token", F.col("x.doc").alias("pivot"), F.col("x.root").alias("pivot_root")), "pivots")
-        if spans.isEmpty():
-            break
-        rooted = stored(rooted.join(spans, "token"), "open-postings")
-        if r < PIVOT_ROUNDS:
-            pairs = rooted.where("root <> pivot_root").select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b"))
-        else:
-            left, right = rooted.select("token", F.col("doc").alias("a"), F.col("root").alias("a_root")), rooted.select("token", F.col("doc").alias("b"), F.col("root").alias("b_root"))
-            pairs = left.join(right, "token").where("a < b and a_root <> b_root").select("a", "b")
-        pairs = pairs.distinct()
-        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        found = verified(pairs)
-        if found.isEmpty():
-            continue
-        links = found if links is None else links.union(found)
-        known = links if roots is None else roots.where("doc <> root").select(F.col("doc").alias("a"), F.col("root").alias("b")).union(found)
-        roots = stored(components(known), "roots")
-    return roots
+            both = both.where(F.arrays_overlap(f"a_{p}", f"b_{p}"))
+        common = F.size(F.array_intersect("a_tokens", "b_tokens"))
+        return stored(both.where(common >= common_needed(F.col("a_n"), F.col("b_n"), percent)).select("a", "b"), "links", tasks)
+
+    pivots = stored(postings.groupBy("token").agg(F.min_by("doc", F.xxhash64("doc")).alias("pivot")), "pivots", tasks)
+    pairs = postings.join(pivots, "token").where("doc <> pivot").select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
+    links = verified(pairs)
+    if links.isEmpty():
+        rooted = postings.withColumn("root", F.col("doc"))
+    else:
+        roots = stored(components(links), "roots", tasks)
+        rooted = postings.join(roots, "doc", "left").select("token", "doc", F.coalesce("root", "doc").alias("root"))
+    rooted = stored(rooted, "rooted-postings", tasks)
+    open_tokens = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
+    open_postings = stored(rooted.join(stored(open_tokens, "open-tokens", tasks), "token"), "open-postings", tasks)
+    if open_postings.isEmpty():
+        return None if links.isEmpty() else roots
+
+    # what the join needs to know of a document: its open tokens, sizes and bitmap
+    known = open_postings.groupBy("doc").agg(F.collect_list("token").alias("open")).join(prefixes.select(F.col("doc_id").alias("doc"), "n", "shared"), "doc").join(sets.select(F.col("doc_id").alias("doc"), *[F.col("bits")[i].alias(f"bits{i}") for i in range(BITMAP)]), "doc")
+    wide = stored(open_postings.join(stored(known, "open-documents", tasks), "doc"), "wide-postings", tasks)
+    left, right = (wide.select("token", *[F.col(c).alias(f"{x}_{c}") for c in wide.columns if c != "token"]) for x in "ab")
+    needs = common_needed(F.col("a_n"), F.col("b_n"), percent)
+    differing = sum((F.bit_count(F.col(f"a_bits{i}").bitwiseXOR(F.col(f"b_bits{i}"))) for i in range(1, BITMAP)), F.bit_count(F.col("a_bits0").bitwiseXOR(F.col("b_bits0"))))
+    near = (F.col("a_doc") < F.col("b_doc")) & (F.col("a_root") != F.col("b_root")) & (F.least("a_shared", "b_shared") >= needs)
+    near &= (F.col("a_n") + F.col("b_n") - differing >= 2 * needs) & (F.array_min(F.array_intersect("a_open", "b_open")) == F.col("a_token"))
+    left = left.withColumnRenamed("token", "a_token")
+    pairs = left.join(right.withColumnRenamed("token", "b_token"), (F.col("a_token") == F.col("b_token")) & near)
+    more = verified(stored(pairs.select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b")), "cross-pairs"))
+    if links.isEmpty():
+        return None if more.isEmpty() else stored(components(more), "roots", tasks)
+    if more.isEmpty():
+        return roots
+    return stored(components(roots.where("doc <> root").select(F.col("doc").alias("a"), F.col("root").alias("b")).union(more)), "roots", tasks)
 
 
 def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -210,16 +237,16 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     # doc_id is unique in classes: a class's first document is of no other class, unless rows repeat its doc_id
     alive = stored(classes.groupBy(F.col("first").alias("doc_id")).agg(F.max("n").alias("n")).join(shared, "doc_id").where(F.col("shared") >= needed(F.col("n"), percent)).select("doc_id", "n"), "alive")
 
-    sets = stored(docs.join(small(alive.select("doc_id"), 200_000), "doc_id").select("doc_id", "text").mapInArrow(partial(listed, words=words), "doc_id bigint, tokens array<bigint>").dropDuplicates(["doc_id"]), "sets")
+    sets = stored(docs.join(small(alive.select("doc_id"), 200_000), "doc_id").select("doc_id", "text").mapInArrow(partial(listed, words=words), "doc_id bigint, tokens array<bigint>, bits array<bigint>").dropDuplicates(["doc_id"]), "sets")
     left = sets.agg(F.sum(F.size("tokens"))).first()[0] or 0
-    again = sets.mapInArrow(partial(spread, groups=groups(left), words=None), packed_rows).groupBy("group").applyInArrow(list_shared, "doc_id bigint, tokens array<bigint>, df array<bigint>")
+    again = sets.select("doc_id", "tokens").mapInArrow(partial(spread, groups=groups(left), words=None), packed_rows).groupBy("group").applyInArrow(list_shared, "doc_id bigint, tokens array<bigint>, df array<bigint>")
     again = again.select("doc_id", F.arrays_zip("df", "tokens").alias("x")).groupBy("doc_id").agg(F.flatten(F.collect_list("x")).alias("x")).join(alive, "doc_id")
     # prefix length, less the document's own tokens that come first under every order and match nothing
     room = (F.col("n") - needed(F.col("n"), percent) + 1 - (F.col("n") - F.size("x"))).cast("int")
     order = lambda key: F.transform(F.slice(F.array_sort(F.transform("x", key)), F.lit(1), F.col("room")), lambda y: y["token"])
     by_df = lambda x: F.struct(x["df"].alias("key"), x["tokens"].alias("token"))
     by_hash = lambda seed: lambda x: F.struct(F.xxhash64(x["tokens"], F.lit(seed)).alias("key"), x["tokens"].alias("token"))
-    prefixes = stored(again.withColumn("room", room).where("room > 0").select("doc_id", "n", order(by_df).alias("p0"), order(by_hash(1)).alias("p1"), order(by_hash(2)).alias("p2")), "prefixes")
+    prefixes = stored(again.withColumn("room", room).where("room > 0").select("doc_id", "n", F.size("x").alias("shared"), order(by_df).alias("p0"), order(by_hash(1)).alias("p1"), order(by_hash(2)).alias("p2")), "prefixes")
 
     roots = link_components(sets, prefixes, percent)
     if roots is not None:
