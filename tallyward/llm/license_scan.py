@@ -126,12 +126,12 @@ def files_of_documents(docs: DataFrame) -> DataFrame:
     A document that says nothing but its license (at most 25 words, and it speaks of one) is its directory's LICENSE.
     """
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
-    name = F.when((words <= 25) & F.coalesce("text", F.lit("")).rlike(SPEAKS), F.concat(F.lit("LICENSE-"), F.col("doc_id").cast("string"))).otherwise(F.col("doc_id").cast("string"))
+    name = F.when((words <= 25) & F.coalesce("text", F.lit("")).rlike(SPEAKS), F.concat(F.lit("LICENSE-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).otherwise(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     return docs.select("doc_id", F.concat_ws("/", F.coalesce(F.regexp_replace("source", "/", "_"), F.lit("none")), F.floor(F.col("doc_id") / 100).cast("string"), name).alias("path"), "text")
 
 
 def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its path, its own license with the cosine, and the license that holds for it."""
     files = files_of_documents(table(spark, sf_dir, "documents"))
-    doc_id = F.regexp_extract("path", "([0-9-]+)$", 1).cast("bigint")
+    doc_id = F.regexp_extract("path", "(?:/|/LICENSE-)(-?[0-9]+)$", 1).try_cast("bigint")
     return scan(files).withColumn("doc_id", doc_id)

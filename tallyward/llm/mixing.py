@@ -121,7 +121,7 @@ def mixed_texts(docs: DataFrame, seed: str = SEED, block_words: int = BLOCK_WORD
     place = placements(docs.select("doc_id", "source", "text"), seed, block_words).where("passes > 0 or extra > 0")
     place = place.groupBy("doc_id").agg(F.min(F.struct("from", "passes", "extra", "rest", "all_blocks", "start")).alias("p")).select("doc_id", "p.*")
     copies = F.sequence(F.lit(1), (F.col("passes") + F.when(F.col("extra") > 0, 1).otherwise(0)).cast("int"))
-    rows = docs.join(place, "doc_id").withColumn("copy", F.explode(copies))
+    rows = docs.join(place.withColumnRenamed("doc_id", "_placed"), F.col("doc_id").eqNullSafe(F.col("_placed"))).withColumn("copy", F.explode(copies))
     block = lambda i: F.floor((F.col("from") + i) / block_words)
     words = F.regexp_extract_all("text", F.lit(SPACES.replace("+", "*") + WORD), F.lit(0))
     part = F.array_join(F.filter(words, lambda w, i: upto(block(i) + 1) > upto(block(i))), "")

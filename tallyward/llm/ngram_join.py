@@ -222,17 +222,18 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text).
 
     Null and empty texts, and texts without words, have no shingles and link with nothing. Equal sets link. doc_id
-    names a document: rows that repeat it are one node, and each gets the node's component.
+    names a document: rows that repeat it are one node, and each gets the node's component. Rows without a doc_id stand
+    for no node; they get the component of the others with their set, or null.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     about = stored(docs.mapInArrow(partial(describe, words=words), "doc_id bigint, n bigint, address binary"), "shingle-sets")
-    classes = stored(about.where("n > 0").groupBy("address").agg(F.min("doc_id").alias("first"), F.max("n").alias("n")), "shingle-classes")
+    classes = stored(about.where("n > 0 and doc_id is not null").groupBy("address").agg(F.min("doc_id").alias("first"), F.max("n").alias("n")), "shingle-classes")
     total = about.agg(F.sum("n")).first()[0] or 0
     groups = lambda tokens: max(32, -(-tokens // GROUP_TOKENS))
     packed_rows = "group bigint, ids binary, counts binary, tokens binary"
 
-    spread_out = docs.mapInArrow(partial(spread, groups=groups(total), words=words), packed_rows)
+    spread_out = docs.where("doc_id is not null").mapInArrow(partial(spread, groups=groups(total), words=words), packed_rows)
     shared = spread_out.groupBy("group").applyInArrow(count_shared, "doc_id bigint, shared bigint").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
     # doc_id is unique in classes: a class's first document is of no other class, unless rows repeat its doc_id
     alive = stored(classes.groupBy(F.col("first").alias("doc_id")).agg(F.max("n").alias("n")).join(shared, "doc_id").where(F.col("shared") >= needed(F.col("n"), percent)).select("doc_id", "n"), "alive")

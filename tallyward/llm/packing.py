@@ -68,7 +68,7 @@ def pack_group(rows: pd.DataFrame, lengths: Sequence[int] = LENGTHS) -> pd.DataF
 def pack_documents(docs: DataFrame, lengths: Sequence[int] = LENGTHS, group_docs: int = GROUP_DOCS) -> DataFrame:
     """One row per piece of docs (doc_id, text): its words from `start`, and its place in bin (bin_group, bin).
 
-    Null and empty texts are one piece of 0 words. Rows that repeat a doc_id are packed each for itself.
+    Null and empty texts are one piece of 0 words; a null doc_id stays null. Rows that repeat a doc_id are packed each for itself.
     """
     lengths = tuple(sorted(set(lengths)))
     longest = lengths[-1]

@@ -65,7 +65,7 @@ def digest_state(rows: DataFrame, name: str, max_files_per_trigger: int | None =
 def dedup(docs: DataFrame, digest=lambda text: F.sha2(text, 256), max_files_per_trigger: int | None = None) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row of docs (doc_id, text).
 
-    Null texts count as empty; equal normalised texts form a group, of which the smallest doc_id stays. Rows that
+    A null doc_id counts as the smallest. Null texts count as empty; equal normalised texts form a group, of which the smallest doc_id stays. Rows that
     repeat a doc_id of their own group are kept once per row of the input, each marked by its doc_id. `digest` is a
     parameter so that tests can force collisions.
     """
@@ -78,7 +78,7 @@ def dedup(docs: DataFrame, digest=lambda text: F.sha2(text, 256), max_files_per_
     # hits: the full texts of all groups of two rows or more, each with its group's smallest identifier
     several = groups.where("group_size > 1").select("digest", "keep_id")
     hits = stored(docs.select("doc_id", text.alias("text")).withColumn("digest", digest(F.col("text"))).join(small(several, 100_000), "digest"), "dedup-hits")
-    first = hits.where("doc_id = keep_id").select("digest", F.col("text").alias("kept_text")).dropDuplicates(["digest"])
+    first = hits.where("doc_id <=> keep_id").select("digest", F.col("text").alias("kept_text")).dropDuplicates(["digest"])
     differ = stored(hits.join(stored(first, "dedup-first"), "digest").where("text <> kept_text").select("digest").distinct(), "dedup-differ")
 
     grouped = slim.join(groups.select("digest", "keep_id", "group_size"), "digest")
@@ -87,7 +87,7 @@ def dedup(docs: DataFrame, digest=lambda text: F.sha2(text, 256), max_files_per_
         sizes = stored(again.groupBy("key").agg(F.min("doc_id").alias("true_id"), F.count(F.lit(1)).alias("true_size")), "dedup-sizes")
         true = stored(again.join(sizes, "key").select("doc_id", F.col("key.digest").alias("digest"), F.sha2("key.text", 256).alias("text_sha256"), "true_id", "true_size").distinct(), "dedup-true")
         grouped = grouped.join(true, ["doc_id", "digest", "text_sha256"], "left").withColumns({"keep_id": F.coalesce("true_id", "keep_id"), "group_size": F.coalesce("true_size", "group_size")})
-    return grouped.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+    return grouped.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

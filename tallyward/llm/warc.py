@@ -46,7 +46,7 @@ def record_bytes(date: str) -> Column:
     block = F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("payload")))
     headers = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
-        F.lit("\r\nWARC-Record-ID: <urn:page:"), F.col("page_id").cast("string"), F.lit(f">\r\nWARC-Date: {date}\r\n"),
+        F.lit("\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(f">\r\nWARC-Date: {date}\r\n"),
         line("WARC-Target-URI", url),
         F.lit("WARC-Payload-Digest: sha256:"), F.col("digest"), F.lit("\r\nWARC-Block-Digest: sha256:"), F.sha2(block, 256), F.lit("\r\n"),
         line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))),
@@ -172,10 +172,13 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per page, from the archives as read back. Empty and null html are payloads of 0 bytes."""
+    """One row per page, from the archives as read back. Empty and null html are payloads of 0 bytes.
+
+    A page without page_id is a response record under no number, and gets a null back.
+    """
     path = shared_dir(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
-    page = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1).cast("bigint")
+    page = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("bigint")
     records = read_archives(spark, path, payloads=False).where("kind = 'record'")
     return records.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.when(F.col("refers_to").isNotNull(), page("refers_to")).alias("refers_to"))
 

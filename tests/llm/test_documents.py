@@ -263,6 +263,18 @@ def test_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, sf).count() == 0
 
 
+def test_null_ids(spark, tmp_path):
+    from tallyward.llm.queries import QUERIES
+
+    text = "the of and to in that is " * 40
+    rows = [(None, text, "en", None), (None, None, None, None), (1, "Released under the MIT License. " * 30, "en", "a"), (2, text, "en", "a")]
+    sf = write(table(spark, rows), tmp_path, "documents")
+    write(spark.createDataFrame([(None, None, "<article><p>x</p></article>" * 9), (None, "u", None), (3, "u", "<article><p>x</p></article>" * 9)], "page_id bigint, url string, html string"), tmp_path, "pages")
+    for name, query in QUERIES.items():
+        assert query(spark, sf).count() == (3 if name in ("op2_html_extraction", "op10_warc", "pages_language") else 4), name
+    assert corpus_pipeline.run(spark, sf).count() > 0
+
+
 def test_pipeline_equals_brute_stages(spark, tmp_path):
     rng = random.Random(8)
     rows = languages(60) + [(100 + i, t, "en", "host-en") for i, t in enumerate(["the and of " + x for x in near_group(rng, 12)])] + [(200 + i, languages(60)[i][1] + ("" if i % 2 else " "), "en", "host-en") for i in range(6)] + [(300, languages(60)[0][1], "en", "b"), *EDGE[:3]]
