@@ -18,7 +18,7 @@ from tallyward.llm.stream_dedup import dedup
 
 
 def without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
-    """docs but for the rows whose doc_id is in dropped."""
+    """docs but for the rows whose doc_id is in dropped. A row without doc_id can't be named, and stays."""
     return docs.join(small(stored(dropped.select("doc_id").distinct(), name), 200_000), "doc_id", "left_anti").select(*docs.columns)
 
 
