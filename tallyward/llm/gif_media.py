@@ -8,14 +8,15 @@ frames with colour histograms.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 WIDTH, ROWS, DELAY = 192, 64, 10
 #: Fixed values of the format: code widths end at 12 bits, so a code table has 4096 entries.
@@ -32,14 +33,6 @@ def pack(codes: np.ndarray, widths: np.ndarray) -> bytes:
     return sum(parts).astype(np.uint8)[:n].tobytes()
 
 
-def unpack(stream: bytes, width: int) -> np.ndarray:
-    """The stream as codes of one width."""
-    data = np.frombuffer(stream + b"\0\0", np.uint8).astype(np.int64)
-    at = np.arange(len(stream) * 8 // width) * width
-    byte = at >> 3
-    return (data[byte] | data[byte + 1] << 8 | data[byte + 2] << 16) >> (at & 7) & (1 << width) - 1
-
-
 def lzw_literal(data: bytes) -> bytes:
     """A code stream of single pixels, with a clear code before each 254 of them: codes never outgrow 9 bits."""
     n, run = len(data), 254
@@ -53,83 +46,98 @@ def lzw_literal(data: bytes) -> bytes:
     return pack(codes, np.full(len(codes), 9))
 
 
+def widths_of(n: int, min_bits: int) -> np.ndarray:
+    """Bits of the first n codes after a clear code: each but the first adds a word, up to 12 bits."""
+    words = (1 << min_bits) + 1 + np.arange(n)
+    return np.clip(np.floor(np.log2(np.maximum(words, 1))).astype(np.int64) + 1, min_bits + 1, 12)
+
+
+WIDTHS = {bits: widths_of(MOST_CODES, bits) for bits in range(1, 12)}
+
+
 def lzw_compressed(data: bytes) -> bytes:
     """A code stream of the longest known words; the table starts anew when it is full."""
-    singles = {bytes((i,)): i for i in range(256)}
-    codes, widths, at, n = [256], [9], 0, len(data)
-    table, free, width = dict(singles), 258, 9
-    while at < n:
-        end, code = at + 2, data[at]
-        while end <= n and (longer := table.get(data[at:end])) is not None:
-            code, end = longer, end + 1
+    runs: list[list[int]] = []
+    codes, table, free = [256], {}, 258
+    code = data[0]
+    for byte in data[1:]:
+        longer = code << 8 | byte
+        if longer in table:
+            code = table[longer]
+            continue
         codes.append(code)
-        widths.append(width)
+        code = byte
         if free < MOST_CODES:
-            table[data[at:end]] = free
+            table[longer] = free
             free += 1
-            width += free > 1 << width and width < 12
         else:
-            codes.append(256)
-            widths.append(width)
-            table, free, width = dict(singles), 258, 9
-        at = end - 1
-    return pack(np.array([*codes, 257]), np.array([*widths, width]))
+            runs.append(codes)
+            codes, table, free = [256], {}, 258
+    runs.append([*codes, code, 257])
+    # a run's clear code still has the width that the table before it had reached
+    widths = [np.append(12 if i else 9, WIDTHS[8][: len(run) - 1]) for i, run in enumerate(runs)]
+    return pack(np.concatenate([np.array(run) for run in runs]), np.concatenate(widths))
 
 
 def lzw_decode(stream: bytes, min_bits: int, n_pixels: int) -> bytes:
     """The first n_pixels pixels of a code stream; missing ones are 0. A code beyond the table ends the stream."""
-    got = decode_literal(stream, min_bits)
-    if got is None:
-        got = decode_words(stream, min_bits, n_pixels)
+    got = decode_words(stream, min_bits, n_pixels)
     return got[:n_pixels] + bytes(max(0, n_pixels - len(got)))
 
 
-def decode_literal(stream: bytes, min_bits: int) -> bytes | None:
-    """Pixels of a stream that never uses the table: single pixels, cleared before codes widen. None for others."""
-    clear, width = 1 << min_bits, min_bits + 1
-    codes = unpack(stream, width)
-    ends = np.flatnonzero(codes == clear + 1)
-    if not len(ends) or codes[0] != clear:
-        return None
-    codes = codes[: ends[0]]
-    clears = np.flatnonzero(codes == clear)
-    longest = np.diff(np.append(clears, len(codes))).max()
-    if codes.max() > clear or longest > clear:
-        return None
-    return codes[codes < clear].astype(np.uint8).tobytes()
-
-
 def decode_words(stream: bytes, min_bits: int, n_pixels: int) -> bytes:
+    """Words of the code stream, up to its stop code, its first unknown code, or n_pixels pixels.
+
+    Widths depend on how many codes came since the last clear code only, so stretches of codes are read at once.
+    """
+    if not 1 <= min_bits <= 11:
+        return b""
     clear, stop = 1 << min_bits, (1 << min_bits) + 1
-    singles = [bytes((i,)) for i in range(clear)] + [b"", b""]
-    table, width, last = list(singles), min_bits + 1, b""
-    out, size, held, n_held = [], 0, 0, 0
-    for byte in stream:
-        held |= byte << n_held
-        n_held += 8
-        while n_held >= width:
-            code = held & (1 << width) - 1
-            held >>= width
-            n_held -= width
-            if code == clear:
-                table, width, last = list(singles), min_bits + 1, b""
-                continue
-            if code == stop or size >= n_pixels or code > len(table) or code == len(table) and not last:
+    singles = [bytes((i & 255,)) for i in range(clear)] + [b"", b""]
+    data = np.frombuffer(stream + b"\0\0\0", np.uint8).astype(np.int64)
+    data = data[:-2] | data[1:-1] << 8 | data[2:] << 16
+    n_bits, at, since, reach = len(stream) * 8, 0, 0, 512
+    table, last, out, size = list(singles), b"", [], 0
+    while size < n_pixels:
+        # codes number since, since + 1, ... after the last clear code
+        n = min(reach, MOST_CODES - since) if since < MOST_CODES else reach
+        widths = WIDTHS[min_bits][since : since + n] if since < MOST_CODES else np.full(n, 12)
+        ends = np.cumsum(widths) + at
+        n = int(np.searchsorted(ends, n_bits, side="right"))
+        if not n:
+            break
+        starts = ends[:n] - widths[:n]
+        codes = data[starts >> 3] >> (starts & 7) & (1 << widths[:n]) - 1
+        marks = np.flatnonzero((codes == clear) | (codes == stop))
+        mark = int(marks[0]) if len(marks) else n
+        for code in codes[:mark].tolist():
+            if code < len(table):
+                word = table[code]
+            elif code == len(table) and last and code < MOST_CODES:
+                word = last + last[:1]
+            else:
                 return b"".join(out)
-            word = table[code] if code < len(table) else last + last[:1]
             if last and len(table) < MOST_CODES:
                 table.append(last + word[:1])
-                width += len(table) == 1 << width and width < 12
             out.append(word)
             size += len(word)
             last = word
+            if size >= n_pixels:
+                break
+        if mark == n:
+            at, since, reach = int(ends[n - 1]), since + n, MOST_CODES
+            continue
+        if codes[mark] == stop:
+            break
+        at, since, reach = int(ends[mark]), 0, max(512, 2 * mark)
+        table, last = list(singles), b""
     return b"".join(out)
 
 
 def encode(payload: bytes, compress: bool = False) -> bytes:
     """An animated GIF whose pixels, frame by frame, are the payload; its length must be a positive multiple of 192.
 
-    By default its code streams hold single pixels; with `compress` the longest known words, smaller and slower.
+    By default its code streams hold single pixels; with `compress` the longest known words, as the query writes them.
     """
     rows = len(payload) // WIDTH
     if not payload or rows * WIDTH != len(payload):
@@ -234,6 +242,11 @@ def histogram(frame: dict, bins: int = 8) -> np.ndarray:
 FRAMES = "start_cs bigint, delay_cs bigint, left bigint, top bigint, width bigint, height bigint, red array<bigint>, green array<bigint>, blue array<bigint>"
 
 
+def timed(frame: dict) -> tuple:
+    """A frame's times, place and colour histograms, in the order of FRAMES."""
+    return (frame["start_cs"], frame["delay_cs"], frame["left"], frame["top"], frame["pixels"].shape[1], frame["pixels"].shape[0], *histogram(frame).tolist())
+
+
 def frame_table(media: DataFrame, key: str, column: str) -> DataFrame:
     """key and one row per frame with its times, place and colour histograms; null or broken media give no rows."""
     kind = media.schema[key].dataType.simpleString()
@@ -244,7 +257,7 @@ def frame_table(media: DataFrame, key: str, column: str) -> DataFrame:
             out = []
             for k, data in zip(batch[key], batch[column], strict=True):
                 try:
-                    out += [(k, f["start_cs"], f["delay_cs"], f["left"], f["top"], f["pixels"].shape[1], f["pixels"].shape[0], *histogram(f).tolist()) for f in (decode(data, compose=False) if data is not None else ())]
+                    out += [(k, *timed(f)) for f in (decode(data, compose=False) if data is not None else ())]
                 except ValueError:
                     continue
             yield pd.DataFrame(out, columns=names)
@@ -253,28 +266,57 @@ def frame_table(media: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def to_media(text: str | None) -> tuple[int, bytes]:
-    """Length of the text in UTF-8, and its payload (padded by spaces to a positive multiple of 192) as a GIF."""
+    """Length of the text in UTF-8, and its payload (padded by spaces to a positive multiple of 192) as a GIF of dictionary words."""
     raw = (text or "").encode("utf-8", "surrogatepass")
-    return len(raw), encode(raw + b" " * (max(1, -(-len(raw) // WIDTH)) * WIDTH - len(raw)))
+    return len(raw), encode(raw + b" " * (max(1, -(-len(raw) // WIDTH)) * WIDTH - len(raw)), compress=True)
 
 
-RESULT = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+STORED = f"doc_id bigint, n_bytes bigint, media_bytes bigint, media_sha256 string, frames array<struct<{', '.join(c.replace(' ', ': ', 1) for c in FRAMES.split(', '))}, pixels: binary>>"
+NAMES = [*(c.split()[0] for c in FRAMES.split(", ")), "pixels"]
+#: Text of one written batch: frames of a batch are in memory together.
+BATCH_BYTES = 1 << 23
+
+
+def media_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Store each text as a GIF and decode that: one row per document with its timed frames, in STORED's columns.
+
+    A frame's pixels are the red of what the canvas shows in its area once it is drawn, row by row.
+    """
+    lists, kind = pa.list_(pa.int64()), pa.int64()
+    frame_type = pa.struct([*((n, lists if n in ("red", "green", "blue") else kind) for n in NAMES[:-1]), (NAMES[-1], pa.binary())])
+    fields = pa.schema([("doc_id", kind), ("n_bytes", kind), ("media_bytes", kind), ("media_sha256", pa.string()), ("frames", pa.list_(frame_type))])
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(column, field.type) for column, field in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
 
-def media_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Store each text as a GIF, read the GIF's bytes back, and describe them."""
     for batch in batches:
-        out = []
-        for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-            n, media = to_media(text)
-            back = list(decode(media, compose=False))
-            payload = b"".join(f["colours"][:, 0][f["pixels"]].tobytes() for f in back)
-            shades = sum(histogram(f)[0] for f in back)
-            feature = f"frames={len(back)};cs={sum(f['delay_cs'] for f in back)};grey=" + ",".join(map(str, shades))
-            out.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
+        out, held = [], 0
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            n, media = to_media(text.as_py())
+            rows = []
+            for f in decode(media):
+                (h, w), top, left = f["pixels"].shape, f["top"], f["left"]
+                rows.append(dict(zip(NAMES, (*timed(f), f["canvas"][top : top + h, left : left + w, 0].tobytes()), strict=True)))
+            out.append((doc_id, n, len(media), hashlib.sha256(media).hexdigest(), rows))
+            held += n
+            if held >= BATCH_BYTES:
+                yield batch_of(out)
+                out, held = [], 0
+        if out:
+            yield batch_of(out)
+
+
+def digests(media: DataFrame) -> DataFrame:
+    """Payload digests and the feature of each stored document, from its frames."""
+    payload = F.unhex(F.array_join(F.transform("frames", lambda f: F.hex(f["pixels"])), ""))
+    summed = lambda take: F.aggregate("frames", F.lit(0).cast("bigint"), lambda a, f: a + take(f))
+    shades = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda b: F.aggregate("frames", F.lit(0).cast("bigint"), lambda a, f: a + F.get(f["red"], b)).cast("string"))
+    feature = F.concat(F.lit("frames="), F.size("frames").cast("string"), F.lit(";cs="), summed(lambda f: f["delay_cs"]).cast("string"), F.lit(";grey="), F.array_join(shades, ","))
+    described = media.withColumn("payload", payload)
+    return described.select("doc_id", "n_bytes", F.length("payload").cast("bigint").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"), "media_bytes", "media_sha256", feature.alias("feature"))
 
 
 def op7_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document; null text counts as empty."""
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(media_features, RESULT)
+    """One row per document; null text counts as empty. Decoded frames are stored, and the digests are read from them."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return digests(stored(docs.mapInArrow(media_frames, STORED), "gif-frames"))

@@ -79,6 +79,19 @@ def test_op7(spark, tmp_path):
     assert [(r.k, r.start_cs, r.height) for r in gif_media.frame_table(media, "k", "media").orderBy("start_cs").collect()] == [(1, 0, 64), (1, 10, 41)]
 
 
+def test_op7_goes_through_dictionary_codes_and_stored_frames(spark, tmp_path):
+    text = "the same words again " * 1500
+    n, media = gif_media.to_media(text)
+    assert len(media) < n / 4
+    rows = [(1, text, "en", "a"), (1, text, "en", "a"), (None, "", "en", "a")]
+    sf = write(table(spark, rows), tmp_path, "documents")
+    got = {r.doc_id: r for r in gif_media.op7_media_gif(spark, sf).collect()}
+    assert got[1].media_bytes == len(media) < got[1].payload_bytes / 4 and got[1].feature.startswith("frames=3;cs=30;grey=")
+    (stored,) = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id is null").mapInArrow(lambda x: gif_media.media_frames(b.select(["doc_id", "text"]) for b in x), gif_media.STORED).collect()
+    (frame,) = stored.frames
+    assert (frame.start_cs, frame.delay_cs, frame.width, frame.height, frame.red[1], bytes(frame.pixels)) == (0, 10, 192, 1, 192, b" " * 192)
+
+
 # ---- WARC
 
 
