@@ -2,7 +2,7 @@
 
 The posterior of a language multiplies four kinds of evidence: the likelihood of the text's byte trigrams, of the
 declared language, of the address suffix, and the host's prior. Trigram models are fitted on a bounded sample of rows
-with a declared language. Everything else covers all rows: what each language's texts declare, which suffixes they
+of each declared language: every language that any row declares takes part. Everything else covers all rows: what each language's texts declare, which suffixes they
 have, and which languages each host has are sums of text posteriors by grouped aggregation. Host priors are smoothed in
 levels: a host leans on its suffix, and a suffix on the whole table.
 """
@@ -16,11 +16,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import small, stored, table
 
-#: The documented bound of the sample that the trigram models are fitted on: rows by smallest hash of their key.
-FIT_ROWS = 2_000
+#: The documented bound of the sample that each declared language's trigram model is fitted on: its rows by smallest hash.
+#: Spark cuts such a rank to its first rows within each task, before the shuffle, up to a bound of 1,000.
+FIT_ROWS = 500
 BINS = 1 << 14
 #: A text's trigrams hang together: they count as this many independent ones at most.
 MOST_EVIDENCE = 200.0
@@ -86,10 +88,16 @@ def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def fit(rows: DataFrame, key: str, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and the log-probability of each bin under each: rows have key, text, declared."""
-    labelled = rows.where(F.col("declared").isNotNull() & (F.trim("declared") != ""))
-    chosen = labelled.select(key).orderBy(F.xxhash64(key), key).limit(fit_rows)
-    sample = labelled.join(F.broadcast(chosen.distinct()), key).select("declared", "text")
+    """Languages and the log-probability of each bin under each: rows have key, text, declared.
+
+    The languages are all that rows with letters declare. Each one's model rests on fit_rows of its rows at most, those
+    of the smallest hashes of key and text. Rows that are equal in both are one.
+    """
+    labelled = rows.where(F.col("declared").isNotNull() & (F.trim("declared") != "") & (F.length("text") >= 3) & F.col("text").rlike(r"\p{L}"))
+    labelled = labelled.select("declared", "text", F.xxhash64(key, "text").alias("spot"))
+    rank = F.row_number().over(Window.partitionBy("declared").orderBy("spot"))
+    chosen = labelled.select("declared", "spot").withColumn("rank", rank).where(F.col("rank") <= fit_rows).select("declared", "spot").distinct()
+    sample = labelled.join(small(stored(chosen, "language-sample"), 200_000), ["declared", "spot"]).dropDuplicates(["declared", "spot"]).select("declared", "text")
     counts: dict[str, np.ndarray] = {}
     for r in sample.mapInArrow(count_trigrams, "declared string, counts binary").toLocalIterator():
         counts[r.declared] = counts.get(r.declared, 0) + np.frombuffer(bytes(r.counts), np.int64)

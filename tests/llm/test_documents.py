@@ -224,6 +224,16 @@ def test_op8_no_labels_and_empty(spark):
     assert language_id.of_documents(df.where("false")).count() == 0
 
 
+def test_op8_rare_languages_are_known(spark):
+    rare = [(1000 + i, "og det er ikke en af som med til den på har", "da", "host-da") for i in range(2)]
+    rows = languages(200) + rare + [(1010 + i, None, "xx", "host-xx") for i in range(3)]
+    df = table(spark, rows).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("lang").alias("declared"))
+    for n in (3, 500):
+        names, model = language_id.fit(df, "doc_id", n)
+        assert names == ["da", "de", "en", "fr"] and model.shape[0] == 4
+    assert by_id(language_id.identify(df.withColumns({"suffix": F.lit("x"), "host": F.lit("h")}), "doc_id", 3), "lang", "kept")[1000] == ("da", True)
+
+
 # ---- n-gram join
 
 
