@@ -12,10 +12,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 ENDS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = {"ul", "ol", "menu", "dl", "table", "tbody", "thead", "tfoot", "select"}
 
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|title)\b(?>[^>"']+|"[^"]*"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*+)((?>[^>"']+|"[^"]*"|'[^']*')*+|[^>]*+)>|<[!?][^>]*+>""",
-    re.I | re.S,
-)
+#: Elements whose content is no text of the page.
+DROPPED = frozenset("script style noscript template svg iframe object title".split())
+ATTRIBUTES = r"""(?:(?>[^>"']+|"[^"]*"|'[^']*')*+|[^>]*+)"""
+TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<(/?)([a-z][a-z0-9:-]*+)({ATTRIBUTES})>|<[!?][^>]*+>""", re.I | re.S)
+SPANS = {x: re.compile(rf"<(/?){x}(?![^\s/>])({ATTRIBUTES})>", re.I | re.S) for x in DROPPED}
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 PARTS = re.compile("[a-z]+")
 
@@ -39,6 +40,32 @@ def tidy(text: str) -> str:
     return " ".join(html.unescape(text).split())
 
 
+class Dropped:
+    """Where the dropped elements of a page end.
+
+    A script or style reaches to its first end tag, or the end of the page. For the others an end tag belongs to the
+    nearest start tag of its name before it; a start tag that has none, or an svg closed in itself, has no content.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.ends = page, {}
+
+    def end(self, name: str, start: int, after: int) -> int:
+        """The place after the element whose start tag is page[start:after]."""
+        if name in ("script", "style"):
+            found = next((m for m in SPANS[name].finditer(self.page, after) if m[1]), None)
+            return found.end() if found else len(self.page)
+        if name not in self.ends:
+            ends, opened = self.ends.setdefault(name, {}), []
+            for m in SPANS[name].finditer(self.page):
+                if not m[1]:
+                    if name != "svg" or not m[2].endswith("/"):
+                        opened.append(m.start())
+                elif opened:
+                    ends[opened.pop()] = m.end()
+        return max(after, self.ends[name].get(start, after))
+
+
 def blocks_of(page: str) -> list[Block]:
     """The non-empty blocks. Broken markup gives blocks too: an end tag without its start is passed over."""
     out: list[Block] = []
@@ -56,22 +83,27 @@ def blocks_of(page: str) -> list[Block]:
             pieces.clear()
         linked = 0
 
-    for m in TOKEN.finditer(page):
+    dropped = Dropped(page)
+    while m := TOKEN.search(page, at):
         if m.start() > at:
             pieces.append(page[at : m.start()])
             linked += in_link and m.start() - at
         at = m.end()
-        tag = (m[3] or "").lower()
+        tag = (m[2] or "").lower()
         if not tag:
             continue
+        if tag in DROPPED:
+            if not m[1] and (not m[3] or m[3][0] == "/" or m[3][0].isspace()):
+                at = dropped.end(tag, m.start(), at)
+            continue
         if tag not in BLOCK:
             if tag == "br":
                 pieces.append(" ")
             elif tag == "a":
-                in_link = not m[2]
+                in_link = not m[1]
             continue
         close()
-        if m[2]:
+        if m[1]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     del stack[i:]
@@ -87,7 +119,7 @@ def blocks_of(page: str) -> list[Block]:
                 if stack[i][0] in HOLDS:
                     break
         if tag not in VOID:
-            stack.append((tag, names_of(m[4])))
+            stack.append((tag, names_of(m[3])))
     if at < len(page):
         pieces.append(page[at:])
     close()

@@ -145,6 +145,23 @@ def test_blocks():
     assert len(blocks_of('<p class="' * 2000)) <= 1
 
 
+@pytest.mark.parametrize(
+    "inside",
+    [
+        '<svg-icon name="x"></svg-icon>', "<title-bar></title-bar>", "<object-view>", '<svg class="a>b"/>', "<svg/>", "<noscript>", "<object data=x>", "<template>", "<iframe src=x>", "<svg><path d='z'/>", "<svg><svg>x</svg>x</svg>", "<svg>x<svg/>x</svg>", "<template>x<template>x</template>x</template>",
+        "<script>if (a < b) '<p>x'</script >", "<style>x</style\n>", "<script alt=it's>x</script>", "<object><svg></object><svg>x</svg>", "</svg>",
+    ],
+)
+def test_blocks_after_dropped_elements(inside):
+    found = blocks_of(f"<article><p>a</p>{inside}<p>rest</p></article><svg>y</svg>")
+    assert [b.text for b in found] == ["a", "rest"]
+
+
+def test_blocks_of_unclosed_raw_text_and_many_starts():
+    assert [b.text for b in blocks_of("<p>a</p><script>b<p>c")] == ["a"]
+    assert [b.text for b in blocks_of("<object>" * 100_000 + "<p>a</p>")] == ["a"]
+
+
 @pytest.fixture(scope="module")
 def pages():
     return pd.read_parquet("/root/testdata/sf0.1/pages.parquet")
