@@ -26,7 +26,8 @@ def velocity_stream(events: DataFrame, name: str = "15min", watermark: str = WAT
 class LastPlace(StatefulProcessor):
     """A user's last believed place, with a time to live; gives each row the place that it is compared with.
 
-    Rows of a batch are taken in time order. A row that comes after later ones is compared with what is believed by
+    A user's rows of a trigger come in chunks; all of them are taken in time order, null times first, so a user's rows of
+    one trigger are in memory together. A row that comes after later ones is compared with what is believed by
     then; its time lies before the base's, and the comparison voids itself.
     """
 
@@ -36,12 +37,11 @@ class LastPlace(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
         held = self.place.get() if self.place.exists() else None
         base = tuple(held) if held else None
-        for batch in rows:
-            out = []
-            for row in batch.sort_values(["at", "transaction_id"], kind="stable").itertuples(index=False):
-                out.append((row.transaction_id, *(base or (None,) * 4)))
-                base = advance(base, row.latitude, row.longitude, row.city, None if pd.isna(row.at) else int(row.at))
-            yield pd.DataFrame(out, columns=["transaction_id", "prev_lat", "prev_lon", "prev_city", "prev_at"]).astype({"prev_at": "Int64"})
+        out = []
+        for row in pd.concat(list(rows)).sort_values(["at", "transaction_id"], kind="stable", na_position="first").itertuples(index=False):
+            out.append((row.transaction_id, *(base or (None,) * 4)))
+            base = advance(base, row.latitude, row.longitude, row.city, None if pd.isna(row.at) else int(row.at))
+        yield pd.DataFrame(out, columns=["transaction_id", "prev_lat", "prev_lon", "prev_city", "prev_at"]).astype({"prev_at": "Int64"})
         if base is not None:
             self.place.update(base)
 

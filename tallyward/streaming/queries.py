@@ -12,6 +12,9 @@ from tallyward import queries as batch
 from tallyward.sources.tables import transactions
 from tallyward.streaming.engine import latest_windows, place_stream, to_batches, velocity_stream
 
+#: Rows of one trigger of the place stream, about: a user's rows of a trigger are in memory together.
+TRIGGER_ROWS = 1_000_000
+
 
 def _folder(spark: SparkSession) -> str:
     """A fresh shared folder: under spark.checkpoint.dir, or a temporary one where that is unset."""
@@ -34,14 +37,34 @@ def streamed_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 
+def _cuts(tx: DataFrame, rows: int) -> list[int]:
+    """Times (microseconds) that cut tx into ranges of about `rows` rows."""
+    n = -(-tx.count() // rows)
+    at = F.unix_micros("transaction_ts")
+    found = tx.agg(F.percentile_approx(at, F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(10_000))).first()[0] if n > 1 else []
+    return sorted(set(found or []))
+
+
 def streamed_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The guarded last place by keyed state; each trigger takes all files, so every user's rows come in time order."""
-    folder = _folder(spark)
+    """The guarded last place by keyed state, from ranges of time that the stream takes one after the other."""
     tx = transactions(spark, sf_dir).select("transaction_id", "user_id", "latitude", "longitude", "city", "transaction_ts")
-    tx.write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(tx.schema).parquet(f"{folder}/in")
-    to_batches(place_stream(stream), f"{folder}/out", f"{folder}/check", empty_batches=False).awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("transaction_id", "prev_city", F.timestamp_micros("prev_at").cast("timestamp_ntz").alias("prev_ts"))
+    return locations_of(tx).select("transaction_id", "prev_city", F.timestamp_micros("prev_at").cast("timestamp_ntz").alias("prev_ts"))
+
+
+def locations_of(tx: DataFrame, trigger_rows: int = TRIGGER_ROWS) -> DataFrame:
+    """place_stream over tx. Each range of time, about trigger_rows rows, is written and then streamed to its end.
+
+    The stream goes on from its checkpoint with the next range, so the order doesn't rest on the files' times.
+    """
+    spark, folder = tx.sparkSession, _folder(tx.sparkSession)
+    at = F.unix_micros("transaction_ts")
+    cuts = _cuts(tx, trigger_rows)
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        inside = (F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high)
+        (tx.where(inside | at.isNull()) if low is None else tx.where(inside)).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(tx.schema).parquet(f"{folder}/in")
+        to_batches(place_stream(stream), f"{folder}/out", f"{folder}/check", empty_batches=False).awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
 
 
 QUERIES = {f.__name__: f for f in (streamed_velocity, streamed_locations)}

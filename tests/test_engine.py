@@ -147,6 +147,22 @@ def test_streams_equal_batch(spark, sf_dir):
         same_rows(streams.QUERIES[name](spark, sf_dir), streams.ORACLES[name], sf_dir)
 
 
+@pytest.mark.parametrize("trigger_rows", [1000, 150])
+def test_streamed_places_do_not_depend_on_chunks(spark, trigger_rows):
+    from tallyward.streaming import queries as streams
+
+    tx = spark.createDataFrame([*rows_of(300), (300, 1, 42.0, -71.0, "c", None)], TX)
+    want = {r.transaction_id: (r.prev_lat, r.prev_lon) for r in location.with_guarded(tx).collect()}
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "3")
+    try:
+        got = {r.transaction_id: (r.prev_lat, r.prev_lon) for r in streams.locations_of(tx.orderBy(F.rand(4)), trigger_rows).collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert got == want
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     from tallyward.streaming.engine import latest_windows, to_batches, velocity_stream
 
