@@ -1,7 +1,9 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
 Units of text are compared with the templates: every line of any file that speaks of a license (a header or notice),
-and the whole text of files that are named as license files. Equal units are scored once. A unit's vector has one entry
+the whole text of files that are named as license files, and windows of terms over the whole text, whatever its lines:
+where a term of a template stands, as many terms as the template has, laid so that both have that term in one place.
+So a notice within a long line or wrapped over several ones is a unit of its own. Equal units are scored once. A unit's vector has one entry
 per term, its count times the term's inverse document frequency over all units and templates; terms of no template
 count in the norm. A file's own license is that of its best unit. A directory has the license of its license files; a
 file without its own takes that of its nearest ancestor directory, found by joining its ancestors' paths.
@@ -11,6 +13,8 @@ All of it is DataFrame operations.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,9 +46,14 @@ TEMPLATES = (
 )
 #: A line with none of these speaks of no license; every template has one.
 SPEAKS = r"(?i)licen[sc]|copyright|spdx|permission is hereby|free software|public domain"
+#: The same over line ends and the marks of comments.
+SPEAKS_WRAPPED = r"(?i)licen[sc]|copyright|spdx|permission\W+is\W+hereby|free\W+software|public\W+domain"
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 LICENSE_FILE = r"(?i)^(licen[sc]e|copying|notice|unlicense)([._-].*)?$"
 LEAST_COSINE = 0.6
+#: Terms that no window is laid by, and the least share of a template's terms that its window must have.
+COMMON = frozenset("a all and any as by for in is it may no not of or the this to under with you".split())
+LEAST_SHARED = 0.34
 
 
 def terms(text: Column) -> Column:
@@ -60,12 +69,38 @@ def directory_of(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
+def windows(text: Column) -> Column:
+    """The windows of terms of a text, as an array of texts."""
+    bags = [re.findall(TERM, t.lower()) for _, t in TEMPLATES]
+    places: dict[str, list[tuple[int, int, int]]] = {}
+    for k, bag in enumerate(bags):
+        for at, term in enumerate(bag):
+            if term not in COMMON:
+                places.setdefault(term, []).append((at, len(bag), k))
+    spot = lambda at, n, k: F.struct(F.lit(at).alias("at"), F.lit(n).alias("n"), F.lit(k).alias("k"))
+    lookup = F.create_map(*[x for term, spots in places.items() for x in (F.lit(term), F.array(*[spot(*p) for p in spots]))])
+    template = F.array(*[F.array(*map(F.lit, dict.fromkeys(bag))) for bag in bags])
+
+    def of(all_terms: Column) -> Column:
+        at = F.filter(F.transform(all_terms, lambda t, i: F.when(t.isin(list(places)), i)), lambda i: i.isNotNull())
+        lay = lambda i, p: F.struct(F.greatest(i - p["at"], F.lit(0)).alias("start"), (p["n"] + F.least(i - p["at"], F.lit(0))).alias("n"), p["k"].alias("k"))
+        laid = F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(F.element_at(lookup, F.get(all_terms, i)), lambda p: lay(i, p)))))
+        shared = lambda w: F.size(F.array_intersect(F.slice(all_terms, w["start"] + 1, w["n"]), F.get(template, w["k"])))
+        near = F.filter(laid, lambda w: shared(w) >= F.size(F.get(template, w["k"])) * LEAST_SHARED)
+        return F.array_distinct(F.transform(near, lambda w: F.array_join(F.slice(all_terms, w["start"] + 1, w["n"]), " ")))
+
+    # as a lambda's variable, the terms are taken once
+    return F.flatten(F.transform(F.array(terms(text)), of))
+
+
 def units_of(files: DataFrame) -> DataFrame:
-    """(path, whole, unit): the license-speaking lines of each file, and the whole text of license files."""
+    """(path, whole, unit): the license-speaking lines and windows of each file, and the whole text of license files."""
     text = F.coalesce("text", F.lit(""))
     whole = F.coalesce(name_of(F.col("path")).rlike(LICENSE_FILE), F.lit(False))
     lines = F.filter(F.split(text, r"\R"), lambda x: x.rlike(SPEAKS))
-    units = F.when(whole, F.array(text)).when(text.rlike(SPEAKS), lines).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    own = F.when(whole, F.array(text)).when(text.rlike(SPEAKS), lines).otherwise(none)
+    units = F.concat(own, F.when(text.rlike(SPEAKS_WRAPPED), windows(text)).otherwise(none))
     return files.select("path", whole.alias("whole"), F.explode(units).alias("unit"))
 
 

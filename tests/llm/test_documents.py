@@ -83,6 +83,18 @@ def test_op3_inheritance_and_cosine(spark):
     assert got["q/d.py"] == ("CC-BY-NC-4.0", "CC-BY-NC-4.0", None) and got["q/e.py"] == (None, None, None) and got[None] == (None, None, None) and got["r/f.py"][0] is None
 
 
+def test_op3_notices_within_long_lines_and_over_lines(spark):
+    rng = random.Random(4)
+    long, permission = words(60, rng), license_scan.TEMPLATES[5][1].split()
+    wrapped = lambda t, mark: "\n".join(mark + " ".join(t[i : i + 4]) for i in range(0, len(t), 4))
+    files = [
+        ("a/1", f"{long} Released under the MIT License. {long}"), ("a/2", wrapped(license_scan.TEMPLATES[8][1].split(), " * ")), ("a/3", f"{long}\n{wrapped(permission, '# ')}\n{long}"), ("a/4", f"{long} {' '.join(permission)} {long}"),
+        ("b/LICENSE", f"{long} {long} This work is licensed under the GNU General Public License, version 3. {long}"), ("b/5", long), ("a/6", f"{long} license {long} copyright {long}"), ("a/7", f"{long} permission\nis hereby {long}"),
+    ]
+    got = {r.path: r.license for r in license_scan.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert got == {"a/1": "MIT", "a/2": "GPL-3.0", "a/3": "MIT", "a/4": "MIT", "b/LICENSE": "GPL-3.0", "b/5": "GPL-3.0", "a/6": None, "a/7": None}
+
+
 def test_op3_cosine_equals_brute(spark):
     from math import log, sqrt
 
