@@ -1,25 +1,31 @@
-"""Helpers that the corpus operators share: shared folders, written tables, size-checked broadcasts."""
+"""Helpers that the corpus operators share: shared folders, written tables, row identifiers, size-checked broadcasts."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space and words as all operators understand them (ASCII space, tab to carriage return).
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: The column that numbered() adds.
+ROW = "_tallyward_row"
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder that driver and executors all see.
 
-    It lies in spark.checkpoint.dir; only where that is unset (tests, one machine) a temporary folder is made.
+    It lies in spark.checkpoint.dir. Only on one machine (a local master, as in tests) may that be unset: a temporary
+    folder is made then. On a cluster it must be set, since executors don't see the driver's own folders.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tallyward-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -48,3 +54,27 @@ def text_or_empty(column: str = "text"):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def one_scan(df: DataFrame) -> bool:
+    """Whether df is one table's rows, filtered and projected at most, so that no row of the table is in it twice."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return "Relation" in plan.nodeName()
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with ROW: what tells a row from all others, repeats included, however often the row is computed.
+
+    It is the hash of the Parquet file's path and the row's place in the file; a df that isn't read from one table is
+    written first.
+    """
+    row = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    if one_scan(df):
+        try:
+            return df.withColumn(ROW, row)
+        except AnalysisException as e:  # other formats have no row numbers
+            if "_metadata" not in str(e):
+                raise
+    return stored(df, "numbered-rows").withColumn(ROW, row)
