@@ -1,22 +1,28 @@
 """N-gram Jaccard self-join, exact, with filters under several global token orders.
 
-1. Documents with equal shingle sets are one class; its smallest doc_id stands for it.
-2. Every token's document frequency is counted. In any order that puts tokens of one document first, they fill the
-   start of a prefix and match nothing. A document with more of them than its prefix is long has no partner and leaves.
-3. Of the rest, the prefix of each document is taken under several orders of the shared tokens: by rising frequency,
-   and by two hashes. A pair that links shares a token of both prefixes under every one of them. Partners are looked up
-   under the first order; the other orders' prefixes must meet too before a pair is verified on the whole sets.
-4. As only connected components are asked for, a pair inside one component needs no test. Each prefix token's documents
-   are first compared with one pivot of theirs, so most of a large group of near copies is connected by linearly many
-   tests. Then documents of different components that share a prefix token are looked up against each other; a bound on
-   their common tokens, from the sets' sizes and from parity bitmaps, stands in the join itself, so that it gives few
-   more pairs than there are links.
+1. Documents with equal shingle sets are one class, a node of its own number; rows that share a doc_id, or have none,
+   belong to the classes of their texts.
+2. Every token is looked up for other sets that have it. In any order that puts tokens of one set first, they fill the
+   start of a prefix and match nothing. A class with more of them than its prefix is long has no partner and leaves.
+3. Of the rest, the prefix of each set is taken under several orders of the shared tokens: by rising frequency, and by
+   two hashes. A pair that links shares a token of both prefixes under every one of them. Partners are looked up under
+   the first order; the other orders' prefixes must meet too before a pair is verified on the whole sets.
+4. As only connected components are asked for, a pair inside one component needs no test. Each prefix token's sets are
+   first compared with one pivot of theirs, so most of a large group of near copies is connected by linearly many tests.
+   Then sets of different components that share a prefix token are looked up against each other, range of sizes by range
+   of sizes; a bound on their common tokens, from the sets' sizes and from parity bitmaps, stands in the join itself, so
+   that it gives few more pairs than there are links.
 
 No link between different sets is lost: what step 4 leaves untested is connected already.
+
+Tokens are counted in batches: a task reduces about a million tokens to distinct ones before it sends them, so that a
+token of very many documents reaches its group once from each batch, and never with a list of its documents.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -25,88 +31,128 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small, stored, table
-from .shingles import digest, token_sets
+from .common import ROW, numbered, small, stored, table
+from .shingles import digest, mixed, token_sets
 
 WORDS, PERCENT = 5, 75
 #: Tokens in one group of the frequency count, and tokens that a task holds before it sends them.
 GROUP_TOKENS, HELD_TOKENS = 1 << 21, 1 << 20
+#: Tokens of one batch of sets whose prefixes are taken together.
+SET_TOKENS = 1 << 18
 #: Longs of a parity bitmap. Each token flips one bit of its set's bitmap, so two bitmaps differ in no more bits than
 #: the sets differ in tokens.
 BITMAP = 16
 #: Short rows (a few numbers) that one task writes.
 ROWS_A_TASK = 50_000
+#: Seeds of the orders by hash.
+ORDERS = (0x1F123BB5, 0x5DEECE66D)
 
 
 def describe(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """The batch's columns but for text (the last), then its set's size, address and the first half of that."""
     for batch in batches:
-        sets = list(map(lambda s: (len(s), digest(s)), token_sets(batch.column(1), words)))
-        yield pa.record_batch({"doc_id": batch.column(0), "n": pa.array([n for n, _ in sets], pa.int64()), "address": pa.array([d for _, d in sets], pa.binary())})
+        texts = batch.column(batch.num_columns - 1)
+        sizes, addresses = [], []
+        for k, tokens in enumerate(token_sets(texts, words)):
+            sizes.append(len(tokens))
+            addresses.append(digest(tokens, texts[k].as_py() if len(tokens) == 1 else None, words))
+        halves = [None if d is None else int.from_bytes(d[:8], "little", signed=True) for d in addresses]
+        yield pa.record_batch([*batch.columns[:-1], pa.array(sizes, pa.int64()), pa.array(addresses, pa.binary()), pa.array(halves, pa.int64())], names=[*batch.schema.names[:-1], "n", "address", "half"])
+
+
+def group_of(tokens: np.ndarray, groups: int) -> np.ndarray:
+    return ((tokens >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, ascending, and the sum of each one's counts."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts[order], first) if len(first) else np.zeros(0, counts.dtype)
+
+
+def batch_number(parts: Iterator[bytes]) -> int:
+    """A batch's number follows from what is in it, so that a batch that runs again has the same."""
+    h = hashlib.blake2b(digest_size=8)
+    for part in parts:
+        h.update(part)
+    return int.from_bytes(h.digest(), "little", signed=True)
+
 
+SENT = "group bigint, batch bigint, many binary, once binary, owners binary, sets binary, shared binary"
 
-def spread(batches: Iterator[pa.RecordBatch], groups: int, words: int | None) -> Iterator[pa.RecordBatch]:
-    """Rows (group, ids, counts, tokens): a task's tokens of one group, document by document, as packed numbers.
 
-    The second column holds texts, or, without `words`, ready token lists.
+def send(batches: Iterator[pa.RecordBatch], groups: int, words: int) -> Iterator[pa.RecordBatch]:
+    """A batch's distinct tokens, for each group: those of several sets (many), and those of one set with its half.
+
+    A token of several sets of the batch is shared already: its sets are counted here (sets, shared), and the group need
+    only know that it exists.
     """
-    held: list[tuple[int, np.ndarray]] = []
+
+    def packed(held: dict[bytes, np.ndarray]) -> pa.RecordBatch:
+        halves = np.array([int.from_bytes(d[:8], "little", signed=True) for d in held], np.int64)
+        tokens = np.concatenate(list(held.values()))
+        owner = np.repeat(np.arange(len(held)), [len(x) for x in held.values()])
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        new = np.append(True, tokens[1:] != tokens[:-1])
+        first = np.flatnonzero(new)
+        counts = np.diff(np.append(first, len(tokens)))
+        several = counts > 1
+        shared = np.bincount(owner[np.repeat(several, counts)], minlength=len(held))
+        many, once, owners = tokens[first[several]], tokens[first[~several]], halves[owner[first[~several]]]
+        number = batch_number(iter(held))
+        cuts_many, cuts_once = (np.searchsorted(group_of(x, groups), np.arange(groups + 1)) for x in (many, once))
+        own = number % groups
+        rows = []
+        for g in range(groups):
+            a, b, c, d = cuts_many[g], cuts_many[g + 1], cuts_once[g], cuts_once[g + 1]
+            if b > a or d > c or g == own:
+                rows.append((g, number, many[a:b].tobytes(), once[c:d].tobytes(), owners[c:d].tobytes(), halves.tobytes() if g == own else b"", shared.astype(np.int64).tobytes() if g == own else b""))
+        kinds = [pa.int64()] * 2 + [pa.binary()] * 5
+        return pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in SENT.split(", ")])
+
+    held: dict[bytes, np.ndarray] = {}
     size = 0
     for batch in batches:
-        sets = token_sets(batch.column(1), words) if words else (np.asarray(x.values, np.int64).view(np.uint64) for x in batch.column(1))
-        for doc_id, tokens in zip(batch.column(0).to_pylist(), sets, strict=True):
-            if len(tokens):
-                held.append((doc_id, tokens))
+        texts = batch.column(0)
+        for k, tokens in enumerate(token_sets(texts, words)):
+            if len(tokens) and (address := digest(tokens, texts[k].as_py() if len(tokens) == 1 else None, words)) not in held:
+                held[address] = tokens
                 size += len(tokens)
             if size >= HELD_TOKENS:
-                yield packed(held, groups)
-                held, size = [], 0
+                yield packed(held)
+                held, size = {}, 0
     if held:
-        yield packed(held, groups)
-
-
-def packed(held: list[tuple[int, np.ndarray]], groups: int) -> pa.RecordBatch:
-    tokens = np.concatenate([x for _, x in held])
-    docs = np.repeat(np.arange(len(held)), [len(x) for _, x in held])
-    ids = np.array([i for i, _ in held], np.int64)
-    group = ((tokens >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
-    order = np.argsort(group, kind="stable")
-    tokens, docs, group = tokens[order], docs[order], group[order]
-    cuts = np.flatnonzero(np.diff(group)) + 1
-    rows = []
-    for t, d, g in zip(np.split(tokens, cuts), np.split(docs, cuts), group[np.append(0, cuts)].tolist(), strict=True):
-        new = np.flatnonzero(np.diff(d, prepend=-1))
-        rows.append((g, ids[d[new]].tobytes(), np.diff(np.append(new, len(d))).astype(np.uint32).tobytes(), t))
-    return pa.record_batch({"group": pa.array([r[0] for r in rows], pa.int64()), "ids": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary()), "tokens": pa.array([r[3].tobytes() for r in rows], pa.binary())})
-
-
-def gathered(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Documents and tokens of one group, one entry per occurrence; the sorted shared tokens and their frequencies."""
-    column = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in rows.column(name).to_pylist()])
-    docs = np.repeat(column("ids", np.int64), column("counts", np.uint32))
-    tokens = column("tokens", np.uint64)
-    ordered = np.sort(tokens)
-    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    counts = np.diff(np.append(first, len(ordered)))
-    return docs, tokens, ordered[first[counts > 1]], counts[counts > 1]
+        yield packed(held)
 
 
-def count_shared(rows: pa.Table) -> pa.Table:
-    docs, tokens, shared, _ = gathered(rows)
-    ids, n = np.unique(docs[np.isin(tokens, shared, kind="sort")], return_counts=True)
-    return pa.table({"doc_id": ids.astype(np.int64), "shared": n.astype(np.int64)})
+def joined(rows: pa.Table, name: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers packed in a column, end to end, and the row that each comes from."""
+    parts = [np.frombuffer(x, kind) for x in rows.column(name).to_pylist()]
+    return np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
 
 
-def list_shared(rows: pa.Table) -> pa.Table:
-    docs, tokens, shared, counts = gathered(rows)
-    if not len(shared):
-        return pa.table({"doc_id": pa.array([], pa.int64()), "tokens": pa.array([], pa.list_(pa.int64())), "df": pa.array([], pa.list_(pa.int64()))})
-    spot = np.minimum(np.searchsorted(shared, tokens), len(shared) - 1)
-    kept = np.flatnonzero(shared[spot] == tokens)
-    kept = kept[np.argsort(docs[kept], kind="stable")]
-    ids, first = np.unique(docs[kept], return_index=True)
-    offsets = pa.array(np.append(first, len(kept)).astype(np.int32))
-    lists = lambda x: pa.ListArray.from_arrays(offsets, pa.array(x))
-    return pa.table({"doc_id": pa.array(ids.astype(np.int64)), "tokens": lists(tokens[kept].view(np.int64)), "df": lists(counts[spot[kept]].astype(np.int64))})
+def count_shared(rows: pa.Table) -> pa.Table:
+    """(half, batch, shared): of each set in each batch, how many of its tokens other sets have, as far as this group knows."""
+    numbers = rows.column("batch").to_numpy()
+    many, _ = joined(rows, "many", np.uint64)
+    once, row = joined(rows, "once", np.uint64)
+    owners, _ = joined(rows, "owners", np.int64)
+    # a token is shared if some batch has it several times, or if batches have it from different sets
+    order = np.argsort(once, kind="stable")
+    once, row, owners = once[order], row[order], owners[order]
+    first = np.flatnonzero(np.append(True, once[1:] != once[:-1])) if len(once) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(first, len(once)))
+    differ = np.minimum.reduceat(owners, first) != np.maximum.reduceat(owners, first) if len(first) else np.zeros(0, bool)
+    hit = np.repeat(differ | np.isin(once[first], many), counts)
+    at, pairs = np.lexsort((row[hit], owners[hit])), np.stack([owners[hit], numbers[row[hit]]])
+    pairs = pairs[:, at]
+    new = np.flatnonzero(np.append(True, (pairs[:, 1:] != pairs[:, :-1]).any(axis=0))) if pairs.shape[1] else np.zeros(0, np.int64)
+    sets, own_row = joined(rows, "sets", np.int64)
+    shared, _ = joined(rows, "shared", np.int64)
+    return pa.table({"half": np.append(pairs[0, new], sets), "batch": np.append(pairs[1, new], numbers[own_row]), "shared": np.append(np.diff(np.append(new, pairs.shape[1])), shared).astype(np.int64)})
 
 
 def listed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -115,7 +161,91 @@ def listed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordB
         offsets = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
         tokens = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)))
         bits = [np.packbits((np.bincount((x % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) & 1).astype(np.uint8)).view(np.int64) for x in sets]
-        yield pa.record_batch({"doc_id": batch.column(0), "tokens": tokens, "bits": pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64)), BITMAP).cast(pa.list_(pa.int64()))})
+        yield pa.record_batch({"node": batch.column(0), "tokens": tokens, "bits": pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64)), BITMAP).cast(pa.list_(pa.int64()))})
+
+
+PACKED = "batch bigint, nodes binary, sizes binary, tokens binary"
+
+
+def in_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, tokens) as batches of about SET_TOKENS tokens, set by set."""
+
+    def packed(held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        nodes = np.array([i for i, _ in held], np.int64)
+        sizes = np.array([len(x) for _, x in held], np.int64)
+        row = (batch_number(iter([nodes.tobytes()])), nodes.tobytes(), sizes.tobytes(), np.concatenate([x for _, x in held]).tobytes())
+        return pa.record_batch([pa.array([row[0]], pa.int64()), *(pa.array([x], pa.binary()) for x in row[1:])], names=[c.split()[0] for c in PACKED.split(", ")])
+
+    held: list[tuple[int, np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        for node, tokens in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            tokens = np.asarray(tokens.values, np.int64)
+            held.append((node, tokens))
+            size += len(tokens)
+            if size >= SET_TOKENS:
+                yield packed(held)
+                held, size = [], 0
+    if held:
+        yield packed(held)
+
+
+COUNTED = "group bigint, batch bigint, tokens binary, counts binary"
+
+
+def count_batch(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
+    """The distinct tokens of each batch and how many of its sets have them, for each group."""
+    for batch in batches:
+        for number, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            tokens, counts = np.unique(np.frombuffer(raw.as_buffer(), np.uint64), return_counts=True)
+            cuts = np.searchsorted(group_of(tokens, groups), np.arange(groups + 1))
+            rows = [(g, number, tokens[a:b].tobytes(), counts[a:b].astype(np.int64).tobytes()) for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+            yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.binary(), pa.binary()], strict=True)], names=[c.split()[0] for c in COUNTED.split(", ")])
+
+
+def frequencies(rows: pa.Table) -> pa.Table:
+    """For each batch, the tokens of this group that several sets have, and how many have them."""
+    tokens, row = joined(rows, "tokens", np.uint64)
+    counts, _ = joined(rows, "counts", np.int64)
+    distinct, df = summed(tokens, counts)
+    own = df[np.searchsorted(distinct, tokens)]
+    kept = own > 1
+    tokens, own, row = tokens[kept], own[kept], row[kept]
+    cuts = np.searchsorted(row, np.arange(rows.num_rows + 1))
+    numbers = rows.column("batch").to_pylist()
+    out = [(numbers[k], tokens[a:b].tobytes(), own[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+    return pa.table({"batch": pa.array([x[0] for x in out], pa.int64()), "tokens": pa.array([x[1] for x in out], pa.binary()), "df": pa.array([x[2] for x in out], pa.binary())})
+
+
+PREFIXES = "node bigint, n bigint, shared bigint, p0 array<bigint>, p1 array<bigint>, p2 array<bigint>"
+
+
+def prefixes_of(sets: pa.Table, known: pa.Table, percent: int) -> pa.Table:
+    """The prefixes of a batch's sets, given the batch's shared tokens with their frequencies."""
+    lists: list[list[np.ndarray]] = [[], [], []]
+    about: list[tuple[int, int, int]] = []
+    if sets.num_rows and known.num_rows:
+        shared, _ = joined(known, "tokens", np.uint64)
+        df, _ = joined(known, "df", np.int64)
+        order = np.argsort(shared, kind="stable")
+        shared, df = shared[order], df[order]
+        nodes, sizes, tokens = (joined(sets, c, k)[0] for c, k in (("nodes", np.int64), ("sizes", np.int64), ("tokens", np.uint64)))
+        spot = np.minimum(np.searchsorted(shared, tokens), len(shared) - 1)
+        hit = shared[spot] == tokens
+        ends = np.cumsum(sizes)
+        for node, n, end in zip(nodes.tolist(), sizes.tolist(), ends.tolist(), strict=True):
+            own = np.flatnonzero(hit[end - n : end]) + (end - n)
+            # prefix length, less the set's own tokens that come first under every order and match nothing
+            room = n - -(-n * percent // 100) + 1 - (n - len(own))
+            if room > 0:
+                mine, freq = tokens[own], df[spot[own]]
+                about.append((node, n, len(own)))
+                lists[0].append(mine[np.lexsort((mine, freq))[:room]])
+                for k, seed in enumerate(ORDERS, 1):
+                    lists[k].append(mine[np.argsort(mixed(mine ^ np.uint64(seed)), kind="stable")[:room]])
+    arrays = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64))) for x in lists]
+    numbers = [pa.array([a[k] for a in about], pa.int64()) for k in range(3)]
+    return pa.table([*numbers, *arrays], names=[c.split()[0] for c in PREFIXES.split(", ")])
 
 
 def needed(n: Column, percent: int) -> Column:
@@ -163,19 +293,19 @@ def common_needed(n: Column, m: Column, percent: int) -> Column:
 def link_components(sets: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame | None:
     """(doc, root) of the documents that link with another; None if none does.
 
-    sets: (doc_id, tokens, bits). prefixes: (doc_id, n, shared, p0, p1, ...): the set's size, how many of its tokens
+    sets: (node, tokens, bits). prefixes: (node, n, shared, p0, p1, ...): the set's size, how many of its tokens
     others have too, and a token list for each order.
     """
     orders = [c for c in prefixes.columns if c[0] == "p" and c[1:].isdigit()]
-    postings = prefixes.select(F.explode("p0").alias("token"), F.col("doc_id").alias("doc"))
+    postings = prefixes.select(F.explode("p0").alias("token"), F.col("node").alias("doc"))
     tasks = tasks_for(prefixes.select(F.sum(F.size("p0"))).first()[0] or 0)
     # tokens with the same documents give the same pairs: one of them will do. Two sums of hashes tell the sets apart
     total = lambda seed: F.sum(F.xxhash64("doc", F.lit(seed)).cast("decimal(20,0)"))
     often = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"), total(1).alias("x"), total(2).alias("y"), F.min("doc").alias("first")).where("df > 1")
     often = often.groupBy("df", "x", "y", "first").agg(F.min("token").alias("token")).select("token")
     postings = stored(postings.join(stored(often, "prefix-tokens", tasks), "token"), "postings", tasks)
-    info = prefixes.select("doc_id", "n", *orders[1:]).join(sets.select("doc_id", "tokens"), "doc_id")
-    side = lambda df, x: df.select(*[F.col(c).alias(x if c == "doc_id" else f"{x}_{c}") for c in df.columns])
+    info = prefixes.select("node", "n", *orders[1:]).join(sets.select("node", "tokens"), "node")
+    side = lambda df, x: df.select(*[F.col(c).alias(x if c == "node" else f"{x}_{c}") for c in df.columns])
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), those that link: the other orders' prefixes meet, and the whole sets are near."""
@@ -201,15 +331,19 @@ def link_components(sets: DataFrame, prefixes: DataFrame, percent: int) -> DataF
         return None if links.isEmpty() else roots
 
     # what the join needs to know of a document: its open tokens, sizes and bitmap
-    known = open_postings.groupBy("doc").agg(F.collect_list("token").alias("open")).join(prefixes.select(F.col("doc_id").alias("doc"), "n", "shared"), "doc").join(sets.select(F.col("doc_id").alias("doc"), *[F.col("bits")[i].alias(f"bits{i}") for i in range(BITMAP)]), "doc")
+    known = open_postings.groupBy("doc").agg(F.collect_list("token").alias("open")).join(prefixes.select(F.col("node").alias("doc"), "n", "shared"), "doc").join(sets.select(F.col("node").alias("doc"), *[F.col("bits")[i].alias(f"bits{i}") for i in range(BITMAP)]), "doc")
     wide = stored(open_postings.join(stored(known, "open-documents", tasks), "doc"), "wide-postings", tasks)
+    # linked sets' sizes are in one range or in neighbouring ones: the smaller set looks in its own and the next
+    step = -math.log(percent / 100)
+    wide = wide.withColumn("range", F.floor(F.log(F.col("n").cast("double")) / step + 1e-9))
     left, right = (wide.select("token", *[F.col(c).alias(f"{x}_{c}") for c in wide.columns if c != "token"]) for x in "ab")
+    left = left.withColumn("at_range", F.explode(F.array(F.col("a_range"), F.col("a_range") + 1)))
     needs = common_needed(F.col("a_n"), F.col("b_n"), percent)
     differing = sum((F.bit_count(F.col(f"a_bits{i}").bitwiseXOR(F.col(f"b_bits{i}"))) for i in range(1, BITMAP)), F.bit_count(F.col("a_bits0").bitwiseXOR(F.col("b_bits0"))))
-    near = (F.col("a_doc") < F.col("b_doc")) & (F.col("a_root") != F.col("b_root")) & (F.least("a_shared", "b_shared") >= needs)
+    near = ((F.col("a_range") < F.col("b_range")) | (F.col("a_doc") < F.col("b_doc"))) & (F.col("a_root") != F.col("b_root")) & (F.least("a_shared", "b_shared") >= needs)
     near &= (F.col("a_n") + F.col("b_n") - differing >= 2 * needs) & (F.array_min(F.array_intersect("a_open", "b_open")) == F.col("a_token"))
     left = left.withColumnRenamed("token", "a_token")
-    pairs = left.join(right.withColumnRenamed("token", "b_token"), (F.col("a_token") == F.col("b_token")) & near)
+    pairs = left.join(right.withColumnRenamed("token", "b_token"), (F.col("a_token") == F.col("b_token")) & (F.col("at_range") == F.col("b_range")) & near)
     more = verified(stored(pairs.select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b")), "cross-pairs"))
     if links.isEmpty():
         return None if more.isEmpty() else stored(components(more), "roots", tasks)
@@ -219,42 +353,44 @@ def link_components(sets: DataFrame, prefixes: DataFrame, percent: int) -> DataF
 
 
 def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text).
+    """(ROW, doc_id, n_shingles, component, component_id) for every row of docs (doc_id, text).
 
-    Null and empty texts, and texts without words, have no shingles and link with nothing. Equal sets link. doc_id
-    names a document: rows that repeat it are one node, and each gets the node's component. Rows without a doc_id stand
-    for no node; they get the component of the others with their set, or null.
+    Null and empty texts, and texts without words, have no shingles and link with nothing. Equal sets link. component_id
+    is the smallest doc_id that the row's links reach, its own included; links go from text to text, so rows that share
+    a doc_id, or have none, are linked each for itself (a component of nulls alone has a null). component numbers the
+    components of two rows or more; it is null for a row that links with no other.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    about = stored(docs.mapInArrow(partial(describe, words=words), "doc_id bigint, n bigint, address binary"), "shingle-sets")
-    classes = stored(about.where("n > 0 and doc_id is not null").groupBy("address").agg(F.min("doc_id").alias("first"), F.max("n").alias("n")), "shingle-classes")
+    rows = numbered(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
+    row_kind = rows.schema[ROW].dataType.simpleString()
+    about = stored(rows.select(ROW, "doc_id", "text").mapInArrow(partial(describe, words=words), f"{ROW} {row_kind}, doc_id bigint, n bigint, address binary, half bigint"), "shingle-sets")
+    classes = about.where("n > 0").groupBy("address").agg(F.min("doc_id").alias("first"), F.min(ROW).alias(ROW), F.max("n").alias("n"), F.max("half").alias("half"), F.count(F.lit(1)).alias("copies"))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "shingle-classes")
     total = about.agg(F.sum("n")).first()[0] or 0
     groups = lambda tokens: max(32, -(-tokens // GROUP_TOKENS))
-    packed_rows = "group bigint, ids binary, counts binary, tokens binary"
 
-    spread_out = docs.where("doc_id is not null").mapInArrow(partial(spread, groups=groups(total), words=words), packed_rows)
-    shared = spread_out.groupBy("group").applyInArrow(count_shared, "doc_id bigint, shared bigint").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
-    # doc_id is unique in classes: a class's first document is of no other class, unless rows repeat its doc_id
-    alive = stored(classes.groupBy(F.col("first").alias("doc_id")).agg(F.max("n").alias("n")).join(shared, "doc_id").where(F.col("shared") >= needed(F.col("n"), percent)).select("doc_id", "n"), "alive")
+    sent = rows.select("text").mapInArrow(partial(send, groups=groups(total), words=words), SENT)
+    shared = sent.groupBy("group").applyInArrow(count_shared, "half bigint, batch bigint, shared bigint").groupBy("half", "batch").agg(F.sum("shared").alias("shared")).groupBy("half").agg(F.max("shared").alias("shared"))
+    alive = stored(classes.join(shared, "half").where(F.col("shared") >= needed(F.col("n"), percent)).select("node", ROW), "alive")
 
-    sets = stored(docs.join(small(alive.select("doc_id"), 200_000), "doc_id").select("doc_id", "text").mapInArrow(partial(listed, words=words), "doc_id bigint, tokens array<bigint>, bits array<bigint>").dropDuplicates(["doc_id"]), "sets")
+    sets = stored(rows.join(small(alive, 200_000), ROW).select("node", "text").mapInArrow(partial(listed, words=words), "node bigint, tokens array<bigint>, bits array<bigint>"), "sets")
     left = sets.agg(F.sum(F.size("tokens"))).first()[0] or 0
-    again = sets.select("doc_id", "tokens").mapInArrow(partial(spread, groups=groups(left), words=None), packed_rows).groupBy("group").applyInArrow(list_shared, "doc_id bigint, tokens array<bigint>, df array<bigint>")
-    again = again.select("doc_id", F.arrays_zip("df", "tokens").alias("x")).groupBy("doc_id").agg(F.flatten(F.collect_list("x")).alias("x")).join(alive, "doc_id")
-    # prefix length, less the document's own tokens that come first under every order and match nothing
-    room = (F.col("n") - needed(F.col("n"), percent) + 1 - (F.col("n") - F.size("x"))).cast("int")
-    order = lambda key: F.transform(F.slice(F.array_sort(F.transform("x", key)), F.lit(1), F.col("room")), lambda y: y["token"])
-    by_df = lambda x: F.struct(x["df"].alias("key"), x["tokens"].alias("token"))
-    by_hash = lambda seed: lambda x: F.struct(F.xxhash64(x["tokens"], F.lit(seed)).alias("key"), x["tokens"].alias("token"))
-    prefixes = stored(again.withColumn("room", room).where("room > 0").select("doc_id", "n", F.size("x").alias("shared"), order(by_df).alias("p0"), order(by_hash(1)).alias("p1"), order(by_hash(2)).alias("p2")), "prefixes")
-
-    roots = link_components(sets, prefixes, percent)
+    batches = stored(sets.select("node", "tokens").mapInArrow(in_batches, PACKED), "set-batches")
+    counted = batches.select("batch", "tokens").mapInArrow(partial(count_batch, groups=groups(left)), COUNTED)
+    known = counted.groupBy("group").applyInArrow(frequencies, "batch bigint, tokens binary, df binary")
+    prefixes = batches.groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(lambda a, b: prefixes_of(a, b, percent), PREFIXES)
+    roots = link_components(sets, stored(prefixes, "prefixes"), percent)
+
+    rooted = classes.select("address", "first", "copies", F.col("node").alias("root"))
     if roots is not None:
-        classes = stored(classes.join(roots.withColumnRenamed("doc", "first"), "first", "left").select("address", F.coalesce("root", "first").alias("first")), "rooted-classes")
-    return about.join(classes.select("address", "first"), "address", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
+        rooted = classes.join(roots.withColumnRenamed("doc", "node"), "node", "left").select("address", "first", "copies", F.coalesce("root", "node").alias("root"))
+    rooted = stored(rooted, "rooted-classes")
+    several = stored(rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("copies").alias("rows")).where("rows > 1").select("root", "component_id"), "linked-components")
+    several = rooted.select("address", "root").join(small(several, 200_000), "root")
+    linked = about.join(small(stored(several, "linked-classes"), 200_000), "address", "left")
+    return linked.select(ROW, "doc_id", F.col("n").alias("n_shingles"), F.col("root").alias("component"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its number of shingles and the smallest doc_id that links reach."""
-    return jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,9 +13,13 @@ import pyarrow as pa
 #: Text bytes handled at a time; one longer text is handled alone.
 CHUNK = 1 << 19
 MASK = (1 << 64) - 1
-#: Multipliers of the rolling sums: odd, so that a position's power has an inverse modulo 2**64.
+#: Multipliers of the sums over a shingle's words, both odd.
 BASE, STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-INVERSE = pow(BASE, -1, 1 << 64)
+#: Words whose hashes are kept, at most, and the longest such word in bytes.
+KEPT_WORDS, KEPT_BYTES = 1 << 18, 40
+#: A-Z in lower case, and whether a byte is white space.
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -23,20 +29,24 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def word_hash(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
 
 
-#: For each byte: a random-looking number, the same for A-Z and a-z, and whether it is white space.
-LOWER = np.arange(256, dtype=np.uint64) + np.uint64(32) * ((np.arange(256) >= 65) & (np.arange(256) <= 90)).astype(np.uint64)
-CODES = mixed(LOWER + np.uint64(0xA5A5_0000))
-SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+class WordHashes(dict):
+    """Hashes of words, kept for short words met before; emptied when it grows large."""
+
+    def __missing__(self, word: bytes) -> int:
+        out = word_hash(word)
+        if len(word) <= KEPT_BYTES:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = out
+        return out
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, up: np.ndarray, down: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in data, and where each text's words begin; texts begin at starts (ascending, first 0)."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in data, lower-cased, and where each text's words begin; texts begin at starts (ascending, first 0)."""
     n = len(data)
     black = ~SPACE[data]
     edge = np.zeros(n + 1, bool)
@@ -46,13 +56,12 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, up: np.ndarray, down: np.n
     before[:1] = False
     before[1:] = black[:-1]
     first = np.flatnonzero(black & (~before | edge[:n]))
-    after = np.empty(n, bool)
-    after[-1:] = False
-    after[:-1] = black[1:]
-    last = np.flatnonzero(black & (~after | edge[1:]))
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(CODES[data] * up[:n], out=sums[1:])
-    return mixed((sums[last + 1] - sums[first]) * down[first]), np.searchsorted(first, starts)
+    # the words, end to end; each is hashed once, by a cryptographic hash of its bytes
+    letters = LOWER[data[black]]
+    offsets = np.append(np.concatenate([[0], np.cumsum(black)])[first], len(letters)).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+    hashes = np.fromiter((known[w] for w in words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
+    return hashes[words.indices.to_numpy()], np.searchsorted(first, starts)
 
 
 def token_sets(texts: pa.Array, words: int = 5) -> Iterator[np.ndarray]:
@@ -65,16 +74,13 @@ def token_sets(texts: pa.Array, words: int = 5) -> Iterator[np.ndarray]:
     texts = texts.cast(pa.large_binary())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     raw = np.frombuffer(texts.buffers()[2], np.uint8) if len(texts) and texts.buffers()[2] else np.zeros(0, np.uint8)
-    up = down = np.ones(1, np.uint64)
+    known = WordHashes()
     at = 0
     while at < len(texts):
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, side="right")) - 1)
         data = raw[offsets[at] : offsets[end]]
-        if len(up) <= len(data):
-            size = max(CHUNK, len(data)) + 1
-            up, down = powers(BASE, size), powers(INVERSE, size)
         if len(data):
-            hashes, begin = word_hashes(data, np.minimum(offsets[at:end] - offsets[at], len(data)), up, down)
+            hashes, begin = word_hashes(data, np.minimum(offsets[at:end] - offsets[at], len(data)), known)
         else:
             hashes, begin = np.zeros(0, np.uint64), np.zeros(end - at, np.int64)
         begin = np.append(begin, len(hashes))
@@ -103,6 +109,11 @@ def distinct(tokens: np.ndarray) -> np.ndarray:
     return out[new]
 
 
-def digest(tokens: np.ndarray) -> bytes | None:
-    """Address of a set of tokens; None for the empty set."""
-    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None
+def digest(tokens: np.ndarray, text: str | None = None, words: int = 5) -> bytes | None:
+    """Address of a set of tokens; None for the empty set. A set of one token is addressed by the words of its text."""
+    if not len(tokens):
+        return None
+    if len(tokens) == 1:
+        own = itertools.islice(re.finditer(rb"[^\x20\x09-\x0D]+", (text or "").encode("utf-8", "surrogatepass").translate(bytes(LOWER))), words)
+        return hashlib.blake2b(b" ".join(m[0] for m in own), digest_size=16, person=b"one").digest()
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
