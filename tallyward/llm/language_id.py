@@ -87,16 +87,16 @@ def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.record_batch({"declared": pa.array(list(sums), pa.string()), "counts": pa.array([x.astype(np.int64).tobytes() for x in sums.values()], pa.binary())})
 
 
-def fit(rows: DataFrame, key: str, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and the log-probability of each bin under each: rows have key, text, declared.
+def fit(rows: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
+    """Languages and the log-probability of each bin under each: rows have text, declared.
 
-    The languages are all that rows with letters declare. Each one's model rests on fit_rows of its rows at most, those
-    of the smallest hashes of key and text. Rows that are equal in both are one.
+    The languages are all that rows with letters declare. Each one's model rests on fit_rows of its texts at most, those
+    of the smallest hashes. Equal texts are one.
     """
     labelled = rows.where(F.col("declared").isNotNull() & (F.trim("declared") != "") & (F.length("text") >= 3) & F.col("text").rlike(r"\p{L}"))
-    labelled = labelled.select("declared", "text", F.xxhash64(key, "text").alias("spot"))
+    labelled = labelled.select("declared", "text", F.xxhash64("text").alias("spot"))
     rank = F.row_number().over(Window.partitionBy("declared").orderBy("spot"))
-    chosen = labelled.select("declared", "spot").withColumn("rank", rank).where(F.col("rank") <= fit_rows).select("declared", "spot").distinct()
+    chosen = labelled.select("declared", "spot").distinct().withColumn("rank", rank).where(F.col("rank") <= fit_rows).select("declared", "spot")
     sample = labelled.join(small(stored(chosen, "language-sample"), 200_000), ["declared", "spot"]).dropDuplicates(["declared", "spot"]).select("declared", "text")
     counts: dict[str, np.ndarray] = {}
     for r in sample.mapInArrow(count_trigrams, "declared string, counts binary").toLocalIterator():
@@ -141,7 +141,7 @@ def identify(rows: DataFrame, key: str, fit_rows: int = FIT_ROWS) -> DataFrame:
     nothing can be told apart: rows with letters are kept, with lang null.
     """
     rows = rows.select(key, *[F.col(c).cast("string").alias(c) for c in ("declared", "suffix", "host")], F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    languages, model = fit(rows, key, fit_rows)
+    languages, model = fit(rows, fit_rows)
     kind = rows.schema[key].dataType.simpleString()
     n_lang = len(languages)
     scored = rows.mapInArrow(partial(likelihoods, model=model), f"{key} {kind}, declared string, suffix string, host string, n bigint, means array<double>")
@@ -182,9 +182,9 @@ def identify(rows: DataFrame, key: str, fit_rows: int = FIT_ROWS) -> DataFrame:
     return fused.select(key, F.when(kept, F.get(names, best - 1)).alias("lang"), F.coalesce(F.array_max("p"), F.lit(0.0)).alias("posterior"), "declared", kept.alias("kept"))
 
 
-def of_documents(docs: DataFrame) -> DataFrame:
+def of_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """identify() for documents: lang is what is declared, source is the host; there is no address."""
-    return identify(docs.select("doc_id", "text", F.col("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host")), "doc_id")
+    return identify(docs.select(key, "text", F.col("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host")), key)
 
 
 def of_pages(pages: DataFrame) -> DataFrame:
