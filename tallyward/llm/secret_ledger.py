@@ -11,6 +11,7 @@ n-th match starts after the first n pieces and n-1 matches. They are counted in
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
@@ -21,13 +22,17 @@ from .common import shared_dir, stored, table, text_or_empty
 
 
 class Rule(NamedTuple):
-    """Matches of pattern whose group (0: the whole match) has at least `least` characters are findings."""
+    """Matches of pattern whose group (0: the whole match) has at least `least` characters are findings.
+
+    sql_pattern says the same for SQL engines without look-behind: the match is then its first group.
+    """
 
     kind: str
     version: int
     pattern: str
     group: int = 0
     least: int = 1
+    sql_pattern: str | None = None
 
 
 #: The three base kinds, then the kinds that this scan adds.
@@ -38,36 +43,57 @@ BASE = (
 )
 EXTRA = (
     Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # starts where a token starts and never gives back, so that a long token is read once
+    Rule("jwt", 2, r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", sql_pattern=r"(?:^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"),
     Rule("github", 1, r"gh[pousr]_[A-Za-z0-9]{36,}"),
 )
 RULES = BASE + EXTRA
 
+#: Scans that the query takes a table in, and matches that are walked at a time.
+INCREMENTS, STRETCH = 2, 256
 LEDGER = "blob string, rule string, rule_version int, spans array<struct<start:bigint,end:bigint>>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, with value computed once however often body names it: as a lambda's variable."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def spans_of(text: Column, rule: Rule, matches: Column) -> Column:
-    """array<struct<start,end>> of the findings among a rule's matches."""
-    pieces = F.split(text, rule.pattern, -1)
+    """array<struct<start,end>> of the findings among a rule's matches.
+
+    Matches are walked in stretches of STRETCH, each from the sum of the lengths before it, so that no step copies what
+    all earlier ones found.
+    """
     group = lambda m: m if not rule.group else F.regexp_extract(m, rule.pattern, rule.group)
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    zero = F.lit(0).cast("bigint")
+
+    def lengths(z: Column) -> Column:
+        n = F.coalesce(F.length(z["m"]), F.lit(0))
+        return F.struct(F.length(z["p"]).alias("gap"), n.alias("n"), F.coalesce(F.length(group(z["m"])) >= rule.least, F.lit(False)).alias("found"))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["piece"])
-        end = start + F.coalesce(F.length(x["match"]), F.lit(0))
-        found = F.length(group(x["match"])) >= rule.least
-        return F.struct(end.cast("bigint").alias("at"), F.when(found, F.concat(acc["out"], F.array(F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end"))))).otherwise(acc["out"]).alias("out"))
+        start = acc["at"] + x["gap"]
+        end = start + x["n"]
+        return F.struct(end.alias("at"), F.when(x["found"], F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end")))).otherwise(acc["out"]).alias("out"))
 
-    zipped = F.transform(F.arrays_zip(pieces.alias("p"), matches.alias("m")), lambda z: F.struct(z["p"].alias("piece"), z["m"].alias("match")))
-    walk = F.aggregate(zipped, F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.size(matches) > 0, walk).otherwise(none)
+    total = lambda part: F.aggregate(part, zero, lambda a, x: a + x["gap"] + x["n"])
+    walk = lambda part, at: F.aggregate(part, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    before = lambda sums, i: F.aggregate(F.slice(sums, F.lit(1), i), zero, lambda a, x: a + x)
+    cut = lambda xs: F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / STRETCH).cast("int")), lambda i: F.slice(xs, i * STRETCH + 1, F.lit(STRETCH)))
+    spans = lambda parts: let(F.transform(parts, total), lambda sums: F.flatten(F.transform(parts, lambda part, i: walk(part, before(sums, i)))))
+    zipped = F.transform(F.arrays_zip(F.split(text, rule.pattern, -1).alias("p"), matches.alias("m")), lengths)
+    return F.when(F.size(matches) > 0, let(zipped, lambda xs: let(cut(xs), spans))).otherwise(none)
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
-    """The ledger as it stands; None before the first scan."""
+    """The ledger as it stands; None before the first scan, when nothing is at the path."""
     try:
         return spark.read.schema(LEDGER).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
@@ -97,6 +123,14 @@ def scan_unseen(versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...] =
     return read_ledger(spark, ledger_path)
 
 
+def scan_in_increments(versions: DataFrame, key: str, ledger_path: str, increments: int = INCREMENTS, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The ledger after all of versions was scanned, one increment after the other."""
+    turn = F.pmod(F.xxhash64(key), F.lit(increments))
+    for i in range(increments):
+        ledger = scan_unseen(versions.where(turn == i), ledger_path, rules)
+    return ledger
+
+
 def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """All rows and columns of versions, plus `found`: array of (start, rank of kind, kind, end), by start, then kind.
 
@@ -120,10 +154,12 @@ def listing(found: Column, kinds: tuple[str, ...]) -> Column:
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: counts and spans of the secrets in its whole text (null: empty).
 
-    Rows with equal texts are one blob and get equal findings; an empty table gives an empty result.
+    All documents come in INCREMENTS scans over one ledger, dealt by a hash: a later scan passes over the texts that an
+    earlier one has seen. Rows with equal texts are one blob and get equal findings, in whatever scan they come; an
+    empty table gives an empty result.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
-    ledger = scan_unseen(docs, shared_dir(spark, "secret-ledger"))
+    ledger = scan_in_increments(docs, "doc_id", shared_dir(spark, "secret-ledger"))
     found = findings(docs, ledger)
     count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     base, every = tuple(r.kind for r in BASE), tuple(r.kind for r in RULES)
@@ -131,11 +167,11 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _kind_sql(rank: int, rule: Rule) -> str:
-    p = rule.pattern.replace("'", "''")
-    good = f"len(regexp_extract(mt, '{p}', {rule.group})) >= {rule.least}"
+    p, whole = (rule.sql_pattern or rule.pattern).replace("'", "''"), int(bool(rule.sql_pattern))
+    good = f"len(regexp_extract(mt, '{p}', {rule.group or whole})) >= {rule.least}"
     pairs = f"SELECT doc_id, unnest(ms) AS mt, unnest(ps[:len(ms)]) AS pc, generate_subscripts(ms, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS ms, regexp_split_to_array(text, '{p}') AS ps FROM t) WHERE len(ms) > 0"
     ends = f"SELECT *, sum(len(pc) + len(mt)) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS fin FROM ({pairs})"
-    return f"SELECT doc_id, {rank} AS k, '{rule.kind}' AS kind, fin - len(mt) AS st, fin FROM ({ends}) WHERE {good}"
+    return f"SELECT doc_id, {rank} AS k, '{rule.kind}' AS kind, fin - len(regexp_extract(mt, '{p}', {whole})) AS st, fin FROM ({ends}) WHERE {good}"
 
 
 OP1_SQL = f"""

@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +55,53 @@ def test_op1_brute(spark, tmp_path):
         assert got[i] == (kinds.count("assign"), kinds.count("access"), kinds.count("hex"), hashlib.sha256(want.encode()).hexdigest()), t
 
 
+EXTRA_RULES = [("pem", re.compile("-----BEGIN [A-Z ]*PRIVATE KEY-----")), ("jwt", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")), ("github", re.compile("gh[pousr]_[A-Za-z0-9]{36,}"))]
+
+
+def test_op1_added_kinds_equal_brute_and_sql(spark, tmp_path):
+    jwt = "eyJhbGciOi12.eyJzdWIiOi12.c2lnbmF0dXJl"
+    texts = [f"{jwt}", f"x{jwt} {jwt},{jwt}.{jwt}", f"é -----BEGIN RSA PRIVATE KEY----- {jwt}", "ghp_" + "a1" * 20 + " gho_short", f"Bearer={jwt} token={jwt}", "eyJ" * 40, "", None, f"-{jwt}\n{jwt}"]
+    texts += [" ".join(f"token=abcdefgh{i} {jwt}" for i in range(700))]
+    sf = write(table(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), tmp_path, "documents")
+    got = by_id(secret_ledger.op1_secret_scans(spark, sf), "spans")
+    names = [r.kind for r in secret_ledger.RULES]
+    for i, t in enumerate(texts):
+        want = [(int(x.split(":")[1]), names.index(x.split(":")[0]), x) for x in spans(t).split(",") if x] + [(m.start(), names.index(k), f"{k}:{m.start()}:{m.end()}") for k, rule in EXTRA_RULES for m in rule.finditer(t or "")]
+        assert got[i] == (",".join(x for *_, x in sorted(want)),), i
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet/*.parquet'")
+    found = con.execute(secret_ledger.OP1_SQL)
+    at = [c[0] for c in found.description]
+    assert {r[at.index("doc_id")]: (r[at.index("spans")],) for r in found.fetchall()} == got
+
+
+def test_op1_increments_equal_one_scan(spark):
+    rows = [(i, t) for i, t in enumerate(SECRETS * 3 + [None, "", "none here"])]
+    df = spark.createDataFrame(rows, "doc_id bigint, content string")
+    ledgers = [secret_ledger.scan_in_increments(df, "doc_id", shared_dir(spark, "ledger-test"), n) for n in (1, 4)]
+    assert ledgers[0].count() == ledgers[1].count() == len({t or "" for _, t in rows}) * len(secret_ledger.RULES)  # each pair once
+    one, four = (sorted(map(str, secret_ledger.findings(df, x).collect())) for x in ledgers)
+    assert one == four
+
+
+def test_op1_long_texts_take_linear_time(spark):
+    def seconds(n):
+        df = spark.createDataFrame([(1, "eyJ" * (20 * n)), (2, "secret=abcdefgh1 " * n), (3, "token" * n), (4, "AKIA" * n), (5, "0123456789abcdef" * 31 + "g" + "-----BEGIN " * n)], "doc_id bigint, content string")
+        start = time.perf_counter()
+        secret_ledger.scan_unseen(df, shared_dir(spark, "ledger-test"))
+        return time.perf_counter() - start
+
+    seconds(10)
+    assert seconds(16_000) < 2.5 * seconds(8_000) + 2 < 20
+
+
+def test_op1_other_errors_are_not_taken_for_an_empty_ledger(spark, tmp_path):
+    (tmp_path / "ledger").mkdir()
+    (tmp_path / "ledger/part.parquet").write_text("not parquet")
+    with pytest.raises(Exception):  # noqa: B017
+        secret_ledger.scan_unseen(spark.createDataFrame([("x",)], "content string"), str(tmp_path / "ledger"))
+
+
 def test_op1_ledger_scans_only_what_is_new(spark):
     path = shared_dir(spark, "ledger-test")
     rules = secret_ledger.BASE
