@@ -1,6 +1,7 @@
 """Operators on documents against brute force, with nulls, empties, ties, repeats and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 import time
@@ -132,6 +133,96 @@ def test_op3_inheritance_and_cosine(spark):
     assert got["q/d.py"] == ("CC-BY-NC-4.0", "CC-BY-NC-4.0", None) and got["q/e.py"] == (None, None, None) and got[None] == (None, None, None) and got["r/f.py"][0] is None
 
 
+def brute_licenses(files):
+    """(own license, license, inherited from) of each (path, text), by comparing all units with all templates."""
+    from math import log, sqrt
+
+    speaks, wrapped, term = re.compile(license_scan.SPEAKS), re.compile(license_scan.SPEAKS_WRAPPED), re.compile(license_scan.TERM)
+    templates = [(n, term.findall(t.lower())) for n, t in license_scan.TEMPLATES]
+    places = license_scan.anchors([b for _, b in templates])
+    units = []
+    for path, text in files:
+        text = text or ""
+        whole = bool(path and re.match(license_scan.LICENSE_FILE, path.split("/")[-1]))
+        own = [text] if whole else [x for x in re.split(r"\r\n|[\n\x0b\x0c\r\x85\u2028\u2029]", text) if speaks.search(x)] if speaks.search(text) else []
+        if wrapped.search(text):
+            bag = term.findall(text.lower())
+            for i, t in enumerate(bag):
+                for at, n, k in places.get(t, ()):
+                    window = bag[max(0, i - at) : max(0, i - at) + n + min(0, i - at)]
+                    if len(set(window) & set(templates[k][1])) >= len(set(templates[k][1])) * license_scan.LEAST_SHARED:
+                        own.append(" ".join(window))
+        units.append((whole, set(own)))
+    bags = {u: term.findall(u.lower()) for _, us in units for u in us}
+    n, df = len(bags) + len(templates), {}
+    for bag in [*bags.values(), *(b for _, b in templates)]:
+        for x in set(bag):
+            df[x] = df.get(x, 0) + 1
+    vector = lambda bag: {x: bag.count(x) * (log((1 + n) / (1 + df[x])) + 1) for x in set(bag)}
+    norm = lambda v: sqrt(sum(x * x for x in v.values()))
+    known = [(name, vector(b)) for name, b in templates]
+    best = {}
+    for u, bag in bags.items():
+        v = vector(bag)
+        for name, t in known:
+            score = round(sum(v.get(x, 0) * y for x, y in t.items()) / (norm(v) * norm(t)), 9) if v else 0
+            if score >= license_scan.LEAST_COSINE:
+                best[u] = min(best.get(u, (0, "")), (-score, name))
+    own = [min((best[u] for u in us if u in best), default=None) for _, us in units]
+    directories = {}
+    for (path, _), (whole, _), b in zip(files, units, own):
+        if whole and b:
+            d = path.rpartition("/")[0]
+            directories[d] = min(directories.get(d, b), b)
+    out = []
+    for (path, _), b in zip(files, own):
+        parts = path.split("/")[:-1] if path is not None else None
+        found = next((d for k in range(len(parts), -1, -1) if (d := "/".join(parts[:k])) in directories), None) if parts is not None else None
+        out.append((b and b[1], b[1] if b else directories[found][1] if found is not None else None, None if b else found))
+    return out
+
+
+def test_op3_query_equals_brute(spark, tmp_path):
+    rng = random.Random(14)
+    notices = [t for _, t in license_scan.TEMPLATES]
+    rows = []
+    for i in range(260):
+        t = words(rng.randrange(1, 60), rng)
+        if rng.random() < 0.4:
+            notice = rng.choice(notices).split()
+            for _ in range(rng.randrange(4)):
+                notice[rng.randrange(len(notice))] = rng.choice(["copyright", "zzz", "license"])
+            t = rng.choice([" ".join(notice), f"{t} {' '.join(notice)} {t}", t + "\n" + "\n".join(" ".join(notice[k : k + 5]) for k in range(0, len(notice), 5)), f"{t}\r\n# {' '.join(notice)}\n{t}"])
+        rows.append((i, t, "en", rng.choice(["a/b", "a_b", "none", None, "%", "x"])))
+    rows += [*EDGE, (3, rows[3][1], "en", "x"), (None, "Released under the MIT License.", "en", "x")]
+    sf = write(table(spark, rows, CLASH), tmp_path, "documents")
+    files = [tuple(r) for r in license_scan.files_of_documents(spark.read.parquet(f"{sf}/documents.parquet")).select("path", "text").collect()]
+    got = sorted(str((r.path, r.own_license, r.license, r.inherited_from)) for r in license_scan.op3_license_scans(spark, sf).collect())
+    assert got == sorted(str((p, *x)) for (p, _), x in zip(files, brute_licenses(files)))
+    assert len({p.split("/")[0] for p, _ in files}) == 8
+
+
+def test_op3_null_path_has_its_own_license(spark):
+    files = [(None, "Released under the MIT License."), (None, "x"), ("a/x", "y")]
+    got = sorted(str((r.path, r.own_license, r.license)) for r in license_scan.scan(spark.createDataFrame(files, "path string, text string")).collect())
+    assert got == ["('a/x', None, None)", "(None, 'MIT', 'MIT')", "(None, None, None)"]
+
+
+LICENSE_TEXTS = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0"}
+
+
+@pytest.mark.skipif(not all(os.path.exists(f"/usr/share/common-licenses/{x}") for x in LICENSE_TEXTS), reason="no license texts on this machine")
+def test_op3_full_license_texts(spark):
+    texts = {x: open(f"/usr/share/common-licenses/{x}").read() for x in LICENSE_TEXTS}
+    files = [(f"{x}/LICENSE", t) for x, t in texts.items()] + [(f"{x}/src/a.py", "code") for x in texts]
+    df = spark.createDataFrame(files, "path string, text string")
+    for whole in ((), tuple((LICENSE_TEXTS[x], t) for x, t in texts.items())):
+        rows = license_scan.scan(df, whole_texts=whole).collect()
+        assert {r.path: r.license for r in rows} == {p: LICENSE_TEXTS[p.split("/")[0]] for p, _ in files}
+        if whole:
+            assert all(r.own_score > 0.999 for r in rows if r.path.endswith("LICENSE"))
+
+
 def test_op3_notices_within_long_lines_and_over_lines(spark):
     rng = random.Random(4)
     long, permission = words(60, rng), license_scan.TEMPLATES[5][1].split()
