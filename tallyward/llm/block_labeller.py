@@ -4,28 +4,29 @@ A page is a sequence of leaf blocks. Each is described by its tag path (hashed n
 and by hashed words, and a bidirectional LSTM, written in numpy, reads the sequence in both directions, so that every
 block is judged in the light of the whole page. Blocks judged to be article text are joined.
 
-The labeller is trained where it is used: on a bounded sample of the pages (TRAIN_PAGES, those of smallest hash), whose
-semantic elements label their blocks, and on the same sentences set into layouts that name things differently. Words
-and path parts are dropped at random in training, so that no single name decides.
+The labeller is trained where it is used: on a bounded sample of the pages, whose semantic elements label their blocks,
+and on the same sentences set into layouts that name things differently. Words and path parts are dropped at random in
+training, so that no single name decides. The sample's bounds: TRAIN_PAGES pages of up to TRAIN_CHARS characters, those
+of the smallest hash; of each, TRAIN_BLOCKS blocks, half of them from either end; and for the layouts the sentences of
+its first SENTENCE_BLOCKS blocks. They bound the training alone: extraction reads every block of every page.
 """
 
 from __future__ import annotations
 
 import random
-import zlib
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .html_blocks import Block, blocks_of
+from .html_blocks import SLOTS, Block, blocks_of, slot
 
-TRAIN_PAGES, TRAIN_BLOCKS, STEPS, BATCH = 120, 40, 260, 24
-PATH, WORDS, NUMBERS, HIDDEN = 96, 48, 5, 20
+TRAIN_PAGES, TRAIN_CHARS, TRAIN_BLOCKS, SENTENCE_BLOCKS, STEPS, BATCH = 120, 200_000, 40, 200, 420, 24
+PATH, WORDS, NUMBERS, HIDDEN = SLOTS, 48, 5, 20
 INPUT = PATH + WORDS + NUMBERS
 #: Blocks (rows times the longest page's blocks) that are padded and read at once.
 PADDED = 60_000
@@ -42,16 +43,15 @@ AROUND = {
     "comments": ['<div class="comments">{}</div>', '<section id="comments">{}</section>', '<div class="comment"><div class="comment-body">{}</div></div>', '<ol class="comment-list"><li class="comment">{}</li></ol>', '<div id="disqus-thread">{}</div>', '<div class="replies">{}</div>'],
 }
 BODY = ["<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", '<div class="content">{}</div>', '<div id="content"><div class="post">{}</div></div>', '<div class="article-body">{}</div>', '<section class="entry-content">{}</section>', '<div role="main">{}</div>', '<div class="story"><div class="text">{}</div></div>', "<div>{}</div>", '<div id="main">{}</div>']
+BODY += ['<div class="post-body">{}</div>', '<div class="blog-post">{}</div>', "<main><section>{}</section></main>", '<section class="single"><div class="entry">{}</div></section>', '<article class="entry"><div class="body">{}</div></article>', "<section><div><div>{}</div></div></section>"]
+#: Names that say nothing of what they hold.
+NEUTRAL = "wrap wrapper container page inner outer row col site grid box layout block group flex clearfix m x1".split()
 OUTSIDE = frozenset("nav footer aside form dialog menu select option head".split())
 OUTSIDE_NAMES = frozenset("ad ads advert advertisement sponsored promo nav menu navbar navigation breadcrumb header masthead topbar banner header footer copyright contentinfo sidebar widget related complementary cookie consent popup newsletter notice alert comment comments disqus replies".split())
 #: Words for layouts when the table has too few of its own.
 FILLER = "the of and to in is that for it was with as on are this be at by from have an or which one had not but what all were when we there can".split()
 
 
-def slot(name: str, size: int) -> int:
-    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % size
-
-
 class Slots(dict):
     """Hash slots of names, kept for names met before; emptied when it grows large."""
 
@@ -70,17 +70,17 @@ def features(blocks: list[Block], paths: dict, words: Slots) -> np.ndarray:
     """One row per block: path parts, words' shares, and five numbers. paths caches the path part."""
     out = np.zeros((len(blocks), INPUT), np.float32)
     for row, b in zip(out, blocks, strict=True):
-        if (own := paths.get(b.path)) is None:
+        bits = b.path.slots | (1 << slot(f"/{b.path.tag}", PATH) if b.path.depth else 0)
+        if (own := paths.get(bits)) is None:
             if len(paths) > 50_000:
                 paths.clear()
-            names = {t for t, _ in b.path} | {f".{n}" for _, ns in b.path for n in ns} | ({f"/{b.path[-1][0]}"} if b.path else set())
-            own = paths[b.path] = np.unique([slot(n, PATH) for n in names]).astype(np.int64) if names else np.zeros(0, np.int64)
+            own = paths[bits] = np.flatnonzero([bits >> k & 1 for k in range(PATH)])
         row[own] = 1
         tokens = b.text.split()
         counts = np.bincount([words[t] for t in tokens], minlength=WORDS)
         row[PATH : PATH + WORDS] = np.minimum(0.5, np.sqrt(counts / len(tokens)))
         n = len(b.text)
-        row[PATH + WORDS :] = min(1.0, b.linked / n), np.log1p(n) / 8, np.log1p(len(tokens)) / 6, len(b.path) / 12, b.text[-1:] in ".!?"
+        row[PATH + WORDS :] = min(1.0, b.linked / n), np.log1p(n) / 8, np.log1p(len(tokens)) / 6, b.path.depth / 12, b.text[-1:] in ".!?"
     return out
 
 
@@ -126,11 +126,12 @@ def layout(sentences: list[str], rng: random.Random) -> str:
     if rng.random() < 0.8:
         head = f"<h{rng.choice('112')}>{pick(9)}</h1>"
         inside.append(f"<header>{head}</header>" if "article" in shape and rng.random() < 0.2 else head)
+    wrapped = rng.random() < 0.3
     for _ in range(rng.choice((1, 2, 5, 10, 18))):
         text = pick(rng.choice((3, 12, 40, 100)))
         inside.append(rng.choice([f"<p>{text}</p>"] * 6 + [f"<p><b>{text}<br>", f"<h2>{text}</h2>", f"<blockquote>{text}</blockquote>", f"<ul><li>{text}</li></ul>", f"<div>{text}</div>", f"<pre>{text}</pre>"]))
     for x in inside:
-        marked.append(x)
+        marked.append(rng.choice(("<div>{}</div>", "<section>{}</section>", f'<div class="{rng.choice(NEUTRAL)}">{{}}</div>')).format(x) if wrapped and rng.random() < 0.6 else x)
         if rng.random() < 0.04:
             around(rng.choice(("advert", "sidebar", "form", "notice")))
     if rng.random() < 0.2:
@@ -138,11 +139,15 @@ def layout(sentences: list[str], rng: random.Random) -> str:
     marked.append(closing)
     for kind in after:
         around(kind)
+    while rng.random() < 0.4:  # boxes around a stretch of the page's parts, the article among them
+        box = f'<div class="{" ".join(rng.sample(NEUTRAL, rng.randint(0, 2)))}">'
+        low, high = rng.randint(0, marked.index(opening)), rng.randint(len(marked) - 1 - marked[::-1].index(closing), len(marked) - 1)
+        marked[low : high + 1] = [box, *marked[low : high + 1], "</div>"]
     return "<html><body>" + "".join(marked) + "</body></html>"
 
 
 def sentences_of(pages: list[str]) -> list[str]:
-    out = [s for page in pages for b in blocks_of(page)[:200] for s in b.text.split("\n") if s]
+    out = [s for page in pages for b in blocks_of(page)[:SENTENCE_BLOCKS] for s in b.text.split("\n") if s]
     return out if len(out) >= 50 else out + [" ".join(FILLER[(i * 7 + k) % len(FILLER)] for k in range(3 + i % 60)) for i in range(200)]
 
 
@@ -303,19 +308,21 @@ def extract(pages: list[str], w: dict, paths: dict, words: Slots) -> list[str]:
     return out
 
 
-def extract_batches(batches: Iterator[pd.DataFrame], w: dict) -> Iterator[pd.DataFrame]:
+def extract_batches(batches: Iterator[pa.RecordBatch], w: dict) -> Iterator[pa.RecordBatch]:
+    """Batches of (page_id, url, html) as (page_id, url, text, n_chars); keys stay as they are."""
     paths, words = {}, Slots(WORDS)
     for batch in batches:
-        for at in range(0, len(batch), 512):
-            part = batch.iloc[at : at + 512]
-            texts = extract([h or "" for h in part["html"]], w, paths, words)
-            yield pd.DataFrame({"page_id": part["page_id"], "url": part["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            texts = extract([h or "" for h in part.column(2).to_pylist()], w, paths, words)
+            yield pa.record_batch([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
-def sample_pages(pages: DataFrame, n: int = TRAIN_PAGES) -> list[str]:
-    """The html of the n pages whose keys have the smallest hashes; at most n rows reach the driver."""
-    ids = pages.where(F.length("html") > 0).select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(n)
-    rows = pages.join(F.broadcast(ids.distinct()), "page_id").select("page_id", "html").orderBy(F.xxhash64("page_id"), "page_id", "html").limit(n)
+def sample_pages(pages: DataFrame, n: int = TRAIN_PAGES, chars: int = TRAIN_CHARS) -> list[str]:
+    """The html of the n pages of up to `chars` characters whose keys have the smallest hashes: n * chars characters at most."""
+    fit = pages.where(F.length("html").between(1, chars))
+    ids = fit.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(n)
+    rows = fit.join(F.broadcast(ids.distinct()), "page_id").select("page_id", "html").orderBy(F.xxhash64("page_id"), "page_id", "html").limit(n)
     return [r.html for r in rows.collect()]
 
 
@@ -324,9 +331,10 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     Null and empty html, and pages without article blocks, give an empty text. Rows that repeat give equal rows.
     """
+    pages = pages.select("page_id", "url", "html")
     weights = train(sample_pages(pages))
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInPandas(partial(extract_batches, w=weights), f"page_id {kind}, url string, text string, n_chars bigint")
+    return pages.mapInArrow(partial(extract_batches, w=weights), f"page_id {kind}, url string, text string, n_chars bigint")
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

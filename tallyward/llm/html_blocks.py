@@ -4,13 +4,22 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
+from collections import Counter
+from collections.abc import Iterator
 
 #: Elements that end a block of text where they start and end; all others are part of a line.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: A start tag of the key ends an open element of these, up to the nearest element that holds such items.
-ENDS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-HOLDS = {"ul", "ol", "menu", "dl", "table", "tbody", "thead", "tfoot", "select"}
+#: Elements that hold items.
+HOLDS = frozenset({"ul", "ol", "menu", "dl", "table", "tbody", "thead", "tfoot", "select"})
+CELLS, TERMS = frozenset({"td", "th"}), frozenset({"dd", "dt"})
+#: A start tag of the key ends an open element of the first set, unless one of the second is nearer.
+ENDS = {"li": ({"li"}, HOLDS), "dd": (TERMS, HOLDS), "dt": (TERMS, HOLDS), "tr": ({"tr"}, HOLDS), "td": (CELLS, HOLDS | {"tr"}), "th": (CELLS, HOLDS | {"tr"}), "option": ({"option"}, HOLDS)}
+#: The elements that such a start tag looks at.
+ITEMS = HOLDS.union(*(ends for ends, _ in ENDS.values()))
+#: Hash slots of the names on a path.
+SLOTS = 96
 
 #: Elements whose content is no text of the page.
 DROPPED = frozenset("script style noscript template svg iframe object title".split())
@@ -21,12 +30,41 @@ NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'
 PARTS = re.compile("[a-z]+")
 
 
+def slot(name: str, size: int) -> int:
+    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % size
+
+
+class Element:
+    """An open element. It knows its parent, so that the paths of all blocks share their elements.
+
+    slots is the set of its path's hashed tags and names, as bits; near, the closest of it and its ancestors in ITEMS.
+    """
+
+    __slots__ = ("parent", "tag", "names", "depth", "slots", "near")
+
+    def __init__(self, parent: Element | None, tag: str, names: tuple[str, ...]) -> None:
+        self.parent, self.tag, self.names = parent, tag, names
+        self.depth = parent.depth + 1 if parent else 0
+        self.slots = parent.slots if parent else 0
+        for name in (tag, *(f".{n}" for n in names)) if parent else ():
+            self.slots |= 1 << slot(name, SLOTS)
+        self.near = self if tag in ITEMS else parent.near if parent else None
+
+    def __iter__(self) -> Iterator[tuple[str, tuple[str, ...]]]:
+        """(tag, names) of the elements from the outside in, but for the page itself."""
+        out, at = [], self
+        while at.parent:
+            out.append((at.tag, at.names))
+            at = at.parent
+        return reversed(out)
+
+
 class Block:
-    """A block's text, its elements as (tag, names) from the outside in, and how many of its characters are links."""
+    """A block's text, its innermost element, and how many of its characters are links."""
 
     __slots__ = ("text", "path", "linked")
 
-    def __init__(self, text: str, path: tuple, linked: int) -> None:
+    def __init__(self, text: str, path: Element, linked: int) -> None:
         self.text, self.path, self.linked = text, path, linked
 
 
@@ -47,17 +85,17 @@ class Dropped:
     nearest start tag of its name before it; a start tag that has none, or an svg closed in itself, has no content.
     """
 
-    def __init__(self, page: str) -> None:
-        self.page, self.ends = page, {}
+    def __init__(self, page: str, limit: int) -> None:
+        self.page, self.limit, self.ends = page, limit, {}
 
     def end(self, name: str, start: int, after: int) -> int:
         """The place after the element whose start tag is page[start:after]."""
         if name in ("script", "style"):
-            found = next((m for m in SPANS[name].finditer(self.page, after) if m[1]), None)
+            found = next((m for m in SPANS[name].finditer(self.page, after, self.limit) if m[1]), None)
             return found.end() if found else len(self.page)
         if name not in self.ends:
             ends, opened = self.ends.setdefault(name, {}), []
-            for m in SPANS[name].finditer(self.page):
+            for m in SPANS[name].finditer(self.page, 0, self.limit):
                 if not m[1]:
                     if name != "svg" or not m[2].endswith("/"):
                         opened.append(m.start())
@@ -67,9 +105,14 @@ class Dropped:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The non-empty blocks. Broken markup gives blocks too: an end tag without its start is passed over."""
+    """The non-empty blocks. Broken markup gives blocks too: an end tag without its start is passed over.
+
+    Time and memory grow with the page's length, whatever its nesting: no tag reaches beyond the page's last ">", no
+    search goes up the open elements unless it ends one of them or stays among a list's items.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    here = Element(None, "", ())
+    open_tags: Counter[str] = Counter()
     pieces: list[str] = []
     at = linked = 0
     in_link = False
@@ -79,18 +122,29 @@ def blocks_of(page: str) -> list[Block]:
         if pieces:
             text = tidy("".join(pieces))
             if text:
-                out.append(Block(text, tuple(stack), linked))
+                out.append(Block(text, here, linked))
             pieces.clear()
         linked = 0
 
-    dropped = Dropped(page)
-    while m := TOKEN.search(page, at):
+    def leave(element: Element) -> None:
+        """Close the element and all in it."""
+        nonlocal here
+        while here is not element.parent:
+            open_tags[here.tag] -= 1
+            here = here.parent
+
+    limit = page.rfind(">") + 1
+    dropped = Dropped(page, limit)
+    while m := TOKEN.search(page, at, limit):
         if m.start() > at:
             pieces.append(page[at : m.start()])
             linked += in_link and m.start() - at
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
+            if at == limit and m[0].startswith("<!--") and not m[0].endswith("-->"):
+                at = len(page)  # a comment that doesn't end
+                break
             continue
         if tag in DROPPED:
             if not m[1] and (not m[3] or m[3][0] == "/" or m[3][0].isspace()):
@@ -104,23 +158,26 @@ def blocks_of(page: str) -> list[Block]:
             continue
         close()
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if open_tags[tag]:
+                found = here
+                while found.tag != tag:
+                    found = found.parent
+                leave(found)
             continue
-        if any(x[0] == "p" for x in stack[-1:]):
-            stack.pop()
+        if here.tag == "p":
+            leave(here)
         if tag in ENDS:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ENDS[tag]:
-                    del stack[i:]
-                    break
-                if stack[i][0] in HOLDS:
-                    break
+            ends, holds = ENDS[tag]
+            found = here.near
+            while found and found.tag not in ends and found.tag not in holds:
+                found = found.parent.near
+            if found and found.tag in ends:
+                leave(found)
         if tag not in VOID:
-            stack.append((tag, names_of(m[3])))
+            here = Element(here, tag, names_of(m[3]))
+            open_tags[tag] += 1
     if at < len(page):
-        pieces.append(page[at:])
+        rest = page[at:]
+        pieces.append(rest[: rest.index("<!--")] if "<!--" in rest else rest)
     close()
     return out
