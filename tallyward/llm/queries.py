@@ -9,10 +9,10 @@ from .ngram_join import op9_ngram_jaccard
 from .packing import op6_best_fit_packing
 from .secret_ledger import OP1_SQL, op1_secret_scans
 from .stream_dedup import OP5_SQL, op5_exact_dedup
-from .warc import OP10_SQL, op10_warc
+from .warc import DAMAGED_SQL, OP10_SQL, damaged_pages, op10_warc
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_secret_scans, op2_html_extraction, op3_license_scans, op4_mixing, op5_exact_dedup, op6_best_fit_packing, op7_media_gif, op8_language_id, op9_ngram_jaccard, op10_warc, pages_language)
+    for f in (op1_secret_scans, op2_html_extraction, op3_license_scans, op4_mixing, op5_exact_dedup, op6_best_fit_packing, op7_media_gif, op8_language_id, op9_ngram_jaccard, op10_warc, pages_language, damaged_pages)
 }
-ORACLES = {"op1_secret_scans": OP1_SQL, "op4_mixing": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op10_warc": OP10_SQL}
+ORACLES = {"op1_secret_scans": OP1_SQL, "op4_mixing": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op10_warc": OP10_SQL, "damaged_pages": DAMAGED_SQL}

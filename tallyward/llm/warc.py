@@ -2,9 +2,12 @@
 
 Writing: one record per page, in WARC/1.1. Of records with equal payloads of 100 bytes or more, the one with the
 smallest page_id is the response and the others revisit it. Spark's own text writer stores the records, so that a lost
-executor's half-written archive never shows and any store will do.
+executor's half-written archive never shows and any store will do. Archives are bounded by bytes: pages are written in
+classes of size, each with as many records in an archive as keep it at ARCHIVE_BYTES or, for a class whose largest page
+is SPREAD times the bound of the class below, at SPREAD times that.
 
-Reading: one archive at a time, record by record. A record counts when its version line, its headers, its length, its
+Reading: one archive at a time, as one value, record by record; archives from elsewhere should be of some hundred MB at
+most. A record counts when its version line, its headers, its length, its
 closing blank lines and its block digest are all right. After a failed check the reader searches for the next version
 line or gzip member that starts a right record, logs the bytes between as a quarantined gap, and goes on from there.
 """
@@ -28,7 +31,10 @@ VERSION, END, GZIP = b"WARC/1.1\r\n", b"\r\n\r\n", b"\x1f\x8b\x08"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_OK = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 LEAST_REVISIT_BYTES = 100
-RECORDS_PER_FILE = 20_000
+#: Bytes of pages in one archive, about, and the ratio of the bounds of two classes of size.
+ARCHIVE_BYTES, SPREAD = 1 << 26, 4
+#: Bytes of a record's headers, at most, and of compressed data that is read at a time.
+HEADER_BYTES, CHUNK = 1 << 16, 1 << 14
 
 
 def record_bytes(date: str) -> Column:
@@ -56,24 +62,38 @@ def record_bytes(date: str) -> Column:
     return F.concat(headers, block, F.lit("\r\n\r"))
 
 
-def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", records_per_file: int = RECORDS_PER_FILE) -> None:
+def size_classes(mean: float, largest: int, archive_bytes: int = ARCHIVE_BYTES) -> list[tuple[float, float, int]]:
+    """(above, up to, records per archive) in bytes of payload, from 0 to the largest: each class reaches SPREAD times further."""
+    out, low, high = [], -1.0, max(float(mean) * SPREAD, 1024.0)
+    while low < largest:
+        out.append((low, high, max(1, int(archive_bytes * SPREAD / (high + 1024)))))
+        low, high = high, high * SPREAD
+    return out
+
+
+def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write pages (page_id, url, html; null html: empty) as WARC files under path.
 
     Only payloads that occur more than once are looked up again; a page whose payload is its own alone needs no join
-    partner, and a group of copies is counted in its tasks before the shuffle.
+    partner, and a group of copies is counted in its tasks before the shuffle. Rows that repeat the smallest page_id of
+    their payload are responses, all of them.
     """
     keyed = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    seen = keyed.where(F.octet_length("payload") >= LEAST_REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    size = F.octet_length("payload")
+    seen = keyed.where(size >= LEAST_REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
     several = stored(seen.where("n > 1").select("digest", "first_id"), "warc-copies")
     rows = keyed.join(small(several, 100_000), "digest", "left").withColumn("refers_to", F.when(F.col("first_id") != F.col("page_id"), F.col("first_id")))
-    rows.select(record_bytes(date).alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", records_per_file).text(path)
+    sizes = pages.select(F.octet_length("html").alias("n")).agg(F.avg("n"), F.max("n")).first()
+    for low, high, records in size_classes(sizes[0] or 0.0, sizes[1] or 0, archive_bytes):
+        own = rows.where((size > low) & (size <= high)).select(record_bytes(date).alias("value"))
+        own.write.mode("append").option("lineSep", "\n").option("maxRecordsPerFile", records).text(path)
 
 
 def parse_record(data: bytes, at: int) -> tuple[dict, bytes, int] | None:
     """Headers (lower-case names), block and end of the record at `at`; None if any check fails."""
     if not data.startswith(VERSION, at):
         return None
-    head = data.find(END, at)
+    head = data.find(END, at, at + HEADER_BYTES)
     if head < 0:
         return None
     headers = {}
@@ -100,14 +120,35 @@ def digest_matches(own: bytes, stated: str) -> bool:
     return stated.lower() == own.hex() or stated == base64.b32encode(own).decode()
 
 
+def stated_end(head: bytes) -> int | None:
+    """Where the record that begins with head ends, by its headers; None if they aren't all there yet."""
+    cut = head.find(END)
+    length = re.search(rb"(?im)^content-length:[ \t]*([0-9]{1,18})[ \t]*\r$", head[: cut + 2]) if cut >= 0 else None
+    return cut + 2 * len(END) + int(length[1]) if length else None
+
+
 def inflate(data: bytes, at: int) -> tuple[bytes, int] | None:
-    """The gzip member at `at` and where it ends; None if it is cut off or its checksum is wrong."""
-    member = zlib.decompressobj(31)
+    """The record in the gzip member at `at`, and where the member ends; None if the member is no whole record.
+
+    A damaged member may go on as if whole far into what follows it; it is given up once it is longer than its record.
+    """
+    member, view, out, most = zlib.decompressobj(31), memoryview(data), bytearray(), None
+    fed = b""
     try:
-        out = member.decompress(data[at:])
+        while not member.eof:
+            if not fed:
+                if at >= len(data):
+                    return None
+                fed, at = view[at : at + CHUNK], min(at + CHUNK, len(data))
+            out += member.decompress(fed, CHUNK)
+            fed = member.unconsumed_tail
+            if most is None:
+                most = stated_end(bytes(out[:HEADER_BYTES]))
+            if not out.startswith(VERSION[: len(out)]) or len(out) > (HEADER_BYTES if most is None else most):
+                return None
     except zlib.error:
         return None
-    return (out, len(data) - len(member.unused_data)) if member.eof else None
+    return bytes(out), at - len(member.unused_data)
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict, bytes]]:
@@ -174,7 +215,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per page, from the archives as read back. Empty and null html are payloads of 0 bytes.
 
-    A page without page_id is a response record under no number, and gets a null back.
+    A page without page_id is a response record under no number, and gets a null back. The archives written here are
+    whole, so nothing is quarantined; damaged_pages reads damaged ones.
     """
     path = shared_dir(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
@@ -183,6 +225,28 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.when(F.col("refers_to").isNotNull(), page("refers_to")).alias("refers_to"))
 
 
+def damaged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, readable) of the pages, from archives in which every page of a number divisible by 7 was damaged.
+
+    A damaged record has another block digest than its header states; the reader salvages all the others, whatever lies
+    between, and reports each run of damaged ones as a gap.
+    """
+    path = shared_dir(spark, "warc-damaged")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload")).withColumns({"digest": F.sha2("payload", 256), "refers_to": F.lit(None).cast("bigint")})
+    record = record_bytes("2024-01-01T00:00:00Z")
+    stated = F.concat(F.lit("WARC-Block-Digest: sha256:"), F.lit("0" * 64))
+    damaged = F.regexp_replace(record.cast("string"), "WARC-Block-Digest: sha256:[0-9a-f]{64}", stated)
+    sizes = pages.agg(F.avg(F.octet_length("payload")), F.max(F.octet_length("payload"))).first()
+    records = size_classes(sizes[0] or 0.0, sizes[1] or 0)[-1][2]
+    pages.select(F.when(F.col("page_id") % 7 == 0, damaged).otherwise(record).alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", records).text(path)
+    found = read_archives(spark, path, payloads=False)
+    page = F.regexp_extract("record_id", "^<urn:page:(-?[0-9]+)>$", 1).try_cast("bigint")
+    read = found.where("kind = 'record'").select(page.alias("page_id"), F.lit(True).alias("readable"))
+    lost = pages.select("page_id").join(read.select("page_id").distinct(), "page_id", "left_anti").select("page_id", F.lit(False).alias("readable"))
+    return read.unionAll(lost)
+
+
+DAMAGED_SQL = "SELECT page_id, page_id % 7 <> 0 AS readable FROM pages"
 OP10_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 d AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha256(body) AS payload_digest FROM p),

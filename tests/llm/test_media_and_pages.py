@@ -127,10 +127,45 @@ def test_salvage():
         assert [s for s, _ in spots] == [0, *(e for _, e in spots)][: len(spots)] and (not spots or spots[-1][1] == len(data))
 
 
+@pytest.mark.parametrize("kind", ["members", "broken members", "open headers", "version lines"])
+def test_salvage_takes_linear_time(kind):
+    member = gzip.compress(record(1, b"x" * 2000), mtime=0)
+    data = {"members": member, "broken members": member[:-9] + b"\0", "open headers": b"WARC/1.1\r\nA: b\r\n", "version lines": b"WARC/1.1\r\n\r\n"}[kind]
+
+    def seconds(n):
+        start = time.perf_counter()
+        found = list(warc.salvage(data * n))
+        assert found[-1][2] == len(data) * n
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(16_000) < 2.5 * seconds(8_000) + 0.3
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    rng = random.Random(2)
+    sizes = [rng.randrange(300, 900) for _ in range(3000)] + [300_000, 200_000, 5_000, 40_000] * 3
+    rows = [(i, "u", "".join(rng.choices("abcdefgh", k=n))) for i, n in enumerate(sizes)]
+    path = str(tmp_path / "warc")
+    warc.write_archives(spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1), path, archive_bytes=200_000)
+    files = [os.path.getsize(f"{path}/{f}") for f in os.listdir(path) if f.endswith(".txt")]
+    assert len(files) > 10 and max(f for f in files) <= max(warc.SPREAD * 200_000, 300_000) + 2048
+    found = warc.read_archives(spark, path).collect()
+    assert sorted(int(r.record_id[10:-1]) for r in found) == list(range(len(rows))) and {bytes(r.payload).decode() for r in found} == {h for *_, h in rows}
+
+
+def test_damaged_pages(spark, tmp_path):
+    rows = [(i, "u", f"<p>{i}</p>" * (i % 5)) for i in range(60)] + [(None, "u", "x")]
+    sf = write(spark.createDataFrame(rows, "page_id bigint, url string, html string"), tmp_path, "pages")
+    got = {r.page_id: r.readable for r in warc.damaged_pages(spark, sf).collect()}
+    assert {i: x for i, x in got.items() if i is not None} == {i: i % 7 != 0 for i in range(60)}
+
+
 def test_op10(spark, tmp_path):
     long = "<p>é</p>" * 30
     rows = [(5, "http://a b\r\nX: y", long), (3, None, long), (9, "u", long), (1, "u", "short"), (2, "u", "short"), (4, "u", None), (6, "u", ""), (7, "u", "WARC/1.1\r\n\r\n" * 20), (8, "u", "x" * 100), (10, "u", "x" * 100)]
-    sf = write(spark.createDataFrame(rows, "page_id bigint, url string, html string"), tmp_path, "pages")
+    clash = {k: F.lit("own") for k in ("payload", "digest", "first_id", "n", "value", "refers_to")}
+    sf = write(spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumns(clash), tmp_path, "pages")
     got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.op10_warc(spark, sf).collect()}
     for i, _, html in rows:
         body = (html or "").encode()
