@@ -23,6 +23,10 @@ WIDTH, ROWS, DELAY = 192, 64, 10
 MOST_CODES = 4096
 
 
+#: The grey palette.
+GREY = bytes(np.repeat(np.arange(256, dtype=np.uint8), 3))
+
+
 def pack(codes: np.ndarray, widths: np.ndarray) -> bytes:
     """Codes of 8 to 12 bits as a bit stream, least bit first."""
     ends = np.cumsum(widths)
@@ -59,11 +63,12 @@ def lzw_compressed(data: bytes) -> bytes:
     """A code stream of the longest known words; the table starts anew when it is full."""
     runs: list[list[int]] = []
     codes, table, free = [256], {}, 258
-    code = data[0]
+    code, known = data[0], table.get
     for byte in data[1:]:
         longer = code << 8 | byte
-        if longer in table:
-            code = table[longer]
+        word = known(longer)
+        if word is not None:
+            code = word
             continue
         codes.append(code)
         code = byte
@@ -73,6 +78,7 @@ def lzw_compressed(data: bytes) -> bytes:
         else:
             runs.append(codes)
             codes, table, free = [256], {}, 258
+            known = table.get
     runs.append([*codes, code, 257])
     # a run's clear code still has the width that the table before it had reached
     widths = [np.append(12 if i else 9, WIDTHS[8][: len(run) - 1]) for i, run in enumerate(runs)]
@@ -85,52 +91,81 @@ def lzw_decode(stream: bytes, min_bits: int, n_pixels: int) -> bytes:
     return got[:n_pixels] + bytes(max(0, n_pixels - len(got)))
 
 
+def followed(to: np.ndarray) -> np.ndarray:
+    """Where each index ends if it is led on by `to` until it leads to itself; to leads to itself or to lower ones."""
+    while True:
+        further = to[to]
+        if np.array_equal(further, to):
+            return to
+        to = further
+
+
+def spelled(codes: np.ndarray, clear: int, most: int) -> tuple[np.ndarray, bool]:
+    """Pixels of the codes after one clear code, `most` and a word at most, and whether all codes are known.
+
+    Code number i adds the word of code number i with the first pixel of the next: in the output, that word is what
+    begins where word i begins. So a later use of it is a copy of an earlier stretch of the output, and a pixel is found
+    by following such copies back to a single.
+    """
+    of = codes - (clear + 2)  # the number of the code that added the word
+    single = codes < clear
+    bad = np.flatnonzero(~single & (of >= np.arange(len(codes))))
+    whole = not len(bad)
+    if not whole:
+        of, single, codes = of[: bad[0]], single[: bad[0]], codes[: bad[0]]
+    # a word is one longer than the one it grew from: count the steps down to a single
+    to = np.where(single, np.arange(len(codes)), of)
+    length, further = np.where(single, 1, 2), to
+    while not single[further].all():
+        length = length + length[further] - 1
+        further = further[further]
+    ends = np.cumsum(length)
+    n = int(np.searchsorted(ends, most)) + 1
+    length, ends, to, codes = length[:n], ends[:n], to[:n], codes[:n]
+    starts = ends - length
+    word = np.repeat(np.arange(len(length)), length)
+    place = np.arange(len(word))
+    source = followed(np.where(single[word], place, starts[to[word]] + place - starts[word]))
+    return codes[word[source]].astype(np.uint8), whole
+
+
 def decode_words(stream: bytes, min_bits: int, n_pixels: int) -> bytes:
-    """Words of the code stream, up to its stop code, its first unknown code, or n_pixels pixels.
+    """Words of the code stream, up to its stop code, its first unknown code, or n_pixels pixels and a word.
 
-    Widths depend on how many codes came since the last clear code only, so stretches of codes are read at once.
+    Widths depend on how many codes came since the last clear code only, so all codes up to the next one are read at once.
     """
     if not 1 <= min_bits <= 11:
         return b""
     clear, stop = 1 << min_bits, (1 << min_bits) + 1
-    singles = [bytes((i & 255,)) for i in range(clear)] + [b"", b""]
     data = np.frombuffer(stream + b"\0\0\0", np.uint8).astype(np.int64)
     data = data[:-2] | data[1:-1] << 8 | data[2:] << 16
-    n_bits, at, since, reach = len(stream) * 8, 0, 0, 512
-    table, last, out, size = list(singles), b"", [], 0
+    n_bits, at, out, size = len(stream) * 8, 0, [], 0
     while size < n_pixels:
-        # codes number since, since + 1, ... after the last clear code
-        n = min(reach, MOST_CODES - since) if since < MOST_CODES else reach
-        widths = WIDTHS[min_bits][since : since + n] if since < MOST_CODES else np.full(n, 12)
-        ends = np.cumsum(widths) + at
-        n = int(np.searchsorted(ends, n_bits, side="right"))
-        if not n:
-            break
-        starts = ends[:n] - widths[:n]
-        codes = data[starts >> 3] >> (starts & 7) & (1 << widths[:n]) - 1
-        marks = np.flatnonzero((codes == clear) | (codes == stop))
-        mark = int(marks[0]) if len(marks) else n
-        for code in codes[:mark].tolist():
-            if code < len(table):
-                word = table[code]
-            elif code == len(table) and last and code < MOST_CODES:
-                word = last + last[:1]
+        run, since, mark = [], 0, None
+        while mark is None:  # codes number since, since + 1, ... after the last clear code
+            widths = WIDTHS[min_bits][since:] if since < MOST_CODES else np.full(MOST_CODES, 12)
+            ends = np.cumsum(widths) + at
+            n = int(np.searchsorted(ends, n_bits, side="right"))
+            if not n:
+                break
+            starts = ends[:n] - widths[:n]
+            codes = data[starts >> 3] >> (starts & 7) & (1 << widths[:n]) - 1
+            marks = np.flatnonzero((codes == clear) | (codes == stop))
+            if len(marks):
+                n = int(marks[0])
+                mark, at = int(codes[n]), int(ends[n])
             else:
-                return b"".join(out)
-            if last and len(table) < MOST_CODES:
-                table.append(last + word[:1])
-            out.append(word)
-            size += len(word)
-            last = word
-            if size >= n_pixels:
+                since, at = since + n, int(ends[n - 1])
+            run.append(codes[:n])
+        codes = np.concatenate(run) if run else np.zeros(0, np.int64)
+        if len(codes):
+            pixels, whole = spelled(codes, clear, n_pixels - size)
+            out.append(pixels.tobytes())
+            size += len(pixels)
+            if not whole:
                 break
-        if mark == n:
-            at, since, reach = int(ends[n - 1]), since + n, MOST_CODES
-            continue
-        if codes[mark] == stop:
+        if mark != clear:
             break
-        at, since, reach = int(ends[mark]), 0, max(512, 2 * mark)
-        table, last = list(singles), b""
     return b"".join(out)
 
 
@@ -143,7 +178,7 @@ def encode(payload: bytes, compress: bool = False) -> bytes:
     if not payload or rows * WIDTH != len(payload):
         raise ValueError("the payload must have a positive multiple of 192 bytes")
     two = lambda x: x.to_bytes(2, "little")
-    out = [b"GIF89a", two(WIDTH), two(min(rows, ROWS)), bytes((0xF7, 0, 0)), bytes(x for i in range(256) for x in (i, i, i))]
+    out = [b"GIF89a", two(WIDTH), two(min(rows, ROWS)), bytes((0xF7, 0, 0)), GREY]
     for top in range(0, rows, ROWS):
         part = payload[top * WIDTH : (top + ROWS) * WIDTH]
         coded = lzw_compressed(part) if compress else lzw_literal(part)
@@ -215,9 +250,13 @@ def frames(data: bytes, compose: bool) -> Iterator[dict]:
             before = canvas.copy() if disposal == 3 else None
             area = canvas[top : top + h, left : left + w]
             seen = pixels[: area.shape[0], : area.shape[1]]
-            drawn = np.ones(seen.shape, bool) if clear is None else seen != clear
-            rgb = colours[np.minimum(seen, len(colours) - 1)]
-            area[drawn] = np.concatenate([rgb, np.full((*seen.shape, 1), 255, np.uint8)], axis=2)[drawn]
+            shown = np.full((256, 4), 255, np.uint8)
+            shown[:, :3] = colours[np.minimum(np.arange(256), len(colours) - 1)]
+            if clear is None:
+                area[:] = shown[seen]
+            else:
+                drawn = seen != clear
+                area[drawn] = shown[seen[drawn]]
             frame["canvas"] = canvas.copy()
             if disposal == 2:
                 area[:] = 0

@@ -48,6 +48,7 @@ def trigrams(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
         text[spot[spot < len(text)]] = 32
     inner = np.ones(len(text), bool)
     inner[1:] = (text[1:] != 32) | (text[:-1] != 32)
+    inner[starts[starts < len(text)]] = True
     owner_starts = np.append(starts, len(text))
     kept = np.concatenate([[0], np.cumsum(inner)])[owner_starts]
     text = text[inner].astype(np.uint32)

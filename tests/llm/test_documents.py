@@ -465,6 +465,93 @@ def test_op8_rare_languages_are_known(spark):
     assert by_id(language_id.identify(df.withColumns({"suffix": F.lit("x"), "host": F.lit("h")}), "doc_id", 3), "lang", "kept")[1000] == ("da", True)
 
 
+def brute_bins(text):
+    """The bins of a text's trigrams, byte by byte."""
+    t = [int(language_id.FOLD[b]) for b in (text or "").encode()]
+    for i in range(len(t)):
+        if t[i] == 0xC3 and i + 1 < len(t) and 0x80 <= t[i + 1] <= 0x9E:
+            t[i + 1] += 32
+    marks = [i for i in range(len(t)) if t[i] == 0xC2] + [i for i in range(len(t) - 2) if t[i] == 0xE2 and t[i + 1] <= 0xAF]
+    for i in marks:
+        for k in range(i, min(len(t), i + (2 if t[i] == 0xC2 else 3))):
+            t[k] = 32
+    t = [b for i, b in enumerate(t) if i == 0 or b != 32 or t[i - 1] != 32]
+    return [((a << 16 | b << 8 | c) * 0x9E3779B1 & 0xFFFFFFFF) >> 18 for a, b, c in zip(t, t[1:], t[2:])]
+
+
+def brute_identify(rows):
+    """(lang, posterior, kept) of each (text, declared, suffix, host), by sums over all rows."""
+    from math import exp, log
+
+    bins = [brute_bins(t) for t, *_ in rows]
+    fit = {(d, t) for t, d, *_ in rows if d and d.strip() and len(t or "") >= 3 and any(c.isalpha() for c in t)}
+    names = sorted({d for d, t in fit if brute_bins(t)})
+    model = []
+    for x in names:
+        counts = [0] * language_id.BINS
+        for d, t in fit:
+            for b in brute_bins(t) if d == x else ():
+                counts[b] += 1
+        n = sum(counts)
+        model.append([log((c + language_id.SMOOTH) / (n + language_id.SMOOTH * language_id.BINS)) for c in counts])
+
+    def soft(logs):
+        shares = [exp(x - max(logs)) for x in logs]
+        return [x / sum(shares) for x in shares]
+
+    weight = [min(len(b), language_id.MOST_EVIDENCE) for b in bins]
+    logs = [[w * sum(m[x] for x in b) / len(b) if b else 0.0 for m in model] for b, w in zip(bins, weight)]
+    known = [(soft(g), r) for g, r, b in zip(logs, rows, bins) if b]
+    total = lambda test: [sum(p[k] for p, r in known if test(r)) for k in range(len(names))]
+    whole = [1.0 + x for x in total(lambda r: True)]
+    base = [x / sum(whole) for x in whole]
+    lean = lambda s, parent: [(c + language_id.LEAN * q) / (sum(s) + language_id.LEAN) for c, q in zip(s, parent)]
+    given = lambda s: [log((c + language_id.DECLARED * (sum(s) + 1) / sum(whole)) / (w + language_id.DECLARED)) for c, w in zip(s, whole)]
+    out = []
+    for b, g, w, (_, d, suffix, host) in zip(bins, logs, weight, rows):
+        by_suffix = total(lambda r: r[2] == suffix)
+        prior = [log(x) for x in lean(total(lambda r: r[2:] == (suffix, host)), lean(by_suffix, base))]
+        s_log, d_log = given(by_suffix), given(total(lambda r: r[1] == d))
+        if not b:
+            out.append((None, None, False))
+            continue
+        p = soft([sum(x) for x in zip(g, prior, s_log, d_log)] + [-w * log(language_id.BINS) + log(language_id.NONE_PRIOR) + max(s_log) + max(d_log)])
+        kept = max(p) >= language_id.LEAST_POSTERIOR and p.index(max(p)) < len(names)
+        out.append((names[p.index(max(p))] if kept else None, max(p), kept))
+    return out
+
+
+def mixed_rows():
+    rng = random.Random(21)
+    rows = [(t, x if rng.random() < 0.8 else rng.choice(["en", "de", None, "xx"]), rng.choice(["com", x, None]), rng.choice([f"h-{x}", "shared", None])) for _, t, x, _ in languages(60)]
+    rows += [(" ".join(t.split()[:n]), d, s, h) for n in (0, 1, 2, 3) for t, d, s, h in rows[:6]] + rows[:4]
+    rows += [(" leading", "en", "com", "shared"), (None, "en", None, None), ("", None, "com", "shared"), ("§§ 12", "de", "com", "x"), ("qzxjv kqwzx vvqjz xqzkw zzqxj wqkvx", None, "com", "x"), ("Été À côté «où» – ça", "fr", "fr", "h-fr"), (rows[0][0] * 200, *rows[0][1:])]
+    return rows
+
+
+def test_op8_equals_brute(spark):
+    rows = mixed_rows()
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "k bigint, text string, declared string, suffix string, host string")
+    got = {r.k: r for r in language_id.identify(df, "k").collect()}
+    for i, (lang, p, kept) in enumerate(brute_identify(rows)):
+        assert (got[i].lang, got[i].kept) == (lang, kept), rows[i]
+        assert p is None or got[i].posterior == pytest.approx(p, rel=1e-6)
+
+
+def test_op8_pages_equal_brute(spark, tmp_path):
+    rows = mixed_rows()
+    html = lambda t, d: None if t is None else f'<html{"" if d is None else f" lang={d}"}><body><script>var x="<p>no"</script><p>{t}</p></body></html>'
+    url = lambda s, h: None if h is None else f"https://u@{h}{'' if s is None else '.' + s}/path?q"
+    pages = [(i, url(s, h), html(t, d)) for i, (t, d, s, h) in enumerate(rows)]
+    sf = write(spark.createDataFrame(pages, "page_id bigint, url string, html string"), tmp_path, "pages")
+    strip = lambda x: re.sub(r"<[^>]*>", " ", re.sub(r"(?is)<(script|style)\b.*?</\1>", " ", x or ""))
+    seen = [(strip(h), None if t is None else d, s if u else None, (h0 if s is None else f"{h0}.{s}") if u else None) for (_, u, h), (t, d, s, h0) in zip(pages, rows)]
+    got = {r.page_id: r for r in language_id.pages_language(spark, sf).collect()}
+    for i, (lang, p, kept) in enumerate(brute_identify(seen)):
+        assert (got[i].lang, got[i].kept) == (lang, kept), pages[i]
+        assert p is None or got[i].posterior == pytest.approx(p, rel=1e-6)
+
+
 # ---- n-gram join
 
 
