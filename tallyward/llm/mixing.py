@@ -201,9 +201,9 @@ h AS (SELECT w.source, k, floor(rest * (k - 1) / ({float(SHARDS)}::DOUBLE * bloc
              (all_blocks - seats) * (k - 1) // {SHARDS} AS s0, (all_blocks - seats) * k // {SHARDS} AS s1,
              ('0x' || substr(md5('{SEED}:' || coalesce(w.source, '') || ':' || n_docs || ':' || k), 1, 8))::UBIGINT::DOUBLE / 4294967296.0::DOUBLE AS start
       FROM w, generate_series(1, {SHARDS}) t(k)),
-p AS (SELECT d.doc_id, d.size, w.*, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at
+p AS (SELECT d.doc_id, d.size, w.*, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS spot
       FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source),
-e AS (SELECT *, unnest([at, at, at + size, at + size]) AS x, unnest([-1, -1, 1, 1]) AS sign, unnest([0, 1, 0, 1]) AS one FROM p),
+e AS (SELECT *, unnest([spot, spot, spot + size, spot + size]) AS x, unnest([-1, -1, 1, 1]) AS sign, unnest([0, 1, 0, 1]) AS one FROM p),
 i AS (SELECT *, x // block + one AS b FROM e),
 u AS (SELECT i.*, CASE WHEN b >= all_blocks THEN seats ELSE h.lo + floor((b - h.lo - h.s0) * (h.hi - h.lo)::DOUBLE / (h.hi + h.s1 - h.lo - h.s0) + h.start)::BIGINT END AS n
       FROM i LEFT JOIN h ON h.source IS NOT DISTINCT FROM i.source AND b >= h.lo + h.s0 AND b < h.hi + h.s1)
