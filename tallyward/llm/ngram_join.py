@@ -369,14 +369,15 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     total = about.agg(F.sum("n")).first()[0] or 0
     groups = lambda tokens: max(32, -(-tokens // GROUP_TOKENS))
 
-    sent = rows.select("text").mapInArrow(partial(send, groups=groups(total), words=words), SENT)
+    # as many tasks as groups, so that a task's input stays as it is when the tokens grow
+    sent = rows.select("text").mapInArrow(partial(send, groups=groups(total), words=words), SENT).repartition(groups(total), "group")
     shared = sent.groupBy("group").applyInArrow(count_shared, "half bigint, batch bigint, shared bigint").groupBy("half", "batch").agg(F.sum("shared").alias("shared")).groupBy("half").agg(F.max("shared").alias("shared"))
     alive = stored(classes.join(shared, "half").where(F.col("shared") >= needed(F.col("n"), percent)).select("node", ROW), "alive")
 
     sets = stored(rows.join(small(alive, 200_000), ROW).select("node", "text").mapInArrow(partial(listed, words=words), "node bigint, tokens array<bigint>, bits array<bigint>"), "sets")
     left = sets.agg(F.sum(F.size("tokens"))).first()[0] or 0
     batches = stored(sets.select("node", "tokens").mapInArrow(in_batches, PACKED), "set-batches")
-    counted = batches.select("batch", "tokens").mapInArrow(partial(count_batch, groups=groups(left)), COUNTED)
+    counted = batches.select("batch", "tokens").mapInArrow(partial(count_batch, groups=groups(left)), COUNTED).repartition(groups(left), "group")
     known = counted.groupBy("group").applyInArrow(frequencies, "batch bigint, tokens binary, df binary")
     prefixes = batches.groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(lambda a, b: prefixes_of(a, b, percent), PREFIXES)
     roots = link_components(sets, stored(prefixes, "prefixes"), percent)

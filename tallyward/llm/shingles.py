@@ -15,8 +15,10 @@ CHUNK = 1 << 19
 MASK = (1 << 64) - 1
 #: Multipliers of the sums over a shingle's words, both odd.
 BASE, STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-#: Words whose hashes are kept, at most, and the longest such word in bytes.
-KEPT_WORDS, KEPT_BYTES = 1 << 18, 40
+#: Words of more bytes are hashed one by one, by a cryptographic hash.
+BLOCK_BYTES = 64
+#: Bytes of a block that are a word's, for each number of them.
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 #: A-Z in lower case, and whether a byte is white space.
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
@@ -29,23 +31,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def word_hash(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-
-
-class WordHashes(dict):
-    """Hashes of words, kept for short words met before; emptied when it grows large."""
-
-    def __missing__(self, word: bytes) -> int:
-        out = word_hash(word)
-        if len(word) <= KEPT_BYTES:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
-            self[word] = out
-        return out
-
-
-def word_hashes(data: np.ndarray, starts: np.ndarray, known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in data, lower-cased, and where each text's words begin; texts begin at starts (ascending, first 0)."""
     n = len(data)
     black = ~SPACE[data]
@@ -56,12 +42,21 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, known: WordHashes) -> tupl
     before[:1] = False
     before[1:] = black[:-1]
     first = np.flatnonzero(black & (~before | edge[:n]))
-    # the words, end to end; each is hashed once, by a cryptographic hash of its bytes
-    letters = LOWER[data[black]]
-    offsets = np.append(np.concatenate([[0], np.cumsum(black)])[first], len(letters)).astype(np.int64)
-    words = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
-    hashes = np.fromiter((known[w] for w in words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
-    return hashes[words.indices.to_numpy()], np.searchsorted(first, starts)
+    # the words, end to end, read in blocks of eight bytes. Each step maps hashes and blocks one to one, so that words of
+    # one length of up to eight bytes never collide, and longer ones no more than chance has it
+    letters = np.concatenate([LOWER[data[black]], np.zeros(8, np.uint8)])
+    offsets = np.append(np.concatenate([[0], np.cumsum(black)])[first], len(letters) - 8)
+    size = np.diff(offsets)
+    blocks = np.ndarray(len(letters) - 7, "<u8", letters, strides=(1,))
+    hashes, own = mixed(size.astype(np.uint64) + np.uint64(1)), np.arange(len(size))
+    for at in range(0, BLOCK_BYTES, 8):
+        own = own[size[own] > at]
+        if not len(own):
+            break
+        hashes[own] = mixed(hashes[own] ^ (blocks[offsets[own] + at] & MASKS[np.minimum(size[own] - at, 8)]))
+    for k in np.flatnonzero(size > BLOCK_BYTES).tolist():
+        hashes[k] = int.from_bytes(hashlib.blake2b(letters[offsets[k] : offsets[k + 1]].tobytes(), digest_size=8).digest(), "little")
+    return hashes, np.searchsorted(first, starts)
 
 
 def token_sets(texts: pa.Array, words: int = 5) -> Iterator[np.ndarray]:
@@ -74,13 +69,12 @@ def token_sets(texts: pa.Array, words: int = 5) -> Iterator[np.ndarray]:
     texts = texts.cast(pa.large_binary())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     raw = np.frombuffer(texts.buffers()[2], np.uint8) if len(texts) and texts.buffers()[2] else np.zeros(0, np.uint8)
-    known = WordHashes()
     at = 0
     while at < len(texts):
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, side="right")) - 1)
         data = raw[offsets[at] : offsets[end]]
         if len(data):
-            hashes, begin = word_hashes(data, np.minimum(offsets[at:end] - offsets[at], len(data)), known)
+            hashes, begin = word_hashes(data, np.minimum(offsets[at:end] - offsets[at], len(data)))
         else:
             hashes, begin = np.zeros(0, np.uint64), np.zeros(end - at, np.int64)
         begin = np.append(begin, len(hashes))

@@ -7,11 +7,12 @@ import re
 import time
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyward.llm import language_id, license_scan, mixing, ngram_join, packing, secret_ledger, stream_dedup
+from tallyward.llm import language_id, license_scan, mixing, ngram_join, packing, secret_ledger, shingles, stream_dedup
 from tallyward.llm.common import shared_dir, stored
 
 from .helpers import WORD, components, near_group, table, words, write
@@ -576,6 +577,17 @@ def test_op9_words_that_polynomials_confuse(spark):
     assert by_id(ngram_join.jaccard_classes(table(spark, [(i, t, "en", "a") for i, t in rows])), "n_shingles", "component_id") == components(rows)
 
 
+def test_word_hashes_tell_words_apart():
+    rng = random.Random(4)
+    many = {"".join(rng.choices("abcé", k=rng.randrange(1, 40))) for _ in range(30_000)} | {"a" * n for n in range(1, 200)} | {"b" * 70 + "a" * n for n in range(9)}
+    words_ = sorted({w.encode() for w in many})
+    data = np.frombuffer(b" ".join(words_), np.uint8)
+    hashes, begin = shingles.word_hashes(data, np.array([0]))
+    assert len(hashes) == len(words_) == len(set(hashes.tolist())) and begin.tolist() == [0]
+    upper, _ = shingles.word_hashes(np.frombuffer(b"\t\n".join(w.upper() for w in reversed(words_)), np.uint8), np.array([0]))
+    assert upper[::-1].tolist() == hashes.tolist()
+
+
 def test_op9_repeated_and_missing_ids(spark):
     rng = random.Random(5)
     x, y, z = (words(80, rng, 10_000) for _ in range(3))
