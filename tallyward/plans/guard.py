@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import threading
+import uuid
 from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.errors import ParseException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 MOST_ROWS = 200
 #: The kinds of logical plan nodes that only read.
@@ -15,73 +18,98 @@ READING = frozenset(
 )
 
 
+#: Functions that a statement may call. None of them reads files, settings, the session or the machine, or runs code.
+FUNCTIONS = frozenset(
+    "abs acos approx_count_distinct approx_percentile array array_contains array_distinct array_join array_max array_min array_size array_sort ascii asin atan atan2 avg bit_count bool_and bool_or bround cardinality cast cbrt ceil ceiling char_length coalesce collect_list collect_set concat concat_ws contains corr cos count count_if "
+    "covar_pop covar_samp cume_dist current_date current_timestamp date date_add date_diff date_format date_part date_sub date_trunc datediff day dayofmonth dayofweek dayofyear degrees dense_rank element_at endswith every exp explode extract first first_value floor format_number format_string from_unixtime get greatest grouping grouping_id "
+    "hour if ifnull in initcap instr isnan isnotnull isnull kurtosis lag last last_day last_value lead least left len length ln log log10 log2 lower lpad ltrim make_date map_keys map_values max max_by mean median min min_by minute mod mode month months_between named_struct nanvl next_day not now nth_value ntile nullif nullifzero nvl nvl2 "
+    "percent_rank percentile percentile_approx pi pmod posexplode position positive pow power quarter radians rank regexp_count regexp_extract regexp_like regexp_replace regr_count repeat replace reverse right rint rlike round row_number rpad rtrim second sequence sha2 sign signum sin size skewness slice some sort_array split sqrt startswith "
+    "std stddev stddev_pop stddev_samp string struct substr substring sum tan timestamp to_date to_timestamp translate trim trunc try_add try_avg try_cast try_divide try_subtract try_sum try_to_timestamp unix_timestamp upper var_pop var_samp variance weekday weekofyear width_bucket window year zeroifnull".split()
+)
+
+
 class Refused(ValueError):
     """The statement isn't allowed; the message says why."""
 
 
-def _nodes(plan, out: list) -> list:
-    """A logical plan's nodes, those of common table expressions and subqueries in expressions included."""
-    out.append(plan)
-    for more in (plan.children(), plan.innerChildren(), plan.subqueries()):
-        it = more.iterator()
-        while it.hasNext():
-            x = it.next()
-            if hasattr(x, "_2") and x.getClass().getSimpleName() == "Tuple2":
-                x = x._2()
-            if x.getClass().getName().startswith("org.apache.spark.sql.catalyst.plans.logical") or "Unresolved" in x.getClass().getSimpleName():
-                _nodes(x, out)
+def _each(seq) -> list:
+    it, out = seq.iterator(), []
+    while it.hasNext():
+        out.append(it.next())
     return out
 
 
+def _expression(e) -> None:
+    kind = e.getClass().getSimpleName()
+    if kind in ("UnresolvedFunction", "UnresolvedGenerator"):
+        name = [str(x).lower() for x in _each(e.nameParts())] if kind == "UnresolvedFunction" else [str(e.name().funcName()).lower()]
+        if len(name) != 1 or name[0] not in FUNCTIONS:
+            raise Refused(f"function {'.'.join(name)} isn't on the list")
+    elif "UnresolvedIdentifier" in kind:
+        raise Refused("names can't be computed")
+    elif kind == "UnresolvedAttribute" and any(str(x).lower() == "_metadata" for x in _each(e.nameParts())):
+        raise Refused("file metadata can't be read")
+    for x in _each(e.children()):
+        _expression(x)
+
+
+def _walk(plan, scope: frozenset[str], tables: frozenset[str]) -> None:
+    """Refuse what isn't allowed in plan, where the common table expressions in scope can be named."""
+    kind = plan.getClass().getSimpleName()
+    if kind not in READING:
+        raise Refused(f"{kind} isn't allowed")
+    if kind == "UnresolvedWith":  # each is seen by those after it and by the statement, and nowhere else
+        for entry in _each(plan.cteRelations()):
+            _walk(entry._2(), scope, tables)
+            scope |= {str(entry._1()).lower()}
+    elif kind == "UnresolvedRelation":
+        name = [str(x).lower() for x in _each(plan.multipartIdentifier())]
+        if not (len(name) == 1 and name[0] in scope) and ".".join(name) not in tables:
+            raise Refused(f"{'.'.join(name)} isn't on the allowlist")
+    for e in _each(plan.expressions()):
+        _expression(e)
+    for x in (*_each(plan.children()), *_each(plan.subqueries())):
+        _walk(x, scope, tables)
+
+
 def check(spark: SparkSession, sql: str, allowed: Iterable[str]) -> None:
-    """Raise Refused unless sql is one SELECT (set operations included) over allowed tables, named schema.table."""
+    """Raise Refused unless sql is one SELECT (set operations included) over allowed tables, with listed functions."""
     if not sql or not sql.strip():
         raise Refused("no statement")
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as e:  # the parser's own error, wrapped or not
         raise Refused(f"not one valid statement: {str(e).splitlines()[0] if isinstance(e, ParseException) else 'syntax error'}") from e
-    tables = {t.lower() for t in allowed}
-    nodes = _nodes(plan, [])
-    named = set()
-    for n in nodes:
-        if n.getClass().getSimpleName() == "UnresolvedWith":
-            it = n.cteRelations().iterator()
-            while it.hasNext():
-                named.add(str(it.next()._1()).lower())
-    for n in nodes:
-        kind = n.getClass().getSimpleName()
-        if kind not in READING:
-            raise Refused(f"{kind} isn't allowed")
-        if kind == "UnresolvedRelation":
-            name = str(n.tableName()).replace("`", "").lower()
-            if name not in tables and name not in named:
-                raise Refused(f"{name} isn't on the allowlist")
+    _walk(plan, frozenset(), frozenset(t.lower() for t in allowed))
 
 
 def run(spark: SparkSession, sql: str, allowed: Mapping[str, DataFrame], most_rows: int = MOST_ROWS, args: dict | None = None) -> DataFrame:
     """The result of a checked statement, of at most most_rows rows. Tables are given by schema.table.
 
-    Each allowed table is a temporary view under a private name for the time of planning, so a statement reaches
-    nothing else. args fill the statement's named parameters (:name), as values, never as text.
+    Each allowed table is a temporary view under a name of this call's own, for the time of planning. The statement is
+    checked twice: as given, and with the views' names in it, where each relation must be one of these views; so it
+    reaches nothing else, in whatever way a name is written. args fill the statement's named parameters (:name), as
+    values, never as text.
     """
     check(spark, sql, allowed)
-    views = {}
-    for name, df in allowed.items():
-        view = "allowed_" + name.replace(".", "_").lower()
-        df.createOrReplaceTempView(view)
-        views[name.lower()] = view
-    out = spark.sql(_renamed(sql, views), args=args) if args else spark.sql(_renamed(sql, views))
-    return out.limit(most_rows)
+    views = {name.lower(): f"allowed_{uuid.uuid4().hex}" for name in allowed}
+    renamed = _renamed(sql, views)
+    check(spark, renamed, views.values())
+    try:
+        for name, df in allowed.items():
+            df.createOrReplaceTempView(views[name.lower()])
+        return (spark.sql(renamed, args=args) if args else spark.sql(renamed)).limit(most_rows)
+    finally:  # the plan holds the tables themselves by now
+        for view in views.values():
+            spark.catalog.dropTempView(view)
 
 
 def _renamed(sql: str, views: Mapping[str, str]) -> str:
     """The statement with the allowed schema.table names put as views; text in quotes stays."""
-    import re
-
-    names = "|".join(sorted((r"\b" + re.escape(n).replace(r"\.", r"\s*\.\s*") + r"\b" for n in views), key=len, reverse=True))
+    part = lambda x: rf"(?:\b{re.escape(x)}\b|`{re.escape(x)}`)"
+    names = "|".join(sorted((r"\s*\.\s*".join(map(part, n.split("."))) for n in views), key=len, reverse=True))
     token = re.compile(rf"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*"|--[^\n]*|({names})""", re.I)
-    return token.sub(lambda m: views[re.sub(r"\s+", "", m[1]).lower()] if m[1] else m[0], sql)
+    return token.sub(lambda m: views[re.sub(r"[\s`]+", "", m[1]).lower()] if m[1] else m[0], sql)
 
 
 def ask(spark: SparkSession, question: str, generator: Callable[[str], str], allowed: Mapping[str, DataFrame]) -> DataFrame:
@@ -89,6 +117,31 @@ def ask(spark: SparkSession, question: str, generator: Callable[[str], str], all
     return run(spark, generator(question), allowed)
 
 
+def answer(spark: SparkSession, question: str, generator: Callable[[str], str], allowed: Mapping[str, DataFrame], seconds: float = 30.0) -> list[Row]:
+    """ask()'s rows, at most MOST_ROWS. Work that takes longer than `seconds` is cancelled, and TimeoutError raised."""
+    sc, group, late = spark.sparkContext, f"ask-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        late.set()
+        sc.cancelJobGroup(group)
+
+    result = ask(spark, question, generator, allowed)
+    before = [(k, sc.getLocalProperty(k)) for k in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")]
+    timer = threading.Timer(seconds, stop)
+    sc.setJobGroup(group, question, interruptOnCancel=True)
+    timer.start()
+    try:
+        return result.collect()
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"no answer within {seconds} seconds") from e
+        raise
+    finally:
+        timer.cancel()
+        for k, v in before:
+            sc.setLocalProperty(k, v)
+
+
 #: What each role may read.
 ROLES = {"bi": ("features.fact_feature_snapshots", "decisions.fact_decisions"), "pipeline": ("features.fact_feature_snapshots", "dim.dim_users", "dim.dim_devices"), "agent": ("features.fact_feature_snapshots", "decisions.fact_decisions", "dim.dim_users")}
 

@@ -549,7 +549,8 @@ def guarded_cube(spark, d):
 
 @query("SELECT user_id, n, rank FROM (SELECT user_id, n, rank() OVER (ORDER BY n DESC, user_id) AS rank FROM (SELECT user_id, count(*) AS n FROM dec GROUP BY user_id)) WHERE rank <= 200", TX, DEC)
 def guarded_ranking(spark, d):
-    statement = "SELECT user_id, n, rank() OVER (ORDER BY n DESC, user_id) AS rank FROM (SELECT user_id, count(*) AS n FROM decisions.fact_decisions GROUP BY user_id) ORDER BY rank"
+    statement = """SELECT user_id, n, rank() OVER (ORDER BY n DESC, user_id) AS rank FROM
+        (SELECT user_id, count(*) AS n FROM decisions.fact_decisions GROUP BY user_id ORDER BY n DESC, user_id LIMIT 200) ORDER BY rank"""
     return guard.run(spark, statement, {"decisions.fact_decisions": decisions(spark, d)})
 
 

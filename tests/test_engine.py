@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from datetime import datetime, timedelta
 
 import duckdb
@@ -99,6 +100,9 @@ def test_chunks(spark):
     [
         "", "DROP TABLE a.t", "INSERT INTO a.t VALUES (1)", "SELECT 1; SELECT 2", "SELECT * FROM a.secret", "SELECT * FROM a.t UNION SELECT * FROM a.secret", "SELECT * FROM a.t WHERE x IN (SELECT x FROM a.secret)", "WITH c AS (SELECT * FROM a.secret) SELECT * FROM c",
         "SELECT * FROM t", "SELECT * FROM cat.a.t", "SELECT * FROM IDENTIFIER('a.secret')", "SELECT * FROM range(5)", "SELEC", "CREATE TABLE x AS SELECT * FROM a.t", "SELECT * FROM parquet.`/etc`",
+        "SELECT reflect('java.lang.System','getProperty','user.dir') FROM a.t", "SELECT java_method('java.lang.System','getProperty','user.dir') FROM a.t", "SELECT try_reflect('a','b') FROM a.t", "SELECT input_file_name() FROM a.t", "SELECT x FROM a.t ORDER BY reflect('a','b')", "SELECT sum(x) OVER (ORDER BY input_file_name()) FROM a.t",
+        "SELECT s.x FROM (WITH secret AS (SELECT 1 AS y) SELECT y FROM secret) q, secret s", "WITH u AS (SELECT * FROM v), v AS (SELECT 1 AS x) SELECT * FROM u", "WITH secret AS (SELECT * FROM secret) SELECT * FROM secret", "SELECT IDENTIFIER('x') FROM a.t", "SELECT _metadata.file_path FROM a.t", "SELECT * FROM a.t LATERAL VIEW java_method('a','b') v AS y",
+        "SELECT x FROM a.t WHERE EXISTS (SELECT reflect('a','b'))", "SELECT * FROM a.t, LATERAL (SELECT * FROM b.u)", "SELECT current_user() FROM a.t", "SELECT version()", "SET x=1", "SELECT * FROM (SELECT * FROM a.secret) z",
     ],
 )
 def test_guard_refuses(spark, sql):
@@ -106,6 +110,33 @@ def test_guard_refuses(spark, sql):
         guard.check(spark, sql, ["a.t"])
 
 
+def test_guard_reads_only_what_it_was_given(spark):
+    t = spark.range(5).withColumnRenamed("id", "x")
+    spark.range(99).createOrReplaceTempView("t")
+    spark.sql("CREATE DATABASE IF NOT EXISTS guarded_db")
+    allowed = {"guarded_db.t": t}
+    for sql in ("SELECT count(*) AS n FROM `guarded_db`.`t`", "SELECT count(*) AS n FROM GUARDED_DB . t", "SELECT count(*) AS n FROM `guarded_db` . t"):
+        assert guard.run(spark, sql, allowed).first().n == 5
+    for sql in ("SELECT count(*) AS n FROM guarded_db/**/.t", "SELECT count(*) AS n FROM guarded_db./* x */t", "SELECT count(*) FROM t"):
+        with pytest.raises(guard.Refused):
+            guard.run(spark, sql, allowed)
+    assert guard.run(spark, "WITH q AS (SELECT x FROM guarded_db.t), r AS (SELECT * FROM q) SELECT 'guarded_db.t' AS s, count(*) AS n FROM r, (WITH z AS (SELECT 1 AS one) SELECT one FROM z) y", allowed).collect() == [("guarded_db.t", 5)]
+    assert not [v.name for v in spark.catalog.listTables() if v.name.startswith("allowed_")]
+    two = [guard.run(spark, "SELECT count(*) AS n FROM guarded_db.t", {"guarded_db.t": spark.range(k)}) for k in (3, 4)]
+    assert [d.first().n for d in two] == [3, 4]  # calls don't share names
+    spark.sql("DROP DATABASE guarded_db")
+
+
+def test_guard_answers_in_time(spark):
+    t = spark.range(3).withColumnRenamed("id", "x")
+    assert [r.x for r in guard.answer(spark, "all?", lambda q: "SELECT x FROM a.t ORDER BY x", {"a.t": t})] == [0, 1, 2]
+    slow = spark.range(2_000_000_000_000).withColumnRenamed("id", "x")
+    start = time.monotonic()
+    with pytest.raises(TimeoutError):
+        guard.answer(spark, "sum?", lambda q: "SELECT sum(sqrt(x)) AS s FROM a.t", {"a.t": slow}, seconds=1.5)
+    assert time.monotonic() - start < 20 and spark.range(10).count() == 10
+
+
 def test_guard_runs(spark):
     t = spark.range(500).withColumnRenamed("id", "x")
     assert guard.run(spark, "SELECT x, 'a.t' AS name FROM a.t WHERE x >= :low", {"a.t": t}, args={"low": 100}).count() == 200
