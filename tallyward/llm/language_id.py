@@ -21,8 +21,8 @@ from pyspark.sql.window import Window
 from .common import small, stored, table
 
 #: The documented bound of the sample that each declared language's trigram model is fitted on: its rows by smallest hash.
-#: Spark cuts such a rank to its first rows within each task, before the shuffle, up to a bound of 1,000.
-FIT_ROWS = 500
+#: Of a language with many texts, FIT_MARGIN times as many are expected to be ranked, far more than chance can miss.
+FIT_ROWS, FIT_MARGIN = 500, 4
 BINS = 1 << 14
 #: A text's trigrams hang together: they count as this many independent ones at most.
 MOST_EVIDENCE = 200.0
@@ -96,8 +96,12 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarra
     """
     labelled = rows.where(F.col("declared").isNotNull() & (F.trim("declared") != "") & (F.length("text") >= 3) & F.col("text").rlike(r"\p{L}"))
     labelled = labelled.select("declared", "text", F.xxhash64("text").alias("spot"))
+    # a cut of the hashes, by each language's number of texts, leaves some FIT_MARGIN times fit_rows of them to be ranked
+    pairs = stored(labelled.select("declared", "spot").distinct(), "language-texts")
+    counts = pairs.groupBy("declared").agg(F.count(F.lit(1)).alias("texts"))
+    near = pairs.join(small(counts, 100_000), "declared").where((F.col("spot") / 2.0**64 + 0.5) * F.col("texts") <= FIT_MARGIN * fit_rows)
     rank = F.row_number().over(Window.partitionBy("declared").orderBy("spot"))
-    chosen = labelled.select("declared", "spot").distinct().withColumn("rank", rank).where(F.col("rank") <= fit_rows).select("declared", "spot")
+    chosen = near.withColumn("rank", rank).where(F.col("rank") <= fit_rows).select("declared", "spot")
     sample = labelled.join(small(stored(chosen, "language-sample"), 200_000), ["declared", "spot"]).dropDuplicates(["declared", "spot"]).select("declared", "text")
     counts: dict[str, np.ndarray] = {}
     for r in sample.mapInArrow(count_trigrams, "declared string, counts binary").toLocalIterator():
