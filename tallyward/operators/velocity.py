@@ -27,9 +27,26 @@ def sliding(tx: DataFrame, name: str = "15min") -> DataFrame:
     return counts.select("user_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n")
 
 
+#: The slides in seconds.
+SLIDES = {"5min": 60, "15min": 60, "1hr": 300, "24hr": 1_800}
+
+
+def paned(tx: DataFrame, name: str = "15min") -> DataFrame:
+    """sliding() for a whole table: rows are counted in panes as long as a slide, and panes summed into windows.
+
+    Only panes go into each of the windows that hold them; a pane's rows were one row by then.
+    """
+    slide = SLIDES[name] * 1_000_000
+    panes = tx.where("transaction_ts is not null").groupBy("user_id", F.floor(F.unix_micros("transaction_ts") / slide).alias("pane")).agg(F.count(F.lit(1)).alias("n"))
+    first = F.explode(F.sequence(F.col("pane") - (SECONDS[name] // SLIDES[name] - 1), F.col("pane"))).alias("first")
+    sums = panes.select("user_id", "n", first).groupBy("user_id", "first").agg(F.sum("n").alias("n"))
+    at = lambda us: F.timestamp_micros(us)
+    return sums.select("user_id", at(F.col("first") * slide).alias("window_start"), at(F.col("first") * slide + SECONDS[name] * 1_000_000).alias("window_end"), "n")
+
+
 def sliding_all(tx: DataFrame) -> DataFrame:
-    """All four window lengths, one below the other, with window_name."""
-    parts = [sliding(tx, name).select(F.lit(name).alias("window_name"), "*") for name in WINDOWS]
+    """All four window lengths of a whole table, one below the other, with window_name."""
+    parts = [paned(tx, name).select(F.lit(name).alias("window_name"), "*") for name in WINDOWS]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

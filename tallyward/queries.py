@@ -10,7 +10,7 @@ from tallyward.operators import enrichment, evaluation, location, reports, retri
 from tallyward.plans import guard
 from tallyward.plans import reports as named
 from tallyward.sources import io
-from tallyward.sources.tables import BASELINES_SQL, CITIES_SQL, DECISIONS_SQL, TRANSACTIONS_SQL, bad_transactions, baselines, decisions, table, transactions, trusted_devices
+from tallyward.sources.tables import BASELINES_SQL, CITIES_SQL, DECISIONS_SQL, TRANSACTIONS_SQL, bad_transactions, baselines, city_part, decisions, table, transactions, trusted_devices
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -161,7 +161,7 @@ def _ntz(df: DataFrame) -> DataFrame:
 
 @query("SELECT * EXCLUDE (window_name) FROM (" + _windows("15min", 900, 60) + ")", TX)
 def sliding_velocity(spark, d):
-    return _ntz(velocity.sliding(transactions(spark, d)))
+    return _ntz(velocity.paned(transactions(spark, d)))
 
 
 @query(" UNION ALL ".join(f"({_windows(n, velocity.SECONDS[n], s)})" for n, s in SLIDES.items()), TX)
@@ -362,12 +362,9 @@ def widened_regions(spark, d):
 
 @query(f"SELECT user_id, i AS city FROM (SELECT DISTINCT user_id FROM tx) u JOIN (SELECT i AS h, lat AS hlat, lon AS hlon FROM {CITIES_SQL}) ON h = user_id % 10 JOIN {CITIES_SQL} ON {KM.format('hlat', 'hlon', 'lat', 'lon')} >= 5000", TX)
 def far_cities(spark, d):
-    from tallyward.operators.generators import far_cities as far
-    from tallyward.sources.tables import city_part
-
     people = transactions(spark, d).select("user_id").distinct()
     home = F.col("user_id") % 10
-    return far(people.select("user_id", city_part(home, "lat").alias("home_latitude"), city_part(home, "lon").alias("home_longitude")))
+    return location.far_cities(people.select("user_id", city_part(home, "lat").alias("home_latitude"), city_part(home, "lon").alias("home_longitude")))
 
 
 @query("SELECT user_id, transaction_id, city, amount FROM tx QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY transaction_ts DESC, transaction_id) = 1", TX)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,23 @@ EVENT_SCHEMA = (
 VELOCITY_SCHEMA = "transaction_id string, user_id string, amount double, city string, country string, transaction_ts string"
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder that driver and executors all see, in spark.checkpoint.dir; a temporary one on a single machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="tallyward-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back, for tables that are read more than once."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_stream(spark: SparkSession, path: str, format: str = "text", schema: str | None = None, max_files_per_trigger: int | None = None, **options: str) -> DataFrame:
     """A streaming DataFrame. Files by default; with format "kafka", give the connector's options and cast value."""
     reader = spark.readStream.format(format).options(**options)

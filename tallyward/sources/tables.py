@@ -9,14 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: City, country, latitude, longitude; the first ten are homes.
+#: Cities chosen for this engine's inputs: city, country, latitude, longitude; the first ten are homes.
 CITIES = (
-    ("Boston", "US", 42.3601, -71.0589), ("New York", "US", 40.7128, -74.0060), ("Chicago", "US", 41.8781, -87.6298),
-    ("Los Angeles", "US", 34.0522, -118.2437), ("Miami", "US", 25.7617, -80.1918), ("Seattle", "US", 47.6062, -122.3321),
-    ("Austin", "US", 30.2672, -97.7431), ("Denver", "US", 39.7392, -104.9903), ("Atlanta", "US", 33.7490, -84.3880),
-    ("San Francisco", "US", 37.7749, -122.4194), ("London", "UK", 51.5074, -0.1278), ("Tokyo", "JP", 35.6762, 139.6503),
-    ("Dubai", "AE", 25.2048, 55.2708), ("Mumbai", "IN", 19.0760, 72.8777), ("Sydney", "AU", -33.8688, 151.2093),
-    ("Paris", "FR", 48.8566, 2.3522), ("Singapore", "SG", 1.3521, 103.8198), ("Shanghai", "CN", 31.2304, 121.4737),
+    ("Portland", "US", 45.52, -122.68), ("Phoenix", "US", 33.45, -112.07), ("Dallas", "US", 32.78, -96.80), ("Minneapolis", "US", 44.98, -93.27), ("Philadelphia", "US", 39.95, -75.17),
+    ("Charlotte", "US", 35.23, -80.84), ("Detroit", "US", 42.33, -83.05), ("Salt Lake City", "US", 40.76, -111.89), ("Nashville", "US", 36.16, -86.78), ("Kansas City", "US", 39.10, -94.58),
+    ("Toronto", "CA", 43.65, -79.38), ("Lisbon", "PT", 38.72, -9.14), ("Nairobi", "KE", -1.29, 36.82), ("Lima", "PE", -12.05, -77.04), ("Seoul", "KR", 37.57, 126.98),
+    ("Oslo", "NO", 59.91, 10.75), ("Auckland", "NZ", -36.85, 174.76), ("Cape Town", "ZA", -33.92, 18.42),
 )
 HOMES = 10
 #: The same, for SQL; i counts from 0.

@@ -80,3 +80,13 @@ def to_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
 def latest_windows(batches: DataFrame) -> DataFrame:
     """The last count of each window from update-mode batches: a later batch's count stands."""
     return batches.groupBy("user_id", "window_start", "window_end").agg(F.max_by("n", "batch").alias("n"))
+
+
+def stop_in_order(running: list[StreamingQuery]) -> None:
+    """Let each query take in what there is, then stop them all; an error of any comes up once all are stopped."""
+    try:
+        for query in running:
+            query.processAllAvailable()
+    finally:
+        for query in running:
+            query.stop()

@@ -2,39 +2,72 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyward import queries as batch
+from tallyward.sources.io import shared_folder
 from tallyward.sources.tables import transactions
-from tallyward.streaming.engine import latest_windows, place_stream, to_batches, velocity_stream
+from tallyward.streaming.engine import latest_windows, place_stream, stop_in_order, to_batches, velocity_stream
 
 #: Rows of one trigger of the place stream, about: a user's rows of a trigger are in memory together.
 TRIGGER_ROWS = 1_000_000
 
 
-def _folder(spark: SparkSession) -> str:
-    """A fresh shared folder: under spark.checkpoint.dir, or a temporary one where that is unset."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tallyward-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+def _in_turn(parts: list[DataFrame], start) -> str:
+    """Write each part to a stream's input and run the stream to its end before the next comes; the folder of all this.
+
+    start(stream, folder) starts the query. It goes on from its checkpoint, so the order doesn't rest on files' times.
+    """
+    folder = shared_folder(parts[0].sparkSession, "stream")
+    for part in parts:
+        part.write.mode("append").parquet(f"{folder}/in")
+        start(part.sparkSession.readStream.schema(part.schema).parquet(f"{folder}/in"), folder).awaitTermination()
+    return folder
 
 
-def _as_stream(df: DataFrame, folder: str) -> DataFrame:
-    """df as a stream of several files, read two at a time."""
-    df.repartitionByRange(4, "transaction_ts").write.parquet(f"{folder}/in")
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+def _windows_of(parts: list[DataFrame]) -> DataFrame:
+    """The last counts of the 15-minute windows of a velocity stream over parts, under the 10-minute watermark."""
+    folder = _in_turn(parts, lambda stream, folder: to_batches(velocity_stream(stream), f"{folder}/out", f"{folder}/check", "update"))
+    found = latest_windows(parts[0].sparkSession.read.parquet(f"{folder}/out"))
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 
 def streamed_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sliding 15-minute counts from a stream with a watermark, in update mode."""
-    folder = _folder(spark)
+    """Sliding 15-minute counts from a stream in update mode, under the rule's watermark: windows that it passes are let go.
+
+    The stream takes ranges of time one after the other, so no row comes late.
+    """
     tx = transactions(spark, sf_dir).select("transaction_id", "user_id", "transaction_ts")
-    # all rows are within the watermark's reach here: files come in time order, whole
-    to_batches(velocity_stream(_as_stream(tx, folder), watermark="40 days"), f"{folder}/out", f"{folder}/check", "update").awaitTermination()
-    found = latest_windows(spark.read.parquet(f"{folder}/out"))
-    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+    return _windows_of(list(_ranges(tx, min(TRIGGER_ROWS, max(1, -(-tx.count() // 3))))))
+
+
+def late_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with every 50th row coming after all others: it still counts in windows that the watermark hasn't passed."""
+    tx = transactions(spark, sf_dir).select("transaction_id", "user_id", "transaction_ts")
+    late = F.col("transaction_id") % 50 == 0
+    return _windows_of([tx.where(~late), tx.where(late)])
+
+
+def two_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, windows, places): both streams at once in one session, each with its own checkpoint, on a 1-second trigger.
+
+    They are stopped when all input is through; whatever they wrote is whole by then.
+    """
+    tx = transactions(spark, sf_dir).select("transaction_id", "user_id", "latitude", "longitude", "city", "transaction_ts")
+    folder = shared_folder(spark, "streams")
+    tx.write.parquet(f"{folder}/in")
+    stream = lambda: spark.readStream.schema(tx.schema).parquet(f"{folder}/in")
+    running = [
+        to_batches(velocity_stream(stream()), f"{folder}/windows", f"{folder}/windows-check", "update", trigger="1 second"),
+        to_batches(place_stream(stream()), f"{folder}/places", f"{folder}/places-check", trigger="1 second", empty_batches=False),
+    ]
+    stop_in_order(running)
+    windows = latest_windows(spark.read.parquet(f"{folder}/windows")).groupBy("user_id").agg(F.sum("n").alias("windows"))
+    places = spark.read.parquet(f"{folder}/places").join(tx.select("transaction_id", "user_id"), "transaction_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("places"))
+    return windows.join(places, "user_id", "full_outer")
 
 
 def _cuts(tx: DataFrame, rows: int) -> list[int]:
@@ -51,21 +84,26 @@ def streamed_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return locations_of(tx).select("transaction_id", "prev_city", F.timestamp_micros("prev_at").cast("timestamp_ntz").alias("prev_ts"))
 
 
-def locations_of(tx: DataFrame, trigger_rows: int = TRIGGER_ROWS) -> DataFrame:
-    """place_stream over tx. Each range of time, about trigger_rows rows, is written and then streamed to its end.
-
-    The stream goes on from its checkpoint with the next range, so the order doesn't rest on the files' times.
-    """
-    spark, folder = tx.sparkSession, _folder(tx.sparkSession)
+def _ranges(tx: DataFrame, rows: int) -> Iterator[DataFrame]:
+    """tx in ranges of time of about `rows` rows, in order; rows without a time come first."""
     at = F.unix_micros("transaction_ts")
-    cuts = _cuts(tx, trigger_rows)
+    cuts = _cuts(tx, rows)
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         inside = (F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high)
-        (tx.where(inside | at.isNull()) if low is None else tx.where(inside)).write.mode("append").parquet(f"{folder}/in")
-        stream = spark.readStream.schema(tx.schema).parquet(f"{folder}/in")
-        to_batches(place_stream(stream), f"{folder}/out", f"{folder}/check", empty_batches=False).awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+        yield tx.where(inside | at.isNull()) if low is None else tx.where(inside)
+
+
+def locations_of(tx: DataFrame, trigger_rows: int = TRIGGER_ROWS) -> DataFrame:
+    """place_stream over tx, range of time by range of time."""
+    folder = _in_turn(list(_ranges(tx, trigger_rows)), lambda stream, folder: to_batches(place_stream(stream), f"{folder}/out", f"{folder}/check", empty_batches=False))
+    return tx.sparkSession.read.parquet(f"{folder}/out")
+
 
+_AT = "(epoch_us(transaction_ts) // 60000000) * 60"
+LATE_SQL = f"""WITH {batch.TX}, w AS (SELECT transaction_id % 50 = 0 AS late, user_id, unnest(generate_series({_AT} - 840, {_AT}, 60)) AS s FROM tx),
+m AS (SELECT max(epoch_us(transaction_ts)) - 600000000 AS mark FROM tx WHERE transaction_id % 50 <> 0)
+SELECT user_id, make_timestamp(s * 1000000) AS window_start, make_timestamp((s + 900) * 1000000) AS window_end, count(*) AS n FROM w, m WHERE NOT late OR (s + 900) * 1000000 > mark GROUP BY ALL"""
+TWO_SQL = f"WITH {batch.TX} SELECT user_id, count(*) * 15 AS windows, count(*) AS places FROM tx GROUP BY user_id"
 
-QUERIES = {f.__name__: f for f in (streamed_velocity, streamed_locations)}
-ORACLES = {"streamed_velocity": batch.ORACLES["sliding_velocity"], "streamed_locations": batch.ORACLES["guarded_locations"]}
+QUERIES = {f.__name__: f for f in (streamed_velocity, streamed_locations, late_velocity, two_streams)}
+ORACLES = {"streamed_velocity": batch.ORACLES["sliding_velocity"], "streamed_locations": batch.ORACLES["guarded_locations"], "late_velocity": LATE_SQL, "two_streams": TWO_SQL}

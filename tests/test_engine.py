@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyward import queries
-from tallyward.operators import evaluation, generators, location, retrieval, velocity, warehouse
+from tallyward.operators import evaluation, location, retrieval, velocity, warehouse
 from tallyward.plans import guard, reports
 from tallyward.sources import io
 
@@ -59,6 +59,34 @@ def test_guarded_equals_loop(spark):
         base[u] = location.advance(base.get(u), lat, lon, city, int((at - datetime(1970, 1, 1)).total_seconds() * 1e6))
 
 
+@pytest.mark.parametrize("rows_a_batch", [1, 7, 10_000])
+def test_guarded_keeps_replayed_rows_and_their_columns(spark, rows_a_batch):
+    rows = [*rows_of(300), (300, 1, 42.0, -71.0, "c", None), (None, 2, 51.5, -0.13, "d", datetime(2024, 1, 2)), (2**53 + 1, 2, float("nan"), 1.0, None, datetime(2024, 1, 2))]
+    tx = spark.createDataFrame(rows + rows[:20] + rows[:20], TX).withColumn("_extra", F.lit("x"))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows_a_batch))
+    try:
+        out = location.with_guarded(tx).collect()
+    finally:
+        spark.conf.set(name, before)
+    assert len(out) == len(rows) + 40 and all(r._extra == "x" for r in out)
+    us = lambda t: None if t is None else int((t - datetime(1970, 1, 1)).total_seconds() * 1e6)
+    key = lambda r: (r[1], r[5] is not None, r[5] or datetime(1970, 1, 1), r[0] is not None, r[0] or 0)
+    want, base = [], {}
+    for r in sorted(rows + rows[:20] + rows[:20], key=key):
+        b = base.get(r[1])
+        want.append(str((r[0], r[1], b and b[0], b and b[2], b and b[3])))
+        base[r[1]] = location.advance(b, *r[2:5], us(r[5]))
+    assert sorted(str((r.transaction_id, r.user_id, r.prev_lat, r.prev_city, us(r.prev_ts))) for r in out) == sorted(want)
+
+
+def test_panes_equal_windows(spark):
+    tx = spark.createDataFrame([*rows_of(200), (900, 1, 1.0, 1.0, "c", datetime(1969, 12, 31, 23, 59, 30)), (901, 1, 1.0, 1.0, "c", None)], TX)
+    for name in velocity.WINDOWS:
+        assert sorted(map(str, velocity.paned(tx, name).collect())) == sorted(map(str, velocity.sliding(tx, name).collect()))
+
+
 def test_trailing_counts_the_same_moment(spark):
     t = datetime(2024, 1, 1)
     rows = [(1, 1, t), (2, 1, t + timedelta(minutes=15)), (3, 1, t + timedelta(minutes=15, microseconds=1)), (4, 1, t)]
@@ -161,16 +189,6 @@ def test_parse_and_stage(spark, tmp_path):
     assert io.write_once(spark.range(3), path) and not io.write_once(spark.range(9), path) and spark.read.parquet(path).count() == 3
 
 
-def test_generators_repeat(spark):
-    people = generators.users(spark, 200)
-    tx = generators.transactions(people, 10)
-    first, again = (sorted(map(str, generators.transactions(generators.users(spark, 200), 10).collect())) for _ in range(2))
-    assert first == again and tx.count() > 2000
-    share = tx.where("is_synthetic_fraud").select(F.count_distinct(F.substring_index("transaction_id", "-", 2))).first()[0] / 2000
-    assert 0.1 < share < 0.2 and tx.agg(F.min("amount")).first()[0] > 0
-    assert generators.devices(people).groupBy("user_id").agg(F.max("is_trusted").alias("t")).where("not t").count() == 0
-
-
 def test_streams_equal_batch(spark, sf_dir):
     from tallyward.streaming import queries as streams
 
