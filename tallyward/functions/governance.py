@@ -11,7 +11,7 @@ TRANSIENT = ("timeout", "timed out", "connection", "connectionerror", "connectio
 
 
 def autonomy_tier(decision: Column, confidence: Column, amount: Column) -> Column:
-    """Reasons to hold back come first, so a row that matches several rules lands on the cautious side."""
+    """The tier of a decision; rules are tried in this order, and the first that holds decides."""
     return (
         F.when(decision == "ESCALATE", "SUGGEST")
         .when(confidence.isNull() | (confidence < CONFIDENCE_FLOOR), "SUGGEST")
@@ -21,18 +21,6 @@ def autonomy_tier(decision: Column, confidence: Column, amount: Column) -> Colum
     )
 
 
-def tier_reason(decision: Column, confidence: Column, amount: Column) -> Column:
-    """The rule behind autonomy_tier, in words."""
-    return (
-        F.when(decision == "ESCALATE", "escalated: a suggestion for the review queue")
-        .when(confidence.isNull(), "no confidence given: held for review")
-        .when(confidence < CONFIDENCE_FLOOR, F.concat(F.lit("confidence "), F.format_number(confidence, 2), F.lit(f" under {CONFIDENCE_FLOOR}: held for review")))
-        .when(decision == "BLOCK", "confident block: carried out and reported")
-        .when(amount <= AUTO_ALLOW_MAX, "confident allow within the silent cap")
-        .otherwise("confident allow over the silent cap: reported")
-    )
-
-
 def outcome_correct(decision: Column, is_fraud: Column) -> Column:
     """Null for escalations."""
     return F.when(decision != "ESCALATE", (decision == "BLOCK") == F.coalesce(is_fraud, F.lit(False)))
@@ -50,11 +38,6 @@ def surfaced_patterns(elevated: Column, label: Column) -> Column:
     return F.array_sort(F.array_distinct(F.when((own != "") & (own != "NONE"), F.array_append(listed, own)).otherwise(listed)))
 
 
-def surfaced_from_list(elevated: Column, label: Column) -> Column:
-    """surfaced_patterns for an array of names."""
-    return surfaced_patterns(F.array_join(elevated, ","), label)
-
-
 def step_type(role: Column, has_tool_calls: Column, name: Column) -> Column:
     """Kind of a trace step by the message's role."""
     return (

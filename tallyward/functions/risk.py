@@ -57,16 +57,31 @@ def scored(df: DataFrame) -> DataFrame:
     df = df.withColumns({f"signal_{k}": v for k, v in s.items()})
     s = {k: F.col(f"signal_{k}") for k in s}
     df = df.withColumn("risk_score_raw", score(s))
+    placed = F.col("prev_lat").isNotNull() & nonzero(F.col("latitude")).isNotNull() & nonzero(F.col("longitude")).isNotNull()
     return df.select(
         "transaction_id", "user_id", "transaction_ts", "velocity_15min", F.coalesce("amount", F.lit(0.0)).alias("txn_amount"),
         F.coalesce("avg_amount", F.lit(DEFAULT_AVG)).alias("user_avg_amount"), F.coalesce("stddev_amount", F.lit(DEFAULT_STDDEV)).alias("user_stddev_amount"),
-        F.round("z", 4).alias("amount_zscore"), F.when(F.col("prev_lat").isNotNull() & nonzero(F.col("latitude")).isNotNull() & nonzero(F.col("longitude")).isNotNull(), F.col("prev_city")).alias("prev_transaction_city"),
-        F.round(nonzero(F.col("geo_km")), 2).alias("geo_distance_km"), F.round(nonzero(F.col("minutes")), 2).alias("time_since_last_txn_min"),
+        F.round("z", 4).alias("amount_zscore"), F.when(placed, F.col("prev_city")).alias("prev_transaction_city"),
+        F.when(placed, F.col("prev_ts")).alias("prev_transaction_ts"), F.round(nonzero(F.col("geo_km")), 2).alias("geo_distance_km"), F.round(nonzero(F.col("minutes")), 2).alias("time_since_last_txn_min"),
         "is_new_device", "device_id", "city", "country", nonzero(F.col("latitude")).alias("latitude"), nonzero(F.col("longitude")).alias("longitude"),
         "suspect_location", "risk_score_raw", flag(F.col("risk_score_raw"), F.col("suspect_location"), s).alias("is_flagged_for_review"), "is_synthetic_fraud", "fraud_pattern",
     )
 
 
+#: The fact row's columns. Of the velocities only one is filled, as the rules use no other.
+FACT_COLUMNS = (
+    "snapshot_id user_surrogate_key transaction_id user_id computed_at velocity_5min velocity_15min velocity_1hr velocity_24hr txn_amount user_avg_amount user_stddev_amount amount_zscore prev_transaction_city prev_transaction_ts "
+    "geo_distance_km time_since_last_txn_min is_new_device device_id risk_score_raw is_flagged_for_review is_synthetic_fraud fraud_pattern"
+).split()
+
+
+def fact_row(features: DataFrame, now: Column) -> DataFrame:
+    """Feature rows as the fact table has them. Keys follow from the transaction and the user, so a replay has the same."""
+    key = lambda what, c: F.md5(F.concat_ws(":", F.lit(what), F.col(c).cast("string")).cast("binary"))
+    none = {f"velocity_{x}": F.lit(None).cast("bigint") for x in ("5min", "1hr", "24hr")}
+    return features.withColumns({"snapshot_id": key("snapshot", "transaction_id"), "user_surrogate_key": key("user", "user_id"), "computed_at": now, **none}).select(*FACT_COLUMNS)
+
+
 def triggers(s: dict[str, Column], geo_hard: Column, flagged: Column) -> Column:
     """Why a row was flagged: one hard rule alone, several, the weighted score only, or none."""
     hard = {"geo": geo_hard, "amount": s["amount"] >= AMOUNT_HARD, "velocity": s["velocity"] >= VELOCITY_HARD}

@@ -45,3 +45,9 @@ def split_quarantine(df: DataFrame, error: Column) -> tuple[DataFrame, DataFrame
     """(good rows, bad rows with error_reason)."""
     marked = df.withColumn("error_reason", error)
     return marked.where("error_reason is null").drop("error_reason"), marked.where("error_reason is not null")
+
+
+def append_checked(rows: DataFrame, reason: Column, path: str) -> None:
+    """Append the rows without an error to a table; a failed write leaves it as it was."""
+    good, _ = split_quarantine(rows, reason)
+    good.select(*rows.columns).write.mode("append").parquet(path)

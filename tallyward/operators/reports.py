@@ -34,6 +34,11 @@ def review_queue(decisions: DataFrame, n: int) -> DataFrame:
     return decisions.withColumn("tier", tier).where("tier = 'SUGGEST' and not human_reviewed").orderBy("decided_at", "decision_id").limit(n)
 
 
+def any_one(rows: DataFrame, key: str, seed: int = 0) -> DataFrame:
+    """One row, by the smallest hash of seed and key."""
+    return rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), key).cast("binary")), key).limit(1)
+
+
 def stratified(rows: DataFrame, per_stratum: int, seed: int = 0) -> DataFrame:
     """As many fraud as legitimate rows, by smallest hash of id and seed: the same sample each time.
 

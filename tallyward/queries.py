@@ -169,9 +169,9 @@ def sliding_velocity_all(spark, d):
     return _ntz(velocity.sliding_all(transactions(spark, d)))
 
 
-@query("SELECT user_id, arg_max(velocity_15min, row(transaction_ts, transaction_id)) AS velocity_15min, arg_max(velocity_15min, row(transaction_ts, transaction_id)) > 1 AS flagged FROM trail GROUP BY user_id", TX, TRAIL)
+@query("SELECT user_id, arg_max(velocity_15min, row(transaction_ts, transaction_id)) AS velocity_15min, arg_max(velocity_15min, row(transaction_ts, transaction_id)) > 5 AS flagged FROM trail GROUP BY user_id", TX, TRAIL)
 def velocity_flags(spark, d):
-    return velocity.flagged_users(transactions(spark, d), above=1)
+    return velocity.flagged_users(transactions(spark, d))
 
 
 # ---- checks and quarantine
@@ -600,3 +600,118 @@ def vector_top(spark, d):
 def hybrid_search(spark, d):
     words = retrieval.bm25(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "released license").withColumnRenamed("doc_id", "vec_id")
     return retrieval.hybrid(words, _vectors(spark, d), "vec_id").select("vec_id", F.round("score", 4).alias("score"))
+
+
+@query("""SELECT id AS vec_id, round(0.5 * coalesce(v, 0) + 0.5 * coalesce(w, 0), 4) AS score FROM
+  (SELECT doc_id AS id, CASE WHEN max(score) OVER () > min(score) OVER () THEN (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) ELSE 1 END AS w FROM bm JOIN (SELECT doc_id FROM documents WHERE lang = 'en') USING (doc_id) WHERE score > 0)
+  FULL JOIN (SELECT vec_id AS id, CASE WHEN max(score) OVER () > min(score) OVER () THEN (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) ELSE 1 END AS v FROM cosn JOIN (SELECT doc_id AS vec_id FROM documents WHERE lang = 'en') USING (vec_id)) USING (id) ORDER BY 0.5 * coalesce(v, 0) + 0.5 * coalesce(w, 0) DESC, id LIMIT 5""", BM25, COS)
+def hybrid_search_filtered(spark, d):
+    """The same among documents of one language: the filter comes before scores are spread."""
+    docs = table(spark, d, "documents")
+    words = retrieval.bm25(docs.select("doc_id", "text"), "doc_id", "released license").withColumnRenamed("doc_id", "vec_id")
+    among = docs.where("lang = 'en'").select(F.col("doc_id").alias("vec_id"))
+    return retrieval.hybrid(words, _vectors(spark, d), "vec_id", among=among).select("vec_id", F.round("score", 4).alias("score"))
+
+
+@query("SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS rank, '[' || row_number() OVER (ORDER BY score DESC, doc_id) || '] score ' || printf('%.3f', score) || ': ' || substr(coalesce(text, ''), 1, 60) AS line FROM bm JOIN documents USING (doc_id) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 3", BM25)
+def formatted_hits(spark, d):
+    """The three best keyword hits as an agent's tool shows them."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return retrieval.formatted(retrieval.bm25(docs, "doc_id", "released license"), docs, "doc_id")
+
+
+@query("SELECT doc_id::VARCHAR AS source_file, len(regexp_extract_all(coalesce(text, ''), '\\S+'))::BIGINT AS n_words, 0::BIGINT AS n_truncated, true AS unit_length FROM documents WHERE regexp_matches(coalesce(text, ''), '\\S')")
+def ingested(spark, d):
+    """Documents as Markdown through the whole ingest: cut into chunks, checked against the model's length, embedded, written.
+
+    A document's words all arrive, no chunk is over the model's length, and every embedding has length 1.
+    """
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?m)^#", "\\\\#")
+    docs = table(spark, d, "documents").where(F.coalesce("text", F.lit("")).rlike(r"\S")).select(F.col("doc_id").cast("string").alias("source_file"), F.concat(F.lit("# title\n## part\n"), plain).alias("text"))
+    chunks = retrieval.ingest(docs, retrieval.hashed_embedding(), io.shared_folder(spark, "chunks"))
+    near_one = F.abs(retrieval.dot(F.col("embedding"), F.col("embedding")) - 1) < 1e-4
+    # each chunk carries five words of its own: "Fraud Pattern: title" and "## part"
+    return chunks.groupBy("source_file").agg(F.sum(F.col("word_count") - 5).alias("n_words"), F.count_if("truncated").alias("n_truncated"), F.every(near_one).alias("unit_length"))
+
+
+FACT = """SELECT md5('snapshot:' || transaction_id) AS snapshot_id, transaction_id, user_id, md5('user:' || user_id) AS user_surrogate_key, TIMESTAMP '2024-02-01' AS computed_at, NULL::BIGINT AS velocity_5min, velocity_15min, NULL::BIGINT AS velocity_1hr, NULL::BIGINT AS velocity_24hr,
+  amount AS txn_amount, round(avg_amount, 6) AS user_avg_amount, round(stddev_amount, 6) AS user_stddev_amount, round(z, 4) AS amount_zscore, prev_city AS prev_transaction_city, prev_ts AS prev_transaction_ts, round(nullif(km, 0), 2) AS geo_distance_km, round(nullif(mins, 0), 2) AS time_since_last_txn_min,
+  is_new_device, device_id, risk AS risk_score_raw, flag AS is_flagged_for_review, is_synthetic_fraud, fraud_pattern FROM flagged"""
+
+
+@query(FACT, TX, BASE, TRUSTED, TRAIL, GUARDED, SCORED)
+def fact_rows(spark, d):
+    """The whole fact row, 23 columns, as it is written for each transaction."""
+    tx = transactions(spark, d)
+    rows = risk.fact_row(enrichment.features(tx, baselines(tx), trusted_devices(tx)), F.lit("2024-02-01").cast("timestamp_ntz"))
+    return rows.withColumns({c: F.round(c, 6) for c in ("user_avg_amount", "user_stddev_amount")}).withColumn("prev_transaction_ts", F.col("prev_transaction_ts").cast("timestamp_ntz"))
+
+
+@query(f"SELECT transaction_id, CASE WHEN transaction_id % 91 = 0 THEN 'risk_not_probability' WHEN transaction_id % 79 = 0 THEN 'zscore_not_finite' END AS error_reason FROM tx WHERE transaction_id % 91 = 0 OR transaction_id % 79 = 0", TX)
+def feature_errors(spark, d):
+    """Feature rows that the validator sets aside for their risk or z-score."""
+    t, i = transactions(spark, d), F.col("transaction_id")
+    rows = t.select("transaction_id", "amount", F.when(i % 91 == 0, 1.5).otherwise(0.5).alias("risk_score_raw"), F.when(i % 79 == 0, float("nan")).otherwise(0.1).alias("amount_zscore"), F.lit("NONE").alias("fraud_pattern"))
+    reason = validation.feature_error(F.col("amount"), F.col("risk_score_raw"), F.col("amount_zscore"), F.col("fraud_pattern"))
+    return rows.select("transaction_id", reason.alias("error_reason")).where("error_reason is not null")
+
+
+TOOL_TURN = "role = 'assistant' AND turn % 4 = 1"
+
+
+@query(f"""SELECT conv_id AS decision_id, turn AS step_number, CASE WHEN {TOOL_TURN} THEN 'TOOL_CALL' WHEN role = 'user' THEN 'INPUT' WHEN role = 'assistant' THEN 'REASONING' WHEN role = 'tool' THEN 'TOOL_OUTPUT' ELSE 'OTHER' END AS step_type,
+  CASE WHEN {TOOL_TURN} THEN 'profile, history' END AS tool_name, CASE WHEN {TOOL_TURN} THEN len(text)::BIGINT END AS first_argument, CASE WHEN role = 'assistant' THEN len(regexp_extract_all(text, '\\S+'))::BIGINT END AS tokens_used,
+  CASE WHEN role = 'user' OR (role = 'assistant' AND NOT ({TOOL_TURN})) THEN text END AS reasoning_text FROM conversations""")
+def trace_tools(spark, d):
+    """Trace rows with tool calls: one row a message, the tools' names joined, their arguments as one variant, the tokens counted."""
+    c = table(spark, d, "conversations")
+    calling = (F.col("role") == "assistant") & (F.col("turn") % 4 == 1)
+    n = F.length("text").cast("bigint")
+    call = lambda name: F.struct(F.lit(name).alias("name"), F.struct(n.alias("n")).alias("args"))
+    m = c.select("conv_id", "turn", "role", "text", F.when(calling, F.array(call("profile"), call("history"))).alias("tool_calls"), F.when(F.col("role") == "assistant", F.regexp_count("text", F.lit(r"\S+")).cast("bigint")).alias("tokens_used"))
+    kind = governance.step_type(F.col("role"), F.col("tool_calls").isNotNull(), F.lit(None).cast("string"))
+    row = m.select(F.col("conv_id").alias("decision_id"), F.col("turn").alias("step_number"), kind.alias("step_type"), F.array_join(F.transform("tool_calls", lambda x: x["name"]), ", ").alias("tool_name"), F.parse_json(F.to_json("tool_calls")).alias("tool_input"), "tokens_used", F.when(kind.isin("INPUT", "REASONING", "HANDOFF"), F.col("text")).alias("reasoning_text"))
+    return row.withColumn("first_argument", F.variant_get("tool_input", "$[0].args.n", "bigint")).drop("tool_input")
+
+
+@query("""SELECT DISTINCT c.conv_id, c.turn, d.decision FROM conversations c JOIN dec d ON d.decision_id = c.conv_id""", TX, DEC)
+def traces_of_decisions(spark, d):
+    """Each trace step with its decision."""
+    return table(spark, d, "conversations").select("conv_id", "turn").join(decisions(spark, d).select(F.col("decision_id").alias("conv_id"), "decision"), "conv_id").distinct()
+
+
+@query("SELECT decision_id, decision, confidence_score FROM dec WHERE decision = 'ESCALATE' OR (confidence_score IS NOT NULL AND confidence_score <= 0.97)", TX, DEC)
+def appended_decisions(spark, d):
+    """Decisions that pass the check are appended to the table; the others are kept out of it."""
+    c = F.when(F.col("confidence_score") > 0.97, F.col("confidence_score") + 1).otherwise(F.col("confidence_score"))
+    rows = decisions(spark, d).select("decision_id", "decision", F.when((F.col("decision") == "ESCALATE") & (c > 1), F.col("confidence_score")).otherwise(c).alias("confidence_score"))
+    path = io.shared_folder(spark, "decisions")
+    validation.append_checked(rows, validation.decision_error(F.col("decision"), F.col("confidence_score")), path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+@query("SELECT transaction_id FROM tx JOIN (SELECT user_id, transaction_id AS t FROM tx WHERE amount > 100 ORDER BY md5('0:' || transaction_id), transaction_id LIMIT 1) x ON t = transaction_id", TX)
+def one_flagged(spark, d):
+    """One flagged transaction, the same one each time: the first by a seeded hash."""
+    return reports.any_one(transactions(spark, d).where("amount > 100"), "transaction_id").select("transaction_id")
+
+
+@query("SELECT user_id::VARCHAR AS key, count(*) AS n, count(*) FILTER (WHERE amount > 100) AS large FROM tx GROUP BY user_id", TX)
+def topic_messages(spark, d):
+    """Events as a keyed topic's messages (key, value), written and read back as JSON."""
+    path = io.shared_folder(spark, "topic")
+    io.to_topic(transactions(spark, d).select("transaction_id", "user_id", "amount"), "user_id", path)
+    back = spark.read.schema("key string, value string").json(path)
+    amount = F.get_json_object("value", "$.amount").cast("double")
+    return back.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(amount > 100).alias("large"))
+
+
+@query("SELECT b.user_id, round(avg_amount, 6) AS avg_amount, coalesce(string_agg(device_id::VARCHAR, ',' ORDER BY device_id), '') AS devices FROM base b LEFT JOIN trusted t USING (user_id) GROUP BY ALL", TX, BASE, TRUSTED)
+def profile_cache(spark, d):
+    """Profiles with their devices as one JSON object a user, written and read back."""
+    tx = transactions(spark, d)
+    devices = trusted_devices(tx).groupBy("user_id").agg(F.sort_array(F.collect_list("device_id")).alias("devices"))
+    path = io.shared_folder(spark, "profiles")
+    baselines(tx).join(devices, "user_id", "left").select("user_id", "avg_amount", F.coalesce("devices", F.array().cast("array<bigint>")).alias("devices")).write.json(path)
+    back = spark.read.schema("user_id bigint, avg_amount double, devices array<bigint>").json(path)
+    return back.select("user_id", F.round("avg_amount", 6).alias("avg_amount"), F.array_join(F.transform("devices", lambda x: x.cast("string")), ",").alias("devices"))

@@ -51,6 +51,12 @@ def parse_events(raw: DataFrame, column: str = "value", schema: str = EVENT_SCHE
     return data.where("transaction_id is not null and user_id is not null and transaction_ts is not null")
 
 
+def to_topic(df: DataFrame, key: str, path: str) -> None:
+    """df as a keyed topic's messages: key, and the row as JSON. Files stand for the broker, which isn't here."""
+    messages = df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*df.columns)).alias("value"))
+    messages.write.mode("append").json(path)
+
+
 def stage(df: DataFrame, path: str, rows_per_file: int = 50_000) -> None:
     """Append to Parquet staging. The write is committed as a whole; nothing waits in a buffer to be lost."""
     df.write.mode("append").option("maxRecordsPerFile", rows_per_file).option("compression", "snappy").parquet(path)
