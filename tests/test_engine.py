@@ -123,6 +123,34 @@ def test_chunks(spark):
     assert sum(c.word_count for c in two) - 5 * len(two) == 404 and two[0].text.startswith("Fraud Pattern: GEO\n\n## Two\npara one")
 
 
+def brute_chunks(pattern, section, body, most=retrieval.MAX_WORDS):
+    prefix = f"{retrieval.PREFIX}{pattern}\n\n## {section}\n"
+    if len((prefix + body).split()) <= most:
+        return [prefix + body]
+    budget, pieces = max(1, most - len(prefix.split())), []
+    for p in (p.strip() for p in body.split("\n")):
+        w = p.split()
+        pieces += [] if not w else [p] if len(w) <= budget else [" ".join(w[i : i + budget]) for i in range(0, len(w), budget)]
+    chunks, n = [], 0
+    for p in pieces:
+        k = len(p.split())
+        if not chunks or n + k > budget:
+            chunks.append([])
+            n = 0
+        chunks[-1].append(p)
+        n += k
+    return [prefix + "\n\n".join(c) for c in chunks]
+
+
+def test_document_chunks_equal_brute(spark, sf_dir):
+    import pandas as pd
+
+    docs = pd.read_parquet(f"{sf_dir}/documents.parquet")
+    want = sorted((int(r.doc_id), i, t) for r in docs.itertuples() for i, t in enumerate(brute_chunks(r.source or "", r.lang or "", r.text or "")))
+    got = sorted((r.doc_id, r.chunk, r.text) for r in queries.QUERIES["document_chunks"](spark, sf_dir).collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want] and got == want
+
+
 @pytest.mark.parametrize(
     "sql",
     [
