@@ -382,15 +382,21 @@ def user_sets(spark, d):
 # ---- evaluation
 
 
-@query("""SELECT *, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall, fp / nullif(fp + tn, 0) AS false_positive_rate,
+CONFUSION = """SELECT *, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall, fp / nullif(fp + tn, 0) AS false_positive_rate,
   2.0 * (tp / nullif(tp + fp, 0)) * (tp / nullif(tp + fn, 0)) / ((tp / nullif(tp + fp, 0)) + (tp / nullif(tp + fn, 0))) AS f1
   FROM (SELECT count(*) FILTER (WHERE decision = 'BLOCK' AND is_synthetic_fraud) AS tp, count(*) FILTER (WHERE decision = 'BLOCK' AND NOT is_synthetic_fraud) AS fp,
-               count(*) FILTER (WHERE decision = 'ALLOW' AND is_synthetic_fraud) AS fn, count(*) FILTER (WHERE decision = 'ALLOW' AND NOT is_synthetic_fraud) AS tn FROM dec)""", TX, DEC)
+               count(*) FILTER (WHERE decision = 'ALLOW' AND is_synthetic_fraud) AS fn, count(*) FILTER (WHERE decision = 'ALLOW' AND NOT is_synthetic_fraud) AS tn FROM dec)"""
+
+
+@query(CONFUSION, TX, DEC)
 def confusion(spark, d):
     return evaluation.confusion(decisions(spark, d))
 
 
-@query("SELECT count(*) FILTER (WHERE decision = 'ESCALATE') / nullif(count(*), 0) AS escalation_rate, count(*) FILTER (WHERE decision = 'ESCALATE') AS escalations, count(*) FILTER (WHERE decision = 'ESCALATE') * 1.0::DOUBLE AS escalation_cost FROM dec", TX, DEC)
+ESCALATIONS = "SELECT count(*) FILTER (WHERE decision = 'ESCALATE') / nullif(count(*), 0) AS escalation_rate, count(*) FILTER (WHERE decision = 'ESCALATE') AS escalations, count(*) FILTER (WHERE decision = 'ESCALATE') * 1.0::DOUBLE AS escalation_cost FROM dec"
+
+
+@query(ESCALATIONS, TX, DEC)
 def escalations(spark, d):
     return evaluation.escalations(decisions(spark, d))
 
@@ -398,10 +404,13 @@ def escalations(spark, d):
 SEEN = "coalesce(elevated_patterns LIKE '%' || lower(fraud_pattern) || ',%' OR (elevated_patterns IS NOT NULL AND fraud_pattern = 'GEO_JUMP'), false) OR identified_pattern = fraud_pattern"
 
 
-@query(f"""SELECT *, caught / n AS recall, primary_correct / n AS pattern_id_accuracy, detected / n AS detection_rate, mislabeled / n AS mislabeled_rate, missed / n AS missed_rate FROM (
+PER_PATTERN = f"""SELECT *, caught / n AS recall, primary_correct / n AS pattern_id_accuracy, detected / n AS detection_rate, mislabeled / n AS mislabeled_rate, missed / n AS missed_rate FROM (
   SELECT fraud_pattern AS pattern, count(*) AS n, count(*) FILTER (WHERE decision <> 'ALLOW') AS caught, count(*) FILTER (WHERE identified_pattern = fraud_pattern) AS primary_correct,
          count(*) FILTER (WHERE {SEEN}) AS detected, count(*) FILTER (WHERE ({SEEN}) AND identified_pattern <> fraud_pattern) AS mislabeled, count(*) FILTER (WHERE NOT ({SEEN})) AS missed
-  FROM dec WHERE is_synthetic_fraud GROUP BY fraud_pattern)""", TX, DEC)
+  FROM dec WHERE is_synthetic_fraud GROUP BY fraud_pattern)"""
+
+
+@query(PER_PATTERN, TX, DEC)
 def per_pattern(spark, d):
     return evaluation.per_pattern(decisions(spark, d))
 
@@ -409,25 +418,37 @@ def per_pattern(spark, d):
 PAIRS = "pairs AS (SELECT CASE decision WHEN 'BLOCK' THEN confidence_score ELSE 1 - confidence_score END AS p, CASE WHEN is_synthetic_fraud THEN 1.0 ELSE 0.0 END::DOUBLE AS o FROM dec WHERE decision <> 'ESCALATE' AND confidence_score IS NOT NULL)"
 
 
-@query("SELECT round(avg((p - o) * (p - o)), 4) AS brier_score, count(*) AS n FROM pairs", TX, DEC, PAIRS)
+BRIER = "SELECT round(avg((p - o) * (p - o)), 4) AS brier_score, count(*) AS n FROM pairs"
+
+
+@query(BRIER, TX, DEC, PAIRS)
 def brier(spark, d):
     return evaluation.brier(decisions(spark, d))
 
 
-@query("SELECT CASE WHEN p >= 0.8 THEN '[0.8,1.0)' WHEN p >= 0.6 THEN '[0.6,0.8)' WHEN p >= 0.4 THEN '[0.4,0.6)' WHEN p >= 0.2 THEN '[0.2,0.4)' ELSE '[0.0,0.2)' END AS bin, count(*) AS n, round(avg(p), 3) AS mean_predicted, round(avg(o), 3) AS observed_fraud_rate FROM pairs GROUP BY ALL", TX, DEC, PAIRS)
+RELIABILITY = "SELECT CASE WHEN p >= 0.8 THEN '[0.8,1.0)' WHEN p >= 0.6 THEN '[0.6,0.8)' WHEN p >= 0.4 THEN '[0.4,0.6)' WHEN p >= 0.2 THEN '[0.2,0.4)' ELSE '[0.0,0.2)' END AS bin, count(*) AS n, round(avg(p), 3) AS mean_predicted, round(avg(o), 3) AS observed_fraud_rate FROM pairs GROUP BY ALL"
+
+
+@query(RELIABILITY, TX, DEC, PAIRS)
 def reliability(spark, d):
     return evaluation.reliability(decisions(spark, d))
 
 
-@query("""SELECT round(a, 9) AS mean_judge_on_correct, round(b, 9) AS mean_judge_on_incorrect, n_correct, n_incorrect, round(a - b, 9) AS agreement_gap FROM (
+JUDGED = """SELECT round(a, 9) AS mean_judge_on_correct, round(b, 9) AS mean_judge_on_incorrect, n_correct, n_incorrect, round(a - b, 9) AS agreement_gap FROM (
   SELECT avg(judge_score) FILTER (WHERE r) AS a, avg(judge_score) FILTER (WHERE NOT r) AS b, count(*) FILTER (WHERE r) AS n_correct, count(*) FILTER (WHERE NOT r) AS n_incorrect
-  FROM (SELECT judge_score, (decision = 'BLOCK') = is_synthetic_fraud AS r FROM dec WHERE judge_score IS NOT NULL AND decision <> 'ESCALATE'))""", TX, DEC)
+  FROM (SELECT judge_score, (decision = 'BLOCK') = is_synthetic_fraud AS r FROM dec WHERE judge_score IS NOT NULL AND decision <> 'ESCALATE'))"""
+
+
+@query(JUDGED, TX, DEC)
 def judge_agreement(spark, d):
     j = evaluation.judge_agreement(decisions(spark, d))
     return j.select(*[F.round(c, 9).alias(c) if k == "double" else F.col(c) for c, k in j.dtypes])
 
 
-@query("SELECT count(*) AS n, sum(latency_ms)::BIGINT // count(latency_ms) AS mean_latency_ms, round(avg(judge_score), 9) AS mean_judge_score FROM dec", TX, DEC)
+COSTS = "SELECT count(*) AS n, sum(latency_ms)::BIGINT // count(latency_ms) AS mean_latency_ms, round(avg(judge_score), 9) AS mean_judge_score FROM dec"
+
+
+@query(COSTS, TX, DEC)
 def decision_costs(spark, d):
     return evaluation.costs(decisions(spark, d)).withColumn("mean_judge_score", F.round("mean_judge_score", 9))
 
@@ -439,6 +460,22 @@ def scorecard_counts(spark, d):
     return evaluation.scorecard(decisions(spark, d)).where("concat(block, '.', metric) in ('escalation.escalations', 'classification.tp', 'cost.n', 'calibration.n')")
 
 
+def _unpivoted(block, sql, key=None):
+    """SQL that turns a block's row or rows into (block, metric, value)."""
+    values = f"SELECT {key or 'NULL'} AS k, COLUMNS(* {f'EXCLUDE {key}' if key else ''})::DOUBLE FROM ({sql})"
+    return f"SELECT {block} AS block, metric, round(value, 9) AS value FROM ({values}) UNPIVOT INCLUDE NULLS (value FOR metric IN (COLUMNS(* EXCLUDE k)))"
+
+
+SCORECARD = " UNION ALL ".join([_unpivoted(f"'{block}'", sql) for block, sql in (("classification", CONFUSION), ("escalation", ESCALATIONS), ("calibration", BRIER), ("judge", JUDGED), ("cost", COSTS))]
+                               + [_unpivoted("'pattern ' || k", PER_PATTERN, "pattern"), _unpivoted("'reliability ' || k", RELIABILITY, "bin")])
+
+
+@query(SCORECARD, TX, DEC, PAIRS)
+def scorecard(spark, d):
+    """Every figure of the scorecard."""
+    return evaluation.scorecard(decisions(spark, d)).withColumn("value", F.round("value", 9))
+
+
 def _attributed(spark, d):
     tx = transactions(spark, d)
     df = enrichment.new_device(velocity.trailing(location.with_lag(tx), "15min").join(baselines(tx), "user_id", "left"), trusted_devices(tx))

@@ -109,6 +109,8 @@ def test_empty_decisions(spark, sf_dir):
     c = evaluation.confusion(none).first()
     assert (c.tp, c.precision, c.f1) == (0, None, None)
     assert evaluation.brier(none).first().brier_score is None and evaluation.reliability(none).count() == 0
+    card = {(r.block, r.metric): r.value for r in evaluation.scorecard(none).collect()}
+    assert len(card) == 21 and card["classification", "tp"] == 0 and card["cost", "mean_judge_score"] is None
 
 
 def test_chunks(spark):
