@@ -81,14 +81,15 @@ def pack_documents(docs: DataFrame, lengths: Sequence[int] = LENGTHS, group_docs
     """One row per piece of docs (doc_id, text): its words from `start`, and its place in bin (bin_group, bin).
 
     Null and empty texts are one piece of 0 words; a null doc_id stays null. Rows that repeat are packed each for
-    itself, and dealt over the groups by their place in the table, so that no text fills a group by its copies.
+    itself, and dealt over the groups by their place in the table (file and row), so that no text fills a group by its
+    copies, however they are spread over files.
     """
     lengths = tuple(sorted(set(lengths)))
     longest = lengths[-1]
     groups = max(1, -(-docs.count() // group_docs))
     words = F.regexp_count(text_or_empty(), F.lit(WORD)).cast("bigint")
-    sized = numbered(docs.select("doc_id", "text")).select(F.col("doc_id").cast("bigint").alias("doc_id"), words.alias("size"), F.xxhash64("doc_id", "text").alias("copy"), F.col(f"{ROW}.at").alias("at"))
-    sized = sized.withColumn("bin_group", F.pmod(F.xxhash64("copy", "at"), F.lit(groups)))
+    sized = numbered(docs.select("doc_id", "text")).select(F.col("doc_id").cast("bigint").alias("doc_id"), words.alias("size"), F.xxhash64("doc_id", "text").alias("copy"), F.xxhash64(ROW).alias("place"))
+    sized = sized.withColumn("bin_group", F.pmod("place", F.lit(groups)))
     pieces = sized.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("size") / longest).cast("int") - 1))))
     pieces = pieces.withColumn("start", F.col("piece").cast("bigint") * longest).withColumn("words", F.least(F.col("size") - F.col("start"), F.lit(longest)).cast("bigint"))
     return pieces.select("doc_id", "piece", "start", "words", "copy", "bin_group").groupBy("bin_group").applyInArrow(lambda rows: pack_group(rows, lengths), PIECES)

@@ -9,7 +9,9 @@ is SPREAD times the bound of the class below, at SPREAD times that.
 Reading: one archive at a time, as one value, record by record; archives from elsewhere should be of some hundred MB at
 most. A record counts when its version line, its headers, its length, its
 closing blank lines and its block digest are all right. After a failed check the reader searches for the next version
-line or gzip member that starts a right record, logs the bytes between as a quarantined gap, and goes on from there.
+line or gzip member that starts a right record, logs the bytes between as a quarantined gap, and goes on from there. A
+record that ends where its headers say, but is damaged within, is passed over whole: what its page may hold is no record
+of the archive.
 """
 
 from __future__ import annotations
@@ -28,13 +30,16 @@ from .common import shared_dir, small, stored, table
 
 #: Fixed values of the format.
 VERSION, END, GZIP = b"WARC/1.1\r\n", b"\r\n\r\n", b"\x1f\x8b\x08"
+#: What headers end with: the empty line, or a version line if they are torn.
+HEADERS_END = re.compile(re.escape(END) + b"|\r\n" + re.escape(VERSION))
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_OK = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 LEAST_REVISIT_BYTES = 100
 #: Bytes of pages in one archive, about, and the ratio of the bounds of two classes of size.
 ARCHIVE_BYTES, SPREAD = 1 << 26, 4
-#: Bytes of a record's headers, at most, and of compressed data that is read at a time.
-HEADER_BYTES, CHUNK = 1 << 16, 1 << 14
+#: Bytes of compressed data that is read at a time, and bytes that the headers of a gzip member may inflate to where the
+#: archive itself is shorter (else as many as it has): a member that goes on without an end of headers is a damaged one.
+CHUNK, MEMBER_HEADER_BYTES = 1 << 14, 1 << 24
 
 
 def record_bytes(date: str) -> Column:
@@ -89,30 +94,38 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
         own.write.mode("append").option("lineSep", "\n").option("maxRecordsPerFile", records).text(path)
 
 
-def parse_record(data: bytes, at: int) -> tuple[dict, bytes, int] | None:
-    """Headers (lower-case names), block and end of the record at `at`; None if any check fails."""
+def parse_record(data: bytes, at: int) -> tuple[dict, bytes, int] | int | None:
+    """Headers (lower-case names), block and end of the record at `at`.
+
+    Headers may have any length: they end at the first empty line, and a version line before that, or a line that is no
+    header, means they are torn. If whole headers say where the record ends, and it does end there, but another check
+    fails, only that end is returned: what lies before it is this record's own, whatever it looks like. Else None.
+    """
     if not data.startswith(VERSION, at):
         return None
-    head = data.find(END, at, at + HEADER_BYTES)
-    if head < 0:
+    stop = HEADERS_END.search(data, at + len(VERSION) - 2)
+    if not stop or stop[0] != END:
         return None
+    head = stop.start()
     headers = {}
     for raw in data[at + len(VERSION) : head].split(b"\r\n"):
         name, colon, value = raw.partition(b":")
         if not colon or not name.strip():
             return None
         headers[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    if not re.fullmatch("[0-9]{1,18}", headers.get("content-length", "")) or "warc-type" not in headers or "warc-record-id" not in headers:
+    if not re.fullmatch("[0-9]{1,18}", headers.get("content-length", "")):
         return None
     start = head + len(END)
     end = start + int(headers["content-length"])
-    block = data[start:end]
     if data[end : end + len(END)] != END:
         return None
+    if "warc-type" not in headers or "warc-record-id" not in headers:
+        return end + len(END)
+    block = data[start:end]
     stated = headers.get("warc-block-digest", "")
     algorithm, _, value = stated.partition(":")
     if stated and (algorithm not in ("sha1", "sha256") or not digest_matches(hashlib.new(algorithm, block).digest(), value)):
-        return None
+        return end + len(END)
     return headers, block, end + len(END)
 
 
@@ -120,10 +133,9 @@ def digest_matches(own: bytes, stated: str) -> bool:
     return stated.lower() == own.hex() or stated == base64.b32encode(own).decode()
 
 
-def stated_end(head: bytes) -> int | None:
-    """Where the record that begins with head ends, by its headers; None if they aren't all there yet."""
-    cut = head.find(END)
-    length = re.search(rb"(?im)^content-length:[ \t]*([0-9]{1,18})[ \t]*\r$", head[: cut + 2]) if cut >= 0 else None
+def stated_end(head: bytes, cut: int) -> int | None:
+    """Where the record ends whose headers are head up to the empty line at cut; None if they don't say."""
+    length = re.search(rb"(?im)^content-length:[ \t]*([0-9]{1,18})[ \t]*\r$", head[: cut + 2])
     return cut + 2 * len(END) + int(length[1]) if length else None
 
 
@@ -132,7 +144,7 @@ def inflate(data: bytes, at: int) -> tuple[bytes, int] | None:
 
     A damaged member may go on as if whole far into what follows it; it is given up once it is longer than its record.
     """
-    member, view, out, most = zlib.decompressobj(31), memoryview(data), bytearray(), None
+    member, view, out, most, looked = zlib.decompressobj(31), memoryview(data), bytearray(), None, 0
     fed = b""
     try:
         while not member.eof:
@@ -143,8 +155,10 @@ def inflate(data: bytes, at: int) -> tuple[bytes, int] | None:
             out += member.decompress(fed, CHUNK)
             fed = member.unconsumed_tail
             if most is None:
-                most = stated_end(bytes(out[:HEADER_BYTES]))
-            if not out.startswith(VERSION[: len(out)]) or len(out) > (HEADER_BYTES if most is None else most):
+                cut, looked = out.find(END, looked), max(0, len(out) - len(END) + 1)
+                if cut >= 0 and (most := stated_end(bytes(out[: cut + len(END)]), cut)) is None:
+                    return None
+            if not out.startswith(VERSION[: len(out)]) or len(out) > (max(MEMBER_HEADER_BYTES, len(data)) if most is None else most):
                 return None
     except zlib.error:
         return None
@@ -156,12 +170,16 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict, bytes]]:
     at, bad = 0, None
     starts = re.compile(re.escape(VERSION) + b"|" + re.escape(GZIP))
     while at < len(data):
-        found = None
+        found, passed = None, None
         if data.startswith(GZIP, at):
-            if (member := inflate(data, at)) and (inner := parse_record(member[0], 0)) and inner[2] == len(member[0]):
-                found = (inner[0], inner[1], member[1])
+            if member := inflate(data, at):
+                inner, passed = parse_record(member[0], 0), member[1]
+                if isinstance(inner, tuple) and inner[2] == len(member[0]):
+                    found = (inner[0], inner[1], member[1])
         else:
             found = parse_record(data, at)
+            if isinstance(found, int):
+                found, passed = None, found
         if found:
             if bad is not None:
                 yield "gap", bad, at, {}, b""
@@ -170,7 +188,8 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict, bytes]]:
             at = found[2]
         else:
             bad = at if bad is None else bad
-            m = starts.search(data, at + 1)
+            # a record or member that ends where it says is passed over as a whole, so nothing within it is taken for one
+            m = starts.search(data, passed or at + 1)
             at = m.start() if m else len(data)
     if bad is not None:
         yield "gap", bad, len(data), {}, b""
@@ -216,7 +235,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per page, from the archives as read back. Empty and null html are payloads of 0 bytes.
 
     A page without page_id is a response record under no number, and gets a null back. The archives written here are
-    whole, so nothing is quarantined; damaged_pages reads damaged ones.
+    whole, so nothing is quarantined; damaged_pages reads damaged ones. URLs may have any length.
     """
     path = shared_dir(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
@@ -229,7 +248,8 @@ def damaged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, readable) of the pages, from archives in which every page of a number divisible by 7 was damaged.
 
     A damaged record has another block digest than its header states; the reader salvages all the others, whatever lies
-    between, and reports each run of damaged ones as a gap.
+    between, and reports each run of damaged ones as a gap. A page without page_id is never damaged; it is readable, under
+    a null. Pages that share a page_id are a row each.
     """
     path = shared_dir(spark, "warc-damaged")
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload")).withColumns({"digest": F.sha2("payload", 256), "refers_to": F.lit(None).cast("bigint")})
@@ -242,11 +262,12 @@ def damaged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = read_archives(spark, path, payloads=False)
     page = F.regexp_extract("record_id", "^<urn:page:(-?[0-9]+)>$", 1).try_cast("bigint")
     read = found.where("kind = 'record'").select(page.alias("page_id"), F.lit(True).alias("readable"))
-    lost = pages.select("page_id").join(read.select("page_id").distinct(), "page_id", "left_anti").select("page_id", F.lit(False).alias("readable"))
+    seen = read.select(F.col("page_id").alias("seen")).distinct()
+    lost = pages.select("page_id").join(seen, F.col("page_id").eqNullSafe(F.col("seen")), "left_anti").select("page_id", F.lit(False).alias("readable"))
     return read.unionAll(lost)
 
 
-DAMAGED_SQL = "SELECT page_id, page_id % 7 <> 0 AS readable FROM pages"
+DAMAGED_SQL = "SELECT page_id, coalesce(page_id % 7 <> 0, true) AS readable FROM pages"
 OP10_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 d AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha256(body) AS payload_digest FROM p),

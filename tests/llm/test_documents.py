@@ -393,6 +393,34 @@ def test_op6_whole_and_within(spark):
             at += p.words
 
 
+def test_op6_many_files_of_equal_rows(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    rows = table(spark, [(1, "a b c", "en", "a")])
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: rows.write.parquet(f"{tmp_path}/docs/part={k}"), range(60)))
+    out = packing.pack_documents(spark.read.parquet(f"{tmp_path}/docs"), (4, 8), group_docs=6).groupBy("bin_group").count().collect()
+    assert sum(r["count"] for r in out) == 60 and max(r["count"] for r in out) <= 18
+
+
+def test_op6_query_equals_brute(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, words(rng.choice([0, 3, 50, 300, 900, 4000, 9000]), rng), "en", "a") for i in range(80)] + EDGE[:3]
+    sf = write(table(spark, rows), tmp_path, "documents")
+    out = packing.op6_best_fit_packing(spark, sf).collect()
+    want = []
+    for i, t, *_ in rows:
+        n = len(WORD.findall(t or ""))
+        want += [(str(i), k, k * 4096, min(4096, n - k * 4096)) for k in range(max(1, -(-n // 4096)))]
+    assert sorted((str(r.doc_id), r.piece, r.start, r.words) for r in out) == sorted(want)
+    groups, bins = {}, {}
+    for r in out:
+        groups.setdefault(r.bin_group, []).append(r.words)
+        bins[r.bin_group, r.bin] = r.bin_cost
+    brute = sum(min(brute_pack(sorted(g, reverse=True), packing.LENGTHS, floor)[1] for floor in (*packing.LENGTHS, None)) for g in groups.values())
+    assert sum(bins.values()) <= brute + 1e-6
+
+
 def brute_pack(sizes, lengths, floor):
     """Best fit by looking at every bin for every piece."""
     bins, rest = [], sum(sizes)

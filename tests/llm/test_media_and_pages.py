@@ -159,10 +159,10 @@ def test_salvage():
         assert [s for s, _ in spots] == [0, *(e for _, e in spots)][: len(spots)] and (not spots or spots[-1][1] == len(data))
 
 
-@pytest.mark.parametrize("kind", ["members", "broken members", "open headers", "version lines"])
+@pytest.mark.parametrize("kind", ["members", "broken members", "open headers", "version lines", "long lengths", "wrong digests", "long headers in members"])
 def test_salvage_takes_linear_time(kind):
     member = gzip.compress(record(1, b"x" * 2000), mtime=0)
-    data = {"members": member, "broken members": member[:-9] + b"\0", "open headers": b"WARC/1.1\r\nA: b\r\n", "version lines": b"WARC/1.1\r\n\r\n"}[kind]
+    data = {"members": member, "broken members": member[:-9] + b"\0", "open headers": b"WARC/1.1\r\nA: b\r\n", "version lines": b"WARC/1.1\r\n\r\n", "long lengths": b"WARC/1.1\r\nContent-Length: 999999999\r\n\r\n", "wrong digests": record(1, b"x" * 90, "0" * 64), "long headers in members": gzip.compress(b"WARC/1.1\r\nA: " + b"b" * 4000, mtime=0)}[kind]
 
     def seconds(n):
         start = time.perf_counter()
@@ -186,6 +186,21 @@ def test_archives_are_bounded_by_bytes(spark, tmp_path):
     assert sorted(int(r.record_id[10:-1]) for r in found) == list(range(len(rows))) and {bytes(r.payload).decode() for r in found} == {h for *_, h in rows}
 
 
+def test_op10_long_urls_and_embedded_records(spark, tmp_path):
+    rows = [(1, "http://h/" + "a" * 100_000, "x" * 200), (2, "u", "x" * 200), (3, "u" * 70_009, None)]
+    sf = write(spark.createDataFrame(rows, "page_id bigint, url string, html string"), tmp_path, "pages")
+    assert sorted((r.page_id, r.payload_bytes, r.refers_to) for r in warc.op10_warc(spark, sf).collect()) == [(1, 200, None), (2, 200, 1), (3, 0, None)]
+    inner = record(99, b"inner").decode()
+    pages = spark.createDataFrame([(7, "u", f"<p>{inner}</p>"), (8, "u", "y"), (14, "u", inner)], "page_id bigint, url string, html string")
+    sf = write(pages, tmp_path / "b", "pages")
+    assert sorted((r.page_id, r.readable) for r in warc.damaged_pages(spark, sf).collect()) == [(7, False), (8, True), (14, False)]
+
+
+def test_salvage_of_long_headers_in_members():
+    long = record(5, b"body").replace(b"WARC-Type", b"WARC-Target-URI: " + b"a" * 90_000 + b"\r\nWARC-Type")
+    assert kinds(long + gzip.compress(long, mtime=0) + record(6, b"x")) == [("record", "5"), ("record", "5"), ("record", "6")]
+
+
 def test_damaged_pages(spark, tmp_path):
     rows = [(i, "u", f"<p>{i}</p>" * (i % 5)) for i in range(60)] + [(None, "u", "x")]
     sf = write(spark.createDataFrame(rows, "page_id bigint, url string, html string"), tmp_path, "pages")
