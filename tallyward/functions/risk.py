@@ -50,8 +50,8 @@ def with_travel(df: DataFrame) -> DataFrame:
     return df.withColumn("suspect_location", impossible_travel(F.col("geo_km"), implied_kmh(F.col("geo_km"), F.col("minutes"))))
 
 
-def scored(df: DataFrame) -> DataFrame:
-    """Feature rows: df needs amount, avg_amount, stddev_amount, velocity_15min, is_new_device and with_travel's columns."""
+def scored(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Feature rows: df needs amount, avg_amount, stddev_amount, velocity_15min, is_new_device and with_travel's columns; those of keep come along."""
     df = df.withColumn("z", zscore(F.col("amount"), F.col("avg_amount"), F.col("stddev_amount")))
     s = signals(F.col("velocity_15min"), F.col("z"), F.col("geo_km"), F.col("is_new_device"))
     df = df.withColumns({f"signal_{k}": v for k, v in s.items()})
@@ -64,7 +64,7 @@ def scored(df: DataFrame) -> DataFrame:
         F.round("z", 4).alias("amount_zscore"), F.when(placed, F.col("prev_city")).alias("prev_transaction_city"),
         F.when(placed, F.col("prev_ts")).alias("prev_transaction_ts"), F.round(nonzero(F.col("geo_km")), 2).alias("geo_distance_km"), F.round(nonzero(F.col("minutes")), 2).alias("time_since_last_txn_min"),
         "is_new_device", "device_id", "city", "country", nonzero(F.col("latitude")).alias("latitude"), nonzero(F.col("longitude")).alias("longitude"),
-        "suspect_location", "risk_score_raw", flag(F.col("risk_score_raw"), F.col("suspect_location"), s).alias("is_flagged_for_review"), "is_synthetic_fraud", "fraud_pattern",
+        "suspect_location", "risk_score_raw", flag(F.col("risk_score_raw"), F.col("suspect_location"), s).alias("is_flagged_for_review"), "is_synthetic_fraud", "fraud_pattern", *keep,
     )
 
 

@@ -62,7 +62,10 @@ def query(oracle: str | None, *ctes: str):
 
 def feature_rows(spark: SparkSession, d: str, guarded: bool) -> DataFrame:
     tx = transactions(spark, d)
-    rows = enrichment.features(tx, baselines(tx), trusted_devices(tx), guarded)
+    return as_snapshots(enrichment.features(tx, baselines(tx), trusted_devices(tx), guarded))
+
+
+def as_snapshots(rows: DataFrame) -> DataFrame:
     return rows.select("transaction_id", "user_id", "velocity_15min", "amount_zscore", "prev_transaction_city", "geo_distance_km", "time_since_last_txn_min", "is_new_device", "suspect_location", "risk_score_raw", "is_flagged_for_review")
 
 

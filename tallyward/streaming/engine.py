@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from tallyward.operators.location import advance
 from tallyward.operators.velocity import WATERMARK, sliding
+from tallyward.streaming.features import STATE_TTL_MS, in_time_order
 
-#: How long a user's last place is kept.
-STATE_TTL_MS = 86_400_000
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
@@ -26,22 +24,23 @@ def velocity_stream(events: DataFrame, name: str = "15min", watermark: str = WAT
 class LastPlace(StatefulProcessor):
     """A user's last believed place, with a time to live; gives each row the place that it is compared with.
 
-    A user's rows of a trigger come in chunks; all of them are taken in time order, null times first, so a user's rows of
-    one trigger are in memory together. A row that comes after later ones is compared with what is believed by
-    then; its time lies before the base's, and the comparison voids itself.
+    All of a user's rows of a trigger are taken in time order, null times first, so they are in memory together. A row
+    that comes after later ones is compared with what is believed by then; its time lies before the base's, and the
+    comparison voids itself.
     """
 
+    def __init__(self, ttl_ms: int = STATE_TTL_MS) -> None:
+        self.ttl_ms = ttl_ms
+
     def init(self, handle) -> None:
-        self.place = handle.getValueState("place", "lat double, lon double, city string, at bigint", ttlDurationMs=STATE_TTL_MS)
+        self.place = handle.getValueState("place", "lat double, lon double, city string, at bigint", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        held = self.place.get() if self.place.exists() else None
-        base = tuple(held) if held else None
-        out = []
-        for row in pd.concat(list(rows)).sort_values(["at", "transaction_id"], kind="stable", na_position="first").itertuples(index=False):
-            out.append((row.transaction_id, *(base or (None,) * 4)))
-            base = advance(base, row.latitude, row.longitude, row.city, None if pd.isna(row.at) else int(row.at))
-        yield pd.DataFrame(out, columns=["transaction_id", "prev_lat", "prev_lon", "prev_city", "prev_at"]).astype({"prev_at": "Int64"})
+        base = tuple(self.place.get()) if self.place.exists() else None
+        made = Row("transaction_id", "user_id", "prev_lat", "prev_lon", "prev_city", "prev_at")
+        for row in in_time_order(list(rows)):
+            yield made(row["transaction_id"], row["user_id"], *(base or (None,) * 4))
+            base = advance(base, row["latitude"], row["longitude"], row["city"], row["at"])
         if base is not None:
             self.place.update(base)
 
@@ -49,12 +48,34 @@ class LastPlace(StatefulProcessor):
         pass
 
 
-def place_stream(events: DataFrame) -> DataFrame:
-    """(transaction_id, prev_lat, prev_lon, prev_city, prev_at) for a stream of transactions, by keyed state."""
-    kind = events.schema["transaction_id"].dataType.simpleString()
+def place_stream(events: DataFrame, ttl_ms: int = STATE_TTL_MS) -> DataFrame:
+    """(transaction_id, user_id, prev_lat, prev_lon, prev_city, prev_at) for a stream of transactions, by keyed state.
+
+    Rows pass as they are, value by value, so that ids of any size and missing ones stay themselves.
+    """
+    kinds = dict(events.dtypes)
     slim = events.select("transaction_id", "user_id", "latitude", "longitude", "city", F.unix_micros("transaction_ts").alias("at"))
-    schema = f"transaction_id {kind}, prev_lat double, prev_lon double, prev_city string, prev_at bigint"
-    return slim.groupBy("user_id").transformWithStateInPandas(LastPlace(), outputStructType=schema, outputMode="Append", timeMode="ProcessingTime")
+    schema = f"transaction_id {kinds['transaction_id']}, user_id {kinds['user_id']}, prev_lat double, prev_lon double, prev_city string, prev_at bigint"
+    return slim.groupBy("user_id").transformWithState(LastPlace(ttl_ms), outputStructType=schema, outputMode="Append", timeMode="ProcessingTime")
+
+
+def last_places(spark: SparkSession, checkpoint: str, users: DataFrame) -> DataFrame:
+    """(user_id, lat, lon, city, at) for every row of users (user_id), looked up in the state that a place stream left at its checkpoint.
+
+    The checkpoint is read as a table: no stream need run. A user without state has nulls.
+    """
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "place").load()
+    state = state.select(F.col("key.user_id").alias("user_id"), *[F.col(f"value.value.{c}" if "value" in state.schema["value"].dataType.names else f"value.{c}").alias(c) for c in ("lat", "lon", "city", "at")])
+    return users.join(state, "user_id", "left")
+
+
+def last_counts(spark: SparkSession, checkpoint: str, users: DataFrame) -> DataFrame:
+    """(user_id, n) for every row of users: the count of the user's last window that a velocity stream still holds, 0 without one."""
+    state = spark.read.format("statestore").option("path", checkpoint).load()
+    window = [f.name for f in state.schema["key"].dataType.fields if f.name != "user_id"][0]
+    value = state.schema["value"].dataType.names[0]
+    latest = state.groupBy(F.col("key.user_id").alias("user_id")).agg(F.max_by(F.col(f"value.`{value}`"), F.col(f"key.`{window}`.end")).alias("n"))
+    return users.join(latest, "user_id", "left").select("user_id", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
 
 
 def to_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", trigger: str | None = None, empty_batches: bool = True) -> StreamingQuery:

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyward import queries as batch
-from tallyward.sources.io import shared_folder
-from tallyward.sources.tables import transactions
-from tallyward.streaming.engine import latest_windows, place_stream, stop_in_order, to_batches, velocity_stream
+from tallyward.sources.io import shared_folder, written
+from tallyward.sources.tables import bad_transactions, baselines, transactions, trusted_devices
+from tallyward.streaming.engine import last_places, latest_windows, place_stream, stop_in_order, to_batches, velocity_stream
+from tallyward.streaming.features import as_messages, feature_stream
 
 #: Rows of one trigger of the place stream, about: a user's rows of a trigger are in memory together.
 TRIGGER_ROWS = 1_000_000
@@ -66,7 +67,7 @@ def two_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     stop_in_order(running)
     windows = latest_windows(spark.read.parquet(f"{folder}/windows")).groupBy("user_id").agg(F.sum("n").alias("windows"))
-    places = spark.read.parquet(f"{folder}/places").join(tx.select("transaction_id", "user_id"), "transaction_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("places"))
+    places = spark.read.parquet(f"{folder}/places").groupBy("user_id").agg(F.count(F.lit(1)).alias("places"))
     return windows.join(places, "user_id", "full_outer")
 
 
@@ -93,6 +94,41 @@ def _ranges(tx: DataFrame, rows: int) -> Iterator[DataFrame]:
         yield tx.where(inside | at.isNull()) if low is None else tx.where(inside)
 
 
+def _features_of(tx: DataFrame, base: DataFrame, trusted: DataFrame, trigger_rows: int = TRIGGER_ROWS) -> DataFrame:
+    """feature_stream over tx as messages, range of time by range of time."""
+    spark = tx.sparkSession
+    known = written(base, "baselines"), written(trusted, "devices")  # read by every trigger
+
+    def start(stream: DataFrame, folder: str):
+        return to_batches(feature_stream(stream, *known), f"{folder}/out", f"{folder}/check", empty_batches=False)
+
+    folder = _in_turn([as_messages(part) for part in _ranges(tx, trigger_rows)], start)
+    return spark.read.parquet(f"{folder}/out").drop("batch")
+
+
+def streamed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature rows from the scoring stream: the same as feature_snapshots."""
+    tx = transactions(spark, sf_dir).drop("merchant_category")
+    found = _features_of(tx, baselines(tx), trusted_devices(tx), min(TRIGGER_ROWS, max(1, -(-tx.count() // 3))))
+    return batch.as_snapshots(found.drop("error_reason"))
+
+
+def streamed_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(transaction_id, user_id, error_reason) of the rows that the scoring stream sets aside, and how many of each user's rows it scored."""
+    tx = bad_transactions(spark, sf_dir).drop("merchant_category")
+    found = _features_of(tx, baselines(transactions(spark, sf_dir)), trusted_devices(tx))
+    scored = found.where("error_reason is null and risk_score_raw is not null").groupBy("user_id").agg(F.count(F.lit(1)).alias("scored"))
+    return found.where("error_reason is not null").select("transaction_id", "user_id", "error_reason").join(scored, "user_id", "left")
+
+
+def looked_up_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's last believed place, looked up in the state that the place stream leaves; users who never came have nulls."""
+    tx = transactions(spark, sf_dir).select("transaction_id", "user_id", "latitude", "longitude", "city", "transaction_ts")
+    folder = _in_turn(list(_ranges(tx, TRIGGER_ROWS)), lambda stream, folder: to_batches(place_stream(stream), f"{folder}/out", f"{folder}/check", empty_batches=False))
+    users = tx.select("user_id").distinct().unionAll(tx.agg((F.max("user_id") + 1).alias("user_id")))
+    return last_places(spark, f"{folder}/check", users).select("user_id", "city", F.timestamp_micros("at").cast("timestamp_ntz").alias("at_time"))
+
+
 def locations_of(tx: DataFrame, trigger_rows: int = TRIGGER_ROWS) -> DataFrame:
     """place_stream over tx, range of time by range of time."""
     folder = _in_turn(list(_ranges(tx, trigger_rows)), lambda stream, folder: to_batches(place_stream(stream), f"{folder}/out", f"{folder}/check", empty_batches=False))
@@ -105,5 +141,13 @@ m AS (SELECT max(epoch_us(transaction_ts)) - 600000000 AS mark FROM tx WHERE tra
 SELECT user_id, make_timestamp(s * 1000000) AS window_start, make_timestamp((s + 900) * 1000000) AS window_end, count(*) AS n FROM w, m WHERE NOT late OR (s + 900) * 1000000 > mark GROUP BY ALL"""
 TWO_SQL = f"WITH {batch.TX} SELECT user_id, count(*) * 15 AS windows, count(*) AS places FROM tx GROUP BY user_id"
 
-QUERIES = {f.__name__: f for f in (streamed_velocity, streamed_locations, late_velocity, two_streams)}
-ORACLES = {"streamed_velocity": batch.ORACLES["sliding_velocity"], "streamed_locations": batch.ORACLES["guarded_locations"], "late_velocity": LATE_SQL, "two_streams": TWO_SQL}
+DEAD_SQL = f"""WITH {batch.TX}, {batch.BAD}, c AS (SELECT user_id, count(*) AS scored FROM bad WHERE {batch.BAD_REASON} IS NULL GROUP BY user_id)
+SELECT transaction_id, user_id, {batch.BAD_REASON} AS error_reason, scored FROM bad LEFT JOIN c USING (user_id) WHERE {batch.BAD_REASON} IS NOT NULL"""
+#: The fold's place after each user's last row.
+PLACES_SQL = batch.sql(
+    "SELECT u.user_id, b_city AS city, b_ts AS at_time FROM (SELECT DISTINCT user_id FROM tx UNION ALL SELECT max(user_id) + 1 FROM tx) u LEFT JOIN (SELECT * FROM fold QUALIFY n = max(n) OVER (PARTITION BY user_id)) f ON f.user_id = u.user_id",
+    batch.TX, batch.TRAIL, batch.GUARDED,
+)
+
+QUERIES = {f.__name__: f for f in (streamed_velocity, streamed_locations, late_velocity, two_streams, streamed_features, streamed_dead_letters, looked_up_places)}
+ORACLES = {"streamed_velocity": batch.ORACLES["sliding_velocity"], "streamed_locations": batch.ORACLES["guarded_locations"], "late_velocity": LATE_SQL, "two_streams": TWO_SQL, "streamed_features": batch.ORACLES["feature_snapshots"], "streamed_dead_letters": DEAD_SQL, "looked_up_places": PLACES_SQL}
