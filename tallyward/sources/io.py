@@ -13,8 +13,6 @@ EVENT_SCHEMA = (
     "transaction_id string, user_id string, device_id string, amount double, merchant_id string, merchant_category string, city string, "
     "latitude double, longitude double, country string, transaction_ts string, is_synthetic_fraud boolean, fraud_pattern string, currency string"
 )
-#: What velocity alone needs.
-VELOCITY_SCHEMA = "transaction_id string, user_id string, amount double, city string, country string, transaction_ts string"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -34,16 +32,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def read_stream(spark: SparkSession, path: str, format: str = "text", schema: str | None = None, max_files_per_trigger: int | None = None, **options: str) -> DataFrame:
-    """A streaming DataFrame. Files by default; with format "kafka", give the connector's options and cast value."""
-    reader = spark.readStream.format(format).options(**options)
-    if schema:
-        reader = reader.schema(schema)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.load(path) if format != "kafka" else reader.load()
-
-
 def parse_events(raw: DataFrame, column: str = "value", schema: str = EVENT_SCHEMA) -> DataFrame:
     """JSON text to typed columns. Rows without transaction, user or a readable time are dropped; bad JSON is one such."""
     data = raw.select(F.from_json(F.col(column).cast("string"), schema).alias("data")).select("data.*")
@@ -57,11 +45,6 @@ def to_topic(df: DataFrame, key: str, path: str) -> None:
     messages.write.mode("append").json(path)
 
 
-def stage(df: DataFrame, path: str, rows_per_file: int = 50_000) -> None:
-    """Append to Parquet staging. The write is committed as a whole; nothing waits in a buffer to be lost."""
-    df.write.mode("append").option("maxRecordsPerFile", rows_per_file).option("compression", "snappy").parquet(path)
-
-
 def write_once(df: DataFrame, path: str) -> bool:
     """Seed a table; False, and nothing written, if it has rows."""
     try:

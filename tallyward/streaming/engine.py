@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from tallyward.operators.location import advance
 from tallyward.operators.velocity import WATERMARK, sliding
+from tallyward.sources.topics import CommittedTable
 from tallyward.streaming.features import STATE_TTL_MS, in_time_order
 
 ROCKSDB = {
@@ -98,6 +99,12 @@ def to_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def table_stream(stream: DataFrame, path: str, checkpoint: str, trigger: str = "0 seconds") -> StreamingQuery:
+    """Write each micro-batch to a committed table: whole and once, or not at all."""
+    stream.sparkSession.dataSource.register(CommittedTable)
+    return stream.writeStream.format("tallyward_table").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime=trigger).start()
+
+
 def latest_windows(batches: DataFrame) -> DataFrame:
     """The last count of each window from update-mode batches: a later batch's count stands."""
     return batches.groupBy("user_id", "window_start", "window_end").agg(F.max_by("n", "batch").alias("n"))

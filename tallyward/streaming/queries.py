@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tallyward import queries as batch
 from tallyward.sources.io import shared_folder, written
 from tallyward.sources.tables import bad_transactions, baselines, transactions, trusted_devices
-from tallyward.streaming.engine import last_places, latest_windows, place_stream, stop_in_order, to_batches, velocity_stream
+from tallyward.sources.topics import VELOCITY_LIMIT, append_to_topic, committed, topic_stream
+from tallyward.streaming.engine import last_places, latest_windows, place_stream, stop_in_order, table_stream, to_batches, velocity_stream
 from tallyward.streaming.features import as_messages, feature_stream
 
 #: Rows of one trigger of the place stream, about: a user's rows of a trigger are in memory together.
@@ -121,6 +122,23 @@ def streamed_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("error_reason is not null").select("transaction_id", "user_id", "error_reason").join(scored, "user_id", "left")
 
 
+def limited_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(transaction_id, user_id, amount, transaction_ts) of a topic read under the velocity stream's limit and written batch by batch to a committed table.
+
+    The stream is stopped half-way and started again from its checkpoint: nothing is lost or comes twice.
+    """
+    tx = transactions(spark, sf_dir).select("transaction_id", "user_id", "amount", F.col("transaction_ts").cast("string").alias("transaction_ts"))
+    folder = shared_folder(spark, "topic")
+    at = F.col("transaction_id")
+    messages = lambda rows: rows.select(F.col("user_id").cast("string").alias("key"), F.to_json(F.struct(*rows.columns)).alias("value"))
+    for half in (tx.where(at % 2 == 0), tx.where(at % 2 == 1)):
+        append_to_topic(messages(half), f"{folder}/topic")
+        running = table_stream(topic_stream(spark, f"{folder}/topic", "velocity", VELOCITY_LIMIT), f"{folder}/table", f"{folder}/check")
+        stop_in_order([running])
+    found = committed(spark, f"{folder}/table", "partition int, offset bigint, key string, value string")
+    return found.select(F.from_json("value", "transaction_id bigint, user_id bigint, amount double, transaction_ts string").alias("r")).select("r.transaction_id", "r.user_id", "r.amount", F.col("r.transaction_ts").cast("timestamp_ntz").alias("transaction_ts"))
+
+
 def looked_up_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's last believed place, looked up in the state that the place stream leaves; users who never came have nulls."""
     tx = transactions(spark, sf_dir).select("transaction_id", "user_id", "latitude", "longitude", "city", "transaction_ts")
@@ -149,5 +167,5 @@ PLACES_SQL = batch.sql(
     batch.TX, batch.TRAIL, batch.GUARDED,
 )
 
-QUERIES = {f.__name__: f for f in (streamed_velocity, streamed_locations, late_velocity, two_streams, streamed_features, streamed_dead_letters, looked_up_places)}
-ORACLES = {"streamed_velocity": batch.ORACLES["sliding_velocity"], "streamed_locations": batch.ORACLES["guarded_locations"], "late_velocity": LATE_SQL, "two_streams": TWO_SQL, "streamed_features": batch.ORACLES["feature_snapshots"], "streamed_dead_letters": DEAD_SQL, "looked_up_places": PLACES_SQL}
+QUERIES = {f.__name__: f for f in (streamed_velocity, streamed_locations, late_velocity, two_streams, streamed_features, streamed_dead_letters, looked_up_places, limited_topic)}
+ORACLES = {"streamed_velocity": batch.ORACLES["sliding_velocity"], "streamed_locations": batch.ORACLES["guarded_locations"], "late_velocity": LATE_SQL, "two_streams": TWO_SQL, "streamed_features": batch.ORACLES["feature_snapshots"], "streamed_dead_letters": DEAD_SQL, "looked_up_places": PLACES_SQL, "limited_topic": f"WITH {batch.TX} SELECT transaction_id, user_id, amount, transaction_ts FROM tx"}
