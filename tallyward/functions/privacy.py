@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Sequence
+from functools import lru_cache
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,17 +57,59 @@ def redact_json(column: Column, keys: frozenset[str] = PII_KEYS) -> Column:
     return redact(column)
 
 
+#: Automata that a task keeps: the steps of a trace come one after the other, or nearly so.
+KEPT = 64
+
+
+def _automaton(values: tuple[str, ...]) -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton()
+    for v in values:
+        found.add_word(v, v)
+    found.make_automaton()
+    return found
+
+
+def hide_longest(text: str, automaton: ahocorasick.Automaton) -> str:
+    """text with the automaton's values replaced by their pseudonyms, the longest first wherever they stand, ties from the left.
+
+    One pass finds all places of all values; what has been replaced is never looked into again.
+    """
+    places = sorted((-len(v), end - len(v) + 1, v) for end, v in automaton.iter(text))
+    taken = bytearray(len(text))
+    spans = []
+    for n, start, value in places:
+        if not any(taken[start : start - n]):
+            taken[start : start - n] = b"\1" * -n
+            spans.append((start, start - n, value))
+    out, at = [], 0
+    for start, end, value in sorted(spans):
+        out += [text[at:start], _mark(value)]
+        at = end
+    return "".join([*out, text[at:]])
+
+
 def scrub_literals(text: Column, values: Column) -> Column:
-    """text with each of the values replaced by its pseudonym, longest first; empty values are passed over."""
-    ordered = F.array_sort(F.filter(values, lambda v: F.length(v) > 0), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    return F.aggregate(ordered, text, lambda t, v: F.replace(t, v, pseudonym(v)))
+    """text with each of the values replaced by its pseudonym, longest first; empty and missing values are passed over."""
+
+    @F.pandas_udf("string")
+    def scrub(texts: pd.Series, lists: pd.Series) -> pd.Series:
+        made = lru_cache(KEPT)(_automaton)
+
+        def one(text: str | None, own: Sequence[str] | None) -> str | None:
+            own = tuple(sorted({v for v in own if v})) if own is not None else ()
+            return hide_longest(text, made(own)) if text and own else text
+
+        return pd.Series([one(t, x) for t, x in zip(texts, lists, strict=True)], dtype=object)
+
+    return scrub(text, values)
 
 
 def scrub_traces(steps: DataFrame, trace: str, text: str, found: DataFrame) -> DataFrame:
     """steps with `text` scrubbed of all values (trace, value) found anywhere in the same trace.
 
-    A trace's distinct values travel to its steps; they are names and places of one case, a short list.
+    A trace's distinct values travel to its steps; they are names and places of one case, a short list, and are looked
+    for all at once by one automaton.
     """
-    values = found.groupBy(trace).agg(F.collect_set("value").alias("_values"))
+    values = found.groupBy(trace).agg(F.array_sort(F.collect_set("value")).alias("_values"))
     empty = F.array().cast("array<string>")
     return steps.join(values, trace, "left").withColumn(text, scrub_literals(F.col(text), F.coalesce("_values", empty))).drop("_values")

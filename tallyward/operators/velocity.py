@@ -10,14 +10,26 @@ SECONDS = {"5min": 300, "15min": 900, "1hr": 3_600, "24hr": 86_400}
 WATERMARK, FLAG_ABOVE = "10 minutes", 5
 
 
+#: Stretches of time that one task counts at once are so many times as long as the longest window.
+STRETCH = 16
+
+
 def trailing(tx: DataFrame, *names: str) -> DataFrame:
-    """tx with velocity_<name>: the user's transactions in the time up to and including this one's moment."""
-    moment = F.unix_micros("transaction_ts")
-    out = tx.withColumn("_at", moment)
+    """tx with velocity_<name>: the user's transactions in the time up to and including this one's moment.
+
+    Users are cut into stretches of time, each a group of its own, so that a user of very many rows is many tasks. The
+    rows within a window's length of a stretch's end are in the next one too, to be counted there only.
+    """
+    most = max(SECONDS[n] for n in names) * 1_000_000
+    length = STRETCH * most
+    own = F.floor(F.col("_at") / length)
+    both = F.array(own, F.when(F.pmod(F.col("_at"), F.lit(length)) >= length - most, own + 1))
+    # rows without a time have no stretch (null), and are counted among themselves
+    out = tx.withColumn("_at", F.unix_micros("transaction_ts")).withColumn("_n", F.explode(F.when(F.col("_at").isNull(), F.array(F.lit(None).cast("bigint"))).otherwise(F.array_compact(both))))
     for name in names:
-        w = Window.partitionBy("user_id").orderBy("_at").rangeBetween(-SECONDS[name] * 1_000_000, 0)
+        w = Window.partitionBy("user_id", "_n").orderBy("_at").rangeBetween(-SECONDS[name] * 1_000_000, 0)
         out = out.withColumn(f"velocity_{name}", F.count(F.lit(1)).over(w))
-    return out.drop("_at")
+    return out.where(F.col("_n").eqNullSafe(own)).drop("_at", "_n")
 
 
 def sliding(tx: DataFrame, name: str = "15min") -> DataFrame:

@@ -258,6 +258,16 @@ def scrubbed_traces(spark, d):
     return privacy.scrub_traces(c.join(names.select("conv_id").distinct(), "conv_id", "left_semi"), "conv_id", "text", names)
 
 
+@query(None)
+def scrubbed_overlaps(spark, d):
+    """Every conversation's first words, and the pairs and runs of three that they make, hidden wherever they stand: values that overlap."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    w = F.slice(F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda x: F.length(x) > 2), 1, 4)
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.transform(w, lambda _, i: F.array_join(F.slice(w, i + 1, n), " "))))
+    values = c.where("turn <= 1").select("conv_id", F.explode(runs).alias("value"))
+    return privacy.scrub_traces(c, "conv_id", "text", values)
+
+
 @query("SELECT conv_id AS decision_id, turn AS step_number, CASE role WHEN 'user' THEN 'INPUT' WHEN 'assistant' THEN CASE WHEN turn % 4 = 3 THEN 'HANDOFF' ELSE 'REASONING' END WHEN 'tool' THEN 'TOOL_OUTPUT' ELSE 'OTHER' END AS step_type, CASE role WHEN 'user' THEN 'user' WHEN 'assistant' THEN CASE WHEN turn % 4 = 3 THEN 'orchestrator' ELSE 'single_agent' END ELSE 'single_agent' END AS agent_name, len(text)::BIGINT AS n FROM conversations")
 def trace_rows(spark, d):
     c = table(spark, d, "conversations")
@@ -345,6 +355,21 @@ def upserted(spark, d):
     return warehouse.upsert(e.where("event_id % 2 = 0"), again.unionByName(again), "event_id", "computed_at", "value")
 
 
+@query("SELECT event_id, user_id, value, computed_at, r.inserted, r.replaced FROM (SELECT * FROM staged QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY computed_at DESC NULLS LAST, value DESC) = 1 UNION ALL SELECT event_id, user_id, value, ts FROM events WHERE event_id % 3 <> 0 AND event_id % 2 = 0), (SELECT count(*) FILTER (WHERE event_id % 2 <> 0) AS inserted, count(*) FILTER (WHERE event_id % 2 = 0) AS replaced FROM events WHERE event_id % 3 = 0) r", "staged AS (SELECT event_id, user_id, value + 1 AS value, ts + INTERVAL 1 HOUR AS computed_at FROM events WHERE event_id % 3 = 0)")
+def merged_facts(spark, d):
+    """A stored fact table after staged rows, some of them twice, are merged into the buckets they touch, and then again; with the first merge's counts."""
+    e, again = _staged(spark, d)
+    folder = io.shared_folder(spark, "facts")
+    warehouse.create_facts(e.where("event_id % 2 = 0"), f"{folder}/facts", "event_id")
+    merge = lambda: warehouse.merge_staged(spark, f"{folder}/staging", f"{folder}/facts", "event_id", "computed_at", "value")
+    warehouse.stage(again, f"{folder}/staging")
+    warehouse.stage(again, f"{folder}/staging")
+    inserted, replaced = merge()
+    warehouse.stage(again, f"{folder}/staging")  # a replay
+    merge()
+    return spark.read.parquet(f"{folder}/facts").select("event_id", "user_id", "value", "computed_at", F.lit(inserted).cast("bigint").alias("inserted"), F.lit(replaced).cast("bigint").alias("replaced"))
+
+
 @query("SELECT decision_id, human_reviewed OR decision_id % 4 = 0 AS human_reviewed, decision_id % 4 = 0 AND human_reviewed AS review_conflict, CASE WHEN decision_id % 4 = 0 AND NOT human_reviewed THEN 'ann' END AS reviewer FROM dec", TX, DEC)
 def reviewed(spark, d):
     dec = decisions(spark, d)

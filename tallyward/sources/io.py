@@ -25,6 +25,22 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def file_system(spark: SparkSession, path: str):
+    """Spark's own file system of a path, and the path as it knows it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = file_system(spark, path)
+    return fs.exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = file_system(spark, path)
+    fs.delete(at, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back, for tables that are read more than once."""
     path = shared_folder(df.sparkSession, name)
@@ -47,12 +63,11 @@ def to_topic(df: DataFrame, key: str, path: str) -> None:
 
 def write_once(df: DataFrame, path: str) -> bool:
     """Seed a table; False, and nothing written, if it has rows."""
-    try:
-        if not df.sparkSession.read.parquet(path).isEmpty():
+    spark = df.sparkSession
+    if exists(spark, path):
+        fs, at = file_system(spark, path)
+        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(at, "_SUCCESS")) and not spark.read.schema(df.schema).parquet(path).isEmpty():
             return False
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
     df.write.mode("overwrite").parquet(path)
     return True
 

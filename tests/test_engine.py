@@ -94,6 +94,86 @@ def test_trailing_counts_the_same_moment(spark):
     assert {r.transaction_id: r.velocity_15min for r in velocity.trailing(df, "15min").collect()} == {1: 2, 4: 2, 2: 3, 3: 2}
 
 
+def test_trailing_over_stretches_equals_one_window(spark):
+    from pyspark.sql.window import Window
+
+    rng = random.Random(3)
+    rows = [(i, 1, datetime(1969, 12, 30) + timedelta(seconds=rng.randrange(9 * 86_400))) for i in range(600)] + [(i, 2, None) for i in range(600, 603)]
+    tx = spark.createDataFrame(rows, "transaction_id int, user_id int, transaction_ts timestamp").withColumn("n", F.lit("x"))
+    for names in (("5min",), ("15min", "1hr"), tuple(velocity.SECONDS)):
+        plain_ = tx.withColumn("at", F.unix_micros("transaction_ts"))
+        for n in names:
+            plain_ = plain_.withColumn(f"velocity_{n}", F.count(F.lit(1)).over(Window.partitionBy("user_id").orderBy("at").rangeBetween(-velocity.SECONDS[n] * 1_000_000, 0)))
+        got = velocity.trailing(tx, *names)
+        assert got.columns == [*tx.columns, *[f"velocity_{n}" for n in names]]
+        assert sorted(map(str, got.collect())) == sorted(map(str, plain_.drop("at").collect()))
+    # one user is many groups
+    groups = tx.where("user_id = 1").groupBy(F.floor(F.unix_micros("transaction_ts") / (velocity.STRETCH * 900_000_000))).count()
+    assert groups.agg(F.max("count")).first()[0] < 60
+
+
+def test_as_of_equals_pairs(spark):
+    rng = random.Random(8)
+    day = lambda n: (datetime(2020, 1, 1) + timedelta(days=n)).date()
+    versions = []
+    for k in range(6):
+        cuts = sorted(rng.sample(range(900), rng.randrange(1, 9)))
+        versions += [(k, i, day(a), day(b)) for i, (a, b) in enumerate(zip(cuts, [*cuts[1:], cuts[-1] + 50], strict=True)) if rng.random() < 0.8]
+    facts = [(rng.randrange(8), i, day(rng.randrange(-50, 1000))) for i in range(500)] + [(None, 900, day(5)), (1, 901, None)]
+    facts += facts[:3]
+    f = spark.createDataFrame(facts, "k int, id int, day date").withColumn("valid", F.lit("x"))
+    h = spark.createDataFrame(versions, "k int, version int, valid_from date, valid_to date")
+    want = sorted(str((k, i, v)) for k, i, at in facts for kk, v, a, b in versions if k == kk and at and a <= at < b)
+    for days in (1, 7, 90, 10_000):
+        assert sorted(str((r.k, r.id, r.version)) for r in warehouse.as_of(f, h, "k", "day", days=days).collect()) == want
+
+
+def test_merge_rewrites_only_touched_buckets(spark, tmp_path):
+    import os
+
+    facts, staging = str(tmp_path / "facts"), str(tmp_path / "staging")
+    rows = lambda ids, v: spark.createDataFrame([(i, v, v) for i in ids], "k bigint, v int, at int")
+    warehouse.create_facts(rows(range(200), 1), facts, "k")
+    files = lambda: {f"{d}/{x}" for d, _, names in os.walk(facts) for x in names if x.endswith(".parquet")}
+    before = files()
+    warehouse.stage(rows([3, 3, 500], 2).unionAll(rows([3], 3)), staging)
+    assert warehouse.merge_staged(spark, staging, facts, "k", "at", "v") == (1, 1) and not os.path.exists(staging)
+    touched = {r.bucket for r in rows([3, 500], 1).select(warehouse.bucket_of("k").alias("bucket")).collect()}
+    assert {f for f in before - files()} == {f for f in before if int(f.split("bucket=")[1].split("/")[0]) in touched}
+    got = {r.k: r.v for r in spark.read.parquet(facts).collect()}
+    assert got == {i: 1 for i in range(200)} | {3: 3, 500: 2} and spark.read.parquet(facts).count() == 201
+    warehouse.stage(rows([500], 2), staging)
+    assert warehouse.merge_staged(spark, staging, facts, "k", "at", "v") == (0, 1) and warehouse.merge_staged(spark, staging, facts, "k", "at", "v") == (0, 0)
+
+
+def brute_scrub(text, values):
+    """Longest values first, then from the left, each place looked for anew in what is left of the text."""
+    from tallyward.functions.privacy import _mark
+
+    parts = [(text, True)]
+    for v in sorted({v for v in values if v}, key=lambda v: (-len(v), v)):
+        new = []
+        for part, free in parts:
+            pieces = part.split(v) if free else [part]
+            for i, x in enumerate(pieces):
+                new += [(_mark(v), False)] * (i > 0) + [(x, free)]
+        parts = new
+    return "".join(x for x, _ in parts)
+
+
+def test_scrubbed_overlaps_equal_brute(spark, sf_dir):
+    import pandas as pd
+
+    c = pd.read_parquet(f"{sf_dir}/conversations.parquet")
+    values = {}
+    for r in c[c.turn <= 1].itertuples():
+        w = [x for x in (r.text or "").split(" ") if len(x) > 2][:4]
+        values.setdefault(r.conv_id, set()).update(" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w)))
+    want = sorted((r.conv_id, r.turn, brute_scrub(r.text, values.get(r.conv_id, ()))) for r in c.itertuples())
+    got = sorted((r.conv_id, r.turn, r.text) for r in queries.QUERIES["scrubbed_overlaps"](spark, sf_dir).collect())
+    assert got == want and sum("REDACTED" in t for *_, t in got) > 10
+
+
 def test_upsert_twice_is_once(spark):
     t = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k int, v string, at int")
     s = spark.createDataFrame([(2, "c", 2), (2, "d", 3), (3, "e", None)], "k int, v string, at int")
