@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import threading
 import uuid
 from collections.abc import Callable, Iterable, Mapping
@@ -83,33 +82,103 @@ def check(spark: SparkSession, sql: str, allowed: Iterable[str]) -> None:
     _walk(plan, frozenset(), frozenset(t.lower() for t in allowed))
 
 
+#: What a name can turn out to be, without being a column, that tells of the session or the machine.
+SESSION = frozenset("VariableReference CurrentUser CurrentDatabase CurrentCatalog InputFileName InputFileBlockStart InputFileBlockLength SparkPartitionID MonotonicallyIncreasingID FileSourceMetadataAttribute SparkVersion CurrentTimeZone CallMethodViaReflection Uuid".split())
+
+
+def _resolved(plan, views: frozenset[str]) -> None:
+    """Refuse an analysed plan whose names turned out to be anything but columns, or whose leaves lie outside the views."""
+    kind = plan.getClass().getSimpleName()
+    for e in _each(plan.expressions()):
+        _resolved_expression(e)
+    for x in _each(plan.subqueries()):
+        _resolved(x, views)
+    if kind == "SubqueryAlias" and str(plan.identifier().name()).lower() in views:
+        return  # what lies below is the table that was given
+    children = _each(plan.children())
+    if not children and kind not in ("OneRowRelation", "LocalRelation", "CTERelationRef"):
+        raise Refused(f"{kind} isn't an allowed table")
+    for x in (*children, *([d for d in _each(plan.cteDefs())] if kind == "WithCTE" else [])):
+        _resolved(x, views)
+
+
+def _resolved_expression(e) -> None:
+    kind = e.getClass().getSimpleName()
+    if kind in SESSION:
+        raise Refused(f"{kind} isn't a column")
+    for x in _each(e.children()):
+        _resolved_expression(x)
+
+
 def run(spark: SparkSession, sql: str, allowed: Mapping[str, DataFrame], most_rows: int = MOST_ROWS, args: dict | None = None) -> DataFrame:
     """The result of a checked statement, of at most most_rows rows. Tables are given by schema.table.
 
     Each allowed table is a temporary view under a name of this call's own, for the time of planning. The statement is
-    checked twice: as given, and with the views' names in it, where each relation must be one of these views; so it
-    reaches nothing else, in whatever way a name is written. args fill the statement's named parameters (:name), as
-    values, never as text.
+    checked three times: as given; with the views in the places where the parser found tables, where each relation must be
+    one of these views; and as Spark has analysed it, where every leaf must be one of them, and no name may have turned
+    out to be a session variable or a session's property. args fill the statement's named parameters (:name), as values,
+    never as text.
     """
     check(spark, sql, allowed)
     views = {name.lower(): f"allowed_{uuid.uuid4().hex}" for name in allowed}
-    renamed = _renamed(sql, views)
+    renamed = _renamed(spark, sql, views)
     check(spark, renamed, views.values())
     try:
         for name, df in allowed.items():
             df.createOrReplaceTempView(views[name.lower()])
-        return (spark.sql(renamed, args=args) if args else spark.sql(renamed)).limit(most_rows)
+        result = spark.sql(renamed, args=args) if args else spark.sql(renamed)
+        _resolved(result._jdf.queryExecution().analyzed(), frozenset(views.values()))
+        return result.limit(most_rows)
     finally:  # the plan holds the tables themselves by now
         for view in views.values():
             spark.catalog.dropTempView(view)
 
 
-def _renamed(sql: str, views: Mapping[str, str]) -> str:
-    """The statement with the allowed schema.table names put as views; text in quotes stays."""
-    part = lambda x: rf"(?:\b{re.escape(x)}\b|`{re.escape(x)}`)"
-    names = "|".join(sorted((r"\s*\.\s*".join(map(part, n.split("."))) for n in views), key=len, reverse=True))
-    token = re.compile(rf"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*"|--[^\n]*|({names})""", re.I)
-    return token.sub(lambda m: views[re.sub(r"[\s`]+", "", m[1]).lower()] if m[1] else m[0], sql)
+def _renamed(spark: SparkSession, sql: str, views: Mapping[str, str]) -> str:
+    """The statement with views in the places of the allowed tables, as the parser has them; everything else stays.
+
+    A table without an alias gets its own name as one, so that columns can still be qualified by it, with its schema or
+    without.
+    """
+    edits: dict[int, tuple[int, str]] = {}
+    qualified: list[tuple[int, int, list[str]]] = []
+
+    def span(node) -> tuple[int, int]:
+        return node.origin().startIndex().get(), node.origin().stopIndex().get() + 1
+
+    def expression(e) -> None:
+        kind = e.getClass().getSimpleName()
+        names = _each(e.nameParts()) if kind == "UnresolvedAttribute" else _each(e.target().get()) if kind == "UnresolvedStar" and e.target().isDefined() else []
+        if len(names) >= (2 if kind == "UnresolvedStar" else 3):
+            qualified.append((*span(e), [str(x) for x in names]))
+        for x in _each(e.children()):
+            expression(x)
+
+    def walk(plan, parent: str) -> None:
+        if plan.getClass().getSimpleName() == "UnresolvedRelation":
+            name = [str(x) for x in _each(plan.multipartIdentifier())]
+            if (view := views.get(".".join(name).lower())) is not None:
+                start, end = span(plan)
+                edits[start] = (end, view if parent in ("SubqueryAlias", "Sample", "GlobalLimit", "LocalLimit") else f"{view} AS `{name[-1].replace('`', '``')}`")
+        kind = plan.getClass().getSimpleName()
+        if kind == "UnresolvedWith":
+            for entry in _each(plan.cteRelations()):
+                walk(entry._2(), "")
+        for e in _each(plan.expressions()):
+            expression(e)
+        for x in (*_each(plan.children()), *_each(plan.subqueries())):
+            walk(x, kind)
+
+    walk(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql), "")
+    for start, end, names in qualified:
+        if ".".join(names[:2]).lower() in views:  # schema.table.column: the alias is the table's name
+            rest = ".".join(f"`{x.replace('`', '``')}`" for x in names[1:])
+            edits[start] = (end, rest + (".*" if sql[start:end].rstrip().endswith("*") else ""))
+    out, at = [], 0
+    for start, (end, text) in sorted(edits.items()):
+        out += [sql[at:start], text]
+        at = end
+    return "".join([*out, sql[at:]])
 
 
 def ask(spark: SparkSession, question: str, generator: Callable[[str], str], allowed: Mapping[str, DataFrame]) -> DataFrame:

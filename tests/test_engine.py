@@ -253,9 +253,9 @@ def test_guard_reads_only_what_it_was_given(spark):
     spark.range(99).createOrReplaceTempView("t")
     spark.sql("CREATE DATABASE IF NOT EXISTS guarded_db")
     allowed = {"guarded_db.t": t}
-    for sql in ("SELECT count(*) AS n FROM `guarded_db`.`t`", "SELECT count(*) AS n FROM GUARDED_DB . t", "SELECT count(*) AS n FROM `guarded_db` . t"):
+    for sql in ("SELECT count(*) AS n FROM `guarded_db`.`t`", "SELECT count(*) AS n FROM GUARDED_DB . t", "SELECT count(*) AS n FROM `guarded_db` . t", "SELECT count(*) AS n FROM guarded_db/**/.t", "SELECT count(*) AS n FROM guarded_db./* x */t"):
         assert guard.run(spark, sql, allowed).first().n == 5
-    for sql in ("SELECT count(*) AS n FROM guarded_db/**/.t", "SELECT count(*) AS n FROM guarded_db./* x */t", "SELECT count(*) FROM t"):
+    for sql in ("SELECT count(*) FROM t", "SELECT count(*) FROM spark_catalog.guarded_db.t"):
         with pytest.raises(guard.Refused):
             guard.run(spark, sql, allowed)
     assert guard.run(spark, "WITH q AS (SELECT x FROM guarded_db.t), r AS (SELECT * FROM q) SELECT 'guarded_db.t' AS s, count(*) AS n FROM r, (WITH z AS (SELECT 1 AS one) SELECT one FROM z) y", allowed).collect() == [("guarded_db.t", 5)]
@@ -265,6 +265,21 @@ def test_guard_reads_only_what_it_was_given(spark):
     spark.sql("DROP DATABASE guarded_db")
 
 
+def test_guard_looks_at_what_names_turn_out_to_be(spark):
+    t = spark.range(5).withColumnRenamed("id", "x").withColumn("a", F.struct(F.lit(7).alias("t")))
+    spark.sql("DECLARE OR REPLACE VARIABLE myvar STRING DEFAULT 'secret'")
+    for sql in ("SELECT myvar FROM a.t", "SELECT current_user FROM a.t", "SELECT session_user FROM a.t", "SELECT user FROM a.t", "SELECT x FROM a.t WHERE EXISTS (SELECT 1 FROM a.t AS z WHERE myvar = 'secret')", "WITH c AS (SELECT x, system.session.myvar AS m FROM a.t) SELECT max(m) FROM c", "SELECT x FROM a.t ORDER BY current_user"):
+        with pytest.raises(guard.Refused):
+            guard.run(spark, sql, {"a.t": t})
+    rows = lambda sql: guard.run(spark, sql, {"a.t": t, "b.u": spark.range(3)}).collect()
+    (r,) = rows("SELECT x AS `a.t`, 'a.t' AS s, q.a.t AS f -- a.t\nFROM a.t AS q WHERE x = 4")
+    assert r.asDict() == {"a.t": 4, "s": "a.t", "f": 7}
+    assert rows("SELECT a.t FROM a.t WHERE t.x = 1") == [(7,)] and rows("SELECT a.t.x FROM a.t WHERE a.t.x = 1") == [(1,)] and rows("SELECT a.t.* FROM a.t, b.u WHERE u.id = 0 AND t.x = 2")[0].x == 2
+    assert rows("SELECT count(*) FROM a.t JOIN b.u ON b.u.id = a.t.x")[0][0] == 3 and rows("SELECT sum(y) FROM (VALUES (1), (2)) AS v(y)") == [(3,)]
+    assert rows("SELECT max(x) FROM (SELECT x FROM a.t UNION ALL SELECT id FROM b.u)") == [(4,)] and len(rows("SELECT *, current_date AS d FROM a.t")) == 5
+    spark.sql("DROP TEMPORARY VARIABLE myvar")
+
+
 def test_guard_answers_in_time(spark):
     t = spark.range(3).withColumnRenamed("id", "x")
     assert [r.x for r in guard.answer(spark, "all?", lambda q: "SELECT x FROM a.t ORDER BY x", {"a.t": t})] == [0, 1, 2]
