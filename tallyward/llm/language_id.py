@@ -9,7 +9,7 @@ levels: a host leans on its suffix, and a suffix on the whole table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import small, stored, table
+from .html_blocks import blocks_of
 
 #: The documented bound of the sample that each declared language's trigram model is fitted on: its rows by smallest hash.
 #: Of a language with many texts, FIT_MARGIN times as many are expected to be ranked, far more than chance can miss.
@@ -130,61 +131,111 @@ def likelihoods(batches: Iterator[pa.RecordBatch], model: np.ndarray) -> Iterato
         yield pa.record_batch([*batch.columns[:-1], pa.array(counts), lists], names=[*names, "n", "means"])
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once however often it is used, also within lambdas."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
 def softmax(logs: Column) -> Column:
-    top = F.array_max(logs)
-    shares = F.transform(logs, lambda x: F.exp(x - top))
-    total = F.aggregate(shares, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(shares, lambda x: x / total)
+    shares = lambda own: let(F.array_max(own), lambda top: F.transform(own, lambda x: F.exp(x - top)))
+    return let(let(logs, shares), lambda own: let(total(own), lambda whole: F.transform(own, lambda x: x / whole)))
+
+
+#: Numbers that a task sums up before it sends them.
+HELD_SUMS = 1 << 20
+
+
+def evidence_sums(batches: Iterator[pa.RecordBatch], languages: int) -> Iterator[pa.RecordBatch]:
+    """(of, suffix, host, declared, language, s): each task's own sums of text posteriors, of every host and of every declared value.
+
+    Rows are (suffix, host, declared, n, text_log).
+    """
+    held: dict[tuple, np.ndarray] = {}
+
+    def packed() -> pa.RecordBatch:
+        keys, values = list(held), np.concatenate(list(held.values()))
+        spread = lambda i, kind: pa.array([k[i] for k in keys], kind).take(pa.array(np.repeat(np.arange(len(keys)), languages)))
+        return pa.record_batch([spread(0, pa.string()), spread(1, pa.string()), spread(2, pa.string()), spread(3, pa.string()), pa.array(np.tile(np.arange(languages, dtype=np.int32), len(keys))), pa.array(values)], names=["of", "suffix", "host", "declared", "language", "s"])
+
+    for batch in batches:
+        logs = np.asarray(batch.column(4).flatten(), np.float64).reshape(batch.num_rows, languages)
+        known = np.asarray(batch.column(3)) > 0
+        shares = np.exp(logs - logs.max(axis=1, keepdims=True))
+        shares /= shares.sum(axis=1, keepdims=True)
+        suffix, host, declared = (batch.column(i).to_pylist() for i in range(3))
+        for row in np.flatnonzero(known).tolist():
+            for key in (("host", suffix[row], host[row], None), ("declared", None, None, declared[row])):
+                if key in held:
+                    held[key] += shares[row]
+                else:
+                    held[key] = shares[row].copy()
+        if len(held) * languages >= HELD_SUMS:
+            yield packed()
+            held.clear()
+    if held:
+        yield packed()
+
+
+def code_of(declared: Column) -> Column:
+    """A declared language in lower case, without region or script: en-US and EN_us are en. Other values stay, trimmed and in lower case."""
+    low = F.lower(F.trim(declared))
+    return F.regexp_replace(low, "^([a-z]{2,3})[-_].*$", "$1")
 
 
 def identify(rows: DataFrame, key: str, fit_rows: int = FIT_ROWS) -> DataFrame:
     """(key, lang, posterior, declared, kept) for every row of rows (key, text, declared, suffix, host).
 
-    lang is the most probable language (ties: the first by name). A row is rejected (kept false, lang null) if its text
-    has no trigram of letters, if no known language explains it better than chance, or if the best one's posterior is
-    under one half. Nulls in declared, suffix and host are values of their own. If no row has a declared language,
-    nothing can be told apart: rows with letters are kept, with lang null.
+    lang is the most probable language (ties: the first by name), as code_of() writes it. A row is rejected (kept false,
+    lang null) if its text has no trigram of letters, if no known language explains it better than chance, or if the best
+    one's posterior is under one half. Nulls in declared, suffix and host are values of their own. If no row has a
+    declared language, nothing can be told apart: rows with letters are kept, with lang null.
+
+    Sums are kept one row a language, so that plans stay as they are however many languages are declared.
     """
-    rows = rows.select(key, *[F.col(c).cast("string").alias(c) for c in ("declared", "suffix", "host")], F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = rows.select(key, F.col("declared").cast("string").alias("stated"), code_of(F.col("declared").cast("string")).alias("declared"), *[F.col(c).cast("string").alias(c) for c in ("suffix", "host")], F.coalesce(F.col("text"), F.lit("")).alias("text"))
     languages, model = fit(rows, fit_rows)
     kind = rows.schema[key].dataType.simpleString()
     n_lang = len(languages)
-    scored = rows.mapInArrow(partial(likelihoods, model=model), f"{key} {kind}, declared string, suffix string, host string, n bigint, means array<double>")
+    scored = rows.mapInArrow(partial(likelihoods, model=model), f"{key} {kind}, stated string, declared string, suffix string, host string, n bigint, means array<double>")
     if not n_lang:
-        return scored.select(key, F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("posterior"), "declared", (F.col("n") > 0).alias("kept"))
+        return scored.select(key, F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("posterior"), F.col("stated").alias("declared"), (F.col("n") > 0).alias("kept"))
     weight = F.least(F.col("n").cast("double"), F.lit(MOST_EVIDENCE))
     evidence = stored(scored.withColumn("text_log", F.transform("means", lambda x: x * weight)).drop("means"), "language-evidence")
-    soft = evidence.where("n > 0").withColumn("p", softmax(F.col("text_log")))
-    sums = [F.sum(F.col("p")[i]).alias(f"s{i}") for i in range(n_lang)]
-    s = [F.col(f"s{i}") for i in range(n_lang)]
-    by_host = soft.groupBy("suffix", "host").agg(*sums)
-    by_host = stored(by_host, "language-hosts")
-    by_suffix = by_host.groupBy("suffix").agg(*[F.sum(c).alias(f"s{i}") for i, c in enumerate(s)])
-    whole = by_suffix.agg(*[F.sum(c) for c in s]).first()
-    whole = [1.0 + (x or 0.0) for x in whole]
-    base = [x / sum(whole) for x in whole]
-
-    total = sum(s[1:], s[0])
-    lean = lambda parents: [((c + LEAN * p) / (total + LEAN)) for c, p in zip(s, parents, strict=True)]
-    # P(suffix | language), with the suffixes' own shares as the prior of an unseen pair
+    sums = evidence.select("suffix", "host", "declared", "n", "text_log").mapInArrow(partial(evidence_sums, languages=n_lang), "of string, suffix string, host string, declared string, language int, s double")
+    sums = stored(sums.groupBy("of", "suffix", "host", "declared", "language").agg(F.sum("s").alias("s")), "language-sums")
+    listed = lambda df, *keys: df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("language", "s"))), lambda x: x["s"]).alias("s"))
+    by_host = stored(listed(sums.where("of = 'host'"), "suffix", "host"), "language-hosts")
+    suffixes = sums.where("of = 'host'").groupBy("suffix", "language").agg(F.sum("s").alias("s"))
+    by_suffix = stored(listed(suffixes, "suffix"), "language-suffix-sums")
+    found = {r.language: r.s for r in sums.where("of = 'host'").groupBy("language").agg(F.sum("s").alias("s")).collect()}  # one row a language
+    whole = [1.0 + found.get(i, 0.0) for i in range(n_lang)]
     n_rows = sum(whole)
-    suffix_log = F.array(*[F.log((c + DECLARED * (total + 1) / n_rows) / (w + DECLARED)) for c, w in zip(s, whole, strict=True)])
-    suffixes = stored(by_suffix.select("suffix", F.array(*lean([F.lit(x) for x in base])).alias("prior"), suffix_log.alias("suffix_log")), "language-suffixes")
-    hosts = by_host.alias("h").join(small(suffixes, 100_000).alias("x"), F.col("h.suffix").eqNullSafe(F.col("x.suffix")))
-    hosts = stored(hosts.select("h.suffix", "h.host", F.array(*[F.log(x) for x in lean([F.col("x.prior")[i] for i in range(n_lang)])]).alias("host_log"), "x.suffix_log"), "language-host-priors")
-    declared = soft.groupBy("declared").agg(*sums)
-    declared = stored(declared.select("declared", F.array(*[F.log((c + DECLARED * (total + 1) / n_rows) / (w + DECLARED)) for c, w in zip(s, whole, strict=True)]).alias("declared_log")), "language-declared")
+    base, all_rows = F.lit([x / n_rows for x in whole]), F.lit(whole)
+
+    own = F.col("s")
+    lean = lambda parents: let(total(own), lambda t: F.zip_with(own, parents, lambda c, p: (c + LEAN * p) / (t + LEAN)))
+    # P(value | language), with the values' own shares as the prior of an unseen pair
+    given = let(total(own), lambda t: F.zip_with(own, all_rows, lambda c, w: F.log((c + DECLARED * (t + 1) / n_rows) / (w + DECLARED))))
+    priors = stored(by_suffix.select("suffix", lean(base).alias("prior"), given.alias("suffix_log")), "language-suffixes")
+    hosts = by_host.alias("h").join(small(priors, 100_000).alias("x"), F.col("h.suffix").eqNullSafe(F.col("x.suffix")))
+    hosts = hosts.select("h.suffix", "h.host", "s", "prior", "suffix_log").select("suffix", "host", F.transform(lean(F.col("prior")), lambda x: F.log(x)).alias("host_log"), "suffix_log")
+    hosts = stored(hosts, "language-host-priors")
+    declared = stored(listed(sums.where("of = 'declared'"), "declared").select("declared", given.alias("declared_log")), "language-declared")
 
     same = lambda a, b, *names: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in names]
     fused = evidence.alias("e").join(small(hosts, 100_000).alias("h"), same("e", "h", "suffix", "host"), "left").join(small(declared, 100_000).alias("d"), same("e", "d", "declared"), "left")
-    known = F.transform("text_log", lambda x, i: x + F.col("host_log")[i] + F.col("suffix_log")[i] + F.col("declared_log")[i])
+    known = F.transform("text_log", lambda x, i: x + F.get("host_log", i) + F.get("suffix_log", i) + F.get("declared_log", i))
     # the trigrams' uniform share, and the evidence of suffix and declaration as for the average language
     none = weight * float(-np.log(BINS)) + F.lit(float(np.log(NONE_PRIOR))) + F.array_max("suffix_log") + F.array_max("declared_log")
-    fused = fused.select(F.col(f"e.{key}").alias(key), F.col("e.declared").alias("declared"), "n", softmax(F.concat(known, F.array(none))).alias("p"))
-    best = F.array_position("p", F.array_max("p")).cast("int")
-    kept = F.coalesce((F.col("n") > 0) & (best <= n_lang) & (F.array_max("p") >= LEAST_POSTERIOR), F.lit(False))
-    names = F.array(*map(F.lit, languages))
-    return fused.select(key, F.when(kept, F.get(names, best - 1)).alias("lang"), F.coalesce(F.array_max("p"), F.lit(0.0)).alias("posterior"), "declared", kept.alias("kept"))
+    fused = fused.select(F.col(f"e.{key}").alias(key), F.col("e.stated").alias("stated"), "n", softmax(F.concat(known, F.array(none))).alias("p"))
+    fused = fused.withColumn("most", F.array_max("p"))
+    best = F.array_position("p", F.col("most")).cast("int")
+    kept = F.coalesce((F.col("n") > 0) & (best <= n_lang) & (F.col("most") >= LEAST_POSTERIOR), F.lit(False))
+    return fused.select(key, F.when(kept, F.get(F.lit(languages), best - 1)).alias("lang"), F.coalesce("most", F.lit(0.0)).alias("posterior"), F.col("stated").alias("declared"), kept.alias("kept"))
 
 
 def of_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -192,12 +243,28 @@ def of_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return identify(docs.select(key, "text", F.col("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host")), key)
 
 
+def page_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(page_id, text) of rows (page_id, html): the blocks' texts, read in one pass whatever the page holds."""
+    for batch in batches:
+        texts = [" ".join(b.text for b in blocks_of(x.as_py() or "")) for x in batch.column(1)]
+        yield pa.record_batch([batch.column(0), batch.column(2), batch.column(3), pa.array(texts, pa.string())], names=["page_id", "declared", "host", "text"])
+
+
 def of_pages(pages: DataFrame) -> DataFrame:
-    """identify() for pages: the html element's lang, the host name, and its last label are read from html and url."""
-    tag = F.regexp_extract(F.coalesce("html", F.lit("")), r"""(?i)<html[^>]*\slang\s*=\s*["']?([a-z]{2,3})""", 1)
+    """identify() for pages: the html element's lang, the host name, and its last label are read from html and url.
+
+    The first html tag counts, up to its end or, left open, to the page's. The text is that of the page's blocks, without
+    scripts and styles.
+    """
+    html = F.coalesce("html", F.lit(""))
+    at = F.locate("<html", F.lower(html))
+    tag = F.when(at > 0, F.substring_index(F.substring(html, at + 5, F.length(html)), ">", 1))
+    lang = F.regexp_extract(tag, r"""(?i)(?:^|[\s"'])lang\s*=\s*["']?([a-z]{2,3})""", 1)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    text = F.regexp_replace(F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b.*?</\1>", " "), r"<[^>]*>", " ")
-    return identify(pages.select("page_id", text.alias("text"), F.nullif(F.lower(tag), F.lit("")).alias("declared"), F.nullif(F.regexp_extract(host, r"\.([a-z0-9-]+)$", 1), F.lit("")).alias("suffix"), F.nullif(host, F.lit("")).alias("host")), "page_id")
+    kind = pages.schema["page_id"].dataType.simpleString()
+    read = pages.select("page_id", "html", F.nullif(F.lower(lang), F.lit("")).alias("declared"), F.nullif(host, F.lit("")).alias("host"))
+    rows = stored(read.mapInArrow(page_texts, f"page_id {kind}, declared string, host string, text string"), "page-texts")
+    return identify(rows.withColumn("suffix", F.nullif(F.regexp_extract(F.coalesce("host", F.lit("")), r"\.([a-z0-9-]+)$", 1), F.lit(""))), "page_id")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

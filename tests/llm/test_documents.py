@@ -573,14 +573,34 @@ def test_op8_pages_equal_brute(spark, tmp_path):
     url = lambda s, h: None if h is None else f"https://u@{h}{'' if s is None else '.' + s}/path?q"
     pages = [(i, url(s, h), html(t, d)) for i, (t, d, s, h) in enumerate(rows)]
     sf = write(spark.createDataFrame(pages, "page_id bigint, url string, html string"), tmp_path, "pages")
-    strip = lambda x: re.sub(r"<[^>]*>", " ", re.sub(r"(?is)<(script|style)\b.*?</\1>", " ", x or ""))
-    seen = [(strip(h), None if t is None else d, s if u else None, (h0 if s is None else f"{h0}.{s}") if u else None) for (_, u, h), (t, d, s, h0) in zip(pages, rows)]
+    strip = lambda x: " ".join((x or "").split())
+    seen = [(strip(t), None if t is None else d, s if u else None, (h0 if s is None else f"{h0}.{s}") if u else None) for (_, u, h), (t, d, s, h0) in zip(pages, rows)]
     got = {r.page_id: r for r in language_id.pages_language(spark, sf).collect()}
     for i, (lang, p, kept) in enumerate(brute_identify(seen)):
         assert (got[i].lang, got[i].kept) == (lang, kept), pages[i]
         assert p is None or got[i].posterior == pytest.approx(p, rel=1e-6)
 
 
+def test_op8_codes_and_pages_of_any_make(spark, tmp_path):
+    codes = ["en-US", " EN_us", "en", "zh-Hant-TW", "english", "", None, "e", "pt-"]
+    got = spark.createDataFrame([(c,) for c in codes], "c string").select(language_id.code_of(F.col("c")).alias("x")).collect()
+    assert [r.x for r in got] == ["en", "en", "en", "zh", "english", "", None, "e", "pt"]
+    body = "<body><p>" + languages(1)[0][1] * 3
+    pages = [(1, "u", f'<HTML class="a" LANG = "de-AT">{body}'), (2, None, f"<!-- <htm --><html data-lang=fr lang='en'>{body}"), (3, "http://h.de", body), (4, "x", None), (5, "y", "<html lang=fr"), (6, "z", "<script " * 60_000), (None, "z", "")]
+    sf = write(spark.createDataFrame(pages, "page_id bigint, url string, html string"), tmp_path, "pages")
+    start = time.perf_counter()
+    assert {r.page_id: r.declared for r in language_id.pages_language(spark, sf).collect()} == {1: "de", 2: "en", 3: None, 4: None, 5: "fr", 6: None, None: None}
+    assert time.perf_counter() - start < 60
+
+
+def test_op8_many_languages_in_one_plan(spark):
+    rng = random.Random(1)
+    rows = [(i, " ".join(f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{rng.randrange(50)}x" for _ in range(20)), f"l{i % 500}", f"h{i % 7}") for i in range(600)]
+    start = time.perf_counter()
+    out = language_id.of_documents(table(spark, rows)).collect()
+    assert len(out) == 600 and time.perf_counter() - start < 40
+
+
 # ---- n-gram join
 
 
