@@ -111,16 +111,18 @@ def windows(text: Column) -> Column:
     lookup = F.create_map(*[x for term, spots in places.items() for x in (F.lit(term), F.array(*[spot(*p) for p in spots]))])
     template = F.array(*[F.array(*map(F.lit, dict.fromkeys(bag))) for bag in bags])
 
-    def of(all_terms: Column) -> Column:
+    def laid_over(all_terms: Column) -> Column:
         at = F.filter(F.transform(all_terms, lambda t, i: F.when(t.isin(list(places)), i)), lambda i: i.isNotNull())
-        lay = lambda i, p: F.struct(F.greatest(i - p["at"], F.lit(0)).alias("start"), (p["n"] + F.least(i - p["at"], F.lit(0))).alias("n"), p["k"].alias("k"))
+        # a window is one number (its start, its length, its template), so that equal ones are found by their hash
+        lay = lambda i, p: F.greatest(i - p["at"], F.lit(0)).cast("bigint") * (1 << 24) + (p["n"] + F.least(i - p["at"], F.lit(0))) * (1 << 12) + p["k"]
         laid = F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(F.element_at(lookup, F.get(all_terms, i)), lambda p: lay(i, p)))))
-        shared = lambda w: F.size(F.array_intersect(F.slice(all_terms, w["start"] + 1, w["n"]), F.get(template, w["k"])))
-        near = F.filter(laid, lambda w: shared(w) >= F.size(F.get(template, w["k"])) * LEAST_SHARED)
-        return F.array_distinct(F.transform(near, lambda w: F.array_join(F.slice(all_terms, w["start"] + 1, w["n"]), " ")))
+        own = lambda w: F.slice(all_terms, F.shiftright(w, 24).cast("int") + 1, F.shiftright(w, 12).bitwiseAND(F.lit(4095)).cast("int"))
+        of = lambda w: F.get(template, w.bitwiseAND(F.lit(4095)).cast("int"))
+        near = F.filter(laid, lambda w: F.size(F.array_intersect(own(w), of(w))) >= F.size(of(w)) * LEAST_SHARED)
+        return F.array_distinct(F.transform(near, lambda w: F.array_join(own(w), " ")))
 
     # as a lambda's variable, the terms are taken once
-    return F.flatten(F.transform(F.array(terms(text)), of))
+    return F.flatten(F.transform(F.array(terms(text)), laid_over))
 
 
 def units_of(files: DataFrame) -> DataFrame:

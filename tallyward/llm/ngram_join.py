@@ -16,7 +16,11 @@
 No link between different sets is lost: what step 4 leaves untested is connected already.
 
 Tokens are counted in batches: a task reduces about a million tokens to distinct ones before it sends them, so that a
-token of very many documents reaches its group once from each batch, and never with a list of its documents.
+token of very many documents reaches its group once from each batch, and never with a list of its documents. Batches grow
+with the number of groups, so rows sent grow as the tokens do.
+
+Whole sets are compared by the 64-bit hashes of their shingles, not by words: two sets that aren't near would be taken for
+near only if many hashes collided at once.
 """
 
 from __future__ import annotations
@@ -37,6 +41,9 @@ from .shingles import digest, mixed, token_sets
 WORDS, PERCENT = 5, 75
 #: Tokens in one group of the frequency count, and tokens that a task holds before it sends them.
 GROUP_TOKENS, HELD_TOKENS = 1 << 21, 1 << 20
+#: Batches grow with the number of groups, so that each sends a group so many tokens about, up to a most of tokens; and
+#: groups share tasks from so many on. So rows sent stay in proportion to the tokens, and tasks to the cluster.
+SENT_TOKENS, MOST_HELD, MOST_TASKS = 64, 1 << 23, 1 << 13
 #: Tokens of one batch of sets whose prefixes are taken together.
 SET_TOKENS = 1 << 18
 #: Longs of a parity bitmap. Each token flips one bit of its set's bitmap, so two bitmaps differ in no more bits than
@@ -83,6 +90,11 @@ def batch_number(parts: Iterator[bytes]) -> int:
 SENT = "group bigint, batch bigint, many binary, once binary, owners binary, sets binary, shared binary"
 
 
+def held_for(groups: int, least: int) -> int:
+    """Tokens of a batch that is sent to so many groups."""
+    return max(least, min(MOST_HELD, groups * SENT_TOKENS))
+
+
 def send(batches: Iterator[pa.RecordBatch], groups: int, words: int) -> Iterator[pa.RecordBatch]:
     """A batch's distinct tokens, for each group: those of several sets (many), and those of one set with its half.
 
@@ -114,14 +126,14 @@ def send(batches: Iterator[pa.RecordBatch], groups: int, words: int) -> Iterator
         return pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in SENT.split(", ")])
 
     held: dict[bytes, np.ndarray] = {}
-    size = 0
+    size, most = 0, held_for(groups, HELD_TOKENS)
     for batch in batches:
         texts = batch.column(0)
         for k, tokens in enumerate(token_sets(texts, words)):
             if len(tokens) and (address := digest(tokens, texts[k].as_py() if len(tokens) == 1 else None, words)) not in held:
                 held[address] = tokens
                 size += len(tokens)
-            if size >= HELD_TOKENS:
+            if size >= most:
                 yield packed(held)
                 held, size = {}, 0
     if held:
@@ -167,8 +179,8 @@ def listed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordB
 PACKED = "batch bigint, nodes binary, sizes binary, tokens binary"
 
 
-def in_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (node, tokens) as batches of about SET_TOKENS tokens, set by set."""
+def in_batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (node, tokens) as batches of about `most` tokens, set by set."""
 
     def packed(held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
         nodes = np.array([i for i, _ in held], np.int64)
@@ -183,7 +195,7 @@ def in_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens = np.asarray(tokens.values, np.int64)
             held.append((node, tokens))
             size += len(tokens)
-            if size >= SET_TOKENS:
+            if size >= most:
                 yield packed(held)
                 held, size = [], 0
     if held:
@@ -369,15 +381,16 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     total = about.agg(F.sum("n")).first()[0] or 0
     groups = lambda tokens: max(32, -(-tokens // GROUP_TOKENS))
 
-    # as many tasks as groups, so that a task's input stays as it is when the tokens grow
-    sent = rows.select("text").mapInArrow(partial(send, groups=groups(total), words=words), SENT).repartition(groups(total), "group")
+    # as many tasks as groups, up to MOST_TASKS, so that a task's input stays as it is when the tokens grow; a group is counted by itself
+    tasks = lambda tokens: min(MOST_TASKS, groups(tokens))
+    sent = rows.select("text").mapInArrow(partial(send, groups=groups(total), words=words), SENT).repartition(tasks(total), "group")
     shared = sent.groupBy("group").applyInArrow(count_shared, "half bigint, batch bigint, shared bigint").groupBy("half", "batch").agg(F.sum("shared").alias("shared")).groupBy("half").agg(F.max("shared").alias("shared"))
     alive = stored(classes.join(shared, "half").where(F.col("shared") >= needed(F.col("n"), percent)).select("node", ROW), "alive")
 
     sets = stored(rows.join(small(alive, 200_000), ROW).select("node", "text").mapInArrow(partial(listed, words=words), "node bigint, tokens array<bigint>, bits array<bigint>"), "sets")
     left = sets.agg(F.sum(F.size("tokens"))).first()[0] or 0
-    batches = stored(sets.select("node", "tokens").mapInArrow(in_batches, PACKED), "set-batches")
-    counted = batches.select("batch", "tokens").mapInArrow(partial(count_batch, groups=groups(left)), COUNTED).repartition(groups(left), "group")
+    batches = stored(sets.select("node", "tokens").mapInArrow(partial(in_batches, most=held_for(groups(left), SET_TOKENS)), PACKED), "set-batches")
+    counted = batches.select("batch", "tokens").mapInArrow(partial(count_batch, groups=groups(left)), COUNTED).repartition(tasks(left), "group")
     known = counted.groupBy("group").applyInArrow(frequencies, "batch bigint, tokens binary, df binary")
     prefixes = batches.groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(lambda a, b: prefixes_of(a, b, percent), PREFIXES)
     roots = link_components(sets, stored(prefixes, "prefixes"), percent)

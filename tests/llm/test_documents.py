@@ -236,6 +236,17 @@ def test_op3_notices_within_long_lines_and_over_lines(spark):
     assert got == {"a/1": "MIT", "a/2": "GPL-3.0", "a/3": "MIT", "a/4": "MIT", "b/LICENSE": "GPL-3.0", "b/5": "GPL-3.0", "a/6": None, "a/7": None}
 
 
+def test_op3_windows_take_linear_time(spark):
+    def seconds(n):
+        df = spark.createDataFrame([("licensed under the mit license version 2.0 " * n,)], "t string").select(F.size(license_scan.windows(F.col("t"))).alias("n"))
+        start = time.perf_counter()
+        assert df.first().n > 3
+        return time.perf_counter() - start
+
+    seconds(10)
+    assert seconds(3200) < 2.5 * seconds(1600) + 1
+
+
 def test_op3_cosine_equals_brute(spark):
     from math import log, sqrt
 
@@ -655,6 +666,14 @@ def test_op9_counts_in_batches_of_any_size(spark, monkeypatch):
         assert by_id(ngram_join.jaccard_classes(df), "n_shingles", "component_id") == want
 
 
+def test_op9_rows_sent_grow_as_the_tokens_do():
+    """Tokens over batches times groups: in proportion, until batches have their most."""
+    rows = lambda tokens: -(-tokens // ngram_join.held_for(groups := tokens // ngram_join.GROUP_TOKENS, ngram_join.HELD_TOKENS)) * groups
+    for tokens in (1 << 36, 1 << 37):
+        assert rows(8 * tokens // 8) <= tokens // ngram_join.SENT_TOKENS + tokens // ngram_join.GROUP_TOKENS
+    assert rows(1 << 37) <= 2.1 * rows(1 << 36)
+
+
 def test_op9_random_small(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice("ab") for _ in range(rng.randrange(1, 14))), "en", "a") for i in range(150)]
