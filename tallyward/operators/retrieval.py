@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -53,17 +53,11 @@ def chunked(parts: DataFrame, key: list[str], max_words: int = MAX_WORDS, paragr
         steps = F.sequence(F.lit(0), F.floor((F.size(words) - 1) / F.col("budget")).cast("int"))
         return F.when(F.size(words) <= F.col("budget"), F.array(p)).otherwise(F.transform(steps, lambda i: F.array_join(F.slice(words, i * F.col("budget") + 1, F.col("budget")), " ")))
 
-    def pack(acc: Column, p: Column) -> Column:
-        n = n_words(p)
-        opens = (acc["n"] + n > F.col("budget")) | (acc["g"] == 0)
-        return F.struct((acc["g"] + opens.cast("int")).alias("g"), F.when(opens, n).otherwise(acc["n"] + n).alias("n"), F.array_append(acc["at"], acc["g"] + opens.cast("int")).alias("at"))
-
-    start = F.struct(F.lit(0).alias("g"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("at"))
     full = F.concat(prefix, F.col("body"))
     fits = n_words(full) <= max_words
     rows = parts.withColumn("prefix", prefix).withColumn("budget", budget.cast("int")).withColumn("whole", F.when(fits, full))
     rows = rows.withColumn("ps", F.when(fits, F.array("body")).otherwise(F.flatten(F.transform(paragraphs, cut))))
-    rows = rows.withColumn("at", F.aggregate("ps", start, pack, lambda a: a["at"]))
+    rows = rows.withColumn("at", packed(F.transform("ps", n_words), F.col("budget")))
     # paragraphs of one chunk are neighbours: from where its number first stands to where the next one does
     first = F.filter(F.transform("at", lambda g, i: F.when((i == 0) | (g != F.get("at", i - 1)), i)), lambda i: i.isNotNull())
     piece = lambda start, i, starts: F.array_join(F.slice("ps", start + 1, F.coalesce(F.get(starts, i + 1), F.size("ps")) - start), "\n\n")
@@ -74,6 +68,25 @@ def chunked(parts: DataFrame, key: list[str], max_words: int = MAX_WORDS, paragr
     return out.where(F.col("whole").isNotNull() | (F.col("part") != "")).select(*key, "section", "chunk", text.alias("text"), n_words(text).cast("bigint").alias("word_count"))
 
 
+def packed(sizes: Column, budget: Column) -> Column:
+    """The number of the chunk of each paragraph: as many in a row as fit, one at least. Each depends on all before it."""
+
+    @F.pandas_udf("array<int>")
+    def number(lists: pd.Series, most: pd.Series) -> pd.Series:
+        def one(own: Sequence[int], room: int) -> list[int]:
+            out, chunk, n = [], 0, 0
+            for size in own:
+                if not chunk or n + size > room:
+                    chunk, n = chunk + 1, 0
+                n += int(size)
+                out.append(chunk)
+            return out
+
+        return pd.Series([one(x, m) for x, m in zip(lists, most, strict=True)], dtype=object)
+
+    return number(sizes, budget)
+
+
 def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
@@ -146,6 +159,28 @@ def hashed_embedding(dimensions: int = 64) -> Callable[[Column], Column]:
     return embed
 
 
+#: A public vocabulary of lower-case word pieces, as the tokenizers library reads it; give another model's for another model.
+VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+
+
+def token_counter(vocabulary: str = VOCABULARY) -> Callable[[Column], Column]:
+    """How many tokens a text has by a tokenizer's own file, read here and sent to the tasks. Null and empty texts have none."""
+    with open(vocabulary, encoding="utf-8") as f:
+        made_of = f.read()
+
+    @F.pandas_udf("bigint")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_str(made_of)
+        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        for texts in batches:
+            found = tokenizer.encode_batch(texts.fillna("").tolist(), add_special_tokens=False)
+            yield pd.Series([len(x.ids) for x in found], dtype="int64")
+
+    return count
+
+
 #: Fixed value: tokens that the embedding model reads; it would silently drop what comes after.
 MODEL_TOKENS = 256
 
@@ -156,14 +191,14 @@ def embedded(chunks: DataFrame, embed: Callable[[Column], Column], count_tokens:
     return chunks.withColumns({"n_tokens": n, "truncated": n > limit, "embedding": embed(F.col("text"))})
 
 
-def ingest(docs: DataFrame, embed: Callable[[Column], Column], path: str) -> DataFrame:
+def ingest(docs: DataFrame, embed: Callable[[Column], Column], path: str, count_tokens: Callable[[Column], Column] = n_words) -> DataFrame:
     """Markdown texts (source_file, text) to an embedded collection: cut, checked against the model's length, written.
 
     The collection at path is replaced as a whole. Texts without a title are refused, as are chunks that the model
     would cut: an error names how many there are, and nothing is written.
     """
     parts = sections(docs)
-    chunks = embedded(chunked(parts, ["source_file"]), embed)
+    chunks = embedded(chunked(parts, ["source_file"]), embed, count_tokens)
     untitled, long = parts.where("title_missing").count(), chunks.where("truncated").count()
     if untitled or long:
         raise ValueError(f"{untitled} sections without a title, {long} chunks over {MODEL_TOKENS} tokens")

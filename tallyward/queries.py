@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyward.functions import display, geo, governance, privacy, risk, validation
-from tallyward.operators import enrichment, evaluation, location, reports, retrieval, velocity, warehouse
+from tallyward.operators import enrichment, evaluation, indexes, location, reports, retrieval, velocity, warehouse
 from tallyward.plans import guard
 from tallyward.plans import reports as named
 from tallyward.sources import io
@@ -646,6 +646,36 @@ def keyword_scores(spark, d):
     return retrieval.bm25(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "released license").select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query("SELECT doc_id, round(score, 6) AS score FROM bm WHERE score > 0", BM25)
+def indexed_keyword_scores(spark, d):
+    """keyword_scores from a stored index: all documents, two thirds of them first with other texts, which their own replace."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    path = io.shared_folder(spark, "word-index")
+    other = F.concat(F.lit("released license other "), F.coalesce("text", F.lit("")))
+    indexes.upsert_chunks(docs.where("id % 3 <> 0").withColumn("text", other), path)
+    indexes.upsert_chunks(docs.where("id % 3 <= 1"), path)
+    indexes.upsert_chunks(docs.where("id % 3 = 2"), path)
+    return indexes.search_words(spark, path, "released license").select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(None)
+def nearest_vectors(spark, d):
+    """The ten nearest vectors of every vector whose id is divisible by 50, from an inverted file of all of them."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    path = io.shared_folder(spark, "vector-index")
+    cells = indexes.build_vectors(e, path)
+    return indexes.search_vectors(e.where("id % 50 = 0"), path, cells).select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+@query(None)
+def chunk_tokens(spark, d):
+    """Every chunk of the documents with its words and its tokens, and whether a model of 256 tokens would cut it."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("pattern"), F.coalesce("lang", F.lit("")).alias("section"), F.coalesce("text", F.lit("")).alias("body"))
+    chunks = retrieval.chunked(docs, ["doc_id"], paragraph=r"\n")
+    n = retrieval.token_counter()(F.col("text"))
+    return chunks.select("doc_id", "chunk", "word_count", n.alias("n_tokens")).withColumn("truncated", F.col("n_tokens") > retrieval.MODEL_TOKENS)
+
+
 COS = "cosn AS (SELECT e.vec_id, list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) / (sqrt(list_sum(list_transform(e.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE)))) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)"
 
 

@@ -224,6 +224,17 @@ def brute_chunks(pattern, section, body, most=retrieval.MAX_WORDS):
     return [prefix + "\n\n".join(c) for c in chunks]
 
 
+def test_chunks_of_many_paragraphs_take_linear_time(spark):
+    def seconds(n):
+        df = spark.createDataFrame([(1, "p", "s", "\n".join(["one two three"] * n))], "doc_id int, pattern string, section string, body string")
+        start = time.perf_counter()
+        assert retrieval.chunked(df, ["doc_id"], paragraph=r"\n").count() == -(-n // 58)
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(32_000) < 2.5 * seconds(16_000) + 1
+
+
 def test_document_chunks_equal_brute(spark, sf_dir):
     import pandas as pd
 
