@@ -43,6 +43,12 @@ def stored(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at the path, asked of its own file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+
 def small(df: DataFrame, most_rows: int) -> DataFrame:
     """df marked for broadcast if it has at most most_rows rows (they are counted), else df as it is: a shuffled join."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

@@ -11,7 +11,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -279,6 +278,7 @@ def histogram(frame: dict, bins: int = 8) -> np.ndarray:
 
 
 FRAMES = "start_cs bigint, delay_cs bigint, left bigint, top bigint, width bigint, height bigint, red array<bigint>, green array<bigint>, blue array<bigint>"
+FRAME_SCHEMA = pa.schema([(c.split()[0], pa.list_(pa.int64()) if "array" in c else pa.int64()) for c in FRAMES.split(", ")])
 
 
 def timed(frame: dict) -> tuple:
@@ -289,19 +289,23 @@ def timed(frame: dict) -> tuple:
 def frame_table(media: DataFrame, key: str, column: str) -> DataFrame:
     """key and one row per frame with its times, place and colour histograms; null or broken media give no rows."""
     kind = media.schema[key].dataType.simpleString()
+    names = [c.split()[0] for c in FRAMES.split(", ")]
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [key, *(c.split()[0] for c in FRAMES.split(", "))]
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for k, data in zip(batch[key], batch[column], strict=True):
+            of, out = [], []
+            for row, data in enumerate(batch.column(1)):
                 try:
-                    out += [(k, *timed(f)) for f in (decode(data, compose=False) if data is not None else ())]
+                    found = [timed(f) for f in (decode(data.as_py(), compose=False) if data.is_valid else ())]
                 except ValueError:
                     continue
-            yield pd.DataFrame(out, columns=names)
+                of += [row] * len(found)
+                out += found
+            frames = pa.Table.from_pylist([dict(zip(names, f, strict=True)) for f in out], schema=FRAME_SCHEMA).combine_chunks().to_batches()
+            if frames:
+                yield pa.record_batch([batch.column(0).take(pa.array(of, pa.int64())), *frames[0].columns], names=[key, *names])
 
-    return media.select(key, column).mapInPandas(rows, f"{key} {kind}, {FRAMES}")
+    return media.select(key, column).mapInArrow(rows, f"{key} {kind}, {FRAMES}")
 
 
 def to_media(text: str | None) -> tuple[int, bytes]:

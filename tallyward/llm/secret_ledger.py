@@ -14,11 +14,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored, table, text_or_empty
+from .common import exists, shared_dir, stored, table, text_or_empty
 
 
 class Rule(NamedTuple):
@@ -89,12 +88,7 @@ def spans_of(text: Column, rule: Rule, matches: Column) -> Column:
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
     """The ledger as it stands; None before the first scan, when nothing is at the path."""
-    try:
-        return spark.read.schema(LEDGER).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+    return spark.read.schema(LEDGER).parquet(path) if exists(spark, path) else None
 
 
 def scan_unseen(versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:

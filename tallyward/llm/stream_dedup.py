@@ -13,11 +13,10 @@ fetched by its locator. Rows that differ in spite of equal digests are grouped a
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, SPACES, numbered, shared_dir, small, stored, table, text_or_empty
+from .common import ROW, SPACES, exists, numbered, shared_dir, small, stored, table, text_or_empty
 
 #: The state is kept in RocksDB, whose files take only the space that they fill: with preallocation, each of the many
 #: small partitions would hold 4 MB of disk for its manifest alone.
@@ -36,12 +35,7 @@ def normalised(text: Column) -> Column:
 
 def files_in(spark: SparkSession, path: str) -> int:
     """Parquet files under path; none if it isn't there."""
-    try:
-        return len(spark.read.schema("digest string").parquet(path).inputFiles())
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return 0
+    return len(spark.read.schema("digest string").parquet(path).inputFiles()) if exists(spark, path) else 0
 
 
 def digest_state(rows: DataFrame, state: str, triggers: int = TRIGGERS) -> DataFrame:

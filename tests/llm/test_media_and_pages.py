@@ -113,6 +113,8 @@ def test_op7(spark, tmp_path):
     assert rows[4][1:] == rows[5][1:] and rows[0][1:] == rows[1][1:]
     media = spark.createDataFrame([(1, gif_media.to_media("x" * 20_000)[1]), (2, b"no gif"), (3, None)], "k int, media binary")
     assert [(r.k, r.start_cs, r.height) for r in gif_media.frame_table(media, "k", "media").orderBy("start_cs").collect()] == [(1, 0, 64), (1, 10, 41)]
+    far = spark.createDataFrame([(2**53 + 1, gif_media.to_media("x")[1]), (None, gif_media.to_media("y")[1])], "k bigint, media binary")
+    assert {r.k for r in gif_media.frame_table(far, "k", "media").collect()} == {2**53 + 1, None}
 
 
 def test_op7_goes_through_dictionary_codes_and_stored_frames(spark, tmp_path):
