@@ -144,7 +144,8 @@ def scored(units: DataFrame, least: float, more: tuple[tuple[str, str], ...] = (
     spark = units.sparkSession
     templates = spark.createDataFrame([(f"t{i}", name, text) for i, (name, text) in enumerate((*TEMPLATES, *more))], "template string, license string, text string")
     count = lambda df, key, text: df.select(key, F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    tf = stored(count(units, "address", "unit"), "license-terms")
+    # dealt by address, a unit's terms stay together: their counts need no shuffle, and their products are summed in the task
+    tf = stored(count(units.repartition("address"), "address", "unit"), "license-terms")
     template_tf = count(templates, "template", "text")
     seen = tf.select("term", F.lit(1).alias("x")).unionAll(template_tf.select("term", F.lit(1).alias("x"))).groupBy("term").agg(F.count("x").alias("df"))
     n = units.count() + len(TEMPLATES) + len(more)
@@ -153,11 +154,12 @@ def scored(units: DataFrame, least: float, more: tuple[tuple[str, str], ...] = (
     template_w = weigh(template_tf, idf)
     norms = template_w.groupBy("template").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
     # a few hundred rows by construction: the terms of the fixed templates
-    template_w = F.broadcast(stored(template_w.join(norms, "template").join(templates.select("template", "license"), "template").select("term", "template", "license", (F.col("w") / F.col("norm")).alias("u")), "license-templates"))
+    template_w = F.broadcast(stored(template_w.join(norms, "template").select("term", "template", (F.col("w") / F.col("norm")).alias("u")), "license-templates"))
     weighed = stored(weigh(tf, small(idf, 200_000)).select("address", "term", "w"), "license-weights")
     lengths = weighed.groupBy("address").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
-    dots = weighed.join(template_w, "term").groupBy("address", "template", "license").agg(F.sum(F.col("w") * F.col("u")).alias("dot"))
-    cosines = dots.join(lengths, "address").select("address", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= least)
+    dots = weighed.join(template_w, "term").groupBy("address", "template").agg(F.sum(F.col("w") * F.col("u")).alias("dot"))
+    names = F.broadcast(templates.select("template", "license"))  # one row a template
+    cosines = dots.join(lengths, "address").join(names, "template").select("address", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= least)
     return cosines.groupBy("address").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b")).select("address", "b.license", (-F.col("b.s")).alias("score"))
 
 
@@ -170,7 +172,7 @@ def scan(files: DataFrame, least: float = LEAST_COSINE, keep: tuple[str, ...] =
     such as full license texts, that license files are compared with as a whole.
     """
     files = numbered(files.select("path", "text", *keep))
-    units = stored(units_of(files).withColumn("address", F.sha2("unit", 256)), "license-units")
+    units = stored(units_of(files).withColumn("address", F.unhex(F.substring(F.sha2("unit", 256), 1, 32))), "license-units")
     distinct = stored(units.groupBy("address").agg(F.any_value("unit").alias("unit")), "license-distinct")
     scores = stored(scored(distinct, least, whole_texts), "license-scores")
     hits = units.select(ROW, "path", "whole", "address").join(small(scores, 200_000), "address")
