@@ -220,3 +220,19 @@ def tables_for(role: str, tables: Mapping[str, DataFrame]) -> dict[str, DataFram
     if role not in ROLES:
         raise Refused(f"role {role!r} is not a reading role")
     return {k: v for k, v in tables.items() if k.lower() in ROLES[role]}
+
+
+def connected(spark: SparkSession, role: str, tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """tables_for(role), after trying what the role can do: each of its tables must answer, and each other one be refused."""
+    own = tables_for(role, tables)
+    probe = lambda name: run(spark, f"SELECT 1 AS one FROM {name} LIMIT 1", own)
+    for name in tables:
+        if name in own:
+            probe(name).collect()
+            continue
+        try:
+            probe(name)
+        except Refused:
+            continue
+        raise Refused(f"role {role!r} reaches {name}, which isn't its own")
+    return own

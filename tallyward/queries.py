@@ -810,3 +810,50 @@ def profile_cache(spark, d):
     baselines(tx).join(devices, "user_id", "left").select("user_id", "avg_amount", F.coalesce("devices", F.array().cast("array<bigint>")).alias("devices")).write.json(path)
     back = spark.read.schema("user_id bigint, avg_amount double, devices array<bigint>").json(path)
     return back.select("user_id", F.round("avg_amount", 6).alias("avg_amount"), F.array_join(F.transform("devices", lambda x: x.cast("string")), ",").alias("devices"))
+
+
+# ---- reading roles, questions and display
+
+
+def _role_tables(spark, d):
+    tx = transactions(spark, d)
+    return {"features.fact_feature_snapshots": tx, "decisions.fact_decisions": decisions(spark, d), "dim.dim_users": baselines(tx), "dim.dim_devices": trusted_devices(tx)}
+
+
+@query(
+    "SELECT role, name, CASE WHEN list_contains(own, name) THEN n END AS n_rows FROM (VALUES ('bi', ['features', 'decisions']), ('pipeline', ['features', 'users', 'devices']), ('agent', ['features', 'decisions', 'users'])) r(role, own), "
+    "(SELECT 'features' AS name, count(*) AS n FROM tx UNION ALL SELECT 'decisions', count(*) FROM dec UNION ALL SELECT 'users', count(*) FROM base UNION ALL SELECT 'devices', count(*) FROM trusted)", TX, DEC, BASE, TRUSTED,
+)
+def role_access(spark, d):
+    """Rows that each reading role counts in each table through the guard; null where it is refused."""
+    tables, parts = _role_tables(spark, d), []
+    for role in guard.ROLES:
+        own = guard.connected(spark, role, tables)
+        for name in tables:
+            counted = guard.run(spark, f"SELECT count(*) AS n_rows FROM {name}", own) if name in own else spark.createDataFrame([(None,)], "n_rows bigint")
+            parts.append(counted.select(F.lit(role).alias("role"), F.lit(name.split("_")[-1].replace("snapshots", "features")).alias("name"), "n_rows"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
+
+
+@query("SELECT decision, count(*) AS n, round(avg(amount), 6) AS mean_amount FROM dec GROUP BY decision", TX, DEC)
+def asked(spark, d):
+    """A question in words, answered under the guard with what a generator makes of it."""
+    answers = {"how do decisions differ": "SELECT decision, count(*) AS n, round(avg(amount), 6) AS mean_amount FROM decisions.fact_decisions GROUP BY decision"}
+    return guard.ask(spark, "how do decisions differ", answers.__getitem__, guard.connected(spark, "bi", _role_tables(spark, d)))
+
+
+@query("SELECT decision, format('{:,}', n) AS n, printf('%.2f%%', share * 100) AS fraud_share, format('{:,.2f}', total) AS total FROM (SELECT decision, count(*) AS n, avg(is_synthetic_fraud::DOUBLE) AS share, sum(amount) AS total FROM dec GROUP BY decision)", TX, DEC)
+def displayed_decisions(spark, d):
+    """Decisions as reports show them: counts with separators, shares as percentages, amounts with two digits."""
+    rows = decisions(spark, d).groupBy("decision").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("is_synthetic_fraud").cast("double")).alias("fraud_share"), F.sum("amount").alias("total"))
+    return named.displayed(rows)
+
+
+@query("SELECT unnest(['Transactions reviewed', 'Blocked share', 'Mean amount']) AS metric, unnest([format('{:,}', n), printf('%.2f%%', share * 100), format('{:,.2f}', mean)]) AS value FROM (SELECT count(*) AS n, avg((decision = 'BLOCK')::INT::DOUBLE) AS share, avg(amount) AS mean FROM dec)", TX, DEC)
+def report_metrics(spark, d):
+    """A one-row report as labelled figures."""
+    blocked = (F.col("decision") == "BLOCK").cast("double")
+    return named.metrics(decisions(spark, d).agg(F.count(F.lit(1)).alias("transactions_reviewed"), F.avg(blocked).alias("blocked_share"), F.avg("amount").alias("mean_amount")))

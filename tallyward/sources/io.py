@@ -74,7 +74,7 @@ def write_once(df: DataFrame, path: str) -> bool:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(source_file, text) of each Markdown file under path."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(path)
+    files = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True)
     return files.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("source_file"), F.col("value").alias("text"))
 
 

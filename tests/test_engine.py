@@ -291,6 +291,25 @@ def test_guard_looks_at_what_names_turn_out_to_be(spark):
     spark.sql("DROP TEMPORARY VARIABLE myvar")
 
 
+def test_connected_roles_reach_their_own_tables_only(spark):
+    tables = {n: spark.range(3) for n in ("features.fact_feature_snapshots", "decisions.fact_decisions", "dim.dim_users", "dim.dim_devices")}
+    assert set(guard.connected(spark, "bi", tables)) == {"features.fact_feature_snapshots", "decisions.fact_decisions"}
+    with pytest.raises(guard.Refused):
+        guard.connected(spark, "accountadmin", tables)
+    broken = tables | {"decisions.fact_decisions": spark.range(1).select(F.raise_error(F.lit("gone")).alias("x"))}
+    with pytest.raises(Exception, match="gone"):
+        guard.connected(spark, "bi", {k: v.where("x is not null") if k.startswith("dec") else v for k, v in broken.items()})
+
+
+def test_markdown_files_are_ingested(spark, tmp_path):
+    (tmp_path / "a.md").write_text("# Geo\n## One\nshort text\n")
+    (tmp_path / "b.md").write_text("# Two\nbody")
+    (tmp_path / "c.txt").write_text("# no")
+    docs = io.read_documents(spark, str(tmp_path))
+    got = retrieval.ingest(docs, retrieval.hashed_embedding(), str(tmp_path / "out")).collect()
+    assert sorted((r.source_file, r.text) for r in got) == [("a.md", "Fraud Pattern: Geo\n\n## One\nshort text"), ("b.md", "Fraud Pattern: Two\n\n## Full Document\nbody")]
+
+
 def test_guard_answers_in_time(spark):
     t = spark.range(3).withColumnRenamed("id", "x")
     assert [r.x for r in guard.answer(spark, "all?", lambda q: "SELECT x FROM a.t ORDER BY x", {"a.t": t})] == [0, 1, 2]
