@@ -40,7 +40,7 @@ from .shingles import digest, mixed, token_sets
 
 WORDS, PERCENT = 5, 75
 #: Tokens in one group of the frequency count, and tokens that a task holds before it sends them.
-GROUP_TOKENS, HELD_TOKENS = 1 << 21, 1 << 20
+GROUP_TOKENS, HELD_TOKENS = 1 << 20, 1 << 20
 #: Batches grow with the number of groups, so that each sends a group so many tokens about, up to a most of tokens; and
 #: groups share tasks from so many on. So rows sent stay in proportion to the tokens, and tasks to the cluster.
 SENT_TOKENS, MOST_HELD, MOST_TASKS = 64, 1 << 23, 1 << 13
