@@ -16,6 +16,22 @@ WORD = r"[^\x20\x09-\x0D]+"
 ROW = "_tallyward_row"
 
 
+#: The folders that shared_dir() has given out in this process.
+GIVEN: list[str] = []
+
+
+def clear_shared(spark: SparkSession) -> int:
+    """Delete the folders that operators have written so far; how many there were.
+
+    Results are read from these folders, so call it once what is wanted has been written elsewhere.
+    """
+    n = 0
+    while GIVEN:
+        at = spark._jvm.org.apache.hadoop.fs.Path(GIVEN.pop())
+        n += at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    return n
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder that driver and executors all see.
 
@@ -28,7 +44,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tallyward-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    GIVEN.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return GIVEN[-1]
 
 
 def stored(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:

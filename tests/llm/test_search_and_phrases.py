@@ -254,3 +254,16 @@ def test_op12_tells_near_texts_from_others(spark):
     rows = [(i, " ".join(rng.choices(names, weights, k=200)), "en", "a") for i in range(120)]
     out = simhash.fingerprint_documents(table(spark, rows)).collect()
     assert sum(r.near_edited > r.near_next for r in out) > 0.95 * len(out)
+
+
+def test_shared_folders_can_be_cleared(spark):
+    import os
+
+    from tallyward.llm import common
+
+    kept, common.GIVEN[:] = list(common.GIVEN), []
+    a, b = (common.stored(spark.range(n), "test") for n in (3, 4))
+    folders = list(common.GIVEN)
+    assert a.count() + b.count() == 7 and all(os.path.isdir(f.removeprefix("file://")) for f in folders)
+    assert common.clear_shared(spark) == 2 and not any(os.path.exists(f.removeprefix("file://")) for f in folders) and common.clear_shared(spark) == 0
+    common.GIVEN[:] = kept
