@@ -48,6 +48,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return GIVEN[-1]
 
 
+#: Rows that go to a Python worker at a time while tables are stored: whole texts are in memory on both sides.
+BATCH_ROWS, BATCH_SETTING = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def stored(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and lost executors cost no recomputation.
 
@@ -56,7 +60,13 @@ def stored(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    (df.coalesce(tasks) if tasks else df).write.parquet(path)
+    before = spark.conf.get(BATCH_SETTING)
+    if not 0 < int(before) < BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    try:
+        (df.coalesce(tasks) if tasks else df).write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
