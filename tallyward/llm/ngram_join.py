@@ -11,7 +11,10 @@
    first compared with one pivot of theirs, so most of a large group of near copies is connected by linearly many tests.
    Then sets of different components that share a prefix token are looked up against each other, range of sizes by range
    of sizes; a bound on their common tokens, from the sets' sizes and from parity bitmaps, stands in the join itself, so
-   that it gives few more pairs than there are links.
+   that it gives few more pairs than there are links. Where many such pairs are left, a share of them, drawn by hash, is
+   looked up first, its links merge components, and the share grows up to all pairs. Once the links of a share s have
+   merged n sets, about n / s links at most still go between components (the sampling lemma of Karger, Klein and Tarjan),
+   so no round gives more than some times n links, however dense a group is.
 
 No link between different sets is lost: what step 4 leaves untested is connected already.
 
@@ -51,6 +54,8 @@ SET_TOKENS = 1 << 18
 BITMAP = 16
 #: Short rows (a few numbers) that one task writes.
 ROWS_A_TASK = 50_000
+#: Pairs of a first round for each posting, about, and how much more of all pairs each further round takes in.
+GROWTH = 16
 #: Seeds of the orders by hash.
 ORDERS = (0x1F123BB5, 0x5DEECE66D)
 
@@ -302,6 +307,37 @@ def common_needed(n: Column, m: Column, percent: int) -> Column:
     return F.ceil((n + m) * percent / (100 + percent))
 
 
+#: Pairs are drawn by a number below this.
+DRAWN = 1 << 31
+
+
+def next_share(share: int, postings: float, pairs: float) -> int:
+    """How many of DRAWN parts of the pairs are looked up after the first `share` of them."""
+    return min(DRAWN, max(share * GROWTH, int(DRAWN * GROWTH * postings / pairs), 1))
+
+
+def cross_pairs(open_postings: DataFrame, prefixes: DataFrame, sets: DataFrame, percent: int, tasks: int, low: int, high: int) -> DataFrame:
+    """Pairs (a, b) of different components that share an open token and may link, of those drawn from low on and below high."""
+    # what the join needs to know of a document: its open tokens, sizes and bitmap
+    known = open_postings.groupBy("doc").agg(F.collect_list("token").alias("open")).join(prefixes.select(F.col("node").alias("doc"), "n", "shared"), "doc").join(sets.select(F.col("node").alias("doc"), *[F.col("bits")[i].alias(f"bits{i}") for i in range(BITMAP)]), "doc")
+    wide = stored(open_postings.join(stored(known, "open-documents", tasks), "doc"), "wide-postings", tasks)
+    # linked sets' sizes are in one range or in neighbouring ones. Only sets outside a token's main component look for
+    # partners, among all of the token's sets: pairs within a large component are never formed
+    step = -math.log(percent / 100)
+    wide = wide.withColumn("range", F.floor(F.log(F.col("n").cast("double")) / step + 1e-9))
+    left, right = (wide.select(*[F.col(c).alias(f"{x}_{c}") for c in wide.columns]) for x in "ab")
+    left = left.where("a_root <> a_main").withColumn("at_range", F.explode(F.array(*[F.col("a_range") + k for k in (-1, 0, 1)])))
+    needs = common_needed(F.col("a_n"), F.col("b_n"), percent)
+    differing = sum((F.bit_count(F.col(f"a_bits{i}").bitwiseXOR(F.col(f"b_bits{i}"))) for i in range(1, BITMAP)), F.bit_count(F.col("a_bits0").bitwiseXOR(F.col("b_bits0"))))
+    near = (F.col("a_root") != F.col("b_root")) & ((F.col("b_root") == F.col("b_main")) | (F.col("a_doc") < F.col("b_doc")))
+    if (low, high) != (0, DRAWN):
+        drawn = F.shiftrightunsigned(F.xxhash64(F.least("a_doc", "b_doc"), F.greatest("a_doc", "b_doc")), 33)
+        near &= (drawn >= low) & (drawn < high)
+    near &= (F.least("a_shared", "b_shared") >= needs) & (F.col("a_n") + F.col("b_n") - differing >= 2 * needs) & (F.array_min(F.array_intersect("a_open", "b_open")) == F.col("a_token"))
+    pairs = left.join(right, (F.col("a_token") == F.col("b_token")) & (F.col("at_range") == F.col("b_range")) & near)
+    return pairs.select(F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b"))
+
+
 def link_components(sets: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame | None:
     """(doc, root) of the documents that link with another; None if none does.
 
@@ -330,38 +366,33 @@ def link_components(sets: DataFrame, prefixes: DataFrame, percent: int) -> DataF
 
     pivots = stored(postings.groupBy("token").agg(F.min_by("doc", F.xxhash64("doc")).alias("pivot")), "pivots", tasks)
     pairs = postings.join(pivots, "token").where("doc <> pivot").select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
-    links = verified(pairs)
-    if links.isEmpty():
-        rooted = postings.withColumn("root", F.col("doc"))
-    else:
-        roots = stored(components(links), "roots", tasks)
-        rooted = postings.join(roots, "doc", "left").select("token", "doc", F.coalesce("root", "doc").alias("root"))
-    rooted = stored(rooted, "rooted-postings", tasks)
-    open_tokens = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
-    open_postings = stored(rooted.join(stored(open_tokens, "open-tokens", tasks), "token"), "open-postings", tasks)
-    if open_postings.isEmpty():
-        return None if links.isEmpty() else roots
 
-    # what the join needs to know of a document: its open tokens, sizes and bitmap
-    known = open_postings.groupBy("doc").agg(F.collect_list("token").alias("open")).join(prefixes.select(F.col("node").alias("doc"), "n", "shared"), "doc").join(sets.select(F.col("node").alias("doc"), *[F.col("bits")[i].alias(f"bits{i}") for i in range(BITMAP)]), "doc")
-    wide = stored(open_postings.join(stored(known, "open-documents", tasks), "doc"), "wide-postings", tasks)
-    # linked sets' sizes are in one range or in neighbouring ones: the smaller set looks in its own and the next
-    step = -math.log(percent / 100)
-    wide = wide.withColumn("range", F.floor(F.log(F.col("n").cast("double")) / step + 1e-9))
-    left, right = (wide.select("token", *[F.col(c).alias(f"{x}_{c}") for c in wide.columns if c != "token"]) for x in "ab")
-    left = left.withColumn("at_range", F.explode(F.array(F.col("a_range"), F.col("a_range") + 1)))
-    needs = common_needed(F.col("a_n"), F.col("b_n"), percent)
-    differing = sum((F.bit_count(F.col(f"a_bits{i}").bitwiseXOR(F.col(f"b_bits{i}"))) for i in range(1, BITMAP)), F.bit_count(F.col("a_bits0").bitwiseXOR(F.col("b_bits0"))))
-    near = ((F.col("a_range") < F.col("b_range")) | (F.col("a_doc") < F.col("b_doc"))) & (F.col("a_root") != F.col("b_root")) & (F.least("a_shared", "b_shared") >= needs)
-    near &= (F.col("a_n") + F.col("b_n") - differing >= 2 * needs) & (F.array_min(F.array_intersect("a_open", "b_open")) == F.col("a_token"))
-    left = left.withColumnRenamed("token", "a_token")
-    pairs = left.join(right.withColumnRenamed("token", "b_token"), (F.col("a_token") == F.col("b_token")) & (F.col("at_range") == F.col("b_range")) & near)
-    more = verified(stored(pairs.select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b")), "cross-pairs"))
-    if links.isEmpty():
-        return None if more.isEmpty() else stored(components(more), "roots", tasks)
-    if more.isEmpty():
-        return roots
-    return stored(components(roots.where("doc <> root").select(F.col("doc").alias("a"), F.col("root").alias("b")).union(more)), "roots", tasks)
+    def merged(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:
+        """The roots when links are added to those that gave roots."""
+        if links.isEmpty():
+            return roots
+        if roots is not None:
+            links = roots.where("doc <> root").select(F.col("doc").alias("a"), F.col("root").alias("b")).union(links)
+        return stored(components(links), "roots", tasks)
+
+    def still_open(postings: DataFrame, roots: DataFrame | None) -> tuple[DataFrame, float, float]:
+        """(token, doc, root, main) for the tokens whose documents are of several components, main the largest one; how many; their pairs across components."""
+        rooted = postings.withColumn("root", F.col("doc")) if roots is None else postings.join(roots, "doc", "left").select("token", "doc", F.coalesce("root", "doc").alias("root"))
+        rooted = stored(rooted, "rooted-postings", tasks)
+        of_token = rooted.groupBy("token", "root").agg(F.count(F.lit(1)).cast("double").alias("k")).groupBy("token").agg(F.max(F.struct("k", "root")).alias("main"), F.sum("k").alias("df"), F.sum(F.col("k") * F.col("k")).alias("same"))
+        open_tokens = stored(of_token.where("main.k < df").select("token", F.col("main.root").alias("main"), "df", "same"), "open-tokens", tasks)
+        held, cross = open_tokens.agg(F.sum("df"), F.sum(F.col("df") * F.col("df") - F.col("same")) / 2).first()
+        return stored(rooted.join(open_tokens.select("token", "main"), "token"), "open-postings", tasks), held or 0, cross or 0
+
+    roots, low = merged(None, verified(pairs)), 0
+    while low < DRAWN:
+        postings, held, cross = still_open(postings.select("token", "doc"), roots)
+        if not held:
+            break
+        high = next_share(low, held, cross)
+        roots = merged(roots, verified(stored(cross_pairs(postings, prefixes, sets, percent, tasks, low, high), "cross-pairs")))
+        low = high
+    return roots
 
 
 def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -674,6 +674,33 @@ def test_op9_rows_sent_grow_as_the_tokens_do():
     assert rows(1 << 37) <= 2.1 * rows(1 << 36)
 
 
+def test_op9_links_grow_as_the_sets_do(spark, monkeypatch):
+    """A pivot that links with hardly any set of its group: the others are linked without all of their pairs."""
+    n = 400
+    pivot = spark.range(n).orderBy(F.xxhash64("id")).first().id
+    own = {i: [1000 + i] for i in range(n)} | {pivot: list(range(40, 60)), n: [*range(40, 60), 1000 + n]}
+    sets = {i: np.array([*range(40), *own[i]], np.uint64) for i in own}
+    bits = lambda x: np.packbits((np.bincount((x % np.uint64(64 * ngram_join.BITMAP)).astype(np.int64), minlength=64 * ngram_join.BITMAP) & 1).astype(np.uint8)).view(np.int64).tolist()
+    near = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b))
+    others = [i for i in range(n) if i != pivot]
+    assert near(sets[others[0]], sets[others[1]]) and near(sets[pivot], sets[n]) and not near(sets[others[0]], sets[pivot]) and not near(sets[others[0]], sets[n])
+    prefix = {i: list(range(len(x) - -(-len(x) * 75 // 100) + 1)) for i, x in sets.items()}
+    lists = spark.createDataFrame([(i, x.tolist(), bits(x)) for i, x in sets.items()], "node bigint, tokens array<bigint>, bits array<bigint>")
+    prefixes = spark.createDataFrame([(i, len(x), 40 if i in others else 60, *[prefix[i]] * 3) for i, x in sets.items()], ngram_join.PREFIXES)
+    counted, plain = {}, ngram_join.stored
+
+    def counting(df, name, tasks=None):
+        out = plain(df, name, tasks)
+        if name in ("links", "cross-pairs"):
+            counted[name] = counted.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", counting)
+    roots = {r.doc: r.root for r in ngram_join.link_components(lists, prefixes, 75).collect()}
+    assert roots == {i: min(others) for i in others} | {pivot: pivot, n: pivot}
+    assert max(counted.values()) < 2 * ngram_join.GROWTH * n < len(others) * (len(others) - 1) // 2
+
+
 def test_op9_random_small(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice("ab") for _ in range(rng.randrange(1, 14))), "en", "a") for i in range(150)]
