@@ -126,7 +126,7 @@ def send(batches: Iterator[pa.RecordBatch], groups: int, words: int) -> Iterator
         for g in range(groups):
             a, b, c, d = cuts_many[g], cuts_many[g + 1], cuts_once[g], cuts_once[g + 1]
             if b > a or d > c or g == own:
-                rows.append((g, number, many[a:b].tobytes(), once[c:d].tobytes(), owners[c:d].tobytes(), halves.tobytes() if g == own else b"", shared.astype(np.int64).tobytes() if g == own else b""))
+                rows.append((g, number, many[a:b].tobytes(), once[c:d].tobytes(), owners[c:d].tobytes(), halves.tobytes() if g == own else b"", shared.astype(np.int32).tobytes() if g == own else b""))
         kinds = [pa.int64()] * 2 + [pa.binary()] * 5
         return pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in SENT.split(", ")])
 
@@ -151,8 +151,14 @@ def joined(rows: pa.Table, name: str, kind: type) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
 
 
+SHARED = "batch bigint, sets binary, shared binary"
+
+
 def count_shared(rows: pa.Table) -> pa.Table:
-    """(half, batch, shared): of each set in each batch, how many of its tokens other sets have, as far as this group knows."""
+    """(batch, sets, shared): a row for each batch, with its sets that have tokens of other sets too, as far as this group knows, and how many.
+
+    Rows out are no more than rows in, and numbers no more than tokens in, however many groups a set's tokens fall into.
+    """
     numbers = rows.column("batch").to_numpy()
     many, _ = joined(rows, "many", np.uint64)
     once, row = joined(rows, "once", np.uint64)
@@ -164,12 +170,23 @@ def count_shared(rows: pa.Table) -> pa.Table:
     counts = np.diff(np.append(first, len(once)))
     differ = np.minimum.reduceat(owners, first) != np.maximum.reduceat(owners, first) if len(first) else np.zeros(0, bool)
     hit = np.repeat(differ | np.isin(once[first], many), counts)
-    at, pairs = np.lexsort((row[hit], owners[hit])), np.stack([owners[hit], numbers[row[hit]]])
-    pairs = pairs[:, at]
-    new = np.flatnonzero(np.append(True, (pairs[:, 1:] != pairs[:, :-1]).any(axis=0))) if pairs.shape[1] else np.zeros(0, np.int64)
-    sets, own_row = joined(rows, "sets", np.int64)
-    shared, _ = joined(rows, "shared", np.int64)
-    return pa.table({"half": np.append(pairs[0, new], sets), "batch": np.append(pairs[1, new], numbers[own_row]), "shared": np.append(np.diff(np.append(new, pairs.shape[1])), shared).astype(np.int64)})
+    # the hits of each batch in turn, those of one set together
+    at = np.lexsort((owners[hit], row[hit]))
+    own, own_row = owners[hit][at], row[hit][at]
+    new = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (own_row[1:] != own_row[:-1]))) if len(own) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(new, len(own)))
+    cuts = np.searchsorted(own_row[new], np.arange(rows.num_rows + 1))
+    out = []
+    for k, (a, b, sets, shared) in enumerate(zip(cuts[:-1], cuts[1:], rows.column("sets").to_pylist(), rows.column("shared").to_pylist(), strict=True)):
+        if b > a or sets:
+            out.append((numbers[k], own[new[a:b]].tobytes() + sets, counts[a:b].astype(np.int32).tobytes() + shared))
+    return pa.table([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=[c.split()[0] for c in SHARED.split(", ")])
+
+
+def sum_shared(rows: pa.Table) -> pa.Table:
+    """(half, shared): of each set of one batch, how many of its tokens other sets have."""
+    halves, counts = summed(joined(rows, "sets", np.int64)[0], joined(rows, "shared", np.int32)[0].astype(np.int64))
+    return pa.table({"half": halves, "shared": counts})
 
 
 def listed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -415,7 +432,7 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     # as many tasks as groups, up to MOST_TASKS, so that a task's input stays as it is when the tokens grow; a group is counted by itself
     tasks = lambda tokens: min(MOST_TASKS, groups(tokens))
     sent = rows.select("text").mapInArrow(partial(send, groups=groups(total), words=words), SENT).repartition(tasks(total), "group")
-    shared = sent.groupBy("group").applyInArrow(count_shared, "half bigint, batch bigint, shared bigint").groupBy("half", "batch").agg(F.sum("shared").alias("shared")).groupBy("half").agg(F.max("shared").alias("shared"))
+    shared = sent.groupBy("group").applyInArrow(count_shared, SHARED).groupBy("batch").applyInArrow(sum_shared, "half bigint, shared bigint").groupBy("half").agg(F.max("shared").alias("shared"))
     alive = stored(classes.join(shared, "half").where(F.col("shared") >= needed(F.col("n"), percent)).select("node", ROW), "alive")
 
     sets = stored(rows.join(small(alive, 200_000), ROW).select("node", "text").mapInArrow(partial(listed, words=words), "node bigint, tokens array<bigint>, bits array<bigint>"), "sets")

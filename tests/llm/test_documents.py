@@ -5,9 +5,12 @@ import os
 import random
 import re
 import time
+from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -701,6 +704,28 @@ def test_op9_links_grow_as_the_sets_do(spark, monkeypatch):
     assert max(counted.values()) < 2 * ngram_join.GROWTH * n < len(others) * (len(others) - 1) // 2
 
 
+def test_op9_counts_come_back_one_row_a_batch_and_group(monkeypatch):
+    rng = random.Random(6)
+    texts = near_group(rng, 120, 90, 30) + [words(60, rng, 10_000) for _ in range(30)]
+    texts = texts + texts[:40]
+    monkeypatch.setattr(ngram_join, "HELD_TOKENS", 2_000)
+    sets = {shingles.digest(x): set(x.tolist()) for x in shingles.token_sets(pa.array(texts))}
+    df = Counter(t for x in sets.values() for t in x)
+    want = {int.from_bytes(d[:8], "little", signed=True): sum(df[t] > 1 for t in x) for d, x in sets.items()}
+    for groups in (3, 40):
+        sent = pa.Table.from_batches(ngram_join.send(iter([pa.record_batch({"text": texts})]), groups, 5))
+        counted = []
+        for g in range(groups):
+            rows = sent.filter(pc.equal(sent["group"], g))
+            counted.append(ngram_join.count_shared(rows))
+            assert counted[-1].num_rows <= rows.num_rows
+        counted, got = pa.concat_tables(counted), {}
+        for batch in set(counted["batch"].to_pylist()):
+            for r in ngram_join.sum_shared(counted.filter(pc.equal(counted["batch"], batch))).to_pylist():
+                got[r["half"]] = max(got.get(r["half"], 0), r["shared"])
+        assert got == want
+
+
 def test_op9_random_small(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice("ab") for _ in range(rng.randrange(1, 14))), "en", "a") for i in range(150)]
