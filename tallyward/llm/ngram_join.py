@@ -14,7 +14,7 @@
    that it gives few more pairs than there are links. Where many such pairs are left, a share of them, drawn by hash, is
    looked up first, its links merge components, and the share grows up to all pairs. Once the links of a share s have
    merged n sets, about n / s links at most still go between components (the sampling lemma of Karger, Klein and Tarjan),
-   so no round gives more than some times n links, however dense a group is.
+   so each round gives links in proportion to the postings, as is to be expected however dense a group is.
 
 No link between different sets is lost: what step 4 leaves untested is connected already.
 
