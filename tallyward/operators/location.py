@@ -50,15 +50,20 @@ def advance(base: tuple | None, lat: float | None, lon: float | None, city: str
     return lat, lon, city, at
 
 
-def steps(lat: np.ndarray, lon: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Whether the move from each row to the next is impossible, as suspect() has it."""
-    a, b = np.radians(lat[:-1]), np.radians(lat[1:])
-    chord = np.sin((b - a) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin(np.radians(lon[1:] - lon[:-1]) / 2) ** 2
-    km, minutes = 2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(1.0, chord))), np.diff(at) / 60e6
+def impossible(lat0: np.ndarray, lon0: np.ndarray, at0: np.ndarray, lat: np.ndarray, lon: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether each move is impossible, as suspect() has it."""
+    a, b = np.radians(lat0), np.radians(lat)
+    chord = np.sin((b - a) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin(np.radians(lon - lon0) / 2) ** 2
+    km, minutes = 2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(1.0, chord))), (at - at0) / 60e6
     with np.errstate(divide="ignore", invalid="ignore"):
         return (minutes > 0) & ((km >= JUMP_KM) | (km >= SPEED_LEAST_KM) & (km / (minutes / 60) > JET_KMH))
 
 
+def steps(lat: np.ndarray, lon: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the move from each row to the next is impossible."""
+    return impossible(lat[:-1], lon[:-1], at[:-1], lat[1:], lon[1:], at[1:])
+
+
 def bases(new_user: np.ndarray, lat: np.ndarray, lon: np.ndarray, at: np.ndarray, known: np.ndarray, held: tuple | None) -> tuple[np.ndarray, int]:
     """For each row, which row it is compared with (-1: none, the number of rows: the place held before); and the last base.
 

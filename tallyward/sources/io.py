@@ -41,6 +41,15 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+def moved(spark: SparkSession, source: str, target: str) -> None:
+    """Move a folder; the one above its new place is made if need be."""
+    fs, at = file_system(spark, source)
+    to = file_system(spark, target)[1]
+    fs.mkdirs(to.getParent())
+    if not fs.rename(at, to):
+        raise OSError(f"{source} can't be moved to {target}")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back, for tables that are read more than once."""
     path = shared_folder(df.sparkSession, name)

@@ -7,18 +7,17 @@ scored. A row that breaks a rule goes through without touching the state and com
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
-
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
 from tallyward.functions.risk import scored, with_travel
 from tallyward.functions.validation import transaction_error
 from tallyward.operators.enrichment import new_device
-from tallyward.operators.location import advance
 from tallyward.operators.velocity import SECONDS
 from tallyward.sources.io import parse_events
+from tallyward.streaming.packs import PackProcessor, as_bytes, counted, packed, placed, unpacked
 
 #: How long a user's state is kept after it was last written.
 STATE_TTL_MS = 86_400_000
@@ -33,17 +32,11 @@ MESSAGE = (
 ADDED = "velocity_15min bigint, prev_lat double, prev_lon double, prev_city string, prev_at bigint"
 
 
-def in_time_order(rows: list[Row]) -> list[Row]:
-    """Rows by `at`, then transaction_id, nulls first."""
-    rank = lambda x: (x is not None, x if x is not None else 0)
-    return sorted(rows, key=lambda r: (rank(r["at"]), rank(r["transaction_id"])))
-
-
-class UserHistory(StatefulProcessor):
-    """A user's recent times and last believed place, each with a time to live.
+class UserHistory(PackProcessor):
+    """Users' recent times and last believed places, each with a time to live.
 
-    The rows of one user and trigger are taken in time order, and so are in memory together. A count covers the rows up to
-    and including the same moment, of this trigger and of the recent times; a row that comes late is counted among what
+    The rows of one group and trigger are taken in time order, and so are in memory together. A count covers the rows up
+    to and including the same moment, of this trigger and of the recent times; a row that comes late is counted among what
     is known of its time by then. Rows with an error_reason get nulls and change nothing.
     """
 
@@ -51,41 +44,33 @@ class UserHistory(StatefulProcessor):
         self.columns, self.ttl_ms = columns, ttl_ms
 
     def init(self, handle) -> None:
-        self.place = handle.getValueState("place", "lat double, lon double, city string, at bigint", ttlDurationMs=self.ttl_ms)
-        self.recent = handle.getListState("recent", "at bigint", ttlDurationMs=self.ttl_ms)
+        self.place = handle.getValueState("place", "users binary", ttlDurationMs=self.ttl_ms)
+        self.recent = handle.getValueState("recent", "users binary", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        ordered = in_time_order(list(rows))
-        good = [r for r in ordered if r["error_reason"] is None]
-        base = tuple(self.place.get()) if self.place.exists() else None
-        old = [x[0] for x in self.recent.get()] if self.recent.exists() else []
-        new = [r["at"] for r in good if r["at"] is not None]
-        times = sorted(old + new)
-        made = Row(*self.columns, "velocity_15min", "prev_lat", "prev_lon", "prev_city", "prev_at")
-        for r in ordered:
-            own = [r[c] for c in self.columns]
-            if r["error_reason"] is not None:
-                yield made(*own, None, None, None, None, None)
-                continue
-            at = r["at"]
-            count = None if at is None else bisect_right(times, at) - bisect_left(times, at - WINDOW_US)
-            yield made(*own, count, *(base or (None,) * 4))
-            base = advance(base, r["latitude"], r["longitude"], r["city"], at)
-        if new:
-            self.recent.put([(x,) for x in times[bisect_left(times, times[-1] - WINDOW_US - LATE_US) :]])
-        if base is not None and good:
-            self.place.update(base)
-
-    def close(self) -> None:
-        pass
+        table, now = self.given(rows), timerValues.getCurrentProcessingTimeInMs()
+        names = [*self.columns, "velocity_15min", "prev_lat", "prev_lon", "prev_city", "prev_at"]
+        fine = pc.is_null(table.column("error_reason"))
+        good, bad = table.filter(fine), table.filter(pc.invert(fine))
+        if good.num_rows:
+            counts, times = counted(good, self.held(self.recent, now), WINDOW_US, WINDOW_US + LATE_US, now + self.ttl_ms)
+            good = good.append_column("velocity_15min", pa.array(counts, mask=good.column("at").is_null().to_numpy()))
+            found, after = placed(good, self.held(self.place, now), now + self.ttl_ms)
+            self.keep(self.recent, times)
+            self.keep(self.place, after)
+            yield Row(pack=as_bytes(found.select(names)))
+        if bad.num_rows:
+            for name, kind in zip(names[len(self.columns) :], (pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.int64()), strict=True):
+                bad = bad.append_column(name, pa.nulls(bad.num_rows, kind))
+            yield Row(pack=as_bytes(bad.select(names)))
 
 
 def with_history(rows: DataFrame, ttl_ms: int = STATE_TTL_MS) -> DataFrame:
     """rows (transaction_id, user_id, latitude, longitude, city, transaction_ts, error_reason, ...) with ADDED."""
-    columns = rows.columns
     kinds = ", ".join(f"`{n}` {k}" for n, k in rows.dtypes)
-    timed = rows.withColumn("at", F.unix_micros("transaction_ts"))
-    return timed.groupBy("user_id").transformWithState(UserHistory(columns, ttl_ms), outputStructType=f"{kinds}, {ADDED}", outputMode="Append", timeMode="ProcessingTime")
+    timed = packed(rows.withColumn("at", F.unix_micros("transaction_ts")))
+    packs = timed.groupBy("pack_group").transformWithState(UserHistory(rows.columns, ttl_ms), outputStructType="pack binary", outputMode="Append", timeMode="ProcessingTime")
+    return unpacked(packs, f"{kinds}, {ADDED}")
 
 
 def feature_stream(messages: DataFrame, base: DataFrame, trusted: DataFrame, ttl_ms: int = STATE_TTL_MS) -> DataFrame:
@@ -102,6 +87,7 @@ def feature_stream(messages: DataFrame, base: DataFrame, trusted: DataFrame, ttl
     return out.select(*[F.col(c) if c in ids else F.when(F.col("error_reason").isNull(), F.col(c)).alias(c) for c in out.columns])
 
 
-def as_messages(tx: DataFrame) -> DataFrame:
-    """Transactions as a topic's messages: key, and the row as JSON with times to the microsecond."""
-    return tx.select(F.col("user_id").cast("string").alias("key"), F.to_json(F.struct(*tx.columns), {"timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}).alias("value"))
+def as_messages(tx: DataFrame, *beside: str) -> DataFrame:
+    """Transactions as a topic's messages: key, and the row as JSON with times to the microsecond; columns of `beside` stay columns."""
+    row = F.struct(*[c for c in tx.columns if c not in beside])
+    return tx.select(F.col("user_id").cast("string").alias("key"), F.to_json(row, {"timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}).alias("value"), *beside)

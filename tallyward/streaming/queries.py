@@ -2,38 +2,65 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyward import queries as batch
-from tallyward.sources.io import shared_folder, written
+from tallyward.sources.io import file_system, moved, shared_folder, written
 from tallyward.sources.tables import bad_transactions, baselines, transactions, trusted_devices
 from tallyward.sources.topics import VELOCITY_LIMIT, append_to_topic, committed, topic_stream
 from tallyward.streaming.engine import last_places, latest_windows, place_stream, stop_in_order, table_stream, to_batches, velocity_stream
 from tallyward.streaming.features import as_messages, feature_stream
 
-#: Rows of one trigger of the place stream, about: a user's rows of a trigger are in memory together.
+#: Rows of one trigger, about: a user's rows of a trigger are in memory together.
 TRIGGER_ROWS = 1_000_000
+#: The column that says which part of a stream's input a row is in.
+PART = "stream_part"
 
 
-def _in_turn(parts: list[DataFrame], start) -> str:
-    """Write each part to a stream's input and run the stream to its end before the next comes; the folder of all this.
+def _cuts(tx: DataFrame, rows: int) -> list[int]:
+    """Times (microseconds) that cut tx into ranges of about `rows` rows."""
+    n = -(-tx.count() // rows)
+    at = F.unix_micros("transaction_ts")
+    found = tx.agg(F.percentile_approx(at, F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(10_000))).first()[0] if n > 1 else []
+    return sorted(set(found or []))
 
-    start(stream, folder) starts the query. It goes on from its checkpoint, so the order doesn't rest on files' times.
+
+def _ranged(tx: DataFrame, rows: int) -> DataFrame:
+    """tx with its part: ranges of time of about `rows` rows, numbered in order; rows without a time are in the first."""
+    at = F.unix_micros("transaction_ts")
+    return tx.withColumn(PART, F.coalesce(sum(((at > cut).cast("int") for cut in _cuts(tx, rows)), F.lit(0)), F.lit(0)))
+
+
+def _in_turn(rows: DataFrame, stream_of, mode: str = "append") -> str:
+    """Run a stream over the parts of rows (PART) one after the other, a trigger each; the folder of all this.
+
+    All parts are written in one pass, out of the stream's sight. A part's folder is moved into its input when the trigger
+    before has written what it made: no trigger looks for input then, so each finds its part whole and alone, and the
+    order rests neither on files' times nor on how a store moves folders.
     """
-    folder = shared_folder(parts[0].sparkSession, "stream")
-    for part in parts:
-        part.write.mode("append").parquet(f"{folder}/in")
-        start(part.sparkSession.readStream.schema(part.schema).parquet(f"{folder}/in"), folder).awaitTermination()
+    spark, folder = rows.sparkSession, shared_folder(rows.sparkSession, "stream")
+    rows.write.partitionBy(PART).parquet(f"{folder}/parts")
+    fs, at = file_system(spark, f"{folder}/parts")
+    left = sorted((int(x.getPath().getName().split("=")[1]) for x in fs.listStatus(at) if x.isDirectory()), reverse=True)
+
+    def following() -> None:
+        if left:
+            part = left.pop()
+            moved(spark, f"{folder}/parts/{PART}={part}", f"{folder}/in/{part}")
+
+    if not left:  # no rows: still a stream, over an empty part
+        rows.drop(PART).write.parquet(f"{folder}/in/0")
+    following()
+    stream = spark.readStream.schema(rows.drop(PART).schema).parquet(f"{folder}/in/*")
+    stop_in_order([to_batches(stream_of(stream), f"{folder}/out", f"{folder}/check", mode, trigger="0 seconds", empty_batches=False, after=following)])
     return folder
 
 
-def _windows_of(parts: list[DataFrame]) -> DataFrame:
-    """The last counts of the 15-minute windows of a velocity stream over parts, under the 10-minute watermark."""
-    folder = _in_turn(parts, lambda stream, folder: to_batches(velocity_stream(stream), f"{folder}/out", f"{folder}/check", "update"))
-    found = latest_windows(parts[0].sparkSession.read.parquet(f"{folder}/out"))
+def _windows_of(rows: DataFrame) -> DataFrame:
+    """The last counts of the 15-minute windows of a velocity stream over the parts of rows, under the 10-minute watermark."""
+    folder = _in_turn(rows, velocity_stream, "update")
+    found = latest_windows(rows.sparkSession.read.parquet(f"{folder}/out"))
     return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 
@@ -43,14 +70,13 @@ def streamed_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
     The stream takes ranges of time one after the other, so no row comes late.
     """
     tx = transactions(spark, sf_dir).select("transaction_id", "user_id", "transaction_ts")
-    return _windows_of(list(_ranges(tx, min(TRIGGER_ROWS, max(1, -(-tx.count() // 3))))))
+    return _windows_of(_ranged(tx, min(TRIGGER_ROWS, max(1, -(-tx.count() // 3)))))
 
 
 def late_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with every 50th row coming after all others: it still counts in windows that the watermark hasn't passed."""
     tx = transactions(spark, sf_dir).select("transaction_id", "user_id", "transaction_ts")
-    late = F.col("transaction_id") % 50 == 0
-    return _windows_of([tx.where(~late), tx.where(late)])
+    return _windows_of(tx.withColumn(PART, (F.col("transaction_id") % 50 == 0).cast("int")))
 
 
 def two_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,39 +98,17 @@ def two_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.join(places, "user_id", "full_outer")
 
 
-def _cuts(tx: DataFrame, rows: int) -> list[int]:
-    """Times (microseconds) that cut tx into ranges of about `rows` rows."""
-    n = -(-tx.count() // rows)
-    at = F.unix_micros("transaction_ts")
-    found = tx.agg(F.percentile_approx(at, F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(10_000))).first()[0] if n > 1 else []
-    return sorted(set(found or []))
-
-
 def streamed_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The guarded last place by keyed state, from ranges of time that the stream takes one after the other."""
     tx = transactions(spark, sf_dir).select("transaction_id", "user_id", "latitude", "longitude", "city", "transaction_ts")
     return locations_of(tx).select("transaction_id", "prev_city", F.timestamp_micros("prev_at").cast("timestamp_ntz").alias("prev_ts"))
 
 
-def _ranges(tx: DataFrame, rows: int) -> Iterator[DataFrame]:
-    """tx in ranges of time of about `rows` rows, in order; rows without a time come first."""
-    at = F.unix_micros("transaction_ts")
-    cuts = _cuts(tx, rows)
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        inside = (F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high)
-        yield tx.where(inside | at.isNull()) if low is None else tx.where(inside)
-
-
 def _features_of(tx: DataFrame, base: DataFrame, trusted: DataFrame, trigger_rows: int = TRIGGER_ROWS) -> DataFrame:
     """feature_stream over tx as messages, range of time by range of time."""
-    spark = tx.sparkSession
     known = written(base, "baselines"), written(trusted, "devices")  # read by every trigger
-
-    def start(stream: DataFrame, folder: str):
-        return to_batches(feature_stream(stream, *known), f"{folder}/out", f"{folder}/check", empty_batches=False)
-
-    folder = _in_turn([as_messages(part) for part in _ranges(tx, trigger_rows)], start)
-    return spark.read.parquet(f"{folder}/out").drop("batch")
+    folder = _in_turn(as_messages(_ranged(tx, trigger_rows), PART), lambda stream: feature_stream(stream, *known))
+    return tx.sparkSession.read.parquet(f"{folder}/out").drop("batch")
 
 
 def streamed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,14 +146,14 @@ def limited_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
 def looked_up_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's last believed place, looked up in the state that the place stream leaves; users who never came have nulls."""
     tx = transactions(spark, sf_dir).select("transaction_id", "user_id", "latitude", "longitude", "city", "transaction_ts")
-    folder = _in_turn(list(_ranges(tx, TRIGGER_ROWS)), lambda stream, folder: to_batches(place_stream(stream), f"{folder}/out", f"{folder}/check", empty_batches=False))
+    folder = _in_turn(_ranged(tx, TRIGGER_ROWS), place_stream)
     users = tx.select("user_id").distinct().unionAll(tx.agg((F.max("user_id") + 1).alias("user_id")))
     return last_places(spark, f"{folder}/check", users).select("user_id", "city", F.timestamp_micros("at").cast("timestamp_ntz").alias("at_time"))
 
 
 def locations_of(tx: DataFrame, trigger_rows: int = TRIGGER_ROWS) -> DataFrame:
     """place_stream over tx, range of time by range of time."""
-    folder = _in_turn(list(_ranges(tx, trigger_rows)), lambda stream, folder: to_batches(place_stream(stream), f"{folder}/out", f"{folder}/check", empty_batches=False))
+    folder = _in_turn(_ranged(tx, trigger_rows), place_stream)
     return tx.sparkSession.read.parquet(f"{folder}/out")
 
 

@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import time
 from datetime import datetime, timedelta
 
@@ -63,6 +64,38 @@ def test_lookups_equal_the_streams_own_output(spark, tmp_path):
     assert {r.user_id: r.n for r in engine.last_counts(spark, f"{folder}/w", users).collect()} == want | {77: 0}
 
 
+def test_windows_come_from_panes(spark, tmp_path):
+    """State has a row a minute and user, not one for each of the 15 windows, and late rows count where they still may."""
+    rng, folder, seen, mark = random.Random(7), str(tmp_path), [], None
+    want, kind = {}, "user_id string, transaction_ts timestamp"
+    for part in range(4):
+        rows = [(rng.choice(["a", "b", None]), START + timedelta(minutes=40 * part - rng.choice([0, 0, 11, 22, 80]), seconds=rng.randrange(2400))) for _ in range(60)] + [("a", None)]
+        for user, at in (r for r in rows if r[1]):
+            first = at.replace(second=0) - timedelta(minutes=14)
+            for start in (first + timedelta(minutes=m) for m in range(15)):
+                if mark is None or start + timedelta(minutes=15) > mark:
+                    want[user, start] = want.get((user, start), 0) + 1
+        seen += [at for _, at in rows if at]
+        mark = max(seen) - timedelta(minutes=10)
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(kind).parquet(f"{folder}/in")
+        engine.to_batches(engine.velocity_stream(stream), f"{folder}/out", f"{folder}/check", "update").awaitTermination()
+    got = engine.latest_windows(spark.read.parquet(f"{folder}/out")).collect()
+    assert {(r.user_id, r.window_start): r.n for r in got} == want and all(r.window_end - r.window_start == timedelta(minutes=15) for r in got)
+    state = spark.read.format("statestore").option("path", f"{folder}/check").option("stateVarName", "panes").load()
+    assert 1 <= state.count() <= 3  # one row a group; windows would be dozens
+    panes = [r.pane for r in engine.held_rows(spark, f"{folder}/check", "panes", "user_id string, pane bigint, n bigint").collect()]
+    assert min(panes) * 60 + 900 > (mark - datetime(1970, 1, 1)).total_seconds()  # what the watermark has passed is let go
+
+
+def test_parts_come_one_a_trigger_and_whole(spark):
+    tx = spark.range(0, 900, 1, 6).select(F.col("id").alias("transaction_id"), (F.col("id") % 7).alias("user_id"), F.timestamp_seconds(F.when(F.col("id") > 0, 900 - F.col("id"))).alias("transaction_ts"))
+    folder = streams._in_turn(streams._ranged(tx, 250), lambda stream: stream)
+    got = spark.read.parquet(f"{folder}/out").groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.min("transaction_ts").alias("low"), F.max("transaction_ts").alias("high")).orderBy("batch").collect()
+    assert len(got) == 4 and sum(r.n for r in got) == 900 and max(r.n for r in got) <= 260
+    assert all(a.high < b.low for a, b in zip(got, got[1:]))
+
+
 def messages(spark, low, high):
     return spark.range(low, high).select(F.concat(F.lit("k"), F.col("id") % 17).alias("key"), F.col("id").cast("string").alias("value"))
 
