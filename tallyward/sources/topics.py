@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.dataset as ds
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
@@ -33,6 +34,26 @@ from pyspark.sql.window import Window
 PARTITIONS, SCORING_LIMIT, VELOCITY_LIMIT = 12, 50_000, 10_000
 #: Rows of one file of the table.
 FILE_ROWS = 50_000
+#: Messages of one row group and of one file of a segment: a trigger reads the groups that hold its offsets, however many
+#: messages there are. Messages of one task, about: a small trigger is one task that reads of every partition.
+GROUP_ROWS, SEGMENT_FILE_ROWS, TASK_ROWS = 5_000, 250_000, 10_000
+
+
+@dataclass
+class OffsetRange:
+    """Messages of a partition, from one offset up to another, and the files that hold them."""
+
+    partition: int
+    start: int
+    end: int
+    files: tuple[str, ...] = ()
+
+
+@dataclass
+class TaskRanges(InputPartition):
+    """What one task reads."""
+
+    ranges: list[OffsetRange]
 
 
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
@@ -65,27 +86,31 @@ def segments(fs: pafs.FileSystem, base: str) -> list[str]:
     return [p for p in found if fs.get_file_info(f"{p}/_SUCCESS").type == pafs.FileType.File]
 
 
-def ends_of(fs: pafs.FileSystem, segment: str, known: dict[str, dict[int, int]]) -> dict[int, int]:
-    """The offset after the last one of each partition in a segment, from the files' own statistics."""
+def files_of(fs: pafs.FileSystem, segment: str, known: dict[str, list[OffsetRange]]) -> list[OffsetRange]:
+    """A segment's files with their offsets, from the files' own statistics."""
     if segment not in known:
-        ends: dict[int, int] = {}
+        found = []
         for fragment in ds.dataset(segment, filesystem=fs, partitioning="hive", format="parquet").get_fragments():
-            part = int(fragment.path.split("partition=")[1].split("/")[0])
             meta = fragment.metadata
-            at = meta.schema.names.index("offset")
-            for g in range(meta.num_row_groups):
-                ends[part] = max(ends.get(part, 0), meta.row_group(g).column(at).statistics.max + 1)
-        known[segment] = ends
+            offsets = [meta.row_group(g).column(meta.schema.names.index("offset")).statistics for g in range(meta.num_row_groups)]
+            if offsets:
+                found.append(OffsetRange(int(fragment.path.split("partition=")[1].split("/")[0]), min(x.min for x in offsets), max(x.max for x in offsets) + 1, (fragment.path,)))
+        known[segment] = found
     return known[segment]
 
 
-def topic_ends(path: str, known: dict[str, dict[int, int]] | None = None) -> dict[int, int]:
+def topic_files(path: str, known: dict[str, list[OffsetRange]] | None = None) -> list[OffsetRange]:
+    """All committed files of a topic; known: those of the segments seen so far."""
     fs, base = opened(path)
-    out: dict[int, int] = {}
     known = {} if known is None else known
-    for segment in segments(fs, base):
-        for part, end in ends_of(fs, segment, known).items():
-            out[part] = max(out.get(part, 0), end)
+    return [f for segment in segments(fs, base) for f in files_of(fs, segment, known)]
+
+
+def topic_ends(path: str, known: dict[str, list[OffsetRange]] | None = None) -> dict[int, int]:
+    """The offset after the last one of each partition."""
+    out: dict[int, int] = {}
+    for f in topic_files(path, known):
+        out[f.partition] = max(out.get(f.partition, 0), f.end)
     return out
 
 
@@ -101,14 +126,8 @@ def append_to_topic(df: DataFrame, path: str, order: str | None = None, partitio
     part = F.pmod(F.xxhash64("key"), F.lit(partitions)).cast("int")
     w = Window.partitionBy("partition").orderBy(*([order] if order else []), "key", "value")
     rows = df.withColumn("partition", part).withColumn("offset", start + F.row_number().over(w) - 1)
-    rows.select("partition", "offset", "key", "value").write.partitionBy("partition").parquet(f"{path}/segment={number:09d}")
-
-
-@dataclass
-class OffsetRange(InputPartition):
-    partition: int
-    start: int
-    end: int
+    sizes = {"parquet.block.row.count.limit": str(GROUP_ROWS), "maxRecordsPerFile": str(SEGMENT_FILE_ROWS)}
+    rows.select("partition", "offset", "key", "value").write.options(**sizes).partitionBy("partition").parquet(f"{path}/segment={number:09d}")
 
 
 class TopicStream(DataSourceStreamReader):
@@ -116,7 +135,7 @@ class TopicStream(DataSourceStreamReader):
         self.path = options["path"]
         self.limit = int(options.get("maxoffsetspertrigger", options.get("maxOffsetsPerTrigger", SCORING_LIMIT)))
         self.group = options.get("group")
-        self.known: dict[str, dict[int, int]] = {}
+        self.known: dict[str, list[OffsetRange]] = {}
         self.at: dict[int, int] | None = None
 
     def noted(self) -> tuple[pafs.FileSystem, str]:
@@ -141,21 +160,40 @@ class TopicStream(DataSourceStreamReader):
         self.at = {p: self.at.get(p, 0) + taken.get(p, 0) for p in self.at | taken}
         return {str(p): n for p, n in self.at.items()}
 
-    def partitions(self, start: dict, end: dict) -> list[OffsetRange]:
+    def partitions(self, start: dict, end: dict) -> list[TaskRanges]:
         self.at = {int(p): n for p, n in end.items()}
         if self.group:
             put_whole(*self.noted(), json.dumps(end))
-        return [OffsetRange(int(p), start.get(p, 0), n) for p, n in end.items() if n > start.get(p, 0)]
-
-    def read(self, partition: OffsetRange) -> Iterator[pa.RecordBatch]:
-        fs, base = opened(self.path)
-        own = [f"{s}/partition={partition.partition}" for s in segments(fs, base)]
-        own = [p for p in own if fs.get_file_info(p).type == pafs.FileType.Directory]
-        files = [i.path for p in own for i in children(fs, p) if i.path.endswith(".parquet")]
-        wanted = (ds.field("offset") >= partition.start) & (ds.field("offset") < partition.end)
-        for batch in ds.dataset(files, filesystem=fs, format="parquet").to_batches(columns=["offset", "key", "value"], filter=wanted):
-            if batch.num_rows:
-                yield pa.record_batch([pa.array([partition.partition] * batch.num_rows, pa.int32()), batch.column("offset"), batch.column("key").cast(pa.string()), batch.column("value").cast(pa.string())], names=["partition", "offset", "key", "value"])
+        files, tasks, room = topic_files(self.path, self.known), [], 0
+        for p, n in end.items():
+            low = start.get(p, 0)
+            while low < n:
+                if not room:
+                    tasks.append(TaskRanges([]))
+                    room = TASK_ROWS
+                high = min(n, low + room)
+                tasks[-1].ranges.append(OffsetRange(int(p), low, high, tuple(f.files[0] for f in files if f.partition == int(p) and f.start < high and f.end > low)))
+                low, room = high, room - (high - low)
+        return tasks
+
+    def read(self, partition: TaskRanges) -> Iterator[pa.RecordBatch]:
+        fs, _ = opened(self.path)
+        for r in partition.ranges:
+            for path in r.files:
+                with fs.open_input_file(path) as source:
+                    yield from self.within(pq.ParquetFile(source), r)
+
+    def within(self, file: pq.ParquetFile, r: OffsetRange) -> Iterator[pa.RecordBatch]:
+        """A range's messages, from the row groups that hold some."""
+        at = file.metadata.schema.names.index("offset")
+        held = [(g, file.metadata.row_group(g).column(at).statistics) for g in range(file.num_row_groups)]
+        groups = [g for g, x in held if x.min < r.end and x.max >= r.start]
+        if not groups:
+            return
+        rows = file.read_row_groups(groups, columns=["offset", "key", "value"], use_threads=False)
+        rows = rows.filter((pc.field("offset") >= r.start) & (pc.field("offset") < r.end))
+        for batch in rows.to_batches():
+            yield pa.record_batch([pa.array([r.partition] * batch.num_rows, pa.int32()), batch.column("offset"), batch.column("key").cast(pa.string()), batch.column("value").cast(pa.string())], names=["partition", "offset", "key", "value"])
 
 
 class Topic(DataSource):

@@ -126,6 +126,29 @@ def test_topic_limits_and_restarts(spark, tmp_path):
     assert all(sorted(x) == list(range(len(x))) for x in by_part.values())
 
 
+def test_topic_triggers_read_the_groups_they_need(spark, tmp_path, monkeypatch):
+    for name, n in (("GROUP_ROWS", 50), ("SEGMENT_FILE_ROWS", 400), ("TASK_ROWS", 100)):
+        monkeypatch.setattr(topics, name, n)
+    path, read = str(tmp_path / "topic"), []
+    topics.append_to_topic(messages(spark, 0, 3000), path, partitions=3)
+    stream = topics.TopicStream({"path": path, "maxOffsetsPerTrigger": "150"})
+    real = topics.pq.ParquetFile.read_row_groups
+    monkeypatch.setattr(topics.pq.ParquetFile, "read_row_groups", lambda self, groups, **kw: read.append(len(groups)) or real(self, groups, **kw))
+    at, got, tasks = stream.initialOffset(), [], []
+    while (end := stream.latestOffset()) != at:
+        planned = stream.partitions(at, end)
+        tasks.append(len(planned))
+        sizes = []
+        for task in planned:
+            rows = [int(v) for b in stream.read(task) for v in b.column("value").to_pylist()]
+            sizes.append(len(rows))
+            got += rows
+        assert sum(sizes) <= 150 and max(sizes) <= 100
+        at = end
+    assert sorted(got) == list(range(3000)) and max(tasks) == 2  # not one for each partition
+    assert sum(read) * 50 <= 3 * 3000  # a trigger's own groups, not whole files again and again
+
+
 def test_committed_table_is_whole_or_nothing(spark, tmp_path):
     path, kind = str(tmp_path / "t"), "id bigint"
     topics.append_committed(spark.range(10).repartition(3), path, "first", rows_per_file=2)
