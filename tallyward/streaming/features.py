@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from tallyward.functions.risk import scored, with_travel
 from tallyward.functions.validation import transaction_error
-from tallyward.operators.enrichment import new_device
 from tallyward.operators.velocity import SECONDS
 from tallyward.sources.io import parse_events
 from tallyward.streaming.packs import PackProcessor, as_bytes, counted, packed, placed, unpacked
@@ -73,15 +72,23 @@ def with_history(rows: DataFrame, ttl_ms: int = STATE_TTL_MS) -> DataFrame:
     return unpacked(packs, f"{kinds}, {ADDED}")
 
 
-def feature_stream(messages: DataFrame, base: DataFrame, trusted: DataFrame, ttl_ms: int = STATE_TTL_MS) -> DataFrame:
+def known_users(base: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(user_id, avg_amount, stddev_amount, devices): each user's baseline and trusted devices in one row, as feature_stream takes them."""
+    devices = trusted.where("user_id is not null").groupBy("user_id").agg(F.collect_set("device_id").alias("devices"))
+    return base.where("user_id is not null").join(devices, "user_id", "full_outer")
+
+
+def feature_stream(messages: DataFrame, known: DataFrame, ttl_ms: int = STATE_TTL_MS) -> DataFrame:
     """Feature rows of messages (value: JSON), with error_reason; a dead letter has only its ids, its time and its reason filled.
 
-    base and trusted are tables; the joins with them hold no state, and small sides are broadcast.
+    known is a table of known_users(); the join with it holds no state, and is one a trigger for baselines and devices.
     """
     parsed = parse_events(messages, schema=MESSAGE)
     checked = parsed.withColumn("error_reason", transaction_error(F.col("amount"), F.col("fraud_pattern")))
-    known = new_device(checked.join(base, "user_id", "left"), trusted)
-    rows = with_history(known, ttl_ms).withColumn("prev_ts", F.timestamp_micros("prev_at")).drop("prev_at")
+    device = F.col("device_id").cast("string")
+    is_new = ~F.coalesce(F.array_contains("devices", F.col("device_id")), F.lit(False)) & device.isNotNull() & (device != "")
+    joined = checked.join(known, "user_id", "left").withColumn("is_new_device", is_new).drop("devices")
+    rows = with_history(joined, ttl_ms).withColumn("prev_ts", F.timestamp_micros("prev_at")).drop("prev_at")
     out = scored(with_travel(rows), keep=("error_reason",))
     ids = ("transaction_id", "user_id", "transaction_ts", "error_reason")
     return out.select(*[F.col(c) if c in ids else F.when(F.col("error_reason").isNull(), F.col(c)).alias(c) for c in out.columns])

@@ -10,7 +10,7 @@ from tallyward.sources.io import file_system, moved, shared_folder, written
 from tallyward.sources.tables import bad_transactions, baselines, transactions, trusted_devices
 from tallyward.sources.topics import VELOCITY_LIMIT, append_to_topic, committed, topic_stream
 from tallyward.streaming.engine import last_places, latest_windows, place_stream, stop_in_order, table_stream, to_batches, velocity_stream
-from tallyward.streaming.features import as_messages, feature_stream
+from tallyward.streaming.features import as_messages, feature_stream, known_users
 
 #: Rows of one trigger, about: a user's rows of a trigger are in memory together.
 TRIGGER_ROWS = 1_000_000
@@ -106,8 +106,8 @@ def streamed_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _features_of(tx: DataFrame, base: DataFrame, trusted: DataFrame, trigger_rows: int = TRIGGER_ROWS) -> DataFrame:
     """feature_stream over tx as messages, range of time by range of time."""
-    known = written(base, "baselines"), written(trusted, "devices")  # read by every trigger
-    folder = _in_turn(as_messages(_ranged(tx, trigger_rows), PART), lambda stream: feature_stream(stream, *known))
+    known = written(known_users(base, trusted), "users")  # read by every trigger
+    folder = _in_turn(as_messages(_ranged(tx, trigger_rows), PART), lambda stream: feature_stream(stream, known))
     return tx.sparkSession.read.parquet(f"{folder}/out").drop("batch")
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyward.sources import topics
-from tallyward.streaming import engine, features
+from tallyward.streaming import engine, features, packs
 from tallyward.streaming import queries as streams
 
 START = datetime(2024, 1, 1)
@@ -64,6 +64,35 @@ def test_lookups_equal_the_streams_own_output(spark, tmp_path):
     assert {r.user_id: r.n for r in engine.last_counts(spark, f"{folder}/w", users).collect()} == want | {77: 0}
 
 
+def test_places_of_many_users_are_one_state_row_a_group(spark, tmp_path):
+    folder, n = str(tmp_path), 3000
+    rows = lambda city, low: spark.range(n).select((F.col("id") + low).alias("transaction_id"), F.col("id").alias("user_id"), F.lit(42.0).alias("latitude"), F.lit(-71.0).alias("longitude"), F.concat(F.lit(city), F.col("id")).alias("city"), F.timestamp_seconds(F.col("id") + low).alias("transaction_ts"))
+    run(spark, folder, rows("a", 0), engine.place_stream)
+    got = run(spark, folder, rows("b", n).where("user_id % 2 = 0"), engine.place_stream).where(f"transaction_id >= {n}")
+    assert {(r.user_id, r.prev_city, r.prev_at) for r in got.collect()} == {(i, f"a{i}", i * 1_000_000) for i in range(0, n, 2)}
+    assert spark.read.format("statestore").option("path", f"{folder}/check").option("stateVarName", "place").load().count() <= packs.GROUPS < n
+    found = engine.last_places(spark, f"{folder}/check", spark.range(n + 1).withColumnRenamed("id", "user_id")).collect()
+    assert {r.user_id: r.city for r in found} == {i: f"{'ab'[i % 2 == 0]}{i}" for i in range(n)} | {n: None}
+
+
+def test_histories_of_many_users_are_one_state_row_a_group(spark, tmp_path):
+    folder, n = str(tmp_path), 3000
+    rows = lambda city, minute: spark.range(n).select((F.col("id") + n * minute).alias("transaction_id"), F.col("id").alias("user_id"), F.lit(42.0).alias("latitude"), F.lit(-71.0).alias("longitude"), F.lit(city).alias("city"), F.timestamp_seconds(F.lit(60 * minute)).alias("transaction_ts"), F.when((F.col("id") % 5 == 0) & F.lit(minute == 1), "amount_negative").alias("error_reason"))
+    run(spark, folder, rows("a", 0).unionAll(rows("b", 1)), features.with_history)
+    got = run(spark, folder, rows("c", 16), features.with_history).where("city = 'c'").collect()
+    assert {(r.user_id, r.velocity_15min, r.prev_city) for r in got} == {(i, 1 if i % 5 == 0 else 2, "a" if i % 5 == 0 else "b") for i in range(n)}
+    assert spark.read.format("statestore").option("path", f"{folder}/check").option("stateVarName", "recent").load().count() <= packs.GROUPS < n
+
+
+def test_scoring_knows_users_by_one_row(spark, tmp_path):
+    tx = spark.createDataFrame([(i, u, d, 10.0, "a", 42.0, -71.0, "US", START + timedelta(hours=i), False, None) for i, u, d in [(1, 1, 11), (2, 1, 12), (3, 2, 21), (4, 3, 31), (5, 1, None)]], features.MESSAGE.replace("transaction_ts string", "transaction_ts timestamp"))
+    base = spark.createDataFrame([(1, 8.0, 2.0), (None, 1.0, 1.0)], "user_id bigint, avg_amount double, stddev_amount double")
+    trusted = spark.createDataFrame([(1, 11), (1, 11), (1, 13), (2, 21), (None, 31)], "user_id bigint, device_id bigint")
+    known = features.known_users(base, trusted).localCheckpoint()
+    got = run(spark, str(tmp_path), features.as_messages(tx), lambda stream: features.feature_stream(stream, known)).collect()
+    assert {(r.transaction_id, r.is_new_device, r.user_avg_amount) for r in got} == {(1, False, 8.0), (2, True, 8.0), (3, False, 50.0), (4, True, 50.0), (5, False, 8.0)} and len(got) == 5
+
+
 def test_windows_come_from_panes(spark, tmp_path):
     """State has a row a minute and user, not one for each of the 15 windows, and late rows count where they still may."""
     rng, folder, seen, mark = random.Random(7), str(tmp_path), [], None
